@@ -113,4 +113,104 @@ def oracle_sql() -> dict[str, str]:
     q["feat_qos_score"] = f"{BASE} SELECT row_key, qos_score FROM feat_all"
     q["feat_network_load"] = f"{BASE} SELECT row_key, network_load FROM feat_all"
     q["feat_allocation_efficiency"] = f"{BASE} SELECT row_key, allocation_efficiency FROM feat"
+    q.update(quality_sql())
+    return q
+
+
+FT_COLS = FEATURES_12.split(", ") + ["allocation_efficiency"]
+KPI_COLS = ["row_key", "ts_ms", "sched_policy", "training_config", "slice_id", "bs_id", "exp_id",
+            "imsi", "tx_brate_dl_mbps", "sum_requested_prbs", "sum_granted_prbs",
+            "tx_errors_dl_pct", "rx_errors_ul_pct", "dl_cqi", "num_ues"]
+
+
+def _outliers_sql(src: str, cols: list[str]) -> str:
+    parts = []
+    for c in cols:
+        parts.append(f"""
+      SELECT '{c}' AS "column", q1, q3, lower, upper,
+        (SELECT count(*) FROM {src} WHERE CAST({c} AS DOUBLE) < lower OR CAST({c} AS DOUBLE) > upper)
+          AS n_outliers,
+        (CAST((SELECT count(*) FROM {src} WHERE CAST({c} AS DOUBLE) < lower
+                OR CAST({c} AS DOUBLE) > upper) AS DOUBLE) / (SELECT count(*) FROM {src})) * 100e0
+          AS outlier_pct
+      FROM (SELECT q1, q3, q1 - 1.5e0 * (q3 - q1) AS lower, q3 + 1.5e0 * (q3 - q1) AS upper
+            FROM (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1,
+                         quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM {src}))""")
+    return " UNION ALL ".join(parts)
+
+
+def _bounds_cte(src: str, cols: list[str]) -> str:
+    sel = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1_{c}, "
+                    f"quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3_{c}" for c in cols)
+    return f"bounds AS (SELECT {sel} FROM {src})"
+
+
+def quality_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    miss = " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", (CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) "
+        f"/ CAST(count(*) AS DOUBLE)) * 100e0 AS missing_pct FROM kpi" for c in KPI_COLS)
+    q["dq_missing"] = f"{BASE} {miss}"
+    q["dq_outliers_iqr"] = f"{BASE}, ft AS (SELECT * FROM feat) {_outliers_sql('ft', FT_COLS)}"
+    q["dq_outliers_events"] = _outliers_sql("events", ["event_id", "user_id", "value"])
+    rng = " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", min(CAST({c} AS DOUBLE)) AS min, max(CAST({c} AS DOUBLE)) AS max, "
+        f"round(avg(CAST({c} AS DOUBLE)), 6) AS mean, round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS std "
+        f"FROM feat" for c in FT_COLS)
+    q["dq_ranges"] = f"{BASE} {rng}"
+    q["dq_duplicates"] = f"""{BASE}
+      SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS duplicates,
+        round((CAST(sum(n - 1) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) * 100e0, 6) AS duplicate_pct
+      FROM (SELECT count(*) AS n FROM kpi GROUP BY bs_id, slice_id, sum_requested_prbs)"""
+    q["dq_duplicates_docs"] = """
+      SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS duplicates,
+        round((CAST(sum(n - 1) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) * 100e0, 6) AS duplicate_pct
+      FROM (SELECT count(*) AS n FROM documents GROUP BY text, lang, source)"""
+    miss_ft = " UNION ALL ".join(
+        f"SELECT (CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) / CAST(count(*) AS DOUBLE))"
+        f" * 100e0 AS m FROM ft" for c in FT_COLS)
+    grp = ", ".join(FT_COLS)
+    q["dq_score"] = f"""{BASE}, ft AS (SELECT {grp} FROM feat),
+      o AS ({_outliers_sql('ft', FT_COLS)}),
+      m AS ({miss_ft}),
+      d AS (SELECT sum(n) AS rows, sum(n - 1) AS dups FROM (SELECT count(*) AS n FROM ft GROUP BY ALL)),
+      s AS (SELECT (SELECT avg(m) FROM m) AS am, (SELECT avg(outlier_pct) FROM o) AS ao,
+                   (SELECT CAST(rows AS BIGINT) FROM d) AS rows, (SELECT CAST(dups AS BIGINT) FROM d) AS dups)
+      SELECT rows AS total_records, round(am, 6) AS avg_missing_pct, round(ao, 6) AS avg_outlier_pct,
+        dups AS duplicates, round((CAST(dups AS DOUBLE) / CAST(rows AS DOUBLE)) * 100e0, 6) AS duplicate_pct,
+        round(greatest(0e0, ((100e0 - am) - ao) - (CAST(dups AS DOUBLE) / CAST(rows AS DOUBLE)) * 100e0), 6)
+          AS quality_score,
+        round(greatest(0e0, ((100e0 - am) - ao) - (CAST(dups AS DOUBLE) / CAST(rows AS DOUBLE)) * 100e0), 6)
+          >= 70e0 AS passed
+      FROM s"""
+    # dq_score groups by the values; GROUP BY ALL on the feature columns
+    q["dq_score"] = q["dq_score"].replace("FROM ft GROUP BY ALL", f"FROM ft GROUP BY {grp}")
+    capped = ", ".join(
+        f"CASE WHEN {c} IS NULL THEN NULL ELSE least(greatest(CAST({c} AS DOUBLE), "
+        f"b.q1_{c} - 1.5e0 * (b.q3_{c} - b.q1_{c})), b.q3_{c} + 1.5e0 * (b.q3_{c} - b.q1_{c})) END AS {c}"
+        for c in FT_COLS)
+    q["clean_iqr"] = f"{BASE}, {_bounds_cte('feat', FT_COLS)} SELECT f.row_key, {capped} FROM feat f, bounds b"
+    st = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_samp(CAST({c} AS DOUBLE)) AS s_{c}"
+                   for c in FT_COLS)
+    cond = " AND ".join(f"abs((CAST(f.{c} AS DOUBLE) - s.m_{c}) / s.s_{c}) < 1.5e0" for c in FT_COLS)
+    q["clean_zscore"] = f"{BASE}, st AS (SELECT {st} FROM feat) SELECT f.* FROM feat f, st s WHERE {cond}"
+    inf = " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE abs(CAST({c} AS DOUBLE)) = 'inf'::DOUBLE) "
+        f"AS n_infinite, count(*) FILTER (WHERE abs(CAST({c} AS DOUBLE)) = 'inf'::DOUBLE) > 0 "
+        f"AS has_infinite FROM feat" for c in FT_COLS)
+    q["dq_infinite"] = f"{BASE} {inf}"
+    const = " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", round(var_samp(CAST({c} AS DOUBLE)), 6) AS variance, "
+        f"var_samp(CAST({c} AS DOUBLE)) = 0 AS is_constant FROM feat" for c in FT_COLS)
+    q["dq_constant"] = f"{BASE} {const}"
+    mx = ", ".join(f"(CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) / CAST(count(*) AS DOUBLE)) * 100e0"
+                   for c in FT_COLS[:-1])
+    q["dq_train_checks"] = f"""{BASE}
+      SELECT count(*) AS rows, round(greatest({mx}), 6) AS max_missing_pct,
+        min(allocation_efficiency) AS target_min, max(allocation_efficiency) AS target_max,
+        var_samp(allocation_efficiency) = 0 AS target_is_constant FROM feat"""
+    q["dq_diff_runs"] = f"""{BASE}
+      SELECT (SELECT count(*) FROM (SELECT * FROM feat EXCEPT ALL SELECT * FROM feat)) AS left_only,
+             (SELECT count(*) FROM (SELECT * FROM feat EXCEPT ALL SELECT * FROM feat)) AS right_only,
+             true AS equal"""
     return q

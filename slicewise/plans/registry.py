@@ -88,3 +88,85 @@ def q_feat_load(spark, sf_dir):
 @register("feat_allocation_efficiency")
 def q_feat_target(spark, sf_dir):
     return features(spark, sf_dir).select("row_key", "allocation_efficiency")
+
+
+# --- Q: data quality ---------------------------------------------------------------------------
+
+from ..operators import quality as QA  # noqa: E402
+from .. import params as P  # noqa: E402
+
+FEATURE_TABLE_COLS = P.FEATURE_COLUMNS + [P.TARGET_COLUMN]
+
+
+def feature_table(spark, sf_dir):
+    """The 12 features + target (the frame the quality report profiles)."""
+    return FE.kpi_features(kpi(spark, sf_dir))
+
+
+def events_numeric(spark, sf_dir):
+    return TB.read_table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+
+
+@register("dq_missing")
+def q_dq_missing(spark, sf_dir):
+    return QA.missing_pct(kpi(spark, sf_dir))
+
+
+@register("dq_outliers_iqr")
+def q_dq_outliers(spark, sf_dir):
+    return QA.outliers_iqr(feature_table(spark, sf_dir))
+
+
+@register("dq_outliers_events")
+def q_dq_outliers_events(spark, sf_dir):
+    return QA.outliers_iqr(events_numeric(spark, sf_dir))
+
+
+@register("dq_ranges")
+def q_dq_ranges(spark, sf_dir):
+    return QA.ranges(feature_table(spark, sf_dir))
+
+
+@register("dq_duplicates")
+def q_dq_duplicates(spark, sf_dir):
+    return QA.duplicates(kpi(spark, sf_dir).select("bs_id", "slice_id", "sum_requested_prbs"))
+
+
+@register("dq_duplicates_docs")
+def q_dq_duplicates_docs(spark, sf_dir):
+    return QA.duplicates(TB.read_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+@register("dq_score")
+def q_dq_score(spark, sf_dir):
+    return QA.quality_score(feature_table(spark, sf_dir))
+
+
+@register("clean_iqr")
+def q_clean_iqr(spark, sf_dir):
+    return QA.clean_iqr(features(spark, sf_dir), FEATURE_TABLE_COLS)
+
+
+@register("clean_zscore")
+def q_clean_zscore(spark, sf_dir):
+    return QA.clean_zscore(features(spark, sf_dir), FEATURE_TABLE_COLS)
+
+
+@register("dq_infinite")
+def q_dq_infinite(spark, sf_dir):
+    return QA.infinite_check(feature_table(spark, sf_dir))
+
+
+@register("dq_constant")
+def q_dq_constant(spark, sf_dir):
+    return QA.constant_check(feature_table(spark, sf_dir))
+
+
+@register("dq_train_checks")
+def q_dq_train_checks(spark, sf_dir):
+    return QA.training_checks(feature_table(spark, sf_dir))
+
+
+@register("dq_diff_runs")
+def q_dq_diff_runs(spark, sf_dir):
+    return QA.diff_runs(features(spark, sf_dir), features(spark, sf_dir))
