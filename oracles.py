@@ -114,6 +114,8 @@ def oracle_sql() -> dict[str, str]:
     q["feat_network_load"] = f"{BASE} SELECT row_key, network_load FROM feat_all"
     q["feat_allocation_efficiency"] = f"{BASE} SELECT row_key, allocation_efficiency FROM feat"
     q.update(quality_sql())
+    q.update(alloc_sql())
+    q.update(prep_sql())
     return q
 
 
@@ -214,3 +216,125 @@ def quality_sql() -> dict[str, str]:
              (SELECT count(*) FROM (SELECT * FROM feat EXCEPT ALL SELECT * FROM feat)) AS right_only,
              true AS equal"""
     return q
+
+
+def _h_sql(r: str) -> str:
+    prb = f"least(1e0, coalesce(CAST(sum_requested_prbs AS DOUBLE), 1e0) / CAST(greatest(1, {r}) AS DOUBLE))"
+    return clip_sql(f"(0.4e0 * {prb} + 0.4e0 * qos_score) + 0.2e0 * (1e0 - network_load)")
+
+
+def alloc_sql(total: int = 17) -> dict[str, str]:
+    q: dict[str, str] = {}
+    st = f"""{BASE},
+      st AS (SELECT row_key AS state_id, sum_requested_prbs, qos_score, network_load,
+                    throughput_efficiency, coalesce(CAST(num_ues AS DOUBLE), 5e0) AS num_ues_i
+             FROM feat_all),
+      stx AS (SELECT *, CASE WHEN num_ues_i <= 10 THEN 'low_load' WHEN num_ues_i <= 20 THEN 'medium_load'
+                             WHEN num_ues_i <= 27 THEN 'high_load' ELSE 'peak_hours' END AS scenario FROM st),
+      cands AS (SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST({total} - a - b AS INTEGER) AS c
+                FROM range(1, {total - 1}) ra(a), range(1, {total}) rb(b) WHERE b < {total} - a AND {total} - a - b >= 1),
+      scored AS (SELECT s.*, c.a, c.b, c.c,
+                   (({_h_sql('c.a')} + {_h_sql('c.b')}) + {_h_sql('c.c')}) / 3e0 AS score
+                 FROM stx s, cands c),
+      best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY state_id ORDER BY score DESC, a, b) AS rn
+                              FROM scored) WHERE rn = 1),
+      res AS (SELECT b.state_id, b.scenario, b.a AS best_rbg_0, b.b AS best_rbg_1, b.c AS best_rbg_2,
+                     b.score AS best_score,
+                     (({_h_sql('5')} + {_h_sql('7')}) + {_h_sql('5')}) / 3e0 AS current_score
+              FROM best b)"""
+    q["alloc_features"] = f"""{st},
+      x AS (SELECT s.state_id, s.sum_requested_prbs, u.slice_id, u.allocated_rbgs FROM st s, cands c,
+              (SELECT 0 AS slice_id UNION ALL SELECT 1 UNION ALL SELECT 2) sl(slice_id),
+              LATERAL (SELECT sl.slice_id AS slice_id,
+                              CAST(CASE sl.slice_id WHEN 0 THEN c.a WHEN 1 THEN c.b ELSE c.c END AS INTEGER)
+                                AS allocated_rbgs) u)
+      SELECT slice_id, allocated_rbgs, count(*) AS n_rows,
+        round(avg(least(1e0, coalesce(CAST(sum_requested_prbs AS DOUBLE), 1e0)
+                             / CAST(greatest(1, allocated_rbgs) AS DOUBLE))), 6) AS avg_prb_utilization
+      FROM x GROUP BY slice_id, allocated_rbgs"""
+    q["alloc_heuristic"] = f"""{BASE} SELECT row_key,
+      {clip_sql("(0.4e0 * prb_utilization + 0.4e0 * qos_score) + 0.2e0 * (1e0 - network_load)")} AS heuristic
+      FROM feat"""
+    q["alloc_scores"] = f"""{st}
+      SELECT a AS rbg_0, b AS rbg_1, c AS rbg_2, count(*) AS n_states, round(avg(score), 6) AS avg_score,
+             round(max(score), 6) AS max_score FROM scored GROUP BY a, b, c"""
+    q["alloc_exhaustive"] = f"{st} SELECT state_id, best_rbg_0, best_rbg_1, best_rbg_2, best_score FROM res"
+    lin = "(CAST(c.a AS DOUBLE) * qos_score + CAST(c.b AS DOUBLE) * network_load) + CAST(c.c AS DOUBLE) * throughput_efficiency"
+    q["alloc_linear"] = f"""{st},
+      ls AS (SELECT s.state_id, c.a, c.b, c.c, {lin} AS score FROM stx s, cands c)
+      SELECT state_id, a AS best_rbg_0, b AS best_rbg_1, c AS best_rbg_2, score AS best_score FROM
+        (SELECT *, row_number() OVER (PARTITION BY state_id ORDER BY score DESC, a, b) AS rn FROM ls) WHERE rn = 1"""
+    q["alloc_improvement"] = f"""{st}
+      SELECT state_id, scenario, best_score, current_score, best_score - current_score AS improvement FROM res"""
+    q["alloc_improvement_summary"] = f"""{st}
+      SELECT scenario, count(*) AS steps, round(avg(best_score - current_score), 6) AS avg_improvement,
+        round(max(best_score - current_score), 6) AS max_improvement,
+        round(min(best_score - current_score), 6) AS min_improvement
+      FROM res GROUP BY ROLLUP (scenario)"""
+    q["alloc_improvement_hist"] = f"""{st}
+      SELECT CAST(floor((best_score - current_score) / 0.01e0) AS BIGINT) AS bin, count(*) AS n,
+        round(avg(best_score - current_score), 6) AS mean_improvement,
+        round(CAST(floor((best_score - current_score) / 0.01e0) AS BIGINT) * 0.01e0, 6) AS bin_start
+      FROM res GROUP BY 1"""
+    q["alloc_validate"] = f"""{st}
+      SELECT count(*) AS n_checked,
+        count(*) FILTER (WHERE best_rbg_0 + best_rbg_1 + best_rbg_2 <> {total} OR best_rbg_0 < 1
+                          OR best_rbg_1 < 1 OR best_rbg_2 < 1) AS n_invalid,
+        count(*) FILTER (WHERE best_rbg_0 + best_rbg_1 + best_rbg_2 <> {total} OR best_rbg_0 < 1
+                          OR best_rbg_1 < 1 OR best_rbg_2 < 1) = 0 AS valid
+      FROM res"""
+    return q
+
+
+def _metrics_sql(y: str, p: str) -> str:
+    e = f"(CAST({p} AS DOUBLE) - CAST({y} AS DOUBLE))"
+    return (f"count(*) AS n, round(1e0 - sum({e} * {e}) / (var_pop(CAST({y} AS DOUBLE)) * CAST(count(*) AS DOUBLE)), 6) AS r2, "
+            f"round(avg(abs({e})), 6) AS mae, round(sum({e} * {e}) / CAST(count(*) AS DOUBLE), 6) AS mse, "
+            f"round(sqrt(sum({e} * {e}) / CAST(count(*) AS DOUBLE)), 6) AS rmse")
+
+
+def prep_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    f12 = FEATURES_12
+    h = "md5(row_key || '|42')"
+    split = f"CASE WHEN substr({h}, 1, 4) < '3333' THEN 'test' ELSE 'train' END"
+    sp = f"{BASE}, sp AS (SELECT *, {split} AS split FROM feat)"
+    q["prep_drop_null_target"] = f"{BASE} SELECT * FROM feat WHERE allocation_efficiency IS NOT NULL"
+    q["prep_sample_n"] = f"{BASE} SELECT row_key, allocation_efficiency FROM feat ORDER BY {h} LIMIT 10000"
+    q["prep_cast_float"] = f"{BASE} SELECT row_key, " + ", ".join(
+        f"CAST({c} AS FLOAT) AS {c}" for c in FT_COLS) + " FROM feat"
+    med = ", ".join(f"coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM feat)) AS {c}"
+                    for c in FEATURES_12.split(", "))
+    q["prep_impute_median"] = f"{BASE} SELECT row_key, {med} FROM feat"
+    q["prep_impute_zero"] = f"{BASE} SELECT row_key, " + ", ".join(
+        f"coalesce({c}, 0) AS {c}" for c in FEATURES_12.split(", ")) + " FROM feat"
+    q["prep_split"] = f"{sp} SELECT row_key, split FROM sp"
+    q["prep_split_stratified"] = f"""{BASE}
+      SELECT row_key, slice_id, CASE WHEN rn <= floor(0.2e0 * n) THEN 'test' ELSE 'train' END AS split
+      FROM (SELECT row_key, slice_id, row_number() OVER (PARTITION BY slice_id ORDER BY {h}) AS rn,
+                   count(*) OVER (PARTITION BY slice_id) AS n FROM feat)"""
+    cols = FEATURES_12.split(", ")
+    stats = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, "
+                      f"CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) = 0 THEN 1e0 ELSE stddev_pop(CAST({c} AS DOUBLE)) END AS s_{c}"
+                      for c in cols)
+    z = ", ".join(f"round((CAST(f.{c} AS DOUBLE) - s.m_{c}) / s.s_{c}, 6) AS {c}" for c in cols)
+    q["prep_standardize"] = f"""{sp}, st AS (SELECT {stats} FROM sp WHERE split = 'train')
+      SELECT f.row_key, f.split, {z} FROM sp f, st s"""
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", round(avg(CAST({c} AS DOUBLE)) FILTER (WHERE split = 'train'), 6) AS mean, "
+        f"round(stddev_samp(CAST({c} AS DOUBLE)) FILTER (WHERE split = 'train'), 6) AS std, "
+        f"min(CAST({c} AS DOUBLE)) FILTER (WHERE split = 'train') AS min, "
+        f"max(CAST({c} AS DOUBLE)) FILTER (WHERE split = 'train') AS max, "
+        f"count(*) FILTER (WHERE split = 'train') AS train_size, "
+        f"count(*) FILTER (WHERE split <> 'train') AS test_size FROM sp" for c in FT_COLS)
+    q["prep_stats"] = f"{sp} {parts}"
+    q["cv_folds"] = f"{BASE} SELECT row_key, CAST(ntile(5) OVER (ORDER BY row_key) AS INTEGER) AS fold FROM feat"
+    heur = clip_sql("(0.4e0 * prb_utilization + 0.4e0 * qos_score) + 0.2e0 * (1e0 - network_load)")
+    sc = f"{sp}, sc AS (SELECT *, {heur} AS heuristic FROM sp)"
+    q["ml_metrics"] = f"{sc} SELECT {_metrics_sql('allocation_efficiency', 'heuristic')} FROM sc"
+    q["ml_compare"] = f"""{sc},
+      tm AS (SELECT avg(allocation_efficiency) AS train_mean FROM sc WHERE split = 'train'),
+      lg AS (SELECT 'heuristic' AS model, split, allocation_efficiency AS y, heuristic AS p FROM sc
+             UNION ALL SELECT 'train_mean', split, allocation_efficiency, (SELECT train_mean FROM tm) FROM sc)
+      SELECT model, split, {_metrics_sql('y', 'p')} FROM lg GROUP BY model, split"""
+    return q

@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .partitioning import cached
+
 
 @dataclass
 class _Target:
@@ -62,15 +64,28 @@ def kth_values(df: DataFrame, values: list[Column], targets: list[tuple[int, int
     # Narrow brackets until every band is small (each round shrinks a band ~accuracy/4 fold).
     d = 2.0 / accuracy
     while open_:
-        aggs = []
+        # one sketch per (expression, current band), holding every fraction its targets need
+        groups: dict[tuple[int, float, float], list[_Target]] = {}
         for t in open_:
-            v = vals[t.sid]
-            f = (t.k - t.below) / max(t.inband - 1, 1)
-            ps = [max(0.0, f - d), min(1.0, f + d)]
-            aggs.append(F.percentile_approx(F.when(_in_band(v, t.lo, t.hi), v), ps, accuracy)
-                        .alias(f"a{t.tid}"))
+            groups.setdefault((t.sid, t.lo, t.hi), []).append(t)
+        aggs, fr = [], {}
+        for gi, ((sid, lo, hi), tg) in enumerate(groups.items()):
+            v = vals[sid]
+            ps = set()
+            for t in tg:
+                f = (t.k - t.below) / max(t.inband - 1, 1)
+                fr[t.tid] = (gi, max(0.0, f - d), min(1.0, f + d))
+                ps.update(fr[t.tid][1:])
+            ps = sorted(ps)
+            for t in tg:
+                fr[t.tid] = (gi, ps.index(fr[t.tid][1]), ps.index(fr[t.tid][2]))
+            aggs.append(F.percentile_approx(F.when(_in_band(v, lo, hi), v), ps, accuracy).alias(f"g{gi}"))
         r = df.agg(*aggs).first()
-        cand = {t.tid: (float(r[f"a{t.tid}"][0]), float(r[f"a{t.tid}"][1])) for t in open_}
+        cand = {}
+        for t in open_:
+            gi, i0, i1 = fr[t.tid]
+            arr = r[f"g{gi}"]
+            cand[t.tid] = (float(arr[i0]), float(arr[i1]))
         aggs = []
         for t in open_:
             lo, hi = cand[t.tid]
@@ -99,21 +114,49 @@ def kth_values(df: DataFrame, values: list[Column], targets: list[tuple[int, int
 
 
 def _select_in_bands(df: DataFrame, vals: list[Column], todo: list[_Target]) -> None:
-    # Targets over the same expression and band share one histogram.
-    bands: dict[tuple[int, float, float], int] = {}
+    # Per expression, merge overlapping bands, so every value lies in at most one band and each
+    # row adds at most one histogram entry per expression.
+    by_sid: dict[int, list[_Target]] = {}
     for t in todo:
-        bands.setdefault((t.sid, t.lo, t.hi), len(bands))
+        by_sid.setdefault(t.sid, []).append(t)
+    merged: list[tuple[int, float, float, int]] = []  # (sid, lo, hi, below)
+    tband: dict[int, int] = {}
+    for sid, tg in by_sid.items():
+        tg = sorted(tg, key=lambda t: (t.lo, t.hi))
+        cur = None
+        for t in tg:
+            if cur is not None and t.lo <= cur[2]:
+                if t.hi > cur[2]:
+                    cur[2] = t.hi
+                cur[3] = min(cur[3], t.below)
+            else:
+                if cur is not None:
+                    merged.append(tuple(cur))
+                cur = [sid, t.lo, t.hi, t.below]
+            tband[t.tid] = len(merged)
+        merged.append(tuple(cur))
     items = []
-    for (sid, lo, hi), bid in bands.items():
+    for sid in by_sid:
         v = vals[sid]
-        items.append(F.when(_in_band(v, lo, hi), F.struct(F.lit(bid).alias("bid"), v.alias("x"))))
+        expr = None
+        for bid, (s2, lo, hi, _) in enumerate(merged):
+            if s2 != sid:
+                continue
+            cond = _in_band(v, lo, hi)
+            expr = F.when(cond, F.lit(bid)) if expr is None else expr.when(cond, F.lit(bid))
+        items.append(F.struct(expr.alias("bid"), v.alias("x")))
     long = (df.select(F.explode(F.array(*items)).alias("e"))
-              .where(F.col("e").isNotNull())
-              .select("e.bid", "e.x"))
+              .select("e.bid", "e.x")
+              .where(F.col("bid").isNotNull()))
     hist = long.groupBy("bid", "x").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("bid").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("cum", F.sum("c").over(w))
-    want = [(bands[(t.sid, t.lo, t.hi)], t.k - t.below) for t in todo]
+    # the band's own 'below' is the minimum over its members; a target's rank within the band
+    # counts the band values below its own bracket too
+    want = []
+    for t in todo:
+        bid = tband[t.tid]
+        want.append((bid, t.k - merged[bid][3]))
     wdf = df.sparkSession.createDataFrame(want, "bid int, kr long").distinct()
     # the value of rank kr is the first x whose running count exceeds kr
     picked = (hist.join(F.broadcast(wdf), "bid")
@@ -121,12 +164,19 @@ def _select_in_bands(df: DataFrame, vals: list[Column], todo: list[_Target]) ->
                   .groupBy("bid", "kr").agg(F.min("x").alias("x")))
     got = {(r["bid"], r["kr"]): r["x"] for r in picked.collect()}
     for t in todo:
-        t.value = got.get((bands[(t.sid, t.lo, t.hi)], t.k - t.below))
+        bid = tband[t.tid]
+        t.value = got.get((bid, t.k - merged[bid][3]))
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = 10000,
                     max_band: int = 1_000_000) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles of several columns (nulls ignored), exact."""
+    with cached(df.select(*[F.col(c).cast("double").alias(c) for c in cols])) as d:
+        return _exact_quantiles(d, cols, probs, accuracy, max_band)
+
+
+def _exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int,
+                     max_band: int) -> dict[str, list[float | None]]:
     vals = [F.col(c) for c in cols]
     row = df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(vals)]).first()
     counts = [int(row[f"n{i}"]) for i in range(len(cols))]

@@ -17,8 +17,11 @@ from ..functions.columns import clip, dlit
 def slice_config_table(spark: SparkSession, configs: dict | None = None) -> DataFrame:
     """``(training_config, slice_id, rbgs)``: one row per configuration and slice (84 rows)."""
     configs = configs or P.SLICE_CONFIGS
-    rows = [(cfg, i, int(r)) for cfg, rbgs in configs.items() for i, r in enumerate(rbgs)]
-    return spark.createDataFrame(rows, "training_config string, slice_id int, rbgs int")
+    rows = [F.struct(F.lit(cfg).alias("training_config"), F.lit(i).alias("slice_id"),
+                     F.lit(int(r)).alias("rbgs"))
+            for cfg, rbgs in configs.items() for i, r in enumerate(rbgs)]
+    # a JVM-side local table (no Python round trip)
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def add_temporal(df: DataFrame, ts_col: str = "ts_ms") -> DataFrame:
@@ -121,9 +124,24 @@ def select_features(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return df.select(*cols).dropna(subset=[P.TARGET_COLUMN])
 
 
+def target_defined(df: DataFrame) -> F.Column:
+    """Exactly when the chain's target is non-null, written on the raw columns.
+
+    ``qos_score``, ``network_load`` and ``throughput_efficiency`` are never null (their inputs
+    are imputed or guarded), so the target is null only where ``prb_utilization`` is: requested
+    PRBs > 0 with granted PRBs missing.  Filtering on this instead of ``dropna(target)`` keeps
+    the optimizer from pushing the whole target expression below the projection and evaluating
+    it twice per row.
+    """
+    req, gr = F.col("sum_requested_prbs").cast("double"), F.col("sum_granted_prbs").cast("double")
+    return ~F.coalesce((req > 0) & gr.isNull(), F.lit(False))
+
+
 def kpi_features(raw: DataFrame, keep: list[str] | None = None, configs: dict | None = None) -> DataFrame:
     """the whole feature chain F1-F11 on raw KPI rows (batch or stream)."""
-    return (raw.transform(add_temporal)
+    cols = list(keep or []) + P.FEATURE_COLUMNS + [P.TARGET_COLUMN]
+    return (raw.where(target_defined(raw))
+               .transform(add_temporal)
                .transform(add_sched_code)
                .transform(ensure_slice_id)
                .transform(lambda d: add_allocated_rbgs(d, configs))
@@ -132,7 +150,7 @@ def kpi_features(raw: DataFrame, keep: list[str] | None = None, configs: dict |
                .transform(add_qos_score)
                .transform(add_network_load)
                .transform(add_allocation_efficiency)
-               .transform(lambda d: select_features(d, keep)))
+               .select(*cols))
 
 
 def efficiency_by_policy_slice(features: DataFrame, raw_policy: DataFrame | None = None) -> DataFrame:

@@ -170,3 +170,169 @@ def q_dq_train_checks(spark, sf_dir):
 @register("dq_diff_runs")
 def q_dq_diff_runs(spark, sf_dir):
     return QA.diff_runs(features(spark, sf_dir), features(spark, sf_dir))
+
+
+# --- A: allocation search ----------------------------------------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..operators import allocation as AL  # noqa: E402
+
+
+def states(spark, sf_dir) -> DataFrame:
+    """One network state per KPI row: its features, UE count (imputed) and load scenario."""
+    f = FE.kpi_features(kpi(spark, sf_dir), keep=["row_key", "bs_id", "exp_id", "num_ues"])
+    ues = F.coalesce(F.col("num_ues").cast("double"), F.lit(P.DEFAULT_NUM_UES))
+    return f.select(F.col("row_key").alias("state_id"), ues.alias("num_ues"),
+                    AL.scenario_of(ues).alias("scenario"),
+                    *[c for c in f.columns if c not in ("row_key", "num_ues")])
+
+
+def exhaustive(spark, sf_dir) -> DataFrame:
+    return AL.exhaustive_search(states(spark, sf_dir))
+
+
+@register("alloc_features")
+def q_alloc_features(spark, sf_dir):
+    x = AL.candidate_features(states(spark, sf_dir).select("state_id", "sum_requested_prbs"))
+    return (x.groupBy("slice_id", "allocated_rbgs")
+             .agg(F.count(F.lit(1)).alias("n_rows"),
+                  F.round(F.avg("prb_utilization"), 6).alias("avg_prb_utilization")))
+
+
+@register("alloc_heuristic")
+def q_alloc_heuristic(spark, sf_dir):
+    f = features(spark, sf_dir)
+    return f.select("row_key", AL.heuristic_score(F.col("prb_utilization"), F.col("qos_score"),
+                                                  F.col("network_load")).alias("heuristic"))
+
+
+@register("alloc_scores")
+def q_alloc_scores(spark, sf_dir):
+    x = AL.candidate_scores_long(states(spark, sf_dir).select(
+        "state_id", "sum_requested_prbs", "qos_score", "network_load"))
+    return (x.groupBy("rbg_0", "rbg_1", "rbg_2")
+             .agg(F.count(F.lit(1)).alias("n_states"),
+                  F.round(F.avg("score"), 6).alias("avg_score"),
+                  F.round(F.max("score"), 6).alias("max_score")))
+
+
+@register("alloc_exhaustive")
+def q_alloc_exhaustive(spark, sf_dir):
+    return exhaustive(spark, sf_dir).select("state_id", "best_rbg_0", "best_rbg_1", "best_rbg_2",
+                                            "best_score")
+
+
+@register("alloc_linear")
+def q_alloc_linear(spark, sf_dir):
+    st = states(spark, sf_dir)
+    fn = AL.linear_scorer(F.col("qos_score"), F.col("network_load"), F.col("throughput_efficiency"))
+    return AL.custom_search(st, fn).select("state_id", "best_rbg_0", "best_rbg_1", "best_rbg_2",
+                                           "best_score")
+
+
+@register("alloc_improvement")
+def q_alloc_improvement(spark, sf_dir):
+    return exhaustive(spark, sf_dir).select("state_id", "scenario", "best_score", "current_score",
+                                            "improvement")
+
+
+@register("alloc_improvement_summary")
+def q_alloc_improvement_summary(spark, sf_dir):
+    return AL.improvement_summary(exhaustive(spark, sf_dir))
+
+
+@register("alloc_improvement_hist")
+def q_alloc_improvement_hist(spark, sf_dir):
+    return AL.improvement_histogram(exhaustive(spark, sf_dir))
+
+
+@register("alloc_validate")
+def q_alloc_validate(spark, sf_dir):
+    return AL.validate_allocations(exhaustive(spark, sf_dir))
+
+
+# --- P: training-set preparation, M5/M6/M9 metrics ---------------------------------------------
+
+from ..operators import evaluation as EV  # noqa: E402
+from ..operators import prep as PR  # noqa: E402
+
+SAMPLE_N_QUERY = 10_000  # fixed-size sample of the prep_sample_n query
+
+
+@register("prep_drop_null_target")
+def q_prep_drop_null_target(spark, sf_dir):
+    return PR.drop_null_target(features(spark, sf_dir))
+
+
+@register("prep_sample_n")
+def q_prep_sample_n(spark, sf_dir):
+    return PR.sample_n(features(spark, sf_dir), SAMPLE_N_QUERY).select("row_key", P.TARGET_COLUMN)
+
+
+@register("prep_cast_float")
+def q_prep_cast_float(spark, sf_dir):
+    return PR.cast_float(features(spark, sf_dir), FEATURE_TABLE_COLS)
+
+
+@register("prep_impute_median")
+def q_prep_impute_median(spark, sf_dir):
+    return PR.impute_median(features(spark, sf_dir), P.FEATURE_COLUMNS).select("row_key", *P.FEATURE_COLUMNS)
+
+
+@register("prep_impute_zero")
+def q_prep_impute_zero(spark, sf_dir):
+    return PR.impute_zero(features(spark, sf_dir), P.FEATURE_COLUMNS).select("row_key", *P.FEATURE_COLUMNS)
+
+
+@register("prep_split")
+def q_prep_split(spark, sf_dir):
+    return PR.random_split(features(spark, sf_dir)).select("row_key", "split")
+
+
+@register("prep_split_stratified")
+def q_prep_split_stratified(spark, sf_dir):
+    return PR.stratified_split(features(spark, sf_dir), "slice_id").select("row_key", "slice_id", "split")
+
+
+@register("prep_standardize")
+def q_prep_standardize(spark, sf_dir):
+    f = PR.random_split(features(spark, sf_dir))
+    return PR.standardize(f, P.FEATURE_COLUMNS, digits=6).select("row_key", "split", *P.FEATURE_COLUMNS)
+
+
+@register("prep_stats")
+def q_prep_stats(spark, sf_dir):
+    return PR.train_stats(PR.random_split(features(spark, sf_dir)), P.FEATURE_COLUMNS)
+
+
+@register("cv_folds")
+def q_cv_folds(spark, sf_dir):
+    return PR.kfold_assign(features(spark, sf_dir).select("row_key"), "row_key")
+
+
+def scored_features(spark, sf_dir) -> DataFrame:
+    """Features with a deterministic predictor (the A3 heuristic) and the random split."""
+    f = PR.random_split(features(spark, sf_dir))
+    return f.withColumn("heuristic", AL.heuristic_score(F.col("prb_utilization"), F.col("qos_score"),
+                                                        F.col("network_load")))
+
+
+@register("ml_metrics")
+def q_ml_metrics(spark, sf_dir):
+    return EV.regression_metrics(scored_features(spark, sf_dir), P.TARGET_COLUMN, "heuristic")
+
+
+@register("ml_compare")
+def q_ml_compare(spark, sf_dir):
+    f = scored_features(spark, sf_dir)
+    train_mean = f.where(F.col("split") == "train").agg(F.avg(P.TARGET_COLUMN).alias("train_mean"))
+    f = f.crossJoin(F.broadcast(train_mean))  # one-row frame
+    return EV.compare_models(f, P.TARGET_COLUMN, {"heuristic": "heuristic", "train_mean": "train_mean"},
+                             by=["split"])
+
+
+@register("ml_verdict")
+def q_ml_verdict(spark, sf_dir):
+    f = scored_features(spark, sf_dir).where(F.col("split") == "test")
+    return EV.verdict(EV.regression_metrics(f, P.TARGET_COLUMN, "heuristic"), exhaustive(spark, sf_dir))

@@ -19,11 +19,15 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot does not JIT-compile methods above 8000 bytes of bytecode; wide projections (the
+    # candidate scoring) would otherwise run interpreted inside one huge generated method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
 def build_session(master: str | None = None, app: str = "slicewise",
-                  shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None, extra: dict | None = None,
+                  driver_memory: str | None = None) -> SparkSession:
     """Create (or reuse) a session with the library's required settings.
 
     ``master`` is only applied when given, so that ``spark-submit`` decides on a cluster.
@@ -34,6 +38,9 @@ def build_session(master: str | None = None, app: str = "slicewise",
     conf = dict(REQUIRED_CONF)
     conf["spark.ui.enabled"] = "false"
     conf["spark.ui.showConsoleProgress"] = "false"
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor
+        conf["spark.driver.memory"] = driver_memory or "12g"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
