@@ -116,6 +116,7 @@ def oracle_sql() -> dict[str, str]:
     q.update(quality_sql())
     q.update(alloc_sql())
     q.update(prep_sql())
+    q.update(log_sql())
     return q
 
 
@@ -338,3 +339,36 @@ def prep_sql() -> dict[str, str]:
              UNION ALL SELECT 'train_mean', split, allocation_efficiency, (SELECT train_mean FROM tm) FROM sc)
       SELECT model, split, {_metrics_sql('y', 'p')} FROM lg GROUP BY model, split"""
     return q
+
+
+def log_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    w = 86_400 * 1_000_000 - 1
+    q["log_trailing_count"] = f"""SELECT event_id, user_id AS client, ts,
+      count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {w} PRECEDING AND CURRENT ROW)
+        AS trailing_count FROM events"""
+    q["log_bruteforce"] = f"""SELECT event_id, client, ts, failure_count, failure_count >= 3 AS flagged FROM (
+      SELECT event_id, user_id AS client, ts,
+        count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {w} PRECEDING AND CURRENT ROW)
+          AS failure_count FROM events WHERE event_type = 'error')"""
+    q["log_failures_by_client"] = """SELECT user_id AS client, count(*) AS failures FROM events
+      WHERE event_type = 'error' GROUP BY user_id"""
+    q["log_active_requests"] = f"""SELECT user_id AS client, count(*) AS active_requests FROM events,
+      (SELECT max(epoch_us(ts)) AS now FROM events) n
+      WHERE n.now - epoch_us(ts) < {w + 1} AND epoch_us(ts) <= n.now GROUP BY user_id"""
+    q["log_recent"] = """SELECT event_id, user_id AS client, ts, event_type FROM events
+      ORDER BY ts DESC, event_id DESC LIMIT 50"""
+    cls = P.STRIP_CHARS_CLASS
+    danger = " OR ".join(f"contains(lower(text), '{p}')" for p in P.DANGEROUS_PATTERNS)
+    q["screen_text"] = f"""WITH s AS (
+        SELECT 'pages' AS source, page_id AS id, html AS text FROM pages
+        UNION ALL SELECT 'documents', doc_id, text FROM documents),
+      st AS (SELECT source, id, text, CAST(length(text) AS INTEGER) AS length,
+        CASE WHEN text IS NULL OR text = '' THEN 'empty' WHEN length(text) > 1000 THEN 'too_long'
+             WHEN {danger} THEN 'dangerous' ELSE 'accepted' END AS status FROM s)
+      SELECT source, id, length, status,
+        CASE WHEN status = 'accepted' THEN regexp_replace(text, '^{cls}+|{cls}+$', '', 'g')
+             WHEN status = 'empty' THEN text END AS clean_text FROM st"""
+    q["log_request_rate"] = """SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS window_start, count(*) AS requests,
+      CAST(count(*) AS DOUBLE) / 300e0 AS rate_per_s FROM events GROUP BY 1"""
+    return q

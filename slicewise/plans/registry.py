@@ -336,3 +336,61 @@ def q_ml_compare(spark, sf_dir):
 def q_ml_verdict(spark, sf_dir):
     f = scored_features(spark, sf_dir).where(F.col("split") == "test")
     return EV.verdict(EV.regression_metrics(f, P.TARGET_COLUMN, "heuristic"), exhaustive(spark, sf_dir))
+
+
+# --- L: access-log analytics -------------------------------------------------------------------
+
+from ..operators import access_log as LG  # noqa: E402
+
+# The test log has a few events per client and hour, so the trailing-window queries use a
+# one-day window, a limit of 2 and a threshold of 3 (the defaults stay 1 h / 100 / 10).
+LOG_WINDOW_S = 86_400
+LOG_LIMIT = 2
+LOG_THRESHOLD = 3
+
+
+def access_log(spark, sf_dir):
+    return TB.access_log_from_events(spark, sf_dir)
+
+
+@register("log_trailing_count")
+def q_log_trailing_count(spark, sf_dir):
+    return (LG.trailing_count(access_log(spark, sf_dir), window_seconds=LOG_WINDOW_S)
+              .select("event_id", "client", "ts", "trailing_count"))
+
+
+@register("log_rate_limit")
+def q_log_rate_limit(spark, sf_dir):
+    return LG.rate_limit(access_log(spark, sf_dir), limit=LOG_LIMIT, window_seconds=LOG_WINDOW_S)
+
+
+@register("log_bruteforce")
+def q_log_bruteforce(spark, sf_dir):
+    return (LG.bruteforce_flags(access_log(spark, sf_dir), LOG_WINDOW_S, LOG_THRESHOLD)
+              .select("event_id", "client", "ts", "failure_count", "flagged"))
+
+
+@register("log_failures_by_client")
+def q_log_failures(spark, sf_dir):
+    return LG.failures_by_client(access_log(spark, sf_dir))
+
+
+@register("log_active_requests")
+def q_log_active(spark, sf_dir):
+    return LG.active_requests(access_log(spark, sf_dir), LOG_WINDOW_S)
+
+
+@register("log_recent")
+def q_log_recent(spark, sf_dir):
+    return LG.recent_events(access_log(spark, sf_dir)).select("event_id", "client", "ts", "event_type")
+
+
+@register("screen_text")
+def q_screen_text(spark, sf_dir):
+    return (LG.screen_text(TB.screening_input(spark, sf_dir))
+              .select("source", "id", "length", "status", "clean_text"))
+
+
+@register("log_request_rate")
+def q_log_request_rate(spark, sf_dir):
+    return LG.request_rate(access_log(spark, sf_dir))
