@@ -394,3 +394,99 @@ def q_screen_text(spark, sf_dir):
 @register("log_request_rate")
 def q_log_request_rate(spark, sf_dir):
     return LG.request_rate(access_log(spark, sf_dir))
+
+
+# --- M: models (rows-only checks) --------------------------------------------------------------
+
+from ..operators import models as MD  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+
+# Forest size of the registered model queries: 20 trees of depth 10.  Spark's tree learner makes
+# one distributed pass per tree level, so the published run's 50 x 15 takes minutes even on
+# 48,000 rows locally; the library defaults keep the configured 300 x 16 for real use.
+RUN_TREES, RUN_DEPTH = 20, 10
+
+
+def training_frame(spark, sf_dir) -> DataFrame:
+    """Features with the hash split and train-fitted median imputation (no test leak)."""
+    f = PR.random_split(features(spark, sf_dir))
+    f = PR.impute_median(f, P.FEATURE_COLUMNS, fit=f.where(F.col("split") == "train"))
+    return f.withColumn("is_validation", PR.split_label("row_key", seed=P.RANDOM_SEED + 1,
+                                                         test_fraction=0.1) == "test")
+
+
+def rf_model(spark, sf_dir):
+    t = training_frame(spark, sf_dir)
+    cols = ["row_key", "split", "is_validation", P.TARGET_COLUMN] + P.FEATURE_COLUMNS
+    train = t.where(F.col("split") == "train").select(*cols)
+    return MD.fit_random_forest(train, trees=RUN_TREES, depth=RUN_DEPTH), t
+
+
+@register("ml_rf_fit_score")
+def q_ml_rf_fit_score(spark, sf_dir):
+    m, t = rf_model(spark, sf_dir)
+    return MD.score(m, t.where(F.col("split") == "test")).select("row_key", P.TARGET_COLUMN, "rf_prediction")
+
+
+@register("ml_gbt_fit_score")
+def q_ml_gbt_fit_score(spark, sf_dir):
+    t = training_frame(spark, sf_dir)
+    m = MD.fit_gbt(t.where(F.col("split") == "train"), iters=20, depth=5)
+    return MD.score(m, t.where(F.col("split") == "test")).select("row_key", P.TARGET_COLUMN, "gbt_prediction")
+
+
+@register("ml_ensemble")
+def q_ml_ensemble(spark, sf_dir):
+    t = training_frame(spark, sf_dir)
+    train, test = t.where(F.col("split") == "train"), t.where(F.col("split") == "test")
+    rf = MD.fit_random_forest(train, trees=RUN_TREES, depth=RUN_DEPTH)
+    gbt = MD.fit_gbt(train, iters=20, depth=5)
+    both = MD.score(gbt, MD.score(rf, test))
+    return MD.ensemble(both).select("row_key", P.TARGET_COLUMN, "rf_prediction", "gbt_prediction",
+                                    "ensemble_prediction")
+
+
+@register("ml_cv")
+def q_ml_cv(spark, sf_dir):
+    t = training_frame(spark, sf_dir)
+    folds = PR.kfold_assign(t, "row_key")
+    return MD.cross_validate(folds, trees=RUN_TREES, depth=RUN_DEPTH)
+
+
+@register("ml_importance")
+def q_ml_importance(spark, sf_dir):
+    m, _ = rf_model(spark, sf_dir)
+    return MD.feature_importance(m, k=5)
+
+
+@register("ml_registry_roundtrip")
+def q_ml_registry(spark, sf_dir):
+    """S3 + S4 + M3: save the forest with its metadata, load the latest version, score the test rows."""
+    m, t = rf_model(spark, sf_dir)
+    base = scratch_path(spark, "models")
+    test = t.where(F.col("split") == "test")
+    metrics = EV.regression_metrics(MD.score(m, test), P.TARGET_COLUMN, "rf_prediction").first().asDict()
+    MD.save_model(m, base, {"features": P.FEATURE_COLUMNS, "target": P.TARGET_COLUMN, "metrics": metrics})
+    loaded, meta, version = MD.load_model(base)
+    return (MD.score(loaded, test).select("row_key", "rf_prediction")
+              .withColumn("model_version", F.lit(version)))
+
+
+@register("alloc_model")
+def q_alloc_model(spark, sf_dir):
+    m, _ = rf_model(spark, sf_dir)
+    st = states(spark, sf_dir)
+    st = PR.impute_median(st, P.FEATURE_COLUMNS)
+    return MD.model_search(st, m).select("state_id", "best_rbg_0", "best_rbg_1", "best_rbg_2", "best_score",
+                                         "current_score", "improvement")
+
+
+@register("report_json")
+def q_report_json(spark, sf_dir):
+    """Metrics and per-scenario improvement written as one JSON report, read back."""
+    from ..sources import sinks as SK
+    summary = AL.improvement_summary(exhaustive(spark, sf_dir))
+    metrics = EV.regression_metrics(scored_features(spark, sf_dir), P.TARGET_COLUMN, "heuristic")
+    path = scratch_path(spark, "report")
+    SK.write_report({"heuristic_metrics": metrics, "scenario_results": summary}, path)
+    return SK.read_report(spark, path)
