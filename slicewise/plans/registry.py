@@ -490,3 +490,21 @@ def q_report_json(spark, sf_dir):
     path = scratch_path(spark, "report")
     SK.write_report({"heuristic_metrics": metrics, "scenario_results": summary}, path)
     return SK.read_report(spark, path)
+
+
+# --- A7 / A12: genetic search --------------------------------------------------------------------
+
+from ..operators import genetic as GA  # noqa: E402
+
+
+@register("alloc_genetic")
+def q_alloc_genetic(spark, sf_dir):
+    return GA.genetic_search(states(spark, sf_dir).select("state_id", "sum_requested_prbs", "qos_score",
+                                                          "network_load"))
+
+
+@register("alloc_compare")
+def q_alloc_compare(spark, sf_dir):
+    st = states(spark, sf_dir)
+    ga = GA.genetic_search(st.select("state_id", "sum_requested_prbs", "qos_score", "network_load"))
+    return GA.compare_methods(AL.exhaustive_search(st), ga)
