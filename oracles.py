@@ -117,6 +117,8 @@ def oracle_sql() -> dict[str, str]:
     q.update(alloc_sql())
     q.update(prep_sql())
     q.update(log_sql())
+    q["stream_kpi_features"] = q["kpi_features"]
+    q.update(misc_sql())
     return q
 
 
@@ -372,3 +374,24 @@ def log_sql() -> dict[str, str]:
     q["log_request_rate"] = """SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS window_start, count(*) AS requests,
       CAST(count(*) AS DOUBLE) / 300e0 AS rate_per_s FROM events GROUP BY 1"""
     return q
+
+
+def misc_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    base = f"{BASE} SELECT {FEATURES_12}, allocation_efficiency FROM feat"
+    q["kpi_csv_roundtrip"] = base
+    q["custom_source_rename"] = base
+    ints = ["slice_id", "sched_policy_num", "allocated_rbgs", "sum_requested_prbs", "sum_granted_prbs",
+            "hour", "minute", "day_of_week"]
+    parts = []
+    for c in FT_COLS:
+        if c in ints:
+            parts.append(f"""SELECT '{c}' AS "column", 'int' AS old_type,
+              CASE WHEN min({c}) IS NULL THEN 'tinyint'
+                   WHEN min({c}) >= -128 AND max({c}) <= 127 THEN 'tinyint'
+                   WHEN min({c}) >= -32768 AND max({c}) <= 32767 THEN 'smallint'
+                   ELSE 'int' END AS new_type FROM feat""")
+        else:
+            parts.append(f"SELECT '{c}' AS \"column\", 'double' AS old_type, 'float' AS new_type")
+    q["compact_types"] = f"{BASE} " + " UNION ALL ".join(parts)
+    return q

@@ -508,3 +508,80 @@ def q_alloc_compare(spark, sf_dir):
     st = states(spark, sf_dir)
     ga = GA.genetic_search(st.select("state_id", "sum_requested_prbs", "qos_score", "network_load"))
     return GA.compare_methods(AL.exhaustive_search(st), ga)
+
+
+# --- streaming forms -----------------------------------------------------------------------------
+
+from ..streaming import streams as SS  # noqa: E402
+
+
+def _stage_parquet(df: DataFrame, name: str, parts: int = 8) -> str:
+    """Write a Spark-derived frame as a set of parquet files (a file-stream source)."""
+    path = scratch_path(df.sparkSession, name)
+    df.repartition(parts).write.parquet(path)
+    return path
+
+
+@register("stream_kpi_features")
+def q_stream_kpi_features(spark, sf_dir):
+    """F12 as a stream: KPI rows staged as files, read with readStream, same feature code."""
+    raw = kpi(spark, sf_dir)
+    src = _stage_parquet(raw, "kpi-stream-src")
+    stream = SS.kpi_feature_stream(spark, src, raw.schema, keep=(), max_files_per_trigger=2)
+    return spark.read.parquet(SS.run_available_now(stream, "kpi-features"))
+
+
+@register("stream_rate_limit")
+def q_stream_rate_limit(spark, sf_dir):
+    """L2 as a stream over the access log staged as files."""
+    log = access_log(spark, sf_dir).select("event_id", "client", "ts")
+    src = _stage_parquet(log.orderBy("ts"), "log-stream-src", parts=1)
+    stream = spark.readStream.schema(log.schema).parquet(src)
+    out = SS.rate_limit_stream(stream, limit=LOG_LIMIT, window_seconds=LOG_WINDOW_S, watermark="2 days")
+    return spark.read.parquet(SS.run_available_now(out, "rate-limit"))
+
+
+# --- D1, S1/S2, F13 --------------------------------------------------------------------------------
+
+from ..operators import privacy as DP  # noqa: E402
+from ..sources import kpi_csv as KC  # noqa: E402
+
+
+@register("dp_aggregate")
+def q_dp_aggregate(spark, sf_dir):
+    return DP.noisy_aggregate(access_log(spark, sf_dir), ["event_type"], "value", clamp=(0.0, 100.0))
+
+
+def _kpi_as_raw_csv_columns(raw: DataFrame) -> DataFrame:
+    inv = {v: k for k, v in P.RAW_COLUMN_NAMES.items()}
+    return raw.withColumnsRenamed(inv)
+
+
+@register("kpi_csv_roundtrip")
+def q_kpi_csv_roundtrip(spark, sf_dir):
+    """S1-style ingest at table scale: KPI rows written as CSV partitioned by policy and
+    configuration, read back with the declared schema, dimensions from the paths."""
+    raw = _kpi_as_raw_csv_columns(kpi(spark, sf_dir))
+    path = scratch_path(spark, "kpi-csv")
+    raw.write.partitionBy("sched_policy", "training_config").option("header", True).csv(path)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in raw.schema.fields
+                       if f.name not in ("sched_policy", "training_config"))
+    back = (spark.read.schema(schema + ", sched_policy string, training_config string")
+                 .option("header", True).option("basePath", path).csv(path))
+    return FE.kpi_features(KC.rename_raw(back))
+
+
+@register("custom_source_rename")
+def q_custom_source_rename(spark, sf_dir):
+    """A custom CSV with ``ue_count`` / ``slice_name`` columns goes through the same features."""
+    raw = kpi(spark, sf_dir).withColumnsRenamed({"num_ues": "ue_count", "slice_id": "slice_name"})
+    raw = _kpi_as_raw_csv_columns(raw)
+    path = scratch_path(spark, "custom-csv")
+    raw.write.option("header", True).csv(path)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in raw.schema.fields)
+    return FE.kpi_features(KC.read_custom_csv(spark, path, schema=schema))
+
+
+@register("compact_types")
+def q_compact_types(spark, sf_dir):
+    return FE.compact_types_report(feature_table(spark, sf_dir))
