@@ -132,7 +132,8 @@ def _outliers_sql(src: str, cols: list[str]) -> str:
     parts = []
     for c in cols:
         parts.append(f"""
-      SELECT '{c}' AS "column", q1, q3, lower, upper,
+      SELECT '{c}' AS "column", round(q1, 9) AS q1, round(q3, 9) AS q3, round(lower, 9) AS lower,
+        round(upper, 9) AS upper,
         (SELECT count(*) FROM {src} WHERE CAST({c} AS DOUBLE) < lower OR CAST({c} AS DOUBLE) > upper)
           AS n_outliers,
         (CAST((SELECT count(*) FROM {src} WHERE CAST({c} AS DOUBLE) < lower
@@ -229,7 +230,7 @@ def _h_sql(r: str) -> str:
 def alloc_sql(total: int = 17) -> dict[str, str]:
     q: dict[str, str] = {}
     st = f"""{BASE},
-      st AS (SELECT row_key AS state_id, sum_requested_prbs, qos_score, network_load,
+      st AS (SELECT row_number() OVER () AS sid, row_key AS state_id, sum_requested_prbs, qos_score, network_load,
                     throughput_efficiency, coalesce(CAST(num_ues AS DOUBLE), 5e0) AS num_ues_i
              FROM feat_all),
       stx AS (SELECT *, CASE WHEN num_ues_i <= 10 THEN 'low_load' WHEN num_ues_i <= 20 THEN 'medium_load'
@@ -239,7 +240,7 @@ def alloc_sql(total: int = 17) -> dict[str, str]:
       scored AS (SELECT s.*, c.a, c.b, c.c,
                    (({_h_sql('c.a')} + {_h_sql('c.b')}) + {_h_sql('c.c')}) / 3e0 AS score
                  FROM stx s, cands c),
-      best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY state_id ORDER BY score DESC, a, b) AS rn
+      best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY score DESC, a, b) AS rn
                               FROM scored) WHERE rn = 1),
       res AS (SELECT b.state_id, b.scenario, b.a AS best_rbg_0, b.b AS best_rbg_1, b.c AS best_rbg_2,
                      b.score AS best_score,
@@ -264,9 +265,9 @@ def alloc_sql(total: int = 17) -> dict[str, str]:
     q["alloc_exhaustive"] = f"{st} SELECT state_id, best_rbg_0, best_rbg_1, best_rbg_2, best_score FROM res"
     lin = "(CAST(c.a AS DOUBLE) * qos_score + CAST(c.b AS DOUBLE) * network_load) + CAST(c.c AS DOUBLE) * throughput_efficiency"
     q["alloc_linear"] = f"""{st},
-      ls AS (SELECT s.state_id, c.a, c.b, c.c, {lin} AS score FROM stx s, cands c)
+      ls AS (SELECT s.sid, s.state_id, c.a, c.b, c.c, {lin} AS score FROM stx s, cands c)
       SELECT state_id, a AS best_rbg_0, b AS best_rbg_1, c AS best_rbg_2, score AS best_score FROM
-        (SELECT *, row_number() OVER (PARTITION BY state_id ORDER BY score DESC, a, b) AS rn FROM ls) WHERE rn = 1"""
+        (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY score DESC, a, b) AS rn FROM ls) WHERE rn = 1"""
     q["alloc_improvement"] = f"""{st}
       SELECT state_id, scenario, best_score, current_score, best_score - current_score AS improvement FROM res"""
     q["alloc_improvement_summary"] = f"""{st}

@@ -60,7 +60,11 @@ def iqr_bounds(df: DataFrame, cols: list[str] | None = None, threshold: float =
 
 def outliers_iqr(df: DataFrame, cols: list[str] | None = None,
                  threshold: float = P.IQR_THRESHOLD) -> DataFrame:
-    """Q2: ``(column, q1, q3, lower, upper, n_outliers, outlier_pct)``; denominator = all rows."""
+    """Q2: ``(column, q1, q3, lower, upper, n_outliers, outlier_pct)``; denominator = all rows.
+
+    Counts use the exact bounds; the reported bounds are rounded to 9 decimals (SQL engines
+    interpolate quantiles with different last-bit rounding).
+    """
     cols = cols or numeric_columns(df)
     b = iqr_bounds(df, cols, threshold)
     aggs = [F.count(F.lit(1)).alias("rows")]
@@ -71,10 +75,10 @@ def outliers_iqr(df: DataFrame, cols: list[str] | None = None,
         aggs.append(F.count(F.when(cond, 1)).alias(f"n_outliers__{c}"))
     one = df.agg(*aggs)
     one = one.select(*[e for c in cols for e in (
-        dlit(b[c][0]).alias(f"q1__{c}") if b[c][0] is not None else F.lit(None).cast("double").alias(f"q1__{c}"),
-        dlit(b[c][1]).alias(f"q3__{c}") if b[c][1] is not None else F.lit(None).cast("double").alias(f"q3__{c}"),
-        dlit(b[c][2]).alias(f"lower__{c}") if b[c][2] is not None else F.lit(None).cast("double").alias(f"lower__{c}"),
-        dlit(b[c][3]).alias(f"upper__{c}") if b[c][3] is not None else F.lit(None).cast("double").alias(f"upper__{c}"),
+        F.round(dlit(b[c][0]), 9).alias(f"q1__{c}") if b[c][0] is not None else F.lit(None).cast("double").alias(f"q1__{c}"),
+        F.round(dlit(b[c][1]), 9).alias(f"q3__{c}") if b[c][1] is not None else F.lit(None).cast("double").alias(f"q3__{c}"),
+        F.round(dlit(b[c][2]), 9).alias(f"lower__{c}") if b[c][2] is not None else F.lit(None).cast("double").alias(f"lower__{c}"),
+        F.round(dlit(b[c][3]), 9).alias(f"upper__{c}") if b[c][3] is not None else F.lit(None).cast("double").alias(f"upper__{c}"),
         F.col(f"n_outliers__{c}").alias(f"n_outliers__{c}"),
         ((F.col(f"n_outliers__{c}").cast("double") / F.col("rows").cast("double")) * dlit(100.0))
         .alias(f"outlier_pct__{c}"))])
