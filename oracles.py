@@ -119,9 +119,33 @@ def oracle_sql() -> dict[str, str]:
     q.update(log_sql())
     q["stream_kpi_features"] = q["kpi_features"]
     q.update(misc_sql())
+    q["ml_verdict"] = _verdict_sql(q.pop("_alloc_base"))
     return q
 
 
+def _verdict_sql(alloc_base: str) -> str:
+    split = "CASE WHEN substr(md5(row_key || '|42'), 1, 4) < '3333' THEN 'test' ELSE 'train' END"
+    heur = clip_sql("(0.4e0 * prb_utilization + 0.4e0 * qos_score) + 0.2e0 * (1e0 - network_load)")
+    return f"""{alloc_base},
+      tsc AS (SELECT *, {heur} AS heuristic FROM feat WHERE {split} = 'test'),
+      m AS (SELECT {_metrics_sql('allocation_efficiency', 'heuristic')} FROM tsc),
+      e AS (SELECT round(avg(best_score), 6) AS avg_efficiency,
+                   round(avg(best_score - current_score), 6) AS avg_improvement FROM res),
+      k AS (SELECT m.r2, m.mae, e.avg_efficiency, e.avg_improvement,
+                   CAST((CASE WHEN m.r2 >= 0.7e0 THEN 1 ELSE 0 END) + (CASE WHEN m.mae <= 0.1e0 THEN 1 ELSE 0 END)
+                      + (CASE WHEN e.avg_efficiency >= 0.5e0 THEN 1 ELSE 0 END)
+                      + (CASE WHEN e.avg_improvement >= 0e0 THEN 1 ELSE 0 END) AS INTEGER) AS performance_score
+            FROM m, e)
+      SELECT r2, mae, avg_efficiency, avg_improvement, performance_score,
+        CASE WHEN r2 >= 0.7e0 AND mae <= 0.1e0 THEN 'EXCELLENT' WHEN r2 >= 0.7e0 OR mae <= 0.1e0 THEN 'GOOD'
+             ELSE 'NEEDS IMPROVEMENT' END AS model_verdict,
+        CASE WHEN avg_efficiency >= 0.5e0 AND avg_improvement >= 0e0 THEN 'EXCELLENT' ELSE 'GOOD' END
+          AS optimization_verdict,
+        CASE WHEN performance_score >= 3 THEN 'EXCELLENT' WHEN performance_score >= 2 THEN 'GOOD'
+             ELSE 'NEEDS IMPROVEMENT' END AS overall_status
+      FROM k"""
+
+
 FT_COLS = FEATURES_12.split(", ") + ["allocation_efficiency"]
 KPI_COLS = ["row_key", "ts_ms", "sched_policy", "training_config", "slice_id", "bs_id", "exp_id",
             "imsi", "tx_brate_dl_mbps", "sum_requested_prbs", "sum_granted_prbs",
@@ -280,6 +304,7 @@ def alloc_sql(total: int = 17) -> dict[str, str]:
         round(avg(best_score - current_score), 6) AS mean_improvement,
         round(CAST(floor((best_score - current_score) / 0.01e0) AS BIGINT) * 0.01e0, 6) AS bin_start
       FROM res GROUP BY 1"""
+    q["_alloc_base"] = st
     q["alloc_validate"] = f"""{st}
       SELECT count(*) AS n_checked,
         count(*) FILTER (WHERE best_rbg_0 + best_rbg_1 + best_rbg_2 <> {total} OR best_rbg_0 < 1

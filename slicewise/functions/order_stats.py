@@ -170,16 +170,24 @@ def _select_in_bands(df: DataFrame, vals: list[Column], todo: list[_Target]) ->
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = 10000,
                     max_band: int = 1_000_000) -> dict[str, list[float | None]]:
-    """Linear-interpolation quantiles of several columns (nulls ignored), exact."""
-    with cached(df.select(*[F.col(c).cast("double").alias(c) for c in cols])) as d:
-        return _exact_quantiles(d, cols, probs, accuracy, max_band)
+    """Linear-interpolation quantiles of several columns (nulls ignored), exact.
+
+    Inputs up to ``max_band`` values per column take two passes (counts, then the histogram
+    selection).  Larger ones add two passes per narrowing round, so only then is the projected
+    input persisted.
+    """
+    d = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    row = d.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    counts = [int(row[f"n{i}"]) for i in range(len(cols))]
+    if max(counts, default=0) > max_band:
+        with cached(d) as c:
+            return _exact_quantiles(c, cols, probs, accuracy, max_band, counts)
+    return _exact_quantiles(d, cols, probs, accuracy, max_band, counts)
 
 
 def _exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int,
-                     max_band: int) -> dict[str, list[float | None]]:
+                     max_band: int, counts: list[int]) -> dict[str, list[float | None]]:
     vals = [F.col(c) for c in cols]
-    row = df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(vals)]).first()
-    counts = [int(row[f"n{i}"]) for i in range(len(cols))]
     targets, spec = [], []
     for sid, c in enumerate(cols):
         n = counts[sid]

@@ -61,10 +61,10 @@ def failures_by_client(log: DataFrame) -> DataFrame:
 def active_requests(log: DataFrame, window_seconds: int = P.RATE_WINDOW_SECONDS,
                     now: Column | None = None) -> DataFrame:
     """Requests per client in the current window ``(now - window, now]``; ``now`` defaults to
-    the latest event of the log (a one-row aggregate joined as a broadcast)."""
+    the latest event of the log (one aggregate value, applied as a literal)."""
     if now is None:
-        latest = log.agg(F.max(_micros("ts")).alias("_now"))
-        x = log.crossJoin(F.broadcast(latest))
+        latest = log.agg(F.max(_micros("ts")).alias("_now")).first()["_now"]
+        x = log.withColumn("_now", F.lit(latest).cast("long"))
     else:
         x = log.withColumn("_now", F.unix_micros(now.cast("timestamp")))
     w_us = int(window_seconds) * 1_000_000

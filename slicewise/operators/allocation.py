@@ -45,6 +45,13 @@ def candidates(spark: SparkSession, total: int = P.TOTAL_RBGS) -> DataFrame:
     return base.select(idx.cast("int").alias("cand_id"), *[F.col(f"rbg_{i}").cast("int") for i in range(3)])
 
 
+def candidate_structs(total: int = P.TOTAL_RBGS):
+    """The candidates as a literal ``array<struct<cand_id, rbg_0, rbg_1, rbg_2>>``."""
+    return F.array(*[F.struct(F.lit(i).alias("cand_id"), F.lit(a).alias("rbg_0"),
+                              F.lit(b).alias("rbg_1"), F.lit(c).alias("rbg_2"))
+                     for i, (a, b, c) in enumerate(candidate_list(total))])
+
+
 # --- A2 / A3: slice features and the heuristic scorer -----------------------------------------
 
 def slice_prb_utilization(req: Column, rbgs: int | Column) -> Column:
@@ -72,12 +79,11 @@ def candidate_features(states: DataFrame, total: int = P.TOTAL_RBGS) -> DataFram
     """A2 long form: ``state x candidate x slice`` rows with ``slice_id``, ``allocated_rbgs`` and
     the slice ``prb_utilization``.
 
-    The candidate table is fixed by ``T`` (120 rows for T = 17), so it is broadcast; the states
-    side streams.  Use it to feed a row model; the search itself uses the wide form.
+    The candidates are fixed by ``T`` (120 for T = 17) and enter as a literal array that each
+    state row explodes (a generator, no join).  Use it to feed a row model; the search itself
+    uses the wide form.
     """
-    spark = states.sparkSession
-    cands = F.broadcast(candidates(spark, total))
-    x = states.crossJoin(cands)
+    x = states.select("*", F.inline(candidate_structs(total)))
     x = x.select("*", F.posexplode(F.array("rbg_0", "rbg_1", "rbg_2")).alias("slice_id_", "allocated_rbgs_"))
     x = x.drop(*[c for c in ("slice_id", "allocated_rbgs", "prb_utilization") if c in states.columns])
     return (x.withColumnRenamed("slice_id_", "slice_id")
@@ -124,15 +130,13 @@ def candidate_scores_long(states: DataFrame, total: int = P.TOTAL_RBGS,
                           load: str = "network_load") -> DataFrame:
     """A4 long form for reports: one ``(state, candidate)`` row with its heuristic score.
 
-    The candidate table is fixed by ``T`` and broadcast; each state row streams past it, and a
-    following aggregation by candidate is partial (map-side) first, so only
-    ``#candidates x #tasks`` partial rows are shuffled.
+    Each state row explodes the literal candidate array (a generator, no join), and a following
+    aggregation by candidate is partial (map-side) first, so only ``#candidates x #tasks``
+    partial rows are shuffled.
     """
-    cands = F.broadcast(candidates(states.sparkSession, total))
-
     def h(r):
         return heuristic_score(slice_prb_utilization(F.col(req), F.col(r)), F.col(qos), F.col(load))
-    x = states.crossJoin(cands)
+    x = states.select("*", F.inline(candidate_structs(total)))
     return x.withColumn("score", ((h("rbg_0") + h("rbg_1")) + h("rbg_2")) / dlit(3.0))
 
 

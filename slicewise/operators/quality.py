@@ -120,10 +120,10 @@ def duplicates(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def quality_score(df: DataFrame, threshold: float = P.QUALITY_THRESHOLD) -> DataFrame:
     """Q5 + Q6: ``max(0, 100 - avg missing% - avg outlier% - duplicate%)`` and the gate."""
     num = numeric_columns(df)
-    miss = missing_pct(df).agg(F.avg("missing_pct").alias("avg_missing_pct"))
-    outl = outliers_iqr(df, num).agg(F.avg("outlier_pct").alias("avg_outlier_pct"))
-    dup = duplicates(df)
-    s = miss.crossJoin(outl).crossJoin(dup)  # three one-row frames
+    am = missing_pct(df).agg(F.avg("missing_pct")).first()[0]
+    ao = outliers_iqr(df, num).agg(F.avg("outlier_pct")).first()[0]
+    s = duplicates(df).withColumns({"avg_missing_pct": F.lit(am).cast("double"),
+                                    "avg_outlier_pct": F.lit(ao).cast("double")})
     score = F.greatest(dlit(0.0), ((dlit(100.0) - F.col("avg_missing_pct")) - F.col("avg_outlier_pct"))
                        - F.col("duplicate_pct"))
     return s.select(
@@ -213,8 +213,6 @@ def training_checks(features: DataFrame, feature_cols: list[str] = P.FEATURE_COL
 
 def diff_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     """Q12: run-to-run equality as multiset differences (``exceptAll`` both ways)."""
-    left = a.exceptAll(b).agg(F.count(F.lit(1)).alias("left_only"))
-    right = b.exceptAll(a).agg(F.count(F.lit(1)).alias("right_only"))
-    return left.crossJoin(right).select(
-        "left_only", "right_only",
-        ((F.col("left_only") == 0) & (F.col("right_only") == 0)).alias("equal"))
+    left, right = a.exceptAll(b).count(), b.exceptAll(a).count()
+    return a.sparkSession.createDataFrame([(left, right, left == 0 and right == 0)],
+                                          "left_only long, right_only long, equal boolean")

@@ -326,8 +326,8 @@ def q_ml_metrics(spark, sf_dir):
 @register("ml_compare")
 def q_ml_compare(spark, sf_dir):
     f = scored_features(spark, sf_dir)
-    train_mean = f.where(F.col("split") == "train").agg(F.avg(P.TARGET_COLUMN).alias("train_mean"))
-    f = f.crossJoin(F.broadcast(train_mean))  # one-row frame
+    train_mean = f.where(F.col("split") == "train").agg(F.avg(P.TARGET_COLUMN)).first()[0]
+    f = f.withColumn("train_mean", F.lit(train_mean).cast("double"))
     return EV.compare_models(f, P.TARGET_COLUMN, {"heuristic": "heuristic", "train_mean": "train_mean"},
                              by=["split"])
 
