@@ -118,6 +118,7 @@ def oracle_sql() -> dict[str, str]:
     q.update(prep_sql())
     q.update(log_sql())
     q["stream_kpi_features"] = q["kpi_features"]
+    q["stream_request_rate"] = q["log_request_rate"]
     q.update(misc_sql())
     q["ml_verdict"] = _verdict_sql(q.pop("_alloc_base"))
     return q

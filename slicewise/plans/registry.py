@@ -585,3 +585,34 @@ def q_custom_source_rename(spark, sf_dir):
 @register("compact_types")
 def q_compact_types(spark, sf_dir):
     return FE.compact_types_report(feature_table(spark, sf_dir))
+
+
+def _time_slices(df: DataFrame, ts: str, slices: int = 4) -> list:
+    """Conditions splitting ``df`` into ``slices`` consecutive event-time ranges."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    cuts = df.agg(F.percentile_approx(us, [i / slices for i in range(1, slices)], 1000)).first()[0]
+    bounds = [None] + list(cuts) + [None]
+    conds = []
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (us > lo)
+        if hi is not None:
+            cond = cond & (us <= hi)
+        conds.append(cond)
+    return conds
+
+
+@register("stream_request_rate")
+def q_stream_request_rate(spark, sf_dir):
+    """L8 as a stream: the log arrives in four event-time slices; after each arrival the same
+    query (same checkpoint: state and watermark carry over) processes the new files.  5-minute
+    windows, 10-minute watermark, update mode; the result is every window's final count."""
+    log = access_log(spark, sf_dir).select("event_id", "client", "ts")
+    src = scratch_path(spark, "rate-stream-src")
+    base = scratch_path(spark, "stream-request-rate")
+    for cond in _time_slices(log, "ts"):
+        log.where(cond).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(log.schema).parquet(src)
+        SS.run_update_mode(SS.request_rate_stream(stream), base)
+    return SS.final_updates(spark, base, ["window_start"])

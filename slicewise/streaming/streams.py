@@ -107,3 +107,29 @@ def run_available_now(stream: DataFrame, name: str, fmt: str = "parquet",
                .trigger(availableNow=True).start())
     q.awaitTermination()
     return os.path.join(base, "out")
+
+
+def run_update_mode(stream: DataFrame, base: str) -> None:
+    """Run an aggregating stream in update mode over the data available now.
+
+    Each micro-batch's changed rows are appended (tagged with the batch id) to ``base/updates``;
+    the checkpoint is ``base/_checkpoint``, so calling this again after more input arrived
+    continues from the saved state and watermark.  Unlike append mode this also yields the
+    windows the watermark has not closed yet.
+    """
+    out = os.path.join(base, "updates")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("append").parquet(out)
+
+    q = (stream.writeStream.outputMode("update").foreachBatch(sink)
+               .option("checkpointLocation", os.path.join(base, "_checkpoint"))
+               .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def final_updates(spark: SparkSession, base: str, keys: list[str]) -> DataFrame:
+    """Per key, the row of the latest micro-batch written by ``run_update_mode``."""
+    upd = spark.read.parquet(os.path.join(base, "updates"))
+    latest = upd.groupBy(*keys).agg(F.max("_batch").alias("_batch"))
+    return upd.join(latest, keys + ["_batch"]).drop("_batch")
