@@ -82,36 +82,55 @@ def stratified_split(df: DataFrame, stratum: str, key: str = "row_key", seed: in
     """Per stratum, the ``floor(f * n_s)`` rows with the smallest seeded hash are ``test``.
 
     Each stratum's cut-off hash comes from exact order statistics (one target per stratum), so
-    a stratum holding a third of all rows is never gathered into one task.
+    a stratum holding a third of all rows is never gathered into one task.  Tie counts at the
+    cuts come from one grouped aggregation, and the split itself is an equi-join against the
+    small ``(stratum, cut)`` table (broadcast: one row per stratum).
     """
+    spark = df.sparkSession
     h = _hash52(F.col(key), seed)
     with cached(df.select(F.col(stratum).alias("_s"), h.alias("_h"), F.col(key).alias("_k"))) as d:
         sizes = d.groupBy("_s").count().collect()  # one row per stratum
         strata = [r["_s"] for r in sizes]
-        vals = [F.when(F.col("_s").eqNullSafe(F.lit(s)), F.col("_h")) for s in strata]
         ks = [math.floor(test_fraction * r["count"]) for r in sizes]
-        targets = [(i, k - 1) for i, k in enumerate(ks)]
+        vals = [F.when(F.col("_s").eqNullSafe(F.lit(s)), F.col("_h")) for s in strata]
+        targets = [(i, max(k, 1) - 1) for i, k in enumerate(ks)]
         cuts = kth_values(d, vals, targets, counts=[r["count"] for r in sizes]) if targets else []
-        # 52-bit ties at a cut are resolved by the full hash, then the key (tiny tie sets)
+        rows = [(i, s, int(c) if (k > 0 and c is not None) else -1, k)
+                for i, (s, k, c) in enumerate(zip(strata, ks, cuts))]
+        schema = f"_sid int, _s {df.schema[stratum].dataType.simpleString()}, _cut long, _k_test long"
+        cut_df = spark.createDataFrame(rows, schema)
+        # rows below / at each cut, all strata in one aggregation
+        j = d.join(F.broadcast(cut_df), d["_s"].eqNullSafe(cut_df["_s"])).drop(cut_df["_s"])
+        counts = (j.groupBy("_sid").agg(F.count(F.when(F.col("_h") < F.col("_cut"), 1)).alias("_below"),
+                                        F.count(F.when(F.col("_h") == F.col("_cut"), 1)).alias("_at"))
+                   .collect())
         tie_keys = []
-        for s, k, c in zip(strata, ks, cuts):
-            if k <= 0 or c is None:
+        by_sid = {r["_sid"]: r for r in counts}
+        for sid, s, cut, k in rows:
+            r = by_sid.get(sid)
+            if cut < 0 or r is None or r["_at"] <= k - r["_below"]:
                 continue
-            c = int(c)
-            sel = d.where(F.col("_s").eqNullSafe(F.lit(s)))
-            below = sel.where(F.col("_h") < c).count()
-            ties = sel.where(F.col("_h") == c)
-            if ties.count() > k - below:
-                full = seeded_hash_hex(F.col("_k"), seed)
-                tie_keys += [r["_k"] for r in ties.orderBy(full, "_k").limit(k - below).collect()]
-    cond = F.lit(False)
-    for s, k, c in zip(strata, ks, cuts):
-        if k <= 0 or c is None:
-            continue
-        cond = cond | (F.col(stratum).eqNullSafe(F.lit(s)) & (h < int(c)))
-        cond = cond | (F.col(stratum).eqNullSafe(F.lit(s)) & (h == int(c)) &
-                       (F.col(key).isin(tie_keys) if tie_keys else F.lit(True)))
-    return df.withColumn("split", F.when(cond, "test").otherwise("train"))
+            # 52-bit tie at this cut: break it by the full hash, then the key (tiny tie set)
+            full = seeded_hash_hex(F.col("_k"), seed)
+            ties = d.where(F.col("_s").eqNullSafe(F.lit(s)) & (F.col("_h") == cut))
+            tie_keys += [(sid, x["_k"]) for x in ties.orderBy(full, "_k").limit(k - r["_below"]).collect()]
+    cut_b = F.broadcast(cut_df.select(F.col("_s").alias("_cs"), "_sid", "_cut"))
+    out = df.join(cut_b, F.col(stratum).eqNullSafe(F.col("_cs")), "left")
+    test = F.col("_h") < F.col("_cut")
+    if tie_keys:
+        tk = F.broadcast(spark.createDataFrame(tie_keys, f"_tsid int, _tk {df.schema[key].dataType.simpleString()}"))
+        out = out.join(tk, (F.col("_sid") == F.col("_tsid")) & (F.col(key) == F.col("_tk")), "left")
+        tie_sids = sorted({sid for sid, _ in tie_keys})
+        # strata with a tie at the cut take only their chosen tied keys; the others all at-cut rows
+        test = test | ((F.col("_h") == F.col("_cut")) &
+                       (~F.col("_sid").isin(tie_sids) | F.col("_tk").isNotNull()))
+        drop = ["_tsid", "_tk"]
+    else:
+        test = test | (F.col("_h") == F.col("_cut"))
+        drop = []
+    out = out.withColumn("_h", h)
+    return (out.withColumn("split", F.when(F.coalesce(test, F.lit(False)), "test").otherwise("train"))
+               .drop("_cs", "_sid", "_cut", "_h", *drop))
 
 
 def impute_median(df: DataFrame, cols: list[str], fit: DataFrame | None = None) -> DataFrame:

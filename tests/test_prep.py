@@ -67,3 +67,20 @@ def test_standardize_zero_std_is_one(spark):
     out = PR.standardize(df, ["a", "b"]).orderBy("b").collect()
     assert [r.a for r in out] == [0.0, 0.0, 0.0]
     assert [r.b for r in out] == [-1.0, 1.0, 3.0]
+
+
+def test_tie_breaking_at_the_cut(spark, sf, monkeypatch):
+    """With a 4-bit hash prefix almost every row ties; the cut must still be exact, broken by
+    the full hash and then the key."""
+    from conftest import unique_by
+    from slicewise.functions.columns import seeded_hash_hex
+    monkeypatch.setattr(PR, "_hash52", lambda key, seed: F.conv(F.substring(seeded_hash_hex(key, seed), 1, 1),
+                                                                 16, 10).cast("long"))
+    f = unique_by(R.features(spark, sf), "row_key")
+    keys = [r.row_key for r in f.select("row_key").collect()]
+    got = sorted(r.row_key for r in PR.sample_n(f, 777).select("row_key").collect())
+    assert got == sorted(sorted(keys, key=lambda k: (_h(k), k))[:777])
+    pdf = PR.stratified_split(f, "slice_id").select("row_key", "slice_id", "split").toPandas()
+    for sid, g in pdf.groupby("slice_id"):
+        k = int(0.2 * len(g))
+        assert set(g[g.split == "test"].row_key) == set(sorted(g.row_key, key=lambda x: (_h(x), x))[:k])
