@@ -35,14 +35,15 @@ def trailing_count(df: DataFrame, key: str = "client", ts: str = "ts",
     b_us = w_us * max(1, int(bucket_factor))
     us = _micros(ts)
     base = df.withColumn("_us", us).withColumn("_b", F.floor(F.col("_us") / F.lit(b_us)).cast("long"))
-    own = base.withColumn("_q", F.lit(True))
-    # events within `window` of the next bucket's start are also needed there (as context only)
-    carry = (base.where(F.col("_us") > (F.col("_b") + 1) * F.lit(b_us) - F.lit(w_us))
-                 .withColumn("_b", F.col("_b") + 1).withColumn("_q", F.lit(False)))
-    both = own.unionByName(carry)
-    w = Window.partitionBy(key, "_b").orderBy("_us").rangeBetween(-(w_us - 1), 0)
+    # one scan: every event in its own bucket (a query row), and events within `window` of the
+    # next bucket's start once more in that bucket (context only)
+    own = F.struct(F.col("_b").alias("_pb"), F.lit(True).alias("_q"))
+    nxt = F.struct((F.col("_b") + 1).alias("_pb"), F.lit(False).alias("_q"))
+    near_end = F.col("_us") > (F.col("_b") + 1) * F.lit(b_us) - F.lit(w_us)
+    both = base.select("*", F.inline(F.when(near_end, F.array(own, nxt)).otherwise(F.array(own))))
+    w = Window.partitionBy(key, "_pb").orderBy("_us").rangeBetween(-(w_us - 1), 0)
     return (both.withColumn(out, F.count(F.lit(1)).over(w))
-                .where(F.col("_q")).drop("_us", "_b", "_q"))
+                .where(F.col("_q")).drop("_us", "_b", "_pb", "_q"))
 
 
 def bruteforce_flags(log: DataFrame, window_seconds: int = P.BRUTEFORCE_WINDOW_SECONDS,
