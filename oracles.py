@@ -398,6 +398,9 @@ def log_sql() -> dict[str, str]:
       SELECT source, id, length, status,
         CASE WHEN status = 'accepted' THEN regexp_replace(text, '^{cls}+|{cls}+$', '', 'g')
              WHEN status = 'empty' THEN text END AS clean_text FROM st"""
+    q["log_request_rate_sliding"] = """SELECT time_bucket(INTERVAL 1 MINUTE, ts) - to_minutes(k) AS window_start,
+      count(*) AS requests, CAST(count(*) AS DOUBLE) / 300e0 AS rate_per_s
+      FROM events, range(0, 5) r(k) GROUP BY 1"""
     q["log_request_rate"] = """SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS window_start, count(*) AS requests,
       CAST(count(*) AS DOUBLE) / 300e0 AS rate_per_s FROM events GROUP BY 1"""
     return q

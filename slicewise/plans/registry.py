@@ -616,3 +616,9 @@ def q_stream_request_rate(spark, sf_dir):
         stream = spark.readStream.schema(log.schema).parquet(src)
         SS.run_update_mode(SS.request_rate_stream(stream), base)
     return SS.final_updates(spark, base, ["window_start"])
+
+
+@register("log_request_rate_sliding")
+def q_log_request_rate_sliding(spark, sf_dir):
+    """L8, sliding option: 5-minute windows every minute (each request counts in 5 windows)."""
+    return LG.request_rate(access_log(spark, sf_dir), minutes=5, slide_minutes=1)
