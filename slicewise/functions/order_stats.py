@@ -172,19 +172,106 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy
                     max_band: int = 1_000_000) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles of several columns (nulls ignored), exact.
 
-    Inputs up to ``max_band`` values per column take two passes (counts, then the histogram
-    selection).  Larger ones add two passes per narrowing round, so only then is the projected
+    Usually two passes: counts and ``percentile_approx`` brackets for every column in one
+    aggregation, then one pass that ranks only the values inside the brackets
+    (``_rank_in_brackets``).  Inputs so large that a bracket would still hold more than
+    ``max_band`` values first narrow their brackets (``kth_values``); only then is the projected
     input persisted.
     """
     d = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    row = d.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    d_ = 2.0 / accuracy
+    fr = sorted({min(1.0, max(0.0, p + e)) for p in probs for e in (-d_, d_)})
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [F.count(c).alias(f"n{i}"), F.percentile_approx(c, fr, accuracy).alias(f"a{i}")]
+    row = d.agg(*aggs).first()
     counts = [int(row[f"n{i}"]) for i in range(len(cols))]
+    if all(n * 4.0 * d_ + 2 <= max_band for n in counts):
+        brackets = {}
+        for i, c in enumerate(cols):
+            a = row[f"a{i}"]
+            for p in probs:
+                if counts[i]:
+                    lo = a[fr.index(min(1.0, max(0.0, p - d_)))]
+                    hi = a[fr.index(min(1.0, max(0.0, p + d_)))]
+                    brackets[(i, p)] = (float(lo), float(hi))
+        got = _rank_in_brackets(d, cols, probs, counts, brackets)
+        if got is not None:
+            return got
     if max(counts, default=0) > max_band:
         with cached(d) as c:
             return _exact_quantiles(c, cols, probs, accuracy, max_band, counts)
     return _exact_quantiles(d, cols, probs, accuracy, max_band, counts)
 
 
+def _rank_in_brackets(df: DataFrame, cols: list[str], probs: list[float], counts: list[int],
+                      brackets: dict) -> dict[str, list[float | None]] | None:
+    """One pass: exact values of the ranks each quantile needs, from the bracketed values only.
+
+    Per column, the merged brackets split the line into regions (below the first bracket, in
+    it, between brackets, ...).  Every row adds one entry ``(column, region, value-if-in-a-
+    bracket)``; the aggregation collapses everything outside the brackets to one count per
+    region, and a running count per column ordered by ``(region, value)`` is then the exact
+    number of values <= each bracketed value.  Returns ``None`` if a needed rank fell outside its
+    bracket (the approximation missed; the caller takes the narrowing path).
+    """
+    spark = df.sparkSession
+    if not brackets:
+        return {c: [None] * len(probs) for c in cols}
+    need = []   # (col index, p, rank)
+    bands: dict[int, list[list[float]]] = {}
+    for (i, p), (lo, hi) in brackets.items():
+        h = (counts[i] - 1) * p
+        need += [(i, p, math.floor(h)), (i, p, math.ceil(h))]
+        bands.setdefault(i, []).append([lo, hi])
+    regions = {}
+    for i, bl in bands.items():
+        bl.sort()
+        merged = []
+        for lo, hi in bl:
+            if merged and lo <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], hi)
+            else:
+                merged.append([lo, hi])
+        v = F.col(cols[i])
+        region = None
+        for j, (lo, hi) in enumerate(merged):
+            region = (F.when(v < F.lit(lo), 2 * j) if region is None else region.when(v < F.lit(lo), 2 * j))
+            region = region.when(v <= F.lit(hi), 2 * j + 1)
+        # nulls land in the last region (after every bracket), where they never count
+        regions[i] = region.otherwise(2 * len(merged))
+    # regions first, in their own projection (each CASE evaluated once), then one entry per
+    # row and column
+    pre = df.select(*[F.col(cols[i]).alias(f"_v{i}") for i in regions],
+                    *[r.alias(f"_r{i}") for i, r in regions.items()])
+    items = [F.struct(F.lit(i).alias("c"), F.col(f"_r{i}").alias("r"),
+                      F.when(F.col(f"_r{i}") % 2 == 1, F.col(f"_v{i}")).alias("x")) for i in regions]
+    long = pre.select(F.inline(F.array(*items)))
+    hist = long.groupBy("c", "r", "x").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("c").orderBy("r", "x").rowsBetween(Window.unboundedPreceding, 0)
+    hist = hist.withColumn("cum", F.sum("n").over(w)).where(F.col("r") % 2 == 1)
+    want = spark.createDataFrame([(i, int(k)) for i, _, k in need], "c int, k long").distinct()
+    picked = (hist.join(F.broadcast(want), "c").where(F.col("cum") > F.col("k"))
+                  .groupBy("c", "k").agg(F.min(F.struct("r", "x", "cum", "n")).alias("m")))
+    got = {}
+    for r in picked.collect():
+        got[(r["c"], r["k"])] = r["m"]
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
+    for i, c in enumerate(cols):
+        if not counts[i]:
+            continue
+        for pi, p in enumerate(probs):
+            h = (counts[i] - 1) * p
+            k0, k1 = math.floor(h), math.ceil(h)
+            a, b = got.get((i, k0)), got.get((i, k1))
+            # the picked value holds the rank only if fewer than k+1 values lie before it;
+            # otherwise the rank fell below its bracket (the approximation missed)
+            if a is None or b is None or a["cum"] - a["n"] > k0 or b["cum"] - b["n"] > k1:
+                return None
+            out[c][pi] = a["x"] + (b["x"] - a["x"]) * (h - k0)
+    return out
+
+
 def _exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int,
                      max_band: int, counts: list[int]) -> dict[str, list[float | None]]:
     vals = [F.col(c) for c in cols]
