@@ -153,7 +153,7 @@ def kpi_features(raw: DataFrame, keep: list[str] | None = None, configs: dict |
                .select(*cols))
 
 
-def efficiency_by_policy_slice(features: DataFrame, raw_policy: DataFrame | None = None) -> DataFrame:
+def efficiency_by_policy_slice(features: DataFrame) -> DataFrame:
     """Mean target per scheduling-policy code and slice (flagship report)."""
     return (features.groupBy("sched_policy_num", "slice_id")
                     .agg(F.count(F.lit(1)).alias("n_rows"),
@@ -172,7 +172,6 @@ def compact_types(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     int_types = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
     ints = [f.name for f in df.schema.fields if isinstance(f.dataType, int_types)]
     report_rows = []
-    casts = {}
     if ints:
         aggs = []
         for c in ints:
@@ -187,7 +186,6 @@ def compact_types(df: DataFrame) -> tuple[DataFrame, DataFrame]:
             new = "float"
         else:
             new = old
-        casts[f.name] = new
         report_rows.append((f.name, old, new))
     out = df.select(*[F.col(c).cast(t).alias(c) if t != o else F.col(c)
                       for (c, o, t) in report_rows])

@@ -505,9 +505,9 @@ def q_alloc_genetic(spark, sf_dir):
 
 @register("alloc_compare")
 def q_alloc_compare(spark, sf_dir):
-    st = states(spark, sf_dir)
-    ga = GA.genetic_search(st.select("state_id", "sum_requested_prbs", "qos_score", "network_load"))
-    return GA.compare_methods(AL.exhaustive_search(st), ga)
+    st = states(spark, sf_dir).select("state_id", "scenario", "sum_requested_prbs", "qos_score",
+                                      "network_load")
+    return GA.compare_methods(GA.genetic_search(st, keep=["scenario"], with_exhaustive=True))
 
 
 # --- streaming forms -----------------------------------------------------------------------------
