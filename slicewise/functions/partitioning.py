@@ -15,6 +15,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     On a cluster reading many files the input already has more partitions than cores and this
     is a no-op, so it never adds a shuffle at scale.
     """
+    if df.isStreaming:  # a stream's partitioning is set per micro-batch by its source
+        return df
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:

@@ -98,3 +98,27 @@ def test_laplace_noise_statistics(spark):
     again = DP.noisy_aggregate(df.repartition(3), ["g"], "v", epsilon=0.5, clamp=(0.0, 1.0)).toPandas()
     pd.testing.assert_frame_equal(out.sort_values("g").reset_index(drop=True),
                                   again.sort_values("g").reset_index(drop=True))
+
+
+def test_compact_types_frame(spark, sf):
+    out, report = R.FE.compact_types(R.feature_table(spark, sf))
+    types = dict(out.dtypes)
+    assert types["hour"] == "tinyint" and types["qos_score"] == "float"
+    rep = {r.column: (r.old_type, r.new_type) for r in report.collect()}
+    assert rep["slice_id"] == ("int", "tinyint")
+    assert {r.column: r.new_type for r in R.FE.compact_types_report(R.feature_table(spark, sf)).collect()} == \
+        {k: v[1] for k, v in rep.items()}
+
+
+def test_search_on_a_stream_of_states(spark, sf):
+    from slicewise.operators import allocation as AL
+    st = R.states(spark, sf).select("state_id", "sum_requested_prbs", "qos_score", "network_load")
+    src = R._stage_parquet(st, "states-stream-src", parts=2)
+    stream = spark.readStream.schema(st.schema).parquet(src)
+    res = AL.exhaustive_search(stream)
+    q = (res.writeStream.format("memory").queryName("stream_search_test").outputMode("append")
+            .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.table("stream_search_test").select("state_id", "best_rbg_0", "best_rbg_1", "best_rbg_2", "best_score")
+    want = AL.exhaustive_search(st).select("state_id", "best_rbg_0", "best_rbg_1", "best_rbg_2", "best_score")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
