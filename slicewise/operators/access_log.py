@@ -120,9 +120,12 @@ def request_rate(log: DataFrame, minutes: int = 5, slide_minutes: int | None = N
 # --- L2: rate limiter (recursive: the decision depends on earlier decisions) -------------------
 
 RATE_SCHEMA = "event_id long, client long, ts timestamp_ntz, accepted boolean"
+_PASS_SCHEMA = ("kind string, client long, _b long, event_id long, ts timestamp_ntz, "
+                "accepted boolean, _us long")
 
 
 def _limiter(limit: int, window_us: int):
+    """Sequential limiter over rows sorted by (client, time, id); per-client state <= limit."""
     def run(batches):
         state: dict = {}
         for pdf in batches:
@@ -145,16 +148,127 @@ def _limiter(limit: int, window_us: int):
     return run
 
 
-def rate_limit(log: DataFrame, limit: int = P.RATE_LIMIT,
-               window_seconds: int = P.RATE_WINDOW_SECONDS) -> DataFrame:
+def _bucket_pass(limit: int, window_us: int, bucket_us: int):
+    """One pass over rows sorted by (client, bucket, kind, time, id): ``kind`` 0 rows are the
+    accepted times carried in from the previous bucket, ``kind`` 1 rows are the bucket's events.
+    Emits every event's decision and, per bucket, the accepted times that reach into the next
+    bucket (at most ``limit``)."""
+    def run(batches):
+        cur, q, mine = None, deque(), []
+        carry: list = []
+
+        def close(key):
+            if key is None:
+                return
+            end = (key[1] + 1) * bucket_us
+            for t in mine:
+                if t > end - window_us:
+                    carry.append((key[0], key[1] + 1, int(t)))
+        for pdf in batches:
+            ev, dec = [], []
+            for kind, c, b, t, eid, ts in zip(pdf["_kind"].to_numpy(), pdf["client"].to_numpy(),
+                                              pdf["_b"].to_numpy(), pdf["_us"].to_numpy(),
+                                              pdf["event_id"].to_numpy(), pdf["ts"]):
+                key = (c, b)
+                if key != cur:
+                    close(cur)
+                    cur, q, mine = key, deque(), []
+                if kind == 0:
+                    q.append(t)
+                    continue
+                while q and not (t - q[0] < window_us):
+                    q.popleft()
+                ok = len(q) < limit
+                if ok:
+                    q.append(t)
+                    mine.append(t)
+                ev.append((c, b, eid, ts, t))
+                dec.append(ok)
+            if ev:
+                e = pd.DataFrame(ev, columns=["client", "_b", "event_id", "ts", "_us"])
+                e["accepted"] = dec
+                e["kind"] = "e"
+                yield e[["kind", "client", "_b", "event_id", "ts", "accepted", "_us"]]
+            if carry:
+                yield _carry_frame(carry)
+                carry.clear()
+        close(cur)
+        if carry:
+            yield _carry_frame(carry)
+    return run
+
+
+def _carry_frame(carry) -> pd.DataFrame:
+    c = pd.DataFrame(carry, columns=["client", "_b", "_us"])
+    c["kind"], c["event_id"], c["ts"], c["accepted"] = "s", None, pd.NaT, None
+    return c[["kind", "client", "_b", "event_id", "ts", "accepted", "_us"]]
+
+
+def rate_limit(log: DataFrame, limit: int = P.RATE_LIMIT, window_seconds: int = P.RATE_WINDOW_SECONDS,
+               hot_client_rows: int = 5_000_000, bucket_factor: int = 4) -> DataFrame:
     """L2: a request is rejected when the client already has ``limit`` *accepted* requests in
     the trailing window; rejected requests do not count.
 
-    The recursion makes this a sequential scan per client: rows are hash-partitioned by client
-    and sorted by time within partitions, then one Arrow-batched pass keeps, per client, only
-    the accepted timestamps inside the window (at most ``limit``), so memory is bounded by
-    ``limit`` per client whatever the client's volume.  Ties in time are broken by event id.
+    One aggregation finds the busiest client.  If it has at most ``hot_client_rows`` events, one
+    sequential pass per client is cheapest (``rate_limit_sequential``); otherwise the buckets of
+    each client are decided in parallel (``rate_limit_bucketed``).  Both are exact.
+    """
+    busiest = log.groupBy("client").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if busiest is None or busiest <= hot_client_rows:
+        return rate_limit_sequential(log, limit, window_seconds)
+    return rate_limit_bucketed(log, limit, window_seconds, bucket_factor)
+
+
+def rate_limit_bucketed(log: DataFrame, limit: int = P.RATE_LIMIT,
+                        window_seconds: int = P.RATE_WINDOW_SECONDS,
+                        bucket_factor: int = 4, max_iterations: int = 16) -> DataFrame:
+    """L2 decided per ``(client, time bucket)`` in parallel: a request is rejected when the client already has ``limit`` *accepted* requests in
+    the trailing window; rejected requests do not count.  Ties in time are broken by event id.
+
+    The rule is recursive, but a decision only depends on accepted requests less than one
+    window old.  With time buckets at least one window long, a bucket depends on its
+    predecessor only through the accepted times that reach into it (at most ``limit``).  So the
+    buckets are processed in parallel, partitioned by ``(client, bucket)``: the first pass
+    assumes nothing is carried in, every further pass feeds each bucket the carry computed by
+    the previous pass, until the carries stop changing.  At that fixed point every bucket saw
+    its true carry (by induction from each client's first bucket), so the result is exact; a
+    busy client is spread over its buckets instead of one task.  If ``max_iterations`` passes do
+    not converge, the exact sequential pass per client (bounded state, one task per client)
+    decides instead.  Each pass is written to the shared checkpoint folder, cutting lineage.
     """
+    from ..session import scratch_path
+    spark = log.sparkSession
+    w_us = int(window_seconds) * 1_000_000
+    b_us = w_us * max(1, int(bucket_factor))
+    base = log.select("event_id", "client", "ts", _micros("ts").alias("_us"))
+    base = base.withColumn("_b", F.floor(F.col("_us") / F.lit(b_us)).cast("long"))
+    events = base.select(F.lit(1).alias("_kind"), "client", "_b", "_us", "event_id", "ts")
+    fn = _bucket_pass(int(limit), w_us, b_us)
+    carry = None
+    prev_path = None
+    for _ in range(max_iterations):
+        rows = events
+        if carry is not None:
+            rows = rows.unionByName(carry.select(
+                F.lit(0).alias("_kind"), "client", "_b", "_us",
+                F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("timestamp_ntz").alias("ts")))
+        out = (rows.repartition("client", "_b").sortWithinPartitions("client", "_b", "_kind", "_us", "event_id")
+                   .mapInPandas(fn, _PASS_SCHEMA))
+        path = scratch_path(spark, "rate-limit-pass")
+        out.write.parquet(path)
+        res = spark.read.parquet(path)
+        new_carry = res.where(F.col("kind") == "s").select("client", "_b", "_us")
+        if carry is not None and new_carry.exceptAll(carry).count() == 0 \
+                and carry.exceptAll(new_carry).count() == 0:
+            return res.where(F.col("kind") == "e").select("event_id", "client", "ts", "accepted")
+        carry, prev_path = new_carry, path
+    return rate_limit_sequential(log, limit, window_seconds)
+
+
+def rate_limit_sequential(log: DataFrame, limit: int = P.RATE_LIMIT,
+                          window_seconds: int = P.RATE_WINDOW_SECONDS) -> DataFrame:
+    """L2 as one sequential pass per client: hash-partitioned by client, sorted by time within
+    partitions, one Arrow-batched pass keeping at most ``limit`` accepted times per client."""
     x = (log.select("event_id", "client", "ts", _micros("ts").alias("_us"))
             .repartition("client").sortWithinPartitions("client", "_us", "event_id"))
     return x.mapInPandas(_limiter(int(limit), int(window_seconds) * 1_000_000), RATE_SCHEMA)

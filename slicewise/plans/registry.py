@@ -364,6 +364,12 @@ def q_log_rate_limit(spark, sf_dir):
     return LG.rate_limit(access_log(spark, sf_dir), limit=LOG_LIMIT, window_seconds=LOG_WINDOW_S)
 
 
+@register("log_rate_limit_bucketed")
+def q_log_rate_limit_bucketed(spark, sf_dir):
+    """L2 with every client's time buckets decided in parallel (the hot-client path)."""
+    return LG.rate_limit_bucketed(access_log(spark, sf_dir), limit=LOG_LIMIT, window_seconds=LOG_WINDOW_S)
+
+
 @register("log_bruteforce")
 def q_log_bruteforce(spark, sf_dir):
     return (LG.bruteforce_flags(access_log(spark, sf_dir), LOG_WINDOW_S, LOG_THRESHOLD)

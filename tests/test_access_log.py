@@ -42,14 +42,23 @@ def _limiter(pdf, limit, w_us):
     return out
 
 
-def test_rate_limit_brute_force(spark, sf):
+@pytest.mark.parametrize("window_s,limit,bucket_factor", [(86400, 2, 4), (6 * 3600, 1, 1), (3 * 86400, 3, 1)])
+def test_rate_limit_brute_force(spark, sf, window_s, limit, bucket_factor):
     log = _log(spark, sf)
-    got = {r.event_id: r.accepted for r in LG.rate_limit(log, limit=2, window_seconds=86400).collect()}
     pdf = log.select("event_id", "client", "ts").toPandas()
     pdf["us"] = pdf.ts.astype("int64") // 1000
-    want = _limiter(pdf, 2, 86400 * 1_000_000)
+    want = _limiter(pdf, limit, window_s * 1_000_000)
+    got = {r.event_id: r.accepted for r in
+           LG.rate_limit_bucketed(log, limit=limit, window_seconds=window_s,
+                                  bucket_factor=bucket_factor).collect()}
     assert got == want
+    adaptive = {r.event_id: r.accepted for r in
+                LG.rate_limit(log, limit=limit, window_seconds=window_s, hot_client_rows=5).collect()}
+    assert adaptive == want
     assert not all(got.values())
+    seq = {r.event_id: r.accepted for r in
+           LG.rate_limit_sequential(log, limit=limit, window_seconds=window_s).collect()}
+    assert seq == want
 
 
 def test_screen_text_cases(spark):
