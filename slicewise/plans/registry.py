@@ -8,9 +8,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .. import params as P
+from ..operators import access_log as LG
+from ..operators import allocation as AL
+from ..operators import evaluation as EV
 from ..operators import features as FE
+from ..operators import genetic as GA
+from ..operators import models as MD
+from ..operators import prep as PR
+from ..operators import privacy as DP
+from ..operators import quality as QA
+from ..session import scratch_path
+from ..sources import kpi_csv as KC
 from ..sources import tables as TB
+from ..streaming import streams as SS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -92,8 +105,6 @@ def q_feat_target(spark, sf_dir):
 
 # --- Q: data quality ---------------------------------------------------------------------------
 
-from ..operators import quality as QA  # noqa: E402
-from .. import params as P  # noqa: E402
 
 FEATURE_TABLE_COLS = P.FEATURE_COLUMNS + [P.TARGET_COLUMN]
 
@@ -174,10 +185,6 @@ def q_dq_diff_runs(spark, sf_dir):
 
 # --- A: allocation search ----------------------------------------------------------------------
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from ..operators import allocation as AL  # noqa: E402
-
 
 def states(spark, sf_dir) -> DataFrame:
     """One network state per KPI row: its features, UE count (imputed) and load scenario."""
@@ -254,8 +261,6 @@ def q_alloc_validate(spark, sf_dir):
 
 # --- P: training-set preparation, M5/M6/M9 metrics ---------------------------------------------
 
-from ..operators import evaluation as EV  # noqa: E402
-from ..operators import prep as PR  # noqa: E402
 
 SAMPLE_N_QUERY = 10_000  # fixed-size sample of the prep_sample_n query
 
@@ -340,7 +345,6 @@ def q_ml_verdict(spark, sf_dir):
 
 # --- L: access-log analytics -------------------------------------------------------------------
 
-from ..operators import access_log as LG  # noqa: E402
 
 # The test log has a few events per client and hour, so the trailing-window queries use a
 # one-day window, a limit of 2 and a threshold of 3 (the defaults stay 1 h / 100 / 10).
@@ -404,8 +408,6 @@ def q_log_request_rate(spark, sf_dir):
 
 # --- M: models (rows-only checks) --------------------------------------------------------------
 
-from ..operators import models as MD  # noqa: E402
-from ..session import scratch_path  # noqa: E402
 
 # Forest size of the registered model queries: 20 trees of depth 10.  Spark's tree learner makes
 # one distributed pass per tree level, so the published run's 50 x 15 takes minutes even on
@@ -500,8 +502,6 @@ def q_report_json(spark, sf_dir):
 
 # --- A7 / A12: genetic search --------------------------------------------------------------------
 
-from ..operators import genetic as GA  # noqa: E402
-
 
 @register("alloc_genetic")
 def q_alloc_genetic(spark, sf_dir):
@@ -518,8 +518,6 @@ def q_alloc_compare(spark, sf_dir):
 
 # --- streaming forms -----------------------------------------------------------------------------
 
-from ..streaming import streams as SS  # noqa: E402
-
 
 def _stage_parquet(df: DataFrame, name: str, parts: int = 8) -> str:
     """Write a Spark-derived frame as a set of parquet files (a file-stream source)."""
@@ -549,9 +547,6 @@ def q_stream_rate_limit(spark, sf_dir):
 
 # --- D1, S1/S2, F13 --------------------------------------------------------------------------------
 
-from ..operators import privacy as DP  # noqa: E402
-from ..sources import kpi_csv as KC  # noqa: E402
-
 
 @register("dp_aggregate")
 def q_dp_aggregate(spark, sf_dir):
