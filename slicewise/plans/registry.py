@@ -623,3 +623,11 @@ def q_stream_request_rate(spark, sf_dir):
 def q_log_request_rate_sliding(spark, sf_dir):
     """L8, sliding option: 5-minute windows every minute (each request counts in 5 windows)."""
     return LG.request_rate(access_log(spark, sf_dir), minutes=5, slide_minutes=1)
+
+
+@register("training_run_report")
+def q_training_run_report(spark, sf_dir):
+    """The whole training run on the KPI rows, as its JSON report (rows-only check)."""
+    from .run import training_run
+    return training_run(kpi(spark, sf_dir), scratch_path(spark, "run-report"),
+                        model_path=scratch_path(spark, "run-models"), trees=RUN_TREES, depth=RUN_DEPTH)

@@ -122,3 +122,14 @@ def test_search_on_a_stream_of_states(spark, sf):
     got = spark.table("stream_search_test").select("state_id", "best_rbg_0", "best_rbg_1", "best_rbg_2", "best_score")
     want = AL.exhaustive_search(st).select("state_id", "best_rbg_0", "best_rbg_1", "best_rbg_2", "best_score")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_training_run_report(spark, sf):
+    import tempfile
+    from slicewise.plans.run import training_run
+    base = tempfile.mkdtemp(prefix="run-")
+    rep = training_run(R.kpi(spark, sf), base + "/report", model_path=base + "/models", trees=5, depth=4)
+    sections = {r.section for r in rep.select("section").distinct().collect()}
+    assert sections == {"quality", "metrics", "importance", "scenarios", "improvement", "verdict"}
+    _, meta, _ = MD.load_model(base + "/models")
+    assert meta["target"] == "allocation_efficiency" and "r2" in meta["test_metrics"]
