@@ -55,11 +55,12 @@ def sample_n(df: DataFrame, n: int, key: str = "row_key", seed: int = P.RANDOM_S
             return df.where(F.lit(False))
         (t,) = kth_values(d, [F.col("_h")], [(0, n - 1)], counts=[total])
         t = int(t)
-        below = d.where(F.col("_h") < t).count()
-        ties = d.where(F.col("_h") == t)
-        need = n - below
-        if ties.count() > need:  # 52-bit tie at the cut: break it by the full hash, then key
+        c = d.agg(F.count(F.when(F.col("_h") < t, 1)).alias("below"),
+                  F.count(F.when(F.col("_h") == t, 1)).alias("at")).first()
+        need = n - c["below"]
+        if c["at"] > need:  # 52-bit tie at the cut: break it by the full hash, then key
             full = seeded_hash_hex(F.col("_k"), seed)
+            ties = d.where(F.col("_h") == t)
             keys = [r["_k"] for r in ties.orderBy(full, "_k").limit(need).collect()]
             return df.where((h < t) | ((h == t) & F.col(key).isin(keys)))
     return df.where(h <= t)
