@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 from pyspark.sql.utils import AnalysisException
 
 from .. import params as P
+from ..functions.columns import nan_to_null
 
 # Column order of the metric files; names as they appear in the header.
 RAW_CSV_SCHEMA = ("`Timestamp` long, `tx_brate downlink [Mbps]` double, sum_requested_prbs int, "
@@ -24,10 +26,16 @@ TRAINING_CONFIGS = [f"tr{i}" for i in range(28)]
 
 
 def rename_raw(df: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
-    """Raw CSV names -> library names (plus optional custom renames, S2)."""
+    """Raw CSV names -> library names (plus optional custom renames, S2); NaN -> null.
+
+    A ``NaN`` field means "missing" in the source data, while Spark reads it as a NaN double
+    that sorts above every number; floating columns therefore get ``nanvl(x, null)``.
+    """
     m = dict(P.RAW_COLUMN_NAMES)
     m.update(extra or {})
-    return df.withColumnsRenamed({k: v for k, v in m.items() if k in df.columns})
+    df = df.withColumnsRenamed({k: v for k, v in m.items() if k in df.columns})
+    return df.withColumns({f.name: nan_to_null(F.col(f.name)) for f in df.schema.fields
+                           if isinstance(f.dataType, (DoubleType, FloatType))})
 
 
 def _glob(root: str, scheds, configs) -> str:

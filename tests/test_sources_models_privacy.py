@@ -133,3 +133,19 @@ def test_training_run_report(spark, sf):
     assert sections == {"quality", "metrics", "importance", "scenarios", "improvement", "verdict"}
     _, meta, _ = MD.load_model(base + "/models")
     assert meta["target"] == "allocation_efficiency" and "r2" in meta["test_metrics"]
+
+
+def test_custom_csv_nan_is_missing(spark):
+    import tempfile
+    d = tempfile.mkdtemp(prefix="custom-csv-")
+    pd.DataFrame({"ts_ms": [0, 60000], "sched_policy": ["sched1", "sched1"],
+                  "training_config": ["tr0", "tr0"], "slice_name": [1, 2],
+                  "sum_requested_prbs": [10, 10], "sum_granted_prbs": [5, 5],
+                  "tx_brate_dl_mbps": [float("nan"), 20.0], "ue_count": [None, 21]}).to_csv(d + "/x.csv", index=False)
+    df = KC.read_custom_csv(spark, d + "/x.csv")
+    assert {"num_ues", "slice_id"} <= set(df.columns)
+    rows = sorted(R.FE.kpi_features(df, keep=["ts_ms"]).collect(), key=lambda r: r.ts_ms)
+    assert rows[0].throughput_efficiency == 0.0          # NaN throughput counts as missing
+    assert abs(rows[0].network_load - 5.0 / 42.0) < 1e-15  # missing UEs -> 5
+    assert abs(rows[1].network_load - 0.5) < 1e-15
+    assert [r.allocated_rbgs for r in rows] == [13, 2]
