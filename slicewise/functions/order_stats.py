@@ -169,7 +169,8 @@ def _select_in_bands(df: DataFrame, vals: list[Column], todo: list[_Target]) ->
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = 10000,
-                    max_band: int = 1_000_000) -> dict[str, list[float | None]]:
+                    max_band: int = 1_000_000, extra: list[Column] | None = None,
+                    extra_out: dict | None = None) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles of several columns (nulls ignored), exact.
 
     Usually two passes: counts and ``percentile_approx`` brackets for every column in one
@@ -183,8 +184,13 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy
     fr = sorted({min(1.0, max(0.0, p + e)) for p in probs for e in (-d_, d_)})
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.count(c).alias(f"n{i}"), F.percentile_approx(c, fr, accuracy).alias(f"a{i}")]
-    row = d.agg(*aggs).first()
+        x = F.col(c).cast("double")
+        aggs += [F.count(x).alias(f"n{i}"), F.percentile_approx(x, fr, accuracy).alias(f"a{i}")]
+    # callers may add their own aggregates to this first pass (e.g. null counts of other columns)
+    extra = list(extra or [])
+    row = df.agg(*aggs, *[e.alias(f"_x{j}") for j, e in enumerate(extra)]).first()
+    if extra_out is not None:
+        extra_out.update({j: row[f"_x{j}"] for j in range(len(extra))})
     counts = [int(row[f"n{i}"]) for i in range(len(cols))]
     if all(n * 4.0 * d_ + 2 <= max_band for n in counts):
         brackets = {}

@@ -42,11 +42,15 @@ def missing_pct(df: DataFrame) -> DataFrame:
     return _long(one, cols, ["missing_pct"])
 
 
-def iqr_bounds(df: DataFrame, cols: list[str] | None = None, threshold: float = P.IQR_THRESHOLD
+def iqr_bounds(df: DataFrame, cols: list[str] | None = None, threshold: float = P.IQR_THRESHOLD,
+               extra: list | None = None, extra_out: dict | None = None
                ) -> dict[str, tuple[float | None, float | None, float | None, float | None]]:
-    """Exact Q1, Q3 (linear interpolation) and ``Q1 - t*IQR``, ``Q3 + t*IQR`` per column."""
+    """Exact Q1, Q3 (linear interpolation) and ``Q1 - t*IQR``, ``Q3 + t*IQR`` per column.
+
+    ``extra`` aggregates are computed in the same first pass (values in ``extra_out``).
+    """
     cols = cols or numeric_columns(df)
-    qs = exact_quantiles(df, cols, [0.25, 0.75])
+    qs = exact_quantiles(df, cols, [0.25, 0.75], extra=extra, extra_out=extra_out)
     out = {}
     for c in cols:
         q1, q3 = qs[c]
@@ -58,6 +62,16 @@ def iqr_bounds(df: DataFrame, cols: list[str] | None = None, threshold: float =
     return out
 
 
+def _outlier_aggs(cols: list[str], b: dict) -> list:
+    aggs = []
+    for c in cols:
+        _, _, lo, hi = b[c]
+        x = F.col(c).cast("double")
+        cond = (x < dlit(lo)) | (x > dlit(hi)) if lo is not None else F.lit(False)
+        aggs.append(F.count(F.when(cond, 1)).alias(f"n_outliers__{c}"))
+    return aggs
+
+
 def outliers_iqr(df: DataFrame, cols: list[str] | None = None,
                  threshold: float = P.IQR_THRESHOLD) -> DataFrame:
     """Q2: ``(column, q1, q3, lower, upper, n_outliers, outlier_pct)``; denominator = all rows.
@@ -67,19 +81,14 @@ def outliers_iqr(df: DataFrame, cols: list[str] | None = None,
     """
     cols = cols or numeric_columns(df)
     b = iqr_bounds(df, cols, threshold)
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for c in cols:
-        q1, q3, lo, hi = b[c]
-        x = F.col(c).cast("double")
-        cond = (x < dlit(lo)) | (x > dlit(hi)) if lo is not None else F.lit(False)
-        aggs.append(F.count(F.when(cond, 1)).alias(f"n_outliers__{c}"))
-    one = df.agg(*aggs)
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *_outlier_aggs(cols, b))
+
+    def bound(c, i, name):
+        v = b[c][i]
+        return (F.round(dlit(v), 9) if v is not None else F.lit(None).cast("double")).alias(f"{name}__{c}")
     one = one.select(*[e for c in cols for e in (
-        F.round(dlit(b[c][0]), 9).alias(f"q1__{c}") if b[c][0] is not None else F.lit(None).cast("double").alias(f"q1__{c}"),
-        F.round(dlit(b[c][1]), 9).alias(f"q3__{c}") if b[c][1] is not None else F.lit(None).cast("double").alias(f"q3__{c}"),
-        F.round(dlit(b[c][2]), 9).alias(f"lower__{c}") if b[c][2] is not None else F.lit(None).cast("double").alias(f"lower__{c}"),
-        F.round(dlit(b[c][3]), 9).alias(f"upper__{c}") if b[c][3] is not None else F.lit(None).cast("double").alias(f"upper__{c}"),
-        F.col(f"n_outliers__{c}").alias(f"n_outliers__{c}"),
+        bound(c, 0, "q1"), bound(c, 1, "q3"), bound(c, 2, "lower"), bound(c, 3, "upper"),
+        F.col(f"n_outliers__{c}"),
         ((F.col(f"n_outliers__{c}").cast("double") / F.col("rows").cast("double")) * dlit(100.0))
         .alias(f"outlier_pct__{c}"))])
     return _long(one, cols, ["q1", "q3", "lower", "upper", "n_outliers", "outlier_pct"])
@@ -118,15 +127,29 @@ def duplicates(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def quality_score(df: DataFrame, threshold: float = P.QUALITY_THRESHOLD) -> DataFrame:
-    """Q5 + Q6: ``max(0, 100 - avg missing% - avg outlier% - duplicate%)`` and the gate."""
+    """Q5 + Q6: ``max(0, 100 - avg missing% - avg outlier% - duplicate%)`` and the gate.
+
+    Four jobs: null counts of every column ride along with the quantile sketches, then the
+    quantile ranking pass, one pass counting outliers against the exact bounds, and the
+    duplicate count.  The result is one row built from these small aggregates.
+    """
     num = numeric_columns(df)
-    am = missing_pct(df).agg(F.avg("missing_pct")).first()[0]
-    ao = outliers_iqr(df, num).agg(F.avg("outlier_pct")).first()[0]
-    s = duplicates(df).withColumns({"avg_missing_pct": F.lit(am).cast("double"),
-                                    "avg_outlier_pct": F.lit(ao).cast("double")})
+    cols = df.columns
+    got: dict = {}
+    extra = [F.count(F.lit(1))] + [F.count(F.when(F.col(c).isNull(), 1)) for c in cols]
+    b = iqr_bounds(df, num, extra=extra, extra_out=got)
+    rows = got[0]
+    am = sum((got[j + 1] / rows) * 100.0 for j in range(len(cols))) / len(cols) if rows else None
+    oc = df.agg(*_outlier_aggs(num, b)).first() if num else None
+    ao = (sum((oc[f"n_outliers__{c}"] / rows) * 100.0 for c in num) / len(num)
+          if (num and rows) else None)
+    dup = duplicates(df).first()
+    one = df.sparkSession.createDataFrame(
+        [(dup["rows"], dup["duplicates"], dup["duplicate_pct"], am, ao)],
+        "rows long, duplicates long, duplicate_pct double, avg_missing_pct double, avg_outlier_pct double")
     score = F.greatest(dlit(0.0), ((dlit(100.0) - F.col("avg_missing_pct")) - F.col("avg_outlier_pct"))
                        - F.col("duplicate_pct"))
-    return s.select(
+    return one.select(
         F.col("rows").alias("total_records"),
         round6(F.col("avg_missing_pct")).alias("avg_missing_pct"),
         round6(F.col("avg_outlier_pct")).alias("avg_outlier_pct"),
