@@ -380,6 +380,31 @@ def log_sql() -> dict[str, str]:
       SELECT event_id, user_id AS client, ts,
         count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {w} PRECEDING AND CURRENT ROW)
           AS failure_count FROM events WHERE event_type = 'error')"""
+    # L2: recursive per client, carrying the list of accepted times still inside the window
+    keep = f"list_filter(r.acc, lambda x: e.us - x < {w + 1})"
+    q["log_rate_limit"] = f"""WITH RECURSIVE ev AS (
+        SELECT event_id, user_id AS client, ts, epoch_us(ts) AS us,
+               row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn
+        FROM events),
+      r AS (
+        SELECT client, rn, event_id, ts, true AS accepted, [us] AS acc FROM ev WHERE rn = 1
+        UNION ALL
+        SELECT e.client, e.rn, e.event_id, e.ts, len({keep}) < 2 AS accepted,
+               CASE WHEN len({keep}) < 2 THEN list_append({keep}, e.us) ELSE {keep} END AS acc
+        FROM r JOIN ev e ON e.client = r.client AND e.rn = r.rn + 1)
+      SELECT event_id, client, ts, accepted FROM r"""
+    q["log_rate_limit_bucketed"] = q["log_rate_limit"]
+    q["stream_rate_limit"] = q["log_rate_limit"]
+    # Laplace noise from 52 bits of a seeded md5 of the group key (epsilon 1, seed 42)
+    def lap(salt: str, b: str) -> str:
+        u = (f"((CAST(('0x' || substr(md5(event_type || '|42|{salt}'), 1, 13)) AS BIGINT) + 0.5e0)"
+             f" / 4503599627370496e0 - 0.5e0)")
+        return f"((-{b}) * sign({u}) * ln(1e0 - 2e0 * abs({u})))"
+    q["dp_aggregate"] = f"""SELECT event_type,
+        round(CAST(n AS DOUBLE) + {lap('count', '1e0')}, 6) AS noisy_count,
+        round(round(s, 6) + {lap('sum', '100e0')}, 6) AS noisy_sum
+      FROM (SELECT event_type, count(*) AS n, sum(least(greatest(value, 0e0), 100e0)) AS s
+            FROM events GROUP BY event_type)"""
     q["log_failures_by_client"] = """SELECT user_id AS client, count(*) AS failures FROM events
       WHERE event_type = 'error' GROUP BY user_id"""
     q["log_active_requests"] = f"""SELECT user_id AS client, count(*) AS active_requests FROM events,

@@ -1,8 +1,8 @@
 """Laplace-noised aggregates.
 
 Noise is ``-b * sign(u) * ln(1 - 2|u|)`` with ``b = sensitivity / epsilon`` and ``u`` uniform in
-(-1/2, 1/2) derived from a seeded 64-bit hash of the group key: deterministic per group and seed,
-independent of partitioning and retries (``rand()`` is not).
+(-1/2, 1/2) taken from 52 bits of a seeded md5 of the group key: deterministic per group and
+seed, independent of partitioning and retries (``rand()`` is not), and reproducible in SQL.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from ..functions.columns import dlit
 
 
 def _uniform(key: Column, seed: int, salt: str) -> Column:
-    h = F.xxhash64(key, F.lit(int(seed)), F.lit(salt))
-    m = F.pmod(h, F.lit(2 ** 53)).cast("double")
-    return (m + dlit(0.5)) / dlit(float(2 ** 53)) - dlit(0.5)     # strictly inside (-1/2, 1/2)
+    h = F.md5(F.concat(key, F.lit(f"|{int(seed)}|{salt}")))
+    m = F.conv(F.substring(h, 1, 13), 16, 10).cast("long").cast("double")
+    return (m + dlit(0.5)) / dlit(float(2 ** 52)) - dlit(0.5)     # strictly inside (-1/2, 1/2)
 
 
 def laplace(key: Column, scale: float, seed: int = P.RANDOM_SEED, salt: str = "") -> Column:
@@ -29,7 +29,12 @@ def noisy_aggregate(df: DataFrame, group_cols: list[str], value_col: str | None
                     epsilon: float = P.DP_EPSILON, count_sensitivity: float = 1.0,
                     clamp: tuple[float, float] | None = None, seed: int = P.RANDOM_SEED) -> DataFrame:
     """Per group a noisy count and, with ``value_col``, a noisy sum of values clamped to ``clamp``
-    (sensitivity ``max(|lo|, |hi|)``).  ``delta`` is 0 (pure epsilon-DP Laplace mechanism)."""
+    (sensitivity ``max(|lo|, |hi|)``).  ``delta`` is 0 (pure epsilon-DP Laplace mechanism).
+
+    The clamped sum is rounded to 6 decimals before noising and the released values are
+    rounded to 6 decimals (post-processing, no effect on the guarantee), so that the result
+    does not depend on the order in which partial sums were added.
+    """
     if epsilon <= 0:
         raise ValueError("epsilon must be positive")
     aggs = [F.count(F.lit(1)).alias("_n")]
@@ -39,8 +44,10 @@ def noisy_aggregate(df: DataFrame, group_cols: list[str], value_col: str | None
         aggs.append(F.sum(x).alias("_s"))
     g = df.groupBy(*group_cols).agg(*aggs)
     key = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in group_cols])
-    out = g.withColumn("noisy_count", F.col("_n") + laplace(key, count_sensitivity / epsilon, seed, "count"))
+    out = g.withColumn("noisy_count", F.round(F.col("_n").cast("double")
+                                              + laplace(key, count_sensitivity / epsilon, seed, "count"), 6))
     if value_col:
         sens = max(abs(lo), abs(hi))
-        out = out.withColumn("noisy_sum", F.col("_s") + laplace(key, sens / epsilon, seed, "sum"))
+        out = out.withColumn("noisy_sum", F.round(F.round(F.col("_s"), 6)
+                                                  + laplace(key, sens / epsilon, seed, "sum"), 6))
     return out.drop("_n", "_s")
