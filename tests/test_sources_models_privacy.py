@@ -149,3 +149,17 @@ def test_custom_csv_nan_is_missing(spark):
     assert abs(rows[0].network_load - 5.0 / 42.0) < 1e-15  # missing UEs -> 5
     assert abs(rows[1].network_load - 0.5) < 1e-15
     assert [r.allocated_rbgs for r in rows] == [13, 2]
+
+
+def test_preconditions_are_errors(spark, sf):
+    import pytest
+    from slicewise.operators import prep as PR
+    ft = R.feature_table(spark, sf)
+    warn = PR.validate_for_training(ft)
+    assert warn["infinite"] == [] and warn["constant"] == []
+    with pytest.raises(ValueError, match="non-zero variance"):
+        PR.validate_for_training(ft.withColumn("allocation_efficiency", F.lit(0.5)))
+    with pytest.raises(ValueError, match="hour"):
+        MD.fit_random_forest(ft.drop("hour"), trees=2, depth=2)
+    with pytest.raises(ValueError, match="Available models"):
+        MD.score_by_name({}, "rf", ft)
