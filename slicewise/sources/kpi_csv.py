@@ -43,13 +43,22 @@ def _glob(root: str, scheds, configs) -> str:
 
 
 def scan_kpi_tree(spark: SparkSession, base: str, scheds=SCHED_POLICIES, configs=TRAINING_CONFIGS,
-                  schema: str = RAW_CSV_SCHEMA) -> DataFrame:
-    """All metric files under ``base/rome_static_medium`` or ``base`` (whichever has them)."""
+                  schema: str = RAW_CSV_SCHEMA, keep_bad_rows: bool = False) -> DataFrame:
+    """All metric files under ``base/rome_static_medium`` or ``base`` (whichever has them).
+
+    Unreadable files are skipped; a malformed line becomes a row of nulls, and with
+    ``keep_bad_rows`` its raw text is kept in ``_corrupt_record`` for inspection.
+    """
     last = None
+    if keep_bad_rows:
+        schema = schema + ", _corrupt_record string"
     for root in (f"{base}/rome_static_medium", base):
         try:
-            df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-                       .option("ignoreCorruptFiles", True).csv(_glob(root, scheds, configs)))
+            r = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+                      .option("ignoreCorruptFiles", True))
+            if keep_bad_rows:
+                r = r.option("columnNameOfCorruptRecord", "_corrupt_record")
+            df = r.csv(_glob(root, scheds, configs))
             df = df.select("*", F.col("_metadata.file_path").alias("_path"))
             df.schema  # resolve now: a glob without matches raises here
             break

@@ -50,6 +50,19 @@ def test_kpi_tree_scan(spark):
     assert feats.where((F.col("allocation_efficiency") < 0) | (F.col("allocation_efficiency") > 1)).count() == 0
 
 
+def test_kpi_tree_bad_rows(spark):
+    root = tempfile.mkdtemp(prefix="kpi-tree-bad-")
+    n = _write_tree(root, rows_per_file=5)
+    bad = os.path.join(root, "sched0", "tr0", "exp1", "bs1", "slices_bs1", "999_metrics.csv")
+    with open(bad, "w") as f:
+        f.write("Timestamp,tx_brate downlink [Mbps],sum_requested_prbs,sum_granted_prbs,"
+                "tx_errors downlink (%),rx_errors uplink (%),dl_cqi,num_ues\n1,abc,x,y,1,1,1,1\n")
+    df = KC.scan_kpi_tree(spark, root, keep_bad_rows=True).cache()
+    assert df.count() == n + 1
+    badrow = df.where(F.col("_corrupt_record").isNotNull()).collect()
+    assert len(badrow) == 1 and badrow[0].imsi == "999"
+
+
 def test_missing_tree_is_an_error(spark):
     import pytest
     with pytest.raises(FileNotFoundError):
