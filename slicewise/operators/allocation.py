@@ -5,7 +5,7 @@ unique ``state_id``) is searched at once.  The candidate set for ``T`` resource-
 three slices is fixed by ``T`` alone ((T-1)(T-2)/2 candidates, 120 for T = 17), so it never
 becomes data: the search is a row-local projection over ``states``:
 
-1. per state, the score of every slice at every feasible RBG count (``3 x (T-2)`` columns);
+1. per state and slice, an array of the slice's score at every feasible RBG count (``T-2``);
 2. the mean slice score of every candidate as one ``array<double>`` (``scores``);
 3. ``array_max`` + ``array_position`` give the best candidate, first in enumeration order on ties.
 

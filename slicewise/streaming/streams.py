@@ -82,7 +82,9 @@ def rate_limit_stream(log: DataFrame, limit: int = P.RATE_LIMIT,
 
     Within one micro-batch events are applied in time order; across batches in arrival order,
     so out-of-order events inside the watermark are decided on arrival (the batch operator is
-    the reference for ordered input).
+    the reference for ordered input).  Sorting a client's micro-batch rows needs them together,
+    so bound the micro-batch with the source's ``maxFilesPerTrigger`` / ``maxBytesPerTrigger``;
+    the state carried between batches is at most ``limit`` timestamps per client.
     """
     x = (log.withColumn("_ets", F.col("ts").cast("timestamp"))
             .withWatermark("_ets", watermark)
