@@ -176,3 +176,15 @@ def test_preconditions_are_errors(spark, sf):
         MD.fit_random_forest(ft.drop("hour"), trees=2, depth=2)
     with pytest.raises(ValueError, match="Available models"):
         MD.score_by_name({}, "rf", ft)
+
+
+def test_model_search_missing_features_are_zero(spark, sf):
+    from conftest import unique_by
+    t = R.training_frame(spark, sf)
+    m = MD.fit_random_forest(t.where("split = 'train'"), trees=3, depth=3)
+    st = unique_by(R.states(spark, sf), "state_id").limit(50)
+    full = MD.model_search(st.withColumn("hour", F.lit(0.0)), m).select("state_id", "best_score")
+    missing = MD.model_search(st.drop("hour"), m).select("state_id", "best_score")
+    assert full.exceptAll(missing).count() == 0 and missing.count() == 50
+    v = MD.model_search(st, m)
+    assert v.where(F.col("best_rbg_0") + F.col("best_rbg_1") + F.col("best_rbg_2") != 17).count() == 0
