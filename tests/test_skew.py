@@ -58,3 +58,18 @@ def test_rate_limit_hot_client_spread_and_exact(spark, sf):
                 .withColumn("p", F.spark_partition_id()).cache())
         x.count()
     assert x.where("client = 0").select("p").distinct().count() > 1
+
+
+def test_grouped_reports_with_a_hot_key(spark, sf):
+    from slicewise.operators import quality as QA
+    log = _hot_log(spark, sf)
+    pdf = log.toPandas()
+    got = {r.client: r.failures for r in LG.failures_by_client(log).collect()}
+    want = pdf[pdf.failed].groupby("client").size().to_dict()
+    assert got == want
+    # one row repeated for a third of the table
+    rows = log.select(F.when(F.col("event_id") % 3 == 0, F.lit("hot")).otherwise(F.col("details")).alias("d"),
+                      F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("client")).alias("c"))
+    r = QA.duplicates(rows).first()
+    p = rows.toPandas()
+    assert r.rows == len(p) and r.duplicates == int(p.duplicated().sum())
