@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params as P
@@ -96,9 +96,39 @@ def random_split(df: DataFrame, key: str = "row_key", seed: int = P.RANDOM_SEED,
 
 
 def stratified_split(df: DataFrame, stratum: str, key: str = "row_key", seed: int = P.RANDOM_SEED,
-                     test_fraction: float = P.VALIDATION_SPLIT) -> DataFrame:
+                     test_fraction: float = P.VALIDATION_SPLIT, max_broadcast_strata: int = 1000,
+                     big_stratum_rows: int = 1_000_000) -> DataFrame:
     """Per stratum, the ``floor(f * n_s)`` rows with the smallest seeded hash are ``test``.
 
+    Up to ``max_broadcast_strata`` strata, each stratum's cut-off comes from exact order
+    statistics and the split is a broadcast join against the ``(stratum, cut)`` table.  With more
+    strata, the strata above ``big_stratum_rows`` rows (at most ``rows / big_stratum_rows`` of
+    them) take that path, and every other stratum is ranked by a window partitioned by the
+    stratum, whose groups are then bounded by ``big_stratum_rows``.
+    """
+    sizes = df.groupBy(F.col(stratum).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    n_strata = sizes.count()
+    if n_strata <= max_broadcast_strata:
+        return _stratified_few(df, stratum, key, seed, test_fraction)
+    big = [r["_s"] for r in sizes.where(F.col("_n") > big_stratum_rows).collect()]
+    named = [b for b in big if b is not None]
+    in_big = F.coalesce(F.col(stratum).isin(named), F.lit(False)) if named else F.lit(False)
+    if None in big:
+        in_big = in_big | F.col(stratum).isNull()
+    small = df.where(~in_big)
+    h = seeded_hash_hex(F.col(key), seed)
+    w = Window.partitionBy(stratum).orderBy(h, F.col(key))
+    n = F.count(F.lit(1)).over(Window.partitionBy(stratum))
+    ranked = small.withColumn("split", F.when(F.row_number().over(w) <= F.floor(F.lit(test_fraction) * n), "test")
+                                        .otherwise("train"))
+    if not big:
+        return ranked
+    return ranked.unionByName(_stratified_few(df.where(in_big), stratum, key, seed, test_fraction))
+
+
+def _stratified_few(df: DataFrame, stratum: str, key: str, seed: int, test_fraction: float) -> DataFrame:
+    """P7 for a bounded number of strata (see ``stratified_split``).
+
     Each stratum's cut-off hash comes from exact order statistics (one target per stratum), so
     a stratum holding a third of all rows is never gathered into one task.  Tie counts at the
     cuts come from one grouped aggregation, and the split itself is an equi-join against the

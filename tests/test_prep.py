@@ -84,3 +84,20 @@ def test_tie_breaking_at_the_cut(spark, sf, monkeypatch):
     for sid, g in pdf.groupby("slice_id"):
         k = int(0.2 * len(g))
         assert set(g[g.split == "test"].row_key) == set(sorted(g.row_key, key=lambda x: (_h(x), x))[:k])
+
+
+def test_stratified_split_many_strata_paths(spark, sf):
+    """Beyond the broadcast limit: small strata by a window, big ones by order statistics."""
+    from conftest import unique_by
+    f = unique_by(R.features(spark, sf), "row_key").withColumn(
+        "stratum", F.when(F.col("slice_id") == 0, F.lit(-1)).otherwise(F.col("hour")))
+    pdf = f.select("row_key", "stratum").toPandas()
+    want = set()
+    for s_, g in pdf.groupby("stratum"):
+        k = int(0.2 * len(g))
+        want |= set(sorted(g.row_key, key=lambda x: (_h(x), x))[:k])
+    for max_b, big in [(1, 10**9), (1, 1000)]:
+        out = PR.stratified_split(f, "stratum", max_broadcast_strata=max_b, big_stratum_rows=big)
+        got = {r.row_key for r in out.where("split = 'test'").select("row_key").collect()}
+        assert got == want
+        assert out.count() == len(pdf)
