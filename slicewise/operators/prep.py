@@ -1,7 +1,8 @@
 """Training-set preparation (P1-P9) and k-fold assignment.
 
 Randomness is a seeded md5 of the row key, never ``rand()``/``randomSplit``: the result does not
-depend on partitioning or retries, and both Spark and SQL engines reproduce it.  Fixed-size
+depend on partitioning or retries, and both Spark and SQL engines reproduce it.  The key should
+be unique: rows sharing a key share their hash, so they are kept or dropped together.  Fixed-size
 samples, stratified splits and contiguous folds need ranks; they come from exact distributed
 order statistics (``kth_values``) or a range-partitioned global index, never from a window
 without a partition key (which would pull every row into one task).
