@@ -25,11 +25,6 @@ def clip(c: Column, lo: float | None = None, hi: float | None = None) -> Column:
     return F.when(c.isNull(), F.lit(None).cast("double")).otherwise(out)
 
 
-def clip_cols(c: Column, lo: Column, hi: Column) -> Column:
-    """Clip to per-row bounds given as columns, null stays null."""
-    return F.when(c.isNull(), F.lit(None).cast("double")).otherwise(F.least(F.greatest(c, lo), hi))
-
-
 def nan_to_null(c: Column) -> Column:
     """NaN -> null (Spark orders NaN above every number and treats NaN = NaN as true)."""
     return F.nanvl(c, F.lit(None).cast("double"))
@@ -40,11 +35,6 @@ def seeded_hash_hex(key: Column, seed: int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f"|{int(seed)}")))
 
 
-def hash_prefix_long(hex_col: Column, digits: int = 15) -> Column:
-    """First ``digits`` hex characters of a hex string as a non-negative long (order preserving)."""
-    return F.conv(F.substring(hex_col, 1, digits), 16, 10).cast("long")
-
-
 def round6(c: Column) -> Column:
     """Round aggregates to 6 decimals: summation order differs between engines."""
     return F.round(c, 6)

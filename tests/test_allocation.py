@@ -65,3 +65,12 @@ def test_candidate_features_long_form(spark, sf):
     x = AL.candidate_features(st.select("state_id", "sum_requested_prbs"))
     assert x.count() == 5 * 120 * 3
     assert x.agg(F.max("prb_utilization")).first()[0] <= 1.0
+
+
+def test_assert_valid_guard(spark, sf):
+    import pytest
+    res = R.exhaustive(spark, sf)
+    assert AL.assert_valid(res).count() == res.count()
+    bad = res.withColumn("best_rbg_2", F.col("best_rbg_2") + 1)
+    with pytest.raises(Exception, match="does not sum"):
+        AL.assert_valid(bad).collect()
