@@ -248,9 +248,11 @@ def assert_valid(results: DataFrame, total: int = P.TOTAL_RBGS) -> DataFrame:
     """A13 as a guard inside a plan: fails the job on the first invalid allocation."""
     s = F.col("best_rbg_0") + F.col("best_rbg_1") + F.col("best_rbg_2")
     ok = (s == total) & (F.least("best_rbg_0", "best_rbg_1", "best_rbg_2") >= 1)
-    # a filter keeps the check in the plan (an unused column would be pruned away);
-    # assert_true returns null when the condition holds
-    return results.where(F.assert_true(ok, F.lit("allocation does not sum to T")).isNull())
+    # the check wraps an output column, so the optimizer neither prunes it (as it would an
+    # unused column) nor pushes it below the search (as it would a filter); assert_true
+    # returns null when the condition holds
+    check = F.assert_true(ok, F.lit("allocation does not sum to T"))
+    return results.withColumn("best_score", F.when(check.isNull(), F.col("best_score")))
 
 
 def scenario_of(num_ues: Column) -> Column:
