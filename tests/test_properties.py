@@ -45,3 +45,33 @@ def test_linear_search_equals_brute_force(spark, total, w):
         if best is None or s > best:
             best, arg = s, (a, b, c)
     assert (r.best_rbg_0, r.best_rbg_1, r.best_rbg_2) == arg and r.best_score == best
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 40)), min_size=1, max_size=60),
+       st.integers(1, 3), st.integers(1, 3), st.integers(1, 3))
+def test_bucketed_windows_equal_brute_force(spark, events, window, limit, bucket_factor):
+    """Times on a coarse grid make events fall on bucket edges and share timestamps."""
+    import datetime as dt
+    from collections import deque
+    from slicewise.operators import access_log as LG
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, c, base + dt.timedelta(seconds=t)) for i, (c, t) in enumerate(events)]
+    log = spark.createDataFrame(rows, "event_id long, client long, ts timestamp_ntz")
+    tc = {r.event_id: r.trailing_count for r in
+          LG.trailing_count(log, window_seconds=window, bucket_factor=bucket_factor).collect()}
+    rl = {r.event_id: r.accepted for r in
+          LG.rate_limit_bucketed(log, limit=limit, window_seconds=window, bucket_factor=bucket_factor).collect()}
+    for i, c, t in rows:
+        ts = [u for j, d, u in rows if d == c]
+        assert tc[i] == sum(1 for u in ts if t - dt.timedelta(seconds=window) < u <= t)
+    want = {}
+    for c in {c for _, c, _ in rows}:
+        q = deque()
+        for i, _, t in sorted((r for r in rows if r[1] == c), key=lambda r: (r[2], r[0])):
+            while q and not (t - q[0] < dt.timedelta(seconds=window)):
+                q.popleft()
+            want[i] = len(q) < limit
+            if want[i]:
+                q.append(t)
+    assert rl == want
