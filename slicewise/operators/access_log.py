@@ -200,7 +200,11 @@ def _bucket_pass(limit: int, window_us: int, bucket_us: int):
 
 def _carry_frame(carry) -> pd.DataFrame:
     c = pd.DataFrame(carry, columns=["client", "_b", "_us"])
-    c["kind"], c["event_id"], c["ts"], c["accepted"] = "s", None, pd.NaT, None
+    n = len(c)
+    c["kind"] = "s"
+    c["event_id"] = pd.array([None] * n, dtype="Int64")
+    c["ts"] = pd.Series(pd.NaT, index=c.index, dtype="datetime64[us]")
+    c["accepted"] = pd.array([None] * n, dtype="boolean")
     return c[["kind", "client", "_b", "event_id", "ts", "accepted", "_us"]]
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -52,12 +53,43 @@ def build_session(master: str | None = None, app: str = "slicewise",
 
 
 def apply_required_conf(spark: SparkSession) -> None:
-    """Apply the runtime-settable required settings to an existing session."""
+    """Apply the runtime-settable required settings to an existing session, and make sure
+    Python workers can import this package."""
     for k, v in REQUIRED_CONF.items():
         try:
             spark.conf.set(k, v)
         except Exception:  # static conf on a running session: keep what is there
             pass
+    ship_package(spark)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Add this package to the executors' Python path (``addPyFile`` of a zip), once per
+    SparkContext.
+
+    Operators that run Python in tasks (``mapInPandas``, ``applyInPandasWithState``) pickle
+    functions by reference to their module; workers must be able to import ``slicewise``
+    whatever the driver's working directory or the cluster's nodes.  The zip is written to the
+    session's shared checkpoint folder.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(checkpoint_dir(spark), f"pyfiles-{uuid.uuid4().hex[:8]}")
+    root = base.split(":", 1)[1] if base.startswith("file:") else base
+    os.makedirs(root, exist_ok=True)
+    stage = os.path.join(root, "src")
+    shutil.copytree(pkg, os.path.join(stage, "slicewise"),
+                    ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
+    archive = shutil.make_archive(os.path.join(root, "slicewise"), "zip", stage)
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -81,5 +113,4 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for a written intermediate table."""
     base = checkpoint_dir(spark)
-    import uuid
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
