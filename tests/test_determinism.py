@@ -43,3 +43,9 @@ def test_same_seed_same_predictions(spark, sf):
     b = MD.score(MD.fit_random_forest(train, trees=5, depth=4), test).select("row_key", "rf_prediction")
     assert _same(a, b)
     assert a.where(F.col("rf_prediction").isNull()).count() == 0
+
+
+def test_package_is_shipped_to_python_workers(spark):
+    from slicewise.session import apply_required_conf
+    apply_required_conf(spark)
+    assert any(f.endswith("slicewise.zip") for f in spark.sparkContext._python_includes)
