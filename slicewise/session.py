@@ -72,8 +72,8 @@ def ship_package(spark: SparkSession) -> None:
 
     Operators that run Python in tasks (``mapInPandas``, ``applyInPandasWithState``) pickle
     functions by reference to their module; workers must be able to import ``slicewise``
-    whatever the driver's working directory or the cluster's nodes.  The zip is written to the
-    session's shared checkpoint folder.
+    whatever the driver's working directory or the cluster's nodes.  The zip is built in the
+    checkpoint folder when that is a local path, else on the driver, and Spark distributes it.
     """
     sc = spark.sparkContext
     key = sc.applicationId
@@ -81,9 +81,15 @@ def ship_package(spark: SparkSession) -> None:
         return
     import shutil
     pkg = os.path.dirname(os.path.abspath(__file__))
-    base = os.path.join(checkpoint_dir(spark), f"pyfiles-{uuid.uuid4().hex[:8]}")
-    root = base.split(":", 1)[1] if base.startswith("file:") else base
-    os.makedirs(root, exist_ok=True)
+    ckpt = checkpoint_dir(spark)
+    if "://" in ckpt and not ckpt.startswith("file:"):
+        # a cluster file system: build the zip on the driver; addPyFile distributes it to the
+        # executors (as --py-files does)
+        root = tempfile.mkdtemp(prefix="slicewise-pyfiles-")
+    else:
+        base = os.path.join(ckpt, f"pyfiles-{uuid.uuid4().hex[:8]}")
+        root = base.split(":", 1)[1] if base.startswith("file:") else base
+        os.makedirs(root, exist_ok=True)
     stage = os.path.join(root, "src")
     shutil.copytree(pkg, os.path.join(stage, "slicewise"),
                     ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
