@@ -241,7 +241,8 @@ def train_stats(df: DataFrame, features: list[str], target: str = P.TARGET_COLUM
     return one.select(F.inline(F.array(*parts)))
 
 
-def global_index(df: DataFrame, order_col: str, partitions: int | None = None) -> DataFrame:
+def global_index(df: DataFrame, order_col: str, partitions: int | None = None,
+                 rows: int | None = None, rows_per_partition: int = 1_000_000) -> DataFrame:
     """0-based position ``_rank`` of every row in ``order_col`` order, computed distributedly.
 
     Range-partition + sort within partitions, checkpoint (fixes the partitioning and cuts the
@@ -250,8 +251,11 @@ def global_index(df: DataFrame, order_col: str, partitions: int | None = None) -
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = partitions or max(spark.sparkContext.defaultParallelism,
-                          int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if partitions is None:
+        # size the range partitions by the data (a sort of a small table needs no 200 tasks)
+        rows = df.count() if rows is None else rows
+        partitions = max(1, -(-rows // rows_per_partition))
+    n = partitions
     srt = df.repartitionByRange(n, order_col).sortWithinPartitions(order_col).checkpoint(eager=True)
     pid = F.spark_partition_id()
     pos = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)
@@ -269,8 +273,8 @@ def global_index(df: DataFrame, order_col: str, partitions: int | None = None) -
 
 def kfold_assign(df: DataFrame, order_col: str, k: int = P.CV_FOLDS) -> DataFrame:
     """M7 folds: contiguous folds in ``order_col`` order with ``ntile(k)`` sizes (1-based)."""
-    idx = global_index(df, order_col)
-    n = idx.count()
+    n = df.count()
+    idx = global_index(df, order_col, rows=n)
     q, rem = divmod(n, k)
     r = F.col("_rank")
     big = (q + 1) * rem
