@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -95,6 +96,22 @@ def rate_limit_stream(log: DataFrame, limit: int = P.RATE_LIMIT,
         outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, n: int | None = None):
+    """Shuffle partitions for a stream's state store while it is started and run.
+
+    A stateful query fixes its number of state partitions at its first batch (then it is kept
+    in the checkpoint); default to the cluster's cores instead of the batch setting.
+    """
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(n or spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def run_available_now(stream: DataFrame, name: str, fmt: str = "parquet",
                       output_mode: str = "append") -> str:
     """Run a streaming query over everything available and return the sink path.
@@ -103,11 +120,12 @@ def run_available_now(stream: DataFrame, name: str, fmt: str = "parquet",
     """
     spark = stream.sparkSession
     base = scratch_path(spark, f"stream-{name}")
-    q = (stream.writeStream.format(fmt).outputMode(output_mode)
-               .option("checkpointLocation", os.path.join(base, "_checkpoint"))
-               .option("path", os.path.join(base, "out"))
-               .trigger(availableNow=True).start())
-    q.awaitTermination()
+    with state_partitions(spark):
+        q = (stream.writeStream.format(fmt).outputMode(output_mode)
+                   .option("checkpointLocation", os.path.join(base, "_checkpoint"))
+                   .option("path", os.path.join(base, "out"))
+                   .trigger(availableNow=True).start())
+        q.awaitTermination()
     return os.path.join(base, "out")
 
 
@@ -124,10 +142,11 @@ def run_update_mode(stream: DataFrame, base: str) -> None:
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("append").parquet(out)
 
-    q = (stream.writeStream.outputMode("update").foreachBatch(sink)
-               .option("checkpointLocation", os.path.join(base, "_checkpoint"))
-               .trigger(availableNow=True).start())
-    q.awaitTermination()
+    with state_partitions(stream.sparkSession):
+        q = (stream.writeStream.outputMode("update").foreachBatch(sink)
+                   .option("checkpointLocation", os.path.join(base, "_checkpoint"))
+                   .trigger(availableNow=True).start())
+        q.awaitTermination()
 
 
 def final_updates(spark: SparkSession, base: str, keys: list[str]) -> DataFrame:
