@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicewise.llm import chat, exact_dedup, mixing, quality_rules, url_filter
+from slicewise.llm import bpe, chat, exact_dedup, jaccard, mixing, quality_rules, url_filter
 from slicewise.llm.common import prepare, table
 from slicewise.llm.oracles import ORACLES as LLM_ORACLES
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(), digest=True)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     out = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -17,6 +27,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "n_repeat_words", "base_failed", "kept")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -57,7 +72,9 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op3_bpe": op3_bpe,
     "op4_quality_rules": op4_quality_rules,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
