@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicewise.llm import bpe, chat, exact_dedup, jaccard, mixing, quality_rules, rlz, url_filter
+from slicewise.llm import bpe, chat, exact_dedup, jaccard, mixing, quality_rules, rlz, suffix, url_filter
 from slicewise.llm.common import prepare, table
 from slicewise.llm.oracles import ORACLES as LLM_ORACLES
 
@@ -37,6 +37,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -81,6 +86,7 @@ LLM_QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
