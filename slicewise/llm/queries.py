@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicewise.llm import bpe, chat, exact_dedup, jaccard, mixing, quality_rules, rlz, suffix, url_filter
+from slicewise.llm import bpe, brown, chat, exact_dedup, jaccard, mixing, quality_rules, rlz, suffix, url_filter
 from slicewise.llm.common import prepare, table
 from slicewise.llm.oracles import ORACLES as LLM_ORACLES
 
@@ -15,6 +15,11 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return brown.score_held_out(table(spark, sf_dir, "documents"))
+
+
 def op2_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return rlz.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
@@ -82,6 +87,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_brown_lm": op1_brown_lm,
     "op2_rlz_dedup": op2_rlz_dedup,
     "op3_bpe": op3_bpe,
     "op4_quality_rules": op4_quality_rules,
