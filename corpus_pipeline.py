@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slicewise.llm import exact_dedup, mixing, quality_rules
+from slicewise.llm import bpe, exact_dedup, jaccard, mixing, quality_rules
 from slicewise.llm.common import prepare, saved, table
+from slicewise.llm.queries import vocabulary_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,12 +19,23 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_copies(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return jaccard.drop_near_duplicates(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     return mixing.mix(docs)
 
 
-STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("mixing", mixed)]
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return bpe.encode(docs, vocabulary_path(), digest=True)
+
+
+STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("jaccard_join", near),
+          ("mixing", mixed), ("bpe", encoded)]
 
 # The near-duplicate and tokenizer stages have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
