@@ -133,11 +133,13 @@ def learn_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     names = list(RULE_STATS)
     rows = saved(stats.where(~base_failed()).join(y, F.col("doc_id") == F.col("l_id")).select(
         "doc_id", "y", *[F.expr(RULE_STATS[s]).alias(s) for s in names]), "rules-rows")
-    marks = rows.groupBy().agg(*[F.percentile_approx(s, [i / BINS for i in range(1, BINS)], 2000).alias(s)
-                                 for s in names], F.sum("y").alias("bad"), F.count("*").alias("n")).first()
-    if not marks["n"] or not marks["bad"] or marks["bad"] == marks["n"]:
+    # cuts lie halfway between neighbouring quantiles of the two kinds of rows
+    marks = rows.groupBy("y").agg(*[F.percentile_approx(s, [i / BINS for i in range(BINS + 1)], 2000).alias(s)
+                                    for s in names]).collect()
+    if len(marks) < 2:
         return DecisionList()
-    cuts = {s: sorted(set(marks[s])) for s in names}
+    values = {s: sorted({x for m in marks for x in m[s]}) for s in names}
+    cuts = {s: [(a + b) / 2 for a, b in zip(v, v[1:])] for s, v in values.items()}
     # bin code of a value: the number of cuts below it, so "<= cut i" is "code <= i"
     code = {s: sum([(F.col(s) > F.lit(x)).cast("int") for x in cuts[s]], F.lit(0)) for s in names}
     coded = rows.select("y", (F.pmod(F.xxhash64(F.lit("prune"), "doc_id"), F.lit(3)) == 0).alias("held"),
@@ -218,7 +220,10 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """The rows of ``docs`` that the base rule and the learned list keep, columns unchanged."""
     ids = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("l_id")).distinct()
     labelled = docs.join(ids, docs[id_col] == F.col("l_id"), "left_semi")
-    rules = learn_rules(text_stats(labelled, id_col, text_col), labels, id_col, **kw)
+    rules = learn_rules(saved(text_stats(labelled, id_col, text_col), "rules-stats"), labels, id_col, **kw)
     d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     d = with_stats(d.withColumn("text", F.col(f"row.{text_col}")), "text")
-    return d.where(~base_failed() & rules.keeps()).select("row.*")
+    # the row number keeps the filter above the statistics: pushed below them it would repeat
+    # their expressions inside one another
+    d = d.withColumn("n", F.monotonically_increasing_id())
+    return d.where(~base_failed() & rules.keeps() & (F.col("n") >= 0)).select("row.*")
