@@ -1,309 +1,131 @@
 """Exact order statistics without a global sort and without one task holding a whole column.
 
-``kth_values`` finds, for many targets at once, the value of rank ``k`` (0-based, ascending,
-nulls ignored) among the values of a column expression.  It narrows a bracket ``[lo, hi]``
-with ``percentile_approx`` (whose rank error is bounded by ``n / accuracy``), verifies the
-bracket with exact counts, and once the band inside the bracket is small, selects the exact
-value from a per-band histogram of distinct values (``groupBy(band, x).count`` + a running sum
-window per band).  Heavy ties collapse in the histogram, so a value repeated a billion times is
-one row.  Every step is a Spark aggregation; the driver only sees a handful of numbers per
-target.
-
-``exact_quantiles`` builds the linear-interpolation quantile (pandas default, DuckDB
-``quantile_cont``) from the two neighbouring ranks.
+``exact_quantiles`` gives linear-interpolation quantiles (pandas default, DuckDB
+``quantile_cont``) of several columns at once:
+
+1. one aggregation: counts, and ``percentile_approx`` brackets around every quantile (the sketch's
+   rank error is at most ``n / accuracy``, the brackets leave twice that);
+2. one aggregation: exact counts of the values below each bracket, as plain conditional counts;
+3. the bracketed values only, with ties collapsed to ``(value, count)``; a bracket is cut into
+   ``SLICES`` equal slices, a running count over the slices finds the one that holds a rank, and a
+   running count inside that slice finds the value.
+
+The steps are the same for every size and end after a fixed number of jobs: a value repeated any
+number of times is one row, and a bracket of one value is one slice.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .partitioning import cached
 
-
-@dataclass
-class _Target:
-    tid: int
-    sid: int          # which value expression
-    k: int            # 0-based rank among non-null values of the expression
-    lo: float = -math.inf
-    hi: float = math.inf
-    below: int = 0    # exact number of values < lo
-    inband: int = -1  # exact number of values in [lo, hi]
-    value: float | None = None
-
-
-def _in_band(v: Column, lo: float, hi: float) -> Column:
-    cond = v.isNotNull()
-    if lo != -math.inf:
-        cond = cond & (v >= F.lit(lo))
-    if hi != math.inf:
-        cond = cond & (v <= F.lit(hi))
-    return cond
-
-
-def kth_values(df: DataFrame, values: list[Column], targets: list[tuple[int, int]],
-               accuracy: int = 10000, max_band: int = 1_000_000, counts: list[int] | None = None
-               ) -> list[float | None]:
-    """Exact value of rank ``k`` of ``values[sid]`` for each ``(sid, k)`` in ``targets``."""
-    vals = [v.cast("double") for v in values]
-    if counts is None:
-        row = df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(vals)]).first()
-        counts = [int(row[f"n{i}"]) for i in range(len(vals))]
-    ts = [_Target(i, sid, int(k)) for i, (sid, k) in enumerate(targets)]
-    for t in ts:
-        if not (0 <= t.k < counts[t.sid]):
-            t.value = None
-            t.inband = 0
-        else:
-            t.inband = counts[t.sid]
-    open_ = [t for t in ts if t.inband > max_band]
-    # Narrow brackets until every band is small (each round shrinks a band ~accuracy/4 fold).
-    d = 2.0 / accuracy
-    while open_:
-        # one sketch per (expression, current band), holding every fraction its targets need
-        groups: dict[tuple[int, float, float], list[_Target]] = {}
-        for t in open_:
-            groups.setdefault((t.sid, t.lo, t.hi), []).append(t)
-        aggs, fr = [], {}
-        for gi, ((sid, lo, hi), tg) in enumerate(groups.items()):
-            v = vals[sid]
-            ps = set()
-            for t in tg:
-                f = (t.k - t.below) / max(t.inband - 1, 1)
-                fr[t.tid] = (gi, max(0.0, f - d), min(1.0, f + d))
-                ps.update(fr[t.tid][1:])
-            ps = sorted(ps)
-            for t in tg:
-                fr[t.tid] = (gi, ps.index(fr[t.tid][1]), ps.index(fr[t.tid][2]))
-            aggs.append(F.percentile_approx(F.when(_in_band(v, lo, hi), v), ps, accuracy).alias(f"g{gi}"))
-        r = df.agg(*aggs).first()
-        cand = {}
-        for t in open_:
-            gi, i0, i1 = fr[t.tid]
-            arr = r[f"g{gi}"]
-            cand[t.tid] = (float(arr[i0]), float(arr[i1]))
-        aggs = []
-        for t in open_:
-            lo, hi = cand[t.tid]
-            v = vals[t.sid]
-            aggs += [F.count(F.when(v < F.lit(lo), 1)).alias(f"b{t.tid}"),
-                     F.count(F.when(_in_band(v, lo, hi), 1)).alias(f"i{t.tid}")]
-        r = df.agg(*aggs).first()
-        still = []
-        for t in open_:
-            lo, hi = cand[t.tid]
-            below, inband = int(r[f"b{t.tid}"]), int(r[f"i{t.tid}"])
-            if below <= t.k < below + inband and inband < t.inband:
-                t.lo, t.hi, t.below, t.inband = lo, hi, below, inband
-                if lo == hi:
-                    t.value = lo
-                    continue
-            else:  # approximation missed: widen the margin and retry
-                d = min(0.5, d * 4)
-            if t.inband > max_band:
-                still.append(t)
-        open_ = still
-    todo = [t for t in ts if t.value is None and t.inband > 0]
-    if todo:
-        _select_in_bands(df, vals, todo)
-    return [t.value for t in ts]
-
-
-def _select_in_bands(df: DataFrame, vals: list[Column], todo: list[_Target]) -> None:
-    # Per expression, merge overlapping bands, so every value lies in at most one band and each
-    # row adds at most one histogram entry per expression.
-    by_sid: dict[int, list[_Target]] = {}
-    for t in todo:
-        by_sid.setdefault(t.sid, []).append(t)
-    merged: list[tuple[int, float, float, int]] = []  # (sid, lo, hi, below)
-    tband: dict[int, int] = {}
-    for sid, tg in by_sid.items():
-        tg = sorted(tg, key=lambda t: (t.lo, t.hi))
-        cur = None
-        for t in tg:
-            if cur is not None and t.lo <= cur[2]:
-                if t.hi > cur[2]:
-                    cur[2] = t.hi
-                cur[3] = min(cur[3], t.below)
-            else:
-                if cur is not None:
-                    merged.append(tuple(cur))
-                cur = [sid, t.lo, t.hi, t.below]
-            tband[t.tid] = len(merged)
-        merged.append(tuple(cur))
-    items = []
-    for sid in by_sid:
-        v = vals[sid]
-        expr = None
-        for bid, (s2, lo, hi, _) in enumerate(merged):
-            if s2 != sid:
-                continue
-            cond = _in_band(v, lo, hi)
-            expr = F.when(cond, F.lit(bid)) if expr is None else expr.when(cond, F.lit(bid))
-        items.append(F.struct(expr.alias("bid"), v.alias("x")))
-    long = (df.select(F.explode(F.array(*items)).alias("e"))
-              .select("e.bid", "e.x")
-              .where(F.col("bid").isNotNull()))
-    hist = long.groupBy("bid", "x").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("bid").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("cum", F.sum("c").over(w))
-    # the band's own 'below' is the minimum over its members; a target's rank within the band
-    # counts the band values below its own bracket too
-    want = []
-    for t in todo:
-        bid = tband[t.tid]
-        want.append((bid, t.k - merged[bid][3]))
-    wdf = df.sparkSession.createDataFrame(want, "bid int, kr long").distinct()
-    # the value of rank kr is the first x whose running count exceeds kr
-    picked = (hist.join(F.broadcast(wdf), "bid")
-                  .where(F.col("cum") > F.col("kr"))
-                  .groupBy("bid", "kr").agg(F.min("x").alias("x")))
-    got = {(r["bid"], r["kr"]): r["x"] for r in picked.collect()}
-    for t in todo:
-        bid = tband[t.tid]
-        t.value = got.get((bid, t.k - merged[bid][3]))
+SLICES = 4096
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = 10000,
-                    max_band: int = 1_000_000, extra: list[Column] | None = None,
-                    extra_out: dict | None = None) -> dict[str, list[float | None]]:
-    """Linear-interpolation quantiles of several columns (nulls ignored), exact.
+                    extra: list | None = None, extra_out: dict | None = None
+                    ) -> dict[str, list[float | None]]:
+    """Exact quantiles of ``cols`` (nulls ignored); None for a column without values.
 
-    Usually two passes: counts and ``percentile_approx`` brackets for every column in one
-    aggregation, then one pass that ranks only the values inside the brackets
-    (``_rank_in_brackets``).  Inputs so large that a bracket would still hold more than
-    ``max_band`` values first narrow their brackets (``kth_values``); only then is the projected
-    input persisted.
+    ``extra`` aggregates over ``df`` ride along with the first pass (values in ``extra_out``).
     """
-    d = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    d_ = 2.0 / accuracy
-    fr = sorted({min(1.0, max(0.0, p + e)) for p in probs for e in (-d_, d_)})
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.percentile_approx(x, fr, accuracy).alias(f"a{i}")]
-    # callers may add their own aggregates to this first pass (e.g. null counts of other columns)
+    margin = 2.0 / accuracy
+    fractions = sorted({min(1.0, max(0.0, p + e)) for p in probs for e in (-margin, margin)})
     extra = list(extra or [])
-    row = df.agg(*aggs, *[e.alias(f"_x{j}") for j, e in enumerate(extra)]).first()
+    names = [f"v{i}" for i in range(len(cols))]
+    x = {n: F.col(c).cast("double") for n, c in zip(names, cols)}
+    aggs = [a for n in names for a in (F.count(x[n]).alias(f"n_{n}"),
+                                       F.percentile_approx(x[n], fractions, accuracy).alias(f"a_{n}"))]
+    row = df.agg(*aggs, *[e.alias(f"x{j}") for j, e in enumerate(extra)]).first()
     if extra_out is not None:
-        extra_out.update({j: row[f"_x{j}"] for j in range(len(extra))})
-    counts = [int(row[f"n{i}"]) for i in range(len(cols))]
-    if all(n * 4.0 * d_ + 2 <= max_band for n in counts):
-        brackets = {}
-        for i, c in enumerate(cols):
-            a = row[f"a{i}"]
-            for p in probs:
-                if counts[i]:
-                    lo = a[fr.index(min(1.0, max(0.0, p - d_)))]
-                    hi = a[fr.index(min(1.0, max(0.0, p + d_)))]
-                    brackets[(i, p)] = (float(lo), float(hi))
-        got = _rank_in_brackets(d, cols, probs, counts, brackets)
-        if got is not None:
-            return got
-    if max(counts, default=0) > max_band:
-        with cached(d) as c:
-            return _exact_quantiles(c, cols, probs, accuracy, max_band, counts)
-    return _exact_quantiles(d, cols, probs, accuracy, max_band, counts)
-
-
-def _rank_in_brackets(df: DataFrame, cols: list[str], probs: list[float], counts: list[int],
-                      brackets: dict) -> dict[str, list[float | None]] | None:
-    """One pass: exact values of the ranks each quantile needs, from the bracketed values only.
-
-    Per column, the merged brackets split the line into regions (below the first bracket, in
-    it, between brackets, ...).  Every row adds one entry ``(column, region, value-if-in-a-
-    bracket)``; the aggregation collapses everything outside the brackets to one count per
-    region, and a running count per column ordered by ``(region, value)`` is then the exact
-    number of values <= each bracketed value.  Returns ``None`` if a needed rank fell outside its
-    bracket (the approximation missed; the caller takes the narrowing path).
-    """
-    spark = df.sparkSession
-    if not brackets:
-        return {c: [None] * len(probs) for c in cols}
-    need = []   # (col index, p, rank)
-    bands: dict[int, list[list[float]]] = {}
-    for (i, p), (lo, hi) in brackets.items():
-        h = (counts[i] - 1) * p
-        need += [(i, p, math.floor(h)), (i, p, math.ceil(h))]
-        bands.setdefault(i, []).append([lo, hi])
-    regions = {}
-    for i, bl in bands.items():
-        bl.sort()
-        merged = []
-        for lo, hi in bl:
-            if merged and lo <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], hi)
-            else:
-                merged.append([lo, hi])
-        v = F.col(cols[i])
-        region = None
-        for j, (lo, hi) in enumerate(merged):
-            region = (F.when(v < F.lit(lo), 2 * j) if region is None else region.when(v < F.lit(lo), 2 * j))
-            region = region.when(v <= F.lit(hi), 2 * j + 1)
-        # nulls land in the last region (after every bracket), where they never count
-        regions[i] = region.otherwise(2 * len(merged))
-    # regions first, in their own projection (each CASE evaluated once), then one entry per
-    # row and column
-    pre = df.select(*[F.col(cols[i]).alias(f"_v{i}") for i in regions],
-                    *[r.alias(f"_r{i}") for i, r in regions.items()])
-    items = [F.struct(F.lit(i).alias("c"), F.col(f"_r{i}").alias("r"),
-                      F.when(F.col(f"_r{i}") % 2 == 1, F.col(f"_v{i}")).alias("x")) for i in regions]
-    long = pre.select(F.inline(F.array(*items)))
-    hist = long.groupBy("c", "r", "x").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("c").orderBy("r", "x").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("cum", F.sum("n").over(w)).where(F.col("r") % 2 == 1)
-    want = spark.createDataFrame([(i, int(k)) for i, _, k in need], "c int, k long").distinct()
-    picked = (hist.join(F.broadcast(want), "c").where(F.col("cum") > F.col("k"))
-                  .groupBy("c", "k").agg(F.min(F.struct("r", "x", "cum", "n")).alias("m")))
-    got = {}
-    for r in picked.collect():
-        got[(r["c"], r["k"])] = r["m"]
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    for i, c in enumerate(cols):
-        if not counts[i]:
-            continue
-        for pi, p in enumerate(probs):
-            h = (counts[i] - 1) * p
-            k0, k1 = math.floor(h), math.ceil(h)
-            a, b = got.get((i, k0)), got.get((i, k1))
-            # the picked value holds the rank only if fewer than k+1 values lie before it;
-            # otherwise the rank fell below its bracket (the approximation missed)
-            if a is None or b is None or a["cum"] - a["n"] > k0 or b["cum"] - b["n"] > k1:
-                return None
-            out[c][pi] = a["x"] + (b["x"] - a["x"]) * (h - k0)
-    return out
-
-
-def _exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int,
-                     max_band: int, counts: list[int]) -> dict[str, list[float | None]]:
-    vals = [F.col(c) for c in cols]
-    targets, spec = [], []
-    for sid, c in enumerate(cols):
-        n = counts[sid]
-        for p in probs:
-            if n == 0:
-                spec.append(None)
-                continue
-            h = (n - 1) * p
-            k0, k1 = math.floor(h), math.ceil(h)
-            spec.append((len(targets), len(targets) + 1, h - k0))
-            targets += [(sid, k0), (sid, k1)]
-    got = kth_values(df, vals, targets, accuracy=accuracy, max_band=max_band, counts=counts)
-    out: dict[str, list[float | None]] = {}
-    i = 0
-    for c in cols:
+        extra_out.update({j: row[f"x{j}"] for j in range(len(extra))})
+    counts = {n: int(row[f"n_{n}"]) for n in names}
+    brackets = {}
+    for n in names:
+        if counts[n]:
+            at = lambda p, a=row[f"a_{n}"]: float(a[fractions.index(min(1.0, max(0.0, p)))])
+            brackets[n] = _merged([(at(p - margin), at(p + margin)) for p in probs])
+    ranks = {n: sorted({f((counts[n] - 1) * p) for p in probs for f in (math.floor, math.ceil)})
+             for n in brackets}
+    values = {}
+    if brackets:
+        with cached(df.select(*[x[n].alias(n) for n in brackets])) as d:
+            values = _values_of_ranks(d, brackets, ranks)
+            missed = {n for n in brackets if any((n, k) not in values for k in ranks[n])}
+            if missed:  # a sketch beyond its error bound: the whole column is the bracket
+                whole = {n: [(-math.inf, math.inf)] for n in missed}
+                values.update(_values_of_ranks(d, whole, {n: ranks[n] for n in missed}))
+    out = {}
+    for n, c in zip(names, cols):
         qs = []
-        for _ in probs:
-            s = spec[i]
-            i += 1
-            if s is None:
+        for p in probs:
+            if not counts[n]:
                 qs.append(None)
                 continue
-            a, b, frac = got[s[0]], got[s[1]], s[2]
-            qs.append(a + (b - a) * frac)
+            h = (counts[n] - 1) * p
+            a, b = values[n, math.floor(h)], values[n, math.ceil(h)]
+            qs.append(a if a == b or h == math.floor(h) else a + (b - a) * (h - math.floor(h)))
         out[c] = qs
     return out
+
+
+def _merged(spans: list) -> list:
+    out: list = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _values_of_ranks(d: DataFrame, brackets: dict, ranks: dict) -> dict:
+    """``{(column, k): value}`` for the 0-based ranks that lie inside the column's brackets."""
+    spark = d.sparkSession
+    bands = [(i, n, lo, hi) for i, (n, lo, hi) in enumerate(
+        (n, lo, hi) for n, spans in brackets.items() for lo, hi in spans)]
+    below = d.agg(*[e for i, n, lo, hi in bands for e in (
+        F.count(F.when(F.col(n) < F.lit(lo), 1)).alias(f"b{i}"),
+        F.count(F.when(F.col(n).between(F.lit(lo), F.lit(hi)) | (F.isnan(n) & F.lit(hi == math.inf)), 1)).alias(f"i{i}"))]).first()
+    want = [(i, int(k), int(k - below[f"b{i}"])) for i, n, _, _ in bands for k in ranks[n]
+            if below[f"b{i}"] <= k < below[f"b{i}"] + below[f"i{i}"]]
+    if not want:
+        return {}
+
+    def entry(i, n, lo, hi):
+        v = F.col(n)
+        if lo == hi or math.isinf(lo) or math.isinf(hi):
+            part = F.lit(0) if lo == hi else _bit_slice(v)
+        else:
+            part = F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(SLICES - 1)))
+        inside = v.between(F.lit(lo), F.lit(hi)) | (F.isnan(v) & F.lit(hi == math.inf))
+        return F.when(inside, F.struct(F.lit(i).alias("band"), part.cast("long").alias("slice"), v.alias("x")))
+
+    items = F.filter(F.array(*[entry(*b) for b in bands]), lambda e: e.isNotNull())
+    hist = (d.select(F.explode(items).alias("e")).select("e.*")
+            .groupBy("band", "slice", "x").agg(F.count(F.lit(1)).alias("n")))
+    wanted = F.broadcast(spark.createDataFrame(want, "w_band int, k long, r long"))
+    run = Window.partitionBy("band").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+    slices = (hist.groupBy("band", "slice").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(run))
+              .join(wanted, (F.col("band") == F.col("w_band")) & (F.col("r") < F.col("upto"))
+                    & (F.col("r") >= F.col("upto") - F.col("n")))
+              .select(F.col("band").alias("s_band"), F.col("slice").alias("s_slice"), "k",
+                      (F.col("r") - F.col("upto") + F.col("n")).alias("r")))
+    inside = Window.partitionBy("band", "k").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    found = (hist.join(F.broadcast(slices), (F.col("band") == F.col("s_band")) & (F.col("slice") == F.col("s_slice")))
+             .withColumn("upto", F.sum("n").over(inside))
+             .where((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("n"))))
+    name = {i: n for i, n, _, _ in bands}
+    return {(name[r["band"]], r["k"]): r["x"] for r in found.select("band", "k", "x").collect()}
+
+
+def _bit_slice(v):
+    """A slice number that rises with the value, for brackets without finite ends: the sign and
+    logarithm of the value."""
+    size = F.floor(F.log2(F.abs(v) + F.lit(1.0)) * 2)
+    return F.when(F.isnan(v) | (v == F.lit(math.inf)), F.lit(SLICES)).when(
+        v == F.lit(-math.inf), F.lit(-SLICES)).when(v < 0, -size).otherwise(size)

@@ -12,14 +12,19 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin ``df`` over at least ``min_partitions`` (default: the cluster's cores) when it
     has fewer partitions, for CPU-heavy row-local work after a scan of few large files.
 
-    On a cluster reading many files the input already has more partitions than cores and this
-    is a no-op, so it never adds a shuffle at scale.
+    The number of partitions is estimated from the plan (input size by the size of a scan's
+    splits), so nothing is run to find out, and a plan that already shuffles stays as it is.  On a
+    cluster reading large input this is a no-op, so it never adds a shuffle at scale.
     """
     if df.isStreaming:  # a stream's partitioning is set per micro-batch by its source
         return df
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    plan = df._jdf.queryExecution().optimizedPlan()
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    shuffles = any(w in plan.toString() for w in ("Aggregate", "Repartition", "Sort ", "Window", "Join Inner"))
+    if shuffles or int(str(plan.stats().sizeInBytes())) >= want * split:
         return df
     return df.repartition(want)
 

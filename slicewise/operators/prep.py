@@ -1,24 +1,19 @@
 """Training-set preparation (P1-P9) and k-fold assignment.
 
 Randomness is a seeded md5 of the row key, never ``rand()``/``randomSplit``: the result does not
-depend on partitioning or retries, and both Spark and SQL engines reproduce it.  The key should
-be unique: rows sharing a key share their hash, so they are kept or dropped together.  Fixed-size
-samples, stratified splits and contiguous folds need ranks; they come from exact distributed
-order statistics (``kth_values``) or a range-partitioned global index, never from a window
-without a partition key (which would pull every row into one task).
+depend on partitioning or retries, and both Spark and SQL engines reproduce it.  Fixed-size
+samples and stratified splits find their cut by counts per hash prefix and rank only the rows of
+that prefix; contiguous folds use a range-partitioned global index.  No window sees every row.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions.columns import dlit, seeded_hash_hex
-from ..functions.order_stats import exact_quantiles, kth_values
-from ..functions.partitioning import cached
+from ..functions.order_stats import exact_quantiles
 from ..session import checkpoint_dir
 
 
@@ -26,9 +21,9 @@ def check_columns(df: DataFrame, features: list[str], target: str) -> None:
     """Missing feature or target columns are an error naming them (no job runs)."""
     missing = [f for f in features if f not in df.columns]
     if missing:
-        raise ValueError(f"Missing features in dataset: {missing}")
+        raise ValueError("these feature columns are not in the table: " + ", ".join(missing))
     if target not in df.columns:
-        raise ValueError(f"Target column '{target}' not found in dataset")
+        raise ValueError(f"the table has no column {target} to learn")
 
 
 def validate_for_training(df: DataFrame, features: list[str] = P.FEATURE_COLUMNS,
@@ -43,7 +38,7 @@ def validate_for_training(df: DataFrame, features: list[str] = P.FEATURE_COLUMNS
         aggs += [F.count(F.when(F.abs(x) == F.lit(inf), 1)).alias(f"_i_{c}"), F.var_samp(x).alias(f"_v_{c}")]
     r = df.agg(*aggs).first()
     if r["_tv"] is None or r["_tv"] == 0:
-        raise ValueError("Target variable must have non-zero variance")
+        raise ValueError(f"{target} is constant (or has too few values): nothing to learn")
     return {"infinite": [c for c in features if r[f"_i_{c}"] > 0],
             "constant": [c for c in features if r[f"_v_{c}"] == 0]}
 
@@ -53,35 +48,44 @@ def drop_null_target(df: DataFrame, target: str = P.TARGET_COLUMN) -> DataFrame:
     return df.dropna(subset=[target])
 
 
-def _hash52(key: Column, seed: int) -> Column:
-    """First 13 hex digits (52 bits) of the seeded md5: exact as a double, order preserving."""
-    return F.conv(F.substring(seeded_hash_hex(key, seed), 1, 13), 16, 10).cast("long")
+PREFIX_DIGITS = 4  # hex digits of the hash a cut is looked for in (65,536 values)
 
 
-def sample_n(df: DataFrame, n: int, key: str = "row_key", seed: int = P.RANDOM_SEED) -> DataFrame:
-    """``n`` rows without replacement, the ``n`` smallest seeded hashes (all rows if fewer).
+def _with_rank_test(df: DataFrame, stratum: str | None, key: str, seed: int, wanted) -> DataFrame:
+    """Add ``_hit``: the row is among the ``wanted(n)`` smallest of its stratum (of ``n`` rows) in
+    the order of the seeded key hash, then the key; equal keys fill up to the exact number.
 
-    The cut-off hash is found with exact distributed order statistics, then the sample is a
-    filter: no global sort and no ``limit`` through one task, however large ``n`` is.
+    Counts per (stratum, hash prefix) and their running sum find the prefix in which each
+    stratum's cut lies; rows with smaller prefixes are in, larger ones out, and only the rows of
+    that one prefix are ranked.  Any number of strata of any size, nothing on the driver.
     """
-    h = _hash52(F.col(key), seed)
-    with cached(df.select(h.alias("_h"), F.col(key).alias("_k"))) as d:
-        total = d.count()
-        if total <= n:
-            return df
-        if n <= 0:
-            return df.where(F.lit(False))
-        (t,) = kth_values(d, [F.col("_h")], [(0, n - 1)], counts=[total])
-        t = int(t)
-        c = d.agg(F.count(F.when(F.col("_h") < t, 1)).alias("below"),
-                  F.count(F.when(F.col("_h") == t, 1)).alias("at")).first()
-        need = n - c["below"]
-        if c["at"] > need:  # 52-bit tie at the cut: break it by the full hash, then key
-            full = seeded_hash_hex(F.col("_k"), seed)
-            ties = d.where(F.col("_h") == t)
-            keys = [r["_k"] for r in ties.orderBy(full, "_k").limit(need).collect()]
-            return df.where((h < t) | ((h == t) & F.col(key).isin(keys)))
-    return df.where(h <= t)
+    prefix = F.substring(seeded_hash_hex(F.col(key), seed), 1, PREFIX_DIGITS)
+    of = F.col(stratum) if stratum else F.lit(0)
+    d = df.withColumns({"_p": F.coalesce(prefix, F.lit("")), "_s": of})
+    per = d.groupBy("_s", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    run = Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    per = (per.withColumn("_upto", F.sum("_n").over(run))
+           .withColumn("_k", wanted(F.sum("_n").over(Window.partitionBy("_s"))).cast("long")))
+    cut = (per.where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k")))
+           .select(F.col("_s").alias("_cs"), F.col("_p").alias("_cp"),
+                   (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_need")))
+    # a stratum without a cut wants no row, or more than it has (then its last prefix is the cut)
+    last = (per.groupBy("_s").agg(F.max("_p").alias("_lp"), F.max("_k").alias("_k"), F.sum("_n").alias("_all"))
+            .where(F.col("_k") > F.col("_all"))
+            .select(F.col("_s").alias("_cs"), F.col("_lp").alias("_cp"), F.col("_all").alias("_need")))
+    cut = cut.unionByName(last)
+    j = d.join(cut, F.col("_s").eqNullSafe(F.col("_cs")), "left").drop("_cs")
+    at = F.coalesce(F.col("_p") == F.col("_cp"), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy("_s").orderBy(seeded_hash_hex(F.col(key), seed), F.col(key)))
+    inside = j.where(at).withColumn("_hit", rank <= F.col("_need"))
+    outside = j.where(~at).withColumn("_hit", F.coalesce(F.col("_p") < F.col("_cp"), F.lit(False)))
+    return inside.unionByName(outside).drop("_p", "_s", "_cp", "_need")
+
+
+def sample_n(df: DataFrame, n: int, key: str = "row_key", seed: int = P.RANDOM_SEED) -> DataFrame:
+    """Exactly ``n`` rows without replacement, those with the smallest seeded hashes of the
+    key (all rows if there are fewer); keys may repeat."""
+    return _with_rank_test(df, None, key, seed, lambda _: F.lit(int(max(n, 0)))).where("_hit").drop("_hit")
 
 
 def split_label(key: str = "row_key", seed: int = P.RANDOM_SEED, test_fraction: float = 0.2) -> Column:
@@ -97,89 +101,11 @@ def random_split(df: DataFrame, key: str = "row_key", seed: int = P.RANDOM_SEED,
 
 
 def stratified_split(df: DataFrame, stratum: str, key: str = "row_key", seed: int = P.RANDOM_SEED,
-                     test_fraction: float = P.VALIDATION_SPLIT, max_broadcast_strata: int = 1000,
-                     big_stratum_rows: int = 1_000_000) -> DataFrame:
-    """Per stratum, the ``floor(f * n_s)`` rows with the smallest seeded hash are ``test``.
-
-    Up to ``max_broadcast_strata`` strata, each stratum's cut-off comes from exact order
-    statistics and the split is a broadcast join against the ``(stratum, cut)`` table.  With more
-    strata, the strata above ``big_stratum_rows`` rows (at most ``rows / big_stratum_rows`` of
-    them) take that path, and every other stratum is ranked by a window partitioned by the
-    stratum, whose groups are then bounded by ``big_stratum_rows``.
-    """
-    sizes = df.groupBy(F.col(stratum).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
-    n_strata = sizes.count()
-    if n_strata <= max_broadcast_strata:
-        return _stratified_few(df, stratum, key, seed, test_fraction)
-    big = [r["_s"] for r in sizes.where(F.col("_n") > big_stratum_rows).collect()]
-    named = [b for b in big if b is not None]
-    in_big = F.coalesce(F.col(stratum).isin(named), F.lit(False)) if named else F.lit(False)
-    if None in big:
-        in_big = in_big | F.col(stratum).isNull()
-    small = df.where(~in_big)
-    h = seeded_hash_hex(F.col(key), seed)
-    w = Window.partitionBy(stratum).orderBy(h, F.col(key))
-    n = F.count(F.lit(1)).over(Window.partitionBy(stratum))
-    ranked = small.withColumn("split", F.when(F.row_number().over(w) <= F.floor(F.lit(test_fraction) * n), "test")
-                                        .otherwise("train"))
-    if not big:
-        return ranked
-    return ranked.unionByName(_stratified_few(df.where(in_big), stratum, key, seed, test_fraction))
-
-
-def _stratified_few(df: DataFrame, stratum: str, key: str, seed: int, test_fraction: float) -> DataFrame:
-    """P7 for a bounded number of strata (see ``stratified_split``).
-
-    Each stratum's cut-off hash comes from exact order statistics (one target per stratum), so
-    a stratum holding a third of all rows is never gathered into one task.  Tie counts at the
-    cuts come from one grouped aggregation, and the split itself is an equi-join against the
-    small ``(stratum, cut)`` table (broadcast: one row per stratum).
-    """
-    spark = df.sparkSession
-    h = _hash52(F.col(key), seed)
-    with cached(df.select(F.col(stratum).alias("_s"), h.alias("_h"), F.col(key).alias("_k"))) as d:
-        sizes = d.groupBy("_s").count().collect()  # one row per stratum
-        strata = [r["_s"] for r in sizes]
-        ks = [math.floor(test_fraction * r["count"]) for r in sizes]
-        vals = [F.when(F.col("_s").eqNullSafe(F.lit(s)), F.col("_h")) for s in strata]
-        targets = [(i, max(k, 1) - 1) for i, k in enumerate(ks)]
-        cuts = kth_values(d, vals, targets, counts=[r["count"] for r in sizes]) if targets else []
-        rows = [(i, s, int(c) if (k > 0 and c is not None) else -1, k)
-                for i, (s, k, c) in enumerate(zip(strata, ks, cuts))]
-        schema = f"_sid int, _s {df.schema[stratum].dataType.simpleString()}, _cut long, _k_test long"
-        cut_df = spark.createDataFrame(rows, schema)
-        # rows below / at each cut, all strata in one aggregation
-        j = d.join(F.broadcast(cut_df), d["_s"].eqNullSafe(cut_df["_s"])).drop(cut_df["_s"])
-        counts = (j.groupBy("_sid").agg(F.count(F.when(F.col("_h") < F.col("_cut"), 1)).alias("_below"),
-                                        F.count(F.when(F.col("_h") == F.col("_cut"), 1)).alias("_at"))
-                   .collect())
-        tie_keys = []
-        by_sid = {r["_sid"]: r for r in counts}
-        for sid, s, cut, k in rows:
-            r = by_sid.get(sid)
-            if cut < 0 or r is None or r["_at"] <= k - r["_below"]:
-                continue
-            # 52-bit tie at this cut: break it by the full hash, then the key (tiny tie set)
-            full = seeded_hash_hex(F.col("_k"), seed)
-            ties = d.where(F.col("_s").eqNullSafe(F.lit(s)) & (F.col("_h") == cut))
-            tie_keys += [(sid, x["_k"]) for x in ties.orderBy(full, "_k").limit(k - r["_below"]).collect()]
-    cut_b = F.broadcast(cut_df.select(F.col("_s").alias("_cs"), "_sid", "_cut"))
-    out = df.join(cut_b, F.col(stratum).eqNullSafe(F.col("_cs")), "left")
-    test = F.col("_h") < F.col("_cut")
-    if tie_keys:
-        tk = F.broadcast(spark.createDataFrame(tie_keys, f"_tsid int, _tk {df.schema[key].dataType.simpleString()}"))
-        out = out.join(tk, (F.col("_sid") == F.col("_tsid")) & (F.col(key) == F.col("_tk")), "left")
-        tie_sids = sorted({sid for sid, _ in tie_keys})
-        # strata with a tie at the cut take only their chosen tied keys; the others all at-cut rows
-        test = test | ((F.col("_h") == F.col("_cut")) &
-                       (~F.col("_sid").isin(tie_sids) | F.col("_tk").isNotNull()))
-        drop = ["_tsid", "_tk"]
-    else:
-        test = test | (F.col("_h") == F.col("_cut"))
-        drop = []
-    out = out.withColumn("_h", h)
-    return (out.withColumn("split", F.when(F.coalesce(test, F.lit(False)), "test").otherwise("train"))
-               .drop("_cs", "_sid", "_cut", "_h", *drop))
+                     test_fraction: float = P.VALIDATION_SPLIT) -> DataFrame:
+    """Per stratum (null is one), the ``floor(f * n_s)`` rows with the smallest seeded hash of
+    the key are ``test``; keys may repeat and strata may be as many as rows."""
+    d = _with_rank_test(df, stratum, key, seed, lambda n: F.floor(F.lit(test_fraction) * n))
+    return d.withColumn("split", F.when(F.col("_hit"), "test").otherwise("train")).drop("_hit")
 
 
 def impute_median(df: DataFrame, cols: list[str], fit: DataFrame | None = None) -> DataFrame:
@@ -241,40 +167,31 @@ def train_stats(df: DataFrame, features: list[str], target: str = P.TARGET_COLUM
     return one.select(F.inline(F.array(*parts)))
 
 
-def global_index(df: DataFrame, order_col: str, partitions: int | None = None,
-                 rows: int | None = None, rows_per_partition: int = 1_000_000) -> DataFrame:
+def global_index(df: DataFrame, order_col: str, partitions: int | None = None) -> DataFrame:
     """0-based position ``_rank`` of every row in ``order_col`` order, computed distributedly.
 
-    Range-partition + sort within partitions, checkpoint (fixes the partitioning and cuts the
-    lineage in the shared checkpoint folder), count rows per partition (one small row per
-    partition to the driver), and add each partition's offset.  ``order_col`` must be unique.
+    Range-partition and sort within partitions, checkpoint (fixes the partitioning and cuts the
+    lineage in the shared checkpoint folder), count rows per partition, and join each partition's
+    offset (one row per partition).  ``order_col`` must be unique.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    if partitions is None:
-        # size the range partitions by the data (a sort of a small table needs no 200 tasks)
-        rows = df.count() if rows is None else rows
-        partitions = max(1, -(-rows // rows_per_partition))
-    n = partitions
+    n = partitions or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     srt = df.repartitionByRange(n, order_col).sortWithinPartitions(order_col).checkpoint(eager=True)
     pid = F.spark_partition_id()
     pos = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)
     with_pos = srt.withColumn("_pid", pid).withColumn("_pos", pos)
-    counts = sorted((r["_pid"], r["count"]) for r in with_pos.groupBy("_pid").count().collect())
-    offsets, acc = {}, 0
-    for p, c in counts:
-        offsets[p] = acc
-        acc += c
-    if not offsets:
-        return with_pos.withColumn("_rank", F.lit(0).cast("long")).drop("_pid", "_pos")
-    omap = F.create_map(*[x for p, o in offsets.items() for x in (F.lit(p), F.lit(o).cast("long"))])
-    return with_pos.withColumn("_rank", F.element_at(omap, F.col("_pid")) + F.col("_pos")).drop("_pid", "_pos")
+    sizes = with_pos.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("_pid").alias("_opid"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    return (with_pos.join(F.broadcast(offsets), F.col("_pid") == F.col("_opid"))
+            .withColumn("_rank", F.col("_off") + F.col("_pos")).drop("_pid", "_pos", "_opid", "_off"))
 
 
 def kfold_assign(df: DataFrame, order_col: str, k: int = P.CV_FOLDS) -> DataFrame:
     """M7 folds: contiguous folds in ``order_col`` order with ``ntile(k)`` sizes (1-based)."""
     n = df.count()
-    idx = global_index(df, order_col, rows=n)
+    idx = global_index(df, order_col)
     q, rem = divmod(n, k)
     r = F.col("_rank")
     big = (q + 1) * rem

@@ -12,8 +12,7 @@ def _h(k, seed=42):
 
 
 def test_sample_n_is_smallest_hashes(spark, sf):
-    from conftest import unique_by
-    f = unique_by(R.features(spark, sf), "row_key")
+    f = R.features(spark, sf)
     keys = [r.row_key for r in f.select("row_key").collect()]
     got = sorted(r.row_key for r in PR.sample_n(f, 500).select("row_key").collect())
     want = sorted(sorted(keys, key=_h)[:500])
@@ -22,15 +21,13 @@ def test_sample_n_is_smallest_hashes(spark, sf):
 
 
 def test_stratified_split_counts(spark, sf):
-    from conftest import unique_by
-    f = unique_by(R.features(spark, sf), "row_key")
+    f = R.features(spark, sf)
     s = PR.stratified_split(f, "slice_id")
     pdf = s.select("row_key", "slice_id", "split").toPandas()
     for sid, g in pdf.groupby("slice_id"):
         k = int(0.2 * len(g))
         assert (g.split == "test").sum() == k
-        test_keys = set(g[g.split == "test"].row_key)
-        assert test_keys == set(sorted(g.row_key, key=_h)[:k])
+        assert sorted(g[g.split == "test"].row_key) == sorted(sorted(g.row_key, key=_h)[:k])
 
 
 def test_kfold_matches_ntile(spark, sf):
@@ -70,34 +67,37 @@ def test_standardize_zero_std_is_one(spark):
 
 
 def test_tie_breaking_at_the_cut(spark, sf, monkeypatch):
-    """With a 4-bit hash prefix almost every row ties; the cut must still be exact, broken by
-    the full hash and then the key."""
-    from conftest import unique_by
-    from slicewise.functions.columns import seeded_hash_hex
-    monkeypatch.setattr(PR, "_hash52", lambda key, seed: F.conv(F.substring(seeded_hash_hex(key, seed), 1, 1),
-                                                                 16, 10).cast("long"))
-    f = unique_by(R.features(spark, sf), "row_key")
+    """With a one-digit hash prefix almost every row lies in the cut's prefix; the cut must still
+    be exact, by the full hash and then the key."""
+    monkeypatch.setattr(PR, "PREFIX_DIGITS", 1)
+    f = R.features(spark, sf)
     keys = [r.row_key for r in f.select("row_key").collect()]
     got = sorted(r.row_key for r in PR.sample_n(f, 777).select("row_key").collect())
     assert got == sorted(sorted(keys, key=lambda k: (_h(k), k))[:777])
     pdf = PR.stratified_split(f, "slice_id").select("row_key", "slice_id", "split").toPandas()
     for sid, g in pdf.groupby("slice_id"):
         k = int(0.2 * len(g))
-        assert set(g[g.split == "test"].row_key) == set(sorted(g.row_key, key=lambda x: (_h(x), x))[:k])
+        assert sorted(g[g.split == "test"].row_key) == sorted(sorted(g.row_key, key=lambda x: (_h(x), x))[:k])
 
 
-def test_stratified_split_many_strata_paths(spark, sf):
-    """Beyond the broadcast limit: small strata by a window, big ones by order statistics."""
-    from conftest import unique_by
-    f = unique_by(R.features(spark, sf), "row_key").withColumn(
-        "stratum", F.when(F.col("slice_id") == 0, F.lit(-1)).otherwise(F.col("hour")))
+def test_repeated_keys(spark):
+    """Rows sharing a key: exactly n rows, every row once, exact shares per stratum."""
+    df = spark.range(100).selectExpr("'same' row_key", "id", "cast(id % 4 as int) stratum").where("id < 90")
+    assert PR.sample_n(df, 50).count() == 50 and PR.sample_n(df, 0).count() == 0
+    assert PR.sample_n(df, 500).count() == 90 and PR.sample_n(df.where("false"), 5).count() == 0
+    out = PR.stratified_split(df, "stratum", test_fraction=0.5)
+    assert out.count() == 90 and out.select("id").distinct().count() == 90
+    assert {r.stratum: r.c for r in out.where("split = 'test'").groupBy("stratum").agg(F.count("*").alias("c")).collect()} \
+        == {0: 11, 1: 11, 2: 11, 3: 11}
+
+
+def test_stratified_split_many_strata(spark, sf):
+    """Thousands of strata, one with a third of the rows, and null as a stratum."""
+    f = R.features(spark, sf).withColumn("stratum", F.when(F.col("slice_id") == 0, F.lit("big")).when(
+        F.col("slice_id") == 1, F.md5("row_key")))
     pdf = f.select("row_key", "stratum").toPandas()
-    want = set()
-    for s_, g in pdf.groupby("stratum"):
+    out = PR.stratified_split(f, "stratum").select("row_key", "stratum", "split").toPandas()
+    assert len(out) == len(pdf)
+    for s_, g in out.groupby("stratum", dropna=False):
         k = int(0.2 * len(g))
-        want |= set(sorted(g.row_key, key=lambda x: (_h(x), x))[:k])
-    for max_b, big in [(1, 10**9), (1, 1000)]:
-        out = PR.stratified_split(f, "stratum", max_broadcast_strata=max_b, big_stratum_rows=big)
-        got = {r.row_key for r in out.where("split = 'test'").select("row_key").collect()}
-        assert got == want
-        assert out.count() == len(pdf)
+        assert sorted(g[g.split == "test"].row_key) == sorted(sorted(g.row_key, key=lambda x: (_h(x), x))[:k])

@@ -24,7 +24,7 @@ def test_candidates_cover_every_split(total):
        st.lists(st.floats(0, 1), min_size=1, max_size=4))
 def test_exact_quantiles_equal_numpy(spark, values, probs):
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = exact_quantiles(df, ["x"], probs, accuracy=50, max_band=20)["x"]
+    got = exact_quantiles(df, ["x"], probs, accuracy=50)["x"]
     arr = np.array([v for v in values if v is not None])
     if len(arr) == 0:
         assert got == [None] * len(probs)
