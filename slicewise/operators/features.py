@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..functions.columns import clip, dlit
+from ..functions.columns import clip, dlit, nan_to_null
 
 
 def slice_config_table(spark: SparkSession, configs: dict | None = None) -> DataFrame:
@@ -138,8 +138,11 @@ def target_defined(df: DataFrame) -> F.Column:
 
 
 def kpi_features(raw: DataFrame, keep: list[str] | None = None, configs: dict | None = None) -> DataFrame:
-    """the whole feature chain F1-F11 on raw KPI rows (batch or stream)."""
+    """the whole feature chain F1-F11 on raw KPI rows (batch or stream); NaN counts as
+    missing, whatever the source."""
     cols = list(keep or []) + P.FEATURE_COLUMNS + [P.TARGET_COLUMN]
+    floating = [f.name for f in raw.schema.fields if f.dataType.typeName() in ("double", "float")]
+    raw = raw.withColumns({c: nan_to_null(F.col(c)) for c in floating})
     return (raw.where(target_defined(raw))
                .transform(add_temporal)
                .transform(add_sched_code)

@@ -31,11 +31,17 @@ def _long(df_one_row: DataFrame, cols: list[str], fields: list[str]) -> DataFram
     return df_one_row.select(F.inline(F.array(*parts)))
 
 
+def missing(df: DataFrame, c: str):
+    """Null, or NaN in a floating column."""
+    is_float = isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType))
+    return F.col(c).isNull() | F.isnan(c) if is_float else F.col(c).isNull()
+
+
 def missing_pct(df: DataFrame) -> DataFrame:
     """Q1: ``(column, missing_pct)`` = nulls / rows * 100 for every column (one pass)."""
     cols = df.columns
     aggs = [F.count(F.lit(1)).alias("rows")]
-    aggs += [F.count(F.when(F.col(c).isNull(), 1)).alias(f"nulls__{c}") for c in cols]
+    aggs += [F.count(F.when(missing(df, c), 1)).alias(f"nulls__{c}") for c in cols]
     one = df.agg(*aggs)
     one = one.select(*[((F.col(f"nulls__{c}").cast("double") / F.col("rows").cast("double"))
                         * dlit(100.0)).alias(f"missing_pct__{c}") for c in cols])
@@ -105,20 +111,22 @@ def ranges(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return _long(df.agg(*aggs), cols, ["min", "max", "mean", "std"])
 
 
-def row_digest(cols: list[str]) -> F.Column:
-    """A 256-bit digest of a whole row (null-aware), so wide text rows shuffle as 32 bytes."""
-    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in cols])), 256)
+def row_key_columns(df: DataFrame, cols: list[str]) -> list:
+    """Grouping columns that stand for whole rows: values as they are, strings and binaries by
+    their SHA-256, so that wide text rows shuffle as 32 bytes a column; null stays null."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return [(F.unhex(F.sha2(F.col(c).cast("binary"), 256)) if isinstance(kinds[c], (T.StringType, T.BinaryType))
+             else F.col(c)).alias(f"_k{i}") for i, c in enumerate(cols)]
 
 
 def duplicates(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Q4: ``(rows, duplicates, duplicate_pct)``: rows beyond the first of each identical row.
 
-    Grouping is on a row digest: the shuffle carries 32 bytes per distinct row instead of the
-    row itself, with map-side partial counts, so a row repeated a billion times costs one
-    partial count per task.
+    Grouping is on the values themselves (texts by digest), with map-side partial counts, so a
+    row repeated a billion times costs one partial count per task.
     """
     cols = cols or df.columns
-    g = df.groupBy(row_digest(cols).alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    g = df.groupBy(*row_key_columns(df, cols)).agg(F.count(F.lit(1)).alias("_n"))
     return g.agg(F.sum("_n").alias("rows"), F.sum(F.col("_n") - 1).alias("duplicates")).select(
         F.coalesce(F.col("rows"), F.lit(0)).cast("long").alias("rows"),
         F.coalesce(F.col("duplicates"), F.lit(0)).cast("long").alias("duplicates"),
@@ -136,7 +144,7 @@ def quality_score(df: DataFrame, threshold: float = P.QUALITY_THRESHOLD) -> Data
     num = numeric_columns(df)
     cols = df.columns
     got: dict = {}
-    extra = [F.count(F.lit(1))] + [F.count(F.when(F.col(c).isNull(), 1)) for c in cols]
+    extra = [F.count(F.lit(1))] + [F.count(F.when(missing(df, c), 1)) for c in cols]
     b = iqr_bounds(df, num, extra=extra, extra_out=got)
     rows = got[0]
     am = sum((got[j + 1] / rows) * 100.0 for j in range(len(cols))) / len(cols) if rows else None
@@ -235,7 +243,13 @@ def training_checks(features: DataFrame, feature_cols: list[str] = P.FEATURE_COL
 
 
 def diff_runs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Q12: run-to-run equality as multiset differences (``exceptAll`` both ways)."""
-    left, right = a.exceptAll(b).count(), b.exceptAll(a).count()
-    return a.sparkSession.createDataFrame([(left, right, left == 0 and right == 0)],
-                                          "left_only long, right_only long, equal boolean")
+    """Q12: run-to-run equality as multisets: rows only in the left or right frame.
+
+    One grouping of both frames by row, left rows counting +1 and right rows -1.
+    """
+    both = (a.select(*row_key_columns(a, a.columns), F.lit(1).alias("_v"))
+            .unionByName(b.select(*row_key_columns(b, a.columns), F.lit(-1).alias("_v"))))
+    g = both.groupBy(*[c for c in both.columns if c != "_v"]).agg(F.sum("_v").alias("_v"))
+    left, right = F.sum(F.greatest("_v", F.lit(0))), F.sum(F.greatest(-F.col("_v"), F.lit(0)))
+    return g.agg(F.coalesce(left, F.lit(0)).alias("left_only"), F.coalesce(right, F.lit(0)).alias("right_only")).withColumn(
+        "equal", (F.col("left_only") == 0) & (F.col("right_only") == 0))
