@@ -2,12 +2,14 @@
 
 S1 reads the per-UE metric files of a directory tree
 ``{base}/{sched}/{tr}/exp*/bs*/slices_bs*/*_metrics.csv`` in one distributed CSV scan (Hadoop
-glob), with a declared schema, and derives the dimensions from each row's file path
-(``_metadata.file_path``).  Unreadable files are skipped (``ignoreCorruptFiles``).
+glob) per distinct header, and derives the dimensions from each row's file path
+(``_metadata.file_path``).
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
@@ -16,10 +18,15 @@ from pyspark.sql.utils import AnalysisException
 from .. import params as P
 from ..functions.columns import nan_to_null
 
-# Column order of the metric files; names as they appear in the header.
-RAW_CSV_SCHEMA = ("`Timestamp` long, `tx_brate downlink [Mbps]` double, sum_requested_prbs int, "
-                  "sum_granted_prbs int, `tx_errors downlink (%)` double, `rx_errors uplink (%)` double, "
-                  "dl_cqi int, num_ues int")
+# Types of the metric files' columns by header name; any other column stays a string.
+RAW_CSV_TYPES = {
+    "Timestamp": "long", "tx_brate downlink [Mbps]": "double", "sum_requested_prbs": "int",
+    "sum_granted_prbs": "int", "tx_errors downlink (%)": "double", "rx_errors uplink (%)": "double",
+    "dl_cqi": "int", "num_ues": "int", "slice_id": "int",
+}
+REQUIRED_COLUMNS = ["Timestamp"]
+
+LOG = logging.getLogger(__name__)
 
 SCHED_POLICIES = ["sched0", "sched1", "sched2"]
 TRAINING_CONFIGS = [f"tr{i}" for i in range(28)]
@@ -38,35 +45,68 @@ def rename_raw(df: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
                            if isinstance(f.dataType, (DoubleType, FloatType))})
 
 
+def _typed(name: str):
+    c, kind = F.col(f"`{name}`"), RAW_CSV_TYPES.get(name)
+    if kind in ("int", "long"):  # whole numbers may be written as 3.0
+        return F.coalesce(c.try_cast(kind), c.try_cast("double").try_cast(kind))
+    return c.try_cast(kind) if kind else c
+
+
 def _glob(root: str, scheds, configs) -> str:
     return f"{root}/{{{','.join(scheds)}}}/{{{','.join(configs)}}}/exp*/bs*/slices_bs*/*_metrics.csv"
 
 
-def scan_kpi_tree(spark: SparkSession, base: str, scheds=SCHED_POLICIES, configs=TRAINING_CONFIGS,
-                  schema: str = RAW_CSV_SCHEMA, keep_bad_rows: bool = False) -> DataFrame:
-    """All metric files under ``base/rome_static_medium`` or ``base`` (whichever has them).
-
-    Unreadable files are skipped; a malformed line becomes a row of nulls, and with
-    ``keep_bad_rows`` its raw text is kept in ``_corrupt_record`` for inspection.
-    """
+def kpi_headers(spark: SparkSession, base: str, scheds=SCHED_POLICIES, configs=TRAINING_CONFIGS) -> DataFrame:
+    """``path, header`` of every metric file under ``base/rome_static_medium`` or ``base`` (whichever
+    has them); the header is null for a file that cannot be read or has no header line."""
     last = None
-    if keep_bad_rows:
-        schema = schema + ", _corrupt_record string"
     for root in (f"{base}/rome_static_medium", base):
         try:
-            r = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-                      .option("ignoreCorruptFiles", True))
-            if keep_bad_rows:
-                r = r.option("columnNameOfCorruptRecord", "_corrupt_record")
-            df = r.csv(_glob(root, scheds, configs))
-            df = df.select("*", F.col("_metadata.file_path").alias("_path"))
-            df.schema  # resolve now: a glob without matches raises here
-            break
+            glob = _glob(root, scheds, configs)
+            files = spark.read.format("binaryFile").load(glob).select("path")
+            lines = spark.read.option("ignoreCorruptFiles", True).text(glob)
         except AnalysisException as e:  # no files under this root
             last = e
-            df = None
-    if df is None:
-        raise FileNotFoundError(f"no KPI metric files under {base}") from last
+            continue
+        # the header is the line that names the required columns
+        named = lines.where(F.regexp_replace("value", "^\ufeff", "").contains(REQUIRED_COLUMNS[0]))
+        heads = named.groupBy(F.col("_metadata.file_path").alias("h_path")).agg(F.min("value").alias("header"))
+        return files.join(heads, F.regexp_replace("path", "^[a-z]+:/*", "/") ==
+                          F.regexp_replace("h_path", "^[a-z]+:/*", "/"), "left").select("path", "header")
+    raise FileNotFoundError(f"no KPI metric files under {base}") from last
+
+
+def scan_kpi_tree(spark: SparkSession, base: str, scheds=SCHED_POLICIES, configs=TRAINING_CONFIGS) -> DataFrame:
+    """All metric files, columns found by header name.
+
+    Files of the same header are one scan, and the scans are united by name: columns may come in
+    any order, and a column that a file lacks is null there.  Known columns get their types (a
+    value that does not parse is null), others stay strings.  Files that cannot be read are
+    skipped and their number is logged.
+    """
+    heads = kpi_headers(spark, base, scheds, configs).collect()  # one row per file, as a listing has
+    lost = sorted(r["path"] for r in heads if r["header"] is None)
+    if lost:
+        LOG.warning("%d of %d metric files have no readable header and are left out, e.g. %s",
+                    len(lost), len(heads), lost[0])
+    by_header: dict[str, list] = {}
+    for r in heads:
+        if r["header"] is not None:
+            by_header.setdefault(r["header"], []).append(r["path"])
+    if not by_header:
+        raise FileNotFoundError(f"no readable KPI metric file under {base}")
+    df = None
+    for header, paths in sorted(by_header.items()):
+        names = [n.strip().strip('"') for n in header.lstrip("\ufeff").split(",")]
+        names = [n or f"_c{i}" for i, n in enumerate(names)]
+        schema = ", ".join(f"`{n}` string" for n in names)
+        part = (spark.read.schema(schema).option("header", True).option("ignoreCorruptFiles", True)
+                .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(paths))
+        part = part.select(*[_typed(n).alias(n) for n in names], F.col("_metadata.file_path").alias("_path"))
+        df = part if df is None else df.unionByName(part, allowMissingColumns=True)
+    for name, kind in RAW_CSV_TYPES.items():  # the slice is optional: F3 fills it
+        if name not in df.columns and name != "slice_id":
+            df = df.withColumn(name, F.lit(None).cast(kind))
     p = F.col("_path")
     exp = F.regexp_extract(p, r"/exp(\d+)/", 1)
     bs = F.regexp_extract(p, r"/bs(\d+)/slices_bs", 1)
