@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,159 +121,134 @@ def request_rate(log: DataFrame, minutes: int = 5, slide_minutes: int | None = N
 # --- L2: rate limiter (recursive: the decision depends on earlier decisions) -------------------
 
 RATE_SCHEMA = "event_id long, client long, ts timestamp_ntz, accepted boolean"
-_PASS_SCHEMA = ("kind string, client long, _b long, event_id long, ts timestamp_ntz, "
-                "accepted boolean, _us long")
-
-
-def _limiter(limit: int, window_us: int):
-    """Sequential limiter over rows sorted by (client, time, id); per-client state <= limit."""
-    def run(batches):
-        state: dict = {}
-        for pdf in batches:
-            us = pdf["_us"].to_numpy()
-            cl = pdf["client"].to_numpy()
-            acc = []
-            for c, t in zip(cl, us):
-                q = state.get(c)
-                if q is None:
-                    q = state[c] = deque()
-                while q and not (t - q[0] < window_us):
-                    q.popleft()
-                if len(q) >= limit:
-                    acc.append(False)
-                else:
-                    q.append(t)
-                    acc.append(True)
-            yield pd.DataFrame({"event_id": pdf["event_id"], "client": pdf["client"],
-                                "ts": pdf["ts"], "accepted": acc})
-    return run
+_PASS_SCHEMA = "event_id long, client long, ts timestamp_ntz, accepted boolean, _b long, carry array<long>"
+
+
+def admit(times: np.ndarray, accepted: deque, limit: int, window_us: int) -> np.ndarray:
+    """Decisions for sorted ``times``, given the accepted times still in the window (changed in
+    place, at most ``limit``).  When the limit is reached it goes straight to the first time at
+    which the oldest accepted request has left the window, so the cost is per accepted request."""
+    out = np.zeros(len(times), bool)
+    i = 0
+    while i < len(times) and limit > 0:
+        t = int(times[i])
+        while accepted and t - accepted[0] >= window_us:
+            accepted.popleft()
+        if len(accepted) < limit:
+            accepted.append(t)
+            out[i] = True
+            i += 1
+        else:
+            i += int(np.searchsorted(times[i:], accepted[0] + window_us, "left"))
+    return out
 
 
 def _bucket_pass(limit: int, window_us: int, bucket_us: int):
-    """One pass over rows sorted by (client, bucket, kind, time, id): ``kind`` 0 rows are the
-    accepted times carried in from the previous bucket, ``kind`` 1 rows are the bucket's events.
-    Emits every event's decision and, per bucket, the accepted times that reach into the next
-    bucket (at most ``limit``)."""
+    """Over rows sorted by (client, bucket, kind, time, id): ``kind`` 0 rows bring the accepted
+    times carried in from the previous bucket, ``kind`` 1 rows are the bucket's events.  Gives
+    every event's decision and one row per bucket with the accepted times that reach into the
+    next one; both hold at most ``limit`` times."""
     def run(batches):
-        cur, q, mine = None, deque(), []
-        carry: list = []
+        key, q = None, deque()
 
-        def close(key):
-            if key is None:
-                return
+        def closed():
             end = (key[1] + 1) * bucket_us
-            for t in mine:
-                if t > end - window_us:
-                    carry.append((key[0], key[1] + 1, int(t)))
+            return key[0], key[1] + 1, [t for t in q if t > end - window_us]
+
         for pdf in batches:
-            ev, dec = [], []
-            for kind, c, b, t, eid, ts in zip(pdf["_kind"].to_numpy(), pdf["client"].to_numpy(),
-                                              pdf["_b"].to_numpy(), pdf["_us"].to_numpy(),
-                                              pdf["event_id"].to_numpy(), pdf["ts"]):
-                key = (c, b)
-                if key != cur:
-                    close(cur)
-                    cur, q, mine = key, deque(), []
-                if kind == 0:
-                    q.append(t)
-                    continue
-                while q and not (t - q[0] < window_us):
-                    q.popleft()
-                ok = len(q) < limit
-                if ok:
-                    q.append(t)
-                    mine.append(t)
-                ev.append((c, b, eid, ts, t))
-                dec.append(ok)
-            if ev:
-                e = pd.DataFrame(ev, columns=["client", "_b", "event_id", "ts", "_us"])
-                e["accepted"] = dec
-                e["kind"] = "e"
-                yield e[["kind", "client", "_b", "event_id", "ts", "accepted", "_us"]]
-            if carry:
-                yield _carry_frame(carry)
-                carry.clear()
-        close(cur)
-        if carry:
-            yield _carry_frame(carry)
+            if not len(pdf):
+                continue
+            c, b, kind, us = (pdf[x].to_numpy() for x in ("client", "_b", "_kind", "_us"))
+            first = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (b[1:] != b[:-1])])
+            carries, parts = [], []
+            for lo, hi in zip(first, np.r_[first[1:], len(pdf)]):
+                if (c[lo], b[lo]) != key:
+                    if key is not None:
+                        carries.append(closed())
+                    key, q = (c[lo], b[lo]), deque()
+                if kind[lo] == 0:
+                    q.extend(int(t) for t in pdf["carry"].iloc[lo])
+                    lo += 1
+                if lo < hi:
+                    parts.append(pd.DataFrame({
+                        "event_id": pdf["event_id"].iloc[lo:hi], "client": c[lo:hi], "ts": pdf["ts"].iloc[lo:hi],
+                        "accepted": admit(us[lo:hi], q, limit, window_us), "_b": b[lo:hi], "carry": None}))
+            if parts:
+                yield pd.concat(parts)
+            if carries:
+                yield _carry_frame(carries)
+        if key is not None:
+            yield _carry_frame([closed()])
     return run
 
 
-def _carry_frame(carry) -> pd.DataFrame:
-    c = pd.DataFrame(carry, columns=["client", "_b", "_us"])
-    n = len(c)
-    c["kind"] = "s"
-    c["event_id"] = pd.array([None] * n, dtype="Int64")
-    c["ts"] = pd.Series(pd.NaT, index=c.index, dtype="datetime64[us]")
-    c["accepted"] = pd.array([None] * n, dtype="boolean")
-    return c[["kind", "client", "_b", "event_id", "ts", "accepted", "_us"]]
+def _carry_frame(carries: list) -> pd.DataFrame:
+    n = len(carries)
+    return pd.DataFrame({"event_id": pd.array([None] * n, dtype="Int64"), "client": [c for c, _, _ in carries],
+                         "ts": pd.Series([pd.NaT] * n, dtype="datetime64[us]"),
+                         "accepted": pd.array([None] * n, dtype="boolean"), "_b": [b for _, b, _ in carries],
+                         "carry": [t for _, _, t in carries]})
 
 
 def rate_limit(log: DataFrame, limit: int = P.RATE_LIMIT, window_seconds: int = P.RATE_WINDOW_SECONDS,
-               hot_client_rows: int = 5_000_000, bucket_factor: int = 4) -> DataFrame:
+               bucket_factor: int = 32) -> DataFrame:
     """L2: a request is rejected when the client already has ``limit`` *accepted* requests in
-    the trailing window; rejected requests do not count.
-
-    One aggregation finds the busiest client.  If it has at most ``hot_client_rows`` events, one
-    sequential pass per client is cheapest (``rate_limit_sequential``); otherwise the buckets of
-    each client are decided in parallel (``rate_limit_bucketed``).  Both are exact.
-    """
-    busiest = log.groupBy("client").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if busiest is None or busiest <= hot_client_rows:
-        return rate_limit_sequential(log, limit, window_seconds)
-    return rate_limit_bucketed(log, limit, window_seconds, bucket_factor)
-
-
-def rate_limit_bucketed(log: DataFrame, limit: int = P.RATE_LIMIT,
-                        window_seconds: int = P.RATE_WINDOW_SECONDS,
-                        bucket_factor: int = 4, max_iterations: int = 16) -> DataFrame:
-    """L2 decided per ``(client, time bucket)`` in parallel: a request is rejected when the client already has ``limit`` *accepted* requests in
     the trailing window; rejected requests do not count.  Ties in time are broken by event id.
 
-    The rule is recursive, but a decision only depends on accepted requests less than one
-    window old.  With time buckets at least one window long, a bucket depends on its
-    predecessor only through the accepted times that reach into it (at most ``limit``).  So the
-    buckets are processed in parallel, partitioned by ``(client, bucket)``: the first pass
-    assumes nothing is carried in, every further pass feeds each bucket the carry computed by
-    the previous pass, until the carries stop changing.  At that fixed point every bucket saw
-    its true carry (by induction from each client's first bucket), so the result is exact; a
-    busy client is spread over its buckets instead of one task.  If ``max_iterations`` passes do
-    not converge, the exact sequential pass per client (bounded state, one task per client)
-    decides instead.  Each pass is written to the shared checkpoint folder, cutting lineage.
+    The rule is recursive, but a decision depends only on accepted requests less than a window
+    old.  Time is cut into buckets of ``bucket_factor`` windows, so a (client, bucket) depends on
+    its predecessor only through the accepted times that reach into it, at most ``limit``.  The
+    first pass decides all buckets with nothing carried in; every further pass decides again just
+    the buckets whose carried-in times turned out different, until none does.  Then every bucket
+    has seen its true carry (by induction from each client's first), so the result is exact.  A
+    busy client is spread over its buckets; each pass is written to the shared checkpoint folder.
     """
     from ..session import scratch_path
     spark = log.sparkSession
     w_us = int(window_seconds) * 1_000_000
     b_us = w_us * max(1, int(bucket_factor))
-    base = log.select("event_id", "client", "ts", _micros("ts").alias("_us"))
-    base = base.withColumn("_b", F.floor(F.col("_us") / F.lit(b_us)).cast("long"))
-    events = base.select(F.lit(1).alias("_kind"), "client", "_b", "_us", "event_id", "ts")
+    events = log.select("event_id", "client", "ts", _micros("ts").alias("_us"))
+    events = events.withColumn("_b", F.floor(F.col("_us") / F.lit(b_us)).cast("long"))
+    none = F.lit(None).cast("array<long>")
     fn = _bucket_pass(int(limit), w_us, b_us)
-    carry = None
-    prev_path = None
-    for _ in range(max_iterations):
-        rows = events
-        if carry is not None:
-            rows = rows.unionByName(carry.select(
-                F.lit(0).alias("_kind"), "client", "_b", "_us",
-                F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("timestamp_ntz").alias("ts")))
-        out = (rows.repartition("client", "_b").sortWithinPartitions("client", "_b", "_kind", "_us", "event_id")
-                   .mapInPandas(fn, _PASS_SCHEMA))
+
+    def decide(rows: DataFrame, given: DataFrame | None, number: int) -> DataFrame:
+        rows = rows.select(F.lit(1).alias("_kind"), "client", "_b", "_us", "event_id", "ts", none.alias("carry"))
+        if given is not None:
+            rows = rows.unionByName(given.select(
+                F.lit(0).alias("_kind"), "client", "_b", F.lit(None).cast("long").alias("_us"),
+                F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("timestamp_ntz").alias("ts"), "carry"))
         path = scratch_path(spark, "rate-limit-pass")
-        out.write.parquet(path)
-        res = spark.read.parquet(path)
-        new_carry = res.where(F.col("kind") == "s").select("client", "_b", "_us")
-        if carry is not None and new_carry.exceptAll(carry).count() == 0 \
-                and carry.exceptAll(new_carry).count() == 0:
-            return res.where(F.col("kind") == "e").select("event_id", "client", "ts", "accepted")
-        carry, prev_path = new_carry, path
-    return rate_limit_sequential(log, limit, window_seconds)
-
-
-def rate_limit_sequential(log: DataFrame, limit: int = P.RATE_LIMIT,
-                          window_seconds: int = P.RATE_WINDOW_SECONDS) -> DataFrame:
-    """L2 as one sequential pass per client: hash-partitioned by client, sorted by time within
-    partitions, one Arrow-batched pass keeping at most ``limit`` accepted times per client."""
-    x = (log.select("event_id", "client", "ts", _micros("ts").alias("_us"))
-            .repartition("client").sortWithinPartitions("client", "_us", "event_id"))
-    return x.mapInPandas(_limiter(int(limit), int(window_seconds) * 1_000_000), RATE_SCHEMA)
+        (rows.repartition("client", "_b").sortWithinPartitions("client", "_b", "_kind", "_us", "event_id")
+         .mapInPandas(fn, _PASS_SCHEMA).withColumn("_pass", F.lit(number)).write.parquet(path))
+        return spark.read.parquet(path)
+
+    buckets = events.select("client", "_b").distinct()
+    done = decide(events, None, 0)
+    # what each bucket has been given so far; nothing in the first pass
+    given = buckets.withColumn("was", F.array().cast("array<long>"))
+    number = 0
+    while True:
+        latest = (done.where("carry is not null").groupBy("client", "_b")
+                  .agg(F.max_by("carry", "_pass").alias("carry")))
+        changed = given.join(latest, ["client", "_b"]).where("carry <> was").select("client", "_b", "carry")
+        path = scratch_path(spark, "rate-limit-changed")
+        changed.write.parquet(path)
+        changed = spark.read.parquet(path)
+        if changed.isEmpty():
+            break
+        number += 1
+        done = done.unionByName(decide(events.join(changed, ["client", "_b"], "left_semi"), changed, number))
+        path = scratch_path(spark, "rate-limit-given")
+        (given.join(changed.withColumnRenamed("carry", "now"), ["client", "_b"], "left")
+         .select("client", "_b", F.coalesce("now", "was").alias("was")).write.parquet(path))
+        given = spark.read.parquet(path)
+    decisions = done.where("carry is null")
+    last = decisions.groupBy("client", "_b").agg(F.max("_pass").alias("_pass"))
+    return decisions.join(last, ["client", "_b", "_pass"]).select("event_id", "client", "ts", "accepted")
+
+
+def rate_limit_bucketed(log: DataFrame, limit: int = P.RATE_LIMIT,
+                        window_seconds: int = P.RATE_WINDOW_SECONDS, bucket_factor: int = 4) -> DataFrame:
+    """:func:`rate_limit` with short buckets."""
+    return rate_limit(log, limit, window_seconds, bucket_factor)

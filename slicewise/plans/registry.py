@@ -519,10 +519,13 @@ def q_alloc_compare(spark, sf_dir):
 # --- streaming forms -----------------------------------------------------------------------------
 
 
-def _stage_parquet(df: DataFrame, name: str, parts: int = 8) -> str:
+STREAM_FILE_ROWS = 20_000  # rows of a staged file, so the number of files grows with the table
+
+
+def _stage_parquet(df: DataFrame, name: str) -> str:
     """Write a Spark-derived frame as a set of parquet files (a file-stream source)."""
     path = scratch_path(df.sparkSession, name)
-    df.repartition(parts).write.parquet(path)
+    df.write.option("maxRecordsPerFile", STREAM_FILE_ROWS).parquet(path)
     return path
 
 
@@ -531,7 +534,7 @@ def q_stream_kpi_features(spark, sf_dir):
     """F12 as a stream: KPI rows staged as files, read with readStream, same feature code."""
     raw = kpi(spark, sf_dir)
     src = _stage_parquet(raw, "kpi-stream-src")
-    stream = SS.kpi_feature_stream(spark, src, raw.schema, keep=(), max_files_per_trigger=2)
+    stream = SS.kpi_feature_stream(spark, src, raw.schema, keep=(), max_files_per_trigger=1)
     return spark.read.parquet(SS.run_available_now(stream, "kpi-features"))
 
 
@@ -539,10 +542,15 @@ def q_stream_kpi_features(spark, sf_dir):
 def q_stream_rate_limit(spark, sf_dir):
     """L2 as a stream over the access log staged as files."""
     log = access_log(spark, sf_dir).select("event_id", "client", "ts")
-    src = _stage_parquet(log.orderBy("ts"), "log-stream-src", parts=1)
-    stream = spark.readStream.schema(log.schema).parquet(src)
-    out = SS.rate_limit_stream(stream, limit=LOG_LIMIT, window_seconds=LOG_WINDOW_S, watermark="2 days")
-    return spark.read.parquet(SS.run_available_now(out, "rate-limit"))
+    # the log arrives in time slices, one micro-batch each: state is carried from one to the next
+    src = scratch_path(spark, "log-stream-src")
+    base = scratch_path(spark, "stream-rate-limit")
+    for cond in _time_slices(log, "ts"):
+        log.where(cond).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(log.schema).parquet(src)
+        out = SS.rate_limit_stream(stream, limit=LOG_LIMIT, window_seconds=LOG_WINDOW_S, watermark="2 days")
+        path = SS.run_available_now(out, "rate-limit", base=base)
+    return spark.read.parquet(path)
 
 
 # --- D1, S1/S2, F13 --------------------------------------------------------------------------------

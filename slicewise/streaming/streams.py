@@ -14,9 +14,11 @@ Checkpoints of every query go under the shared checkpoint folder of the session.
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,25 +57,25 @@ def _rate_limit_fn(limit: int, window_us: int):
         if state.hasTimedOut:
             state.remove()
             return
-        acc = list(state.get[0]) if state.exists else []
+        acc = deque(state.get[0] if state.exists else [])
+        # times and ids only are kept together for sorting; the rows go out batch by batch
         parts = [p for p in pdfs if len(p)]
         if not parts:
             return
-        pdf = pd.concat(parts).sort_values(["_us", "event_id"])
-        out = []
-        for t in pdf["_us"].to_numpy():
-            acc = [a for a in acc if t - a < window_us]
-            if len(acc) >= limit:
-                out.append(False)
-            else:
-                acc.append(int(t))
-                out.append(True)
-        state.update((acc,))
+        us = np.concatenate([p["_us"].to_numpy() for p in parts])
+        ids = np.concatenate([p["event_id"].to_numpy() for p in parts])
+        order = np.lexsort((ids, us))
+        ok = np.empty(len(us), bool)
+        ok[order] = LG.admit(us[order], acc, limit, window_us)
+        state.update((list(acc),))
         # drop the client's state once the watermark passes the end of its window
-        state.setTimeoutTimestamp(int(max(acc) // 1000 + window_us // 1000) if acc else
-                                  int(pdf["_us"].max() // 1000))
-        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "client": pdf["client"].to_numpy(),
-                            "ts": pdf["ts"].to_numpy(), "accepted": out})
+        last = acc[-1] + window_us if acc else int(us.max())
+        state.setTimeoutTimestamp(max(int(last // 1000), state.getCurrentWatermarkMs() + 1))
+        at = 0
+        for p in parts:
+            yield pd.DataFrame({"event_id": p["event_id"].to_numpy(), "client": p["client"].to_numpy(),
+                                "ts": p["ts"].to_numpy(), "accepted": ok[at:at + len(p)]})
+            at += len(p)
     return fn
 
 
@@ -113,13 +115,14 @@ def state_partitions(spark: SparkSession, n: int | None = None):
 
 
 def run_available_now(stream: DataFrame, name: str, fmt: str = "parquet",
-                      output_mode: str = "append") -> str:
+                      output_mode: str = "append", base: str | None = None) -> str:
     """Run a streaming query over everything available and return the sink path.
 
-    Sink and checkpoint live in the shared checkpoint folder, so a restarted job resumes.
+    Sink and checkpoint live in the shared checkpoint folder, so a restarted job resumes; with
+    the same ``base`` a later call goes on from the state of the call before.
     """
     spark = stream.sparkSession
-    base = scratch_path(spark, f"stream-{name}")
+    base = base or scratch_path(spark, f"stream-{name}")
     with state_partitions(spark):
         q = (stream.writeStream.format(fmt).outputMode(output_mode)
                    .option("checkpointLocation", os.path.join(base, "_checkpoint"))

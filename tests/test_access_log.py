@@ -52,13 +52,19 @@ def test_rate_limit_brute_force(spark, sf, window_s, limit, bucket_factor):
            LG.rate_limit_bucketed(log, limit=limit, window_seconds=window_s,
                                   bucket_factor=bucket_factor).collect()}
     assert got == want
-    adaptive = {r.event_id: r.accepted for r in
-                LG.rate_limit(log, limit=limit, window_seconds=window_s, hot_client_rows=5).collect()}
-    assert adaptive == want
+    long = {r.event_id: r.accepted for r in LG.rate_limit(log, limit=limit, window_seconds=window_s).collect()}
+    assert long == want
     assert not all(got.values())
-    seq = {r.event_id: r.accepted for r in
-           LG.rate_limit_sequential(log, limit=limit, window_seconds=window_s).collect()}
-    assert seq == want
+
+
+def test_rate_limit_steady_client(spark):
+    """One client with a request every 3 s: every bucket's carry hangs on the one before."""
+    times = [1_000_000 * 3 * i for i in range(150)]
+    log = spark.createDataFrame([(i, 7, t) for i, t in enumerate(times)], "event_id long, client long, us long")
+    log = log.select("event_id", "client", F.expr("cast(timestamp_micros(us) as timestamp_ntz)").alias("ts"))
+    want = _limiter(pd.DataFrame({"event_id": range(150), "client": 7, "us": times}), 2, 10_000_000)
+    out = LG.rate_limit(log, limit=2, window_seconds=10, bucket_factor=4)
+    assert {r.event_id: r.accepted for r in out.collect()} == want
 
 
 def test_screen_text_cases(spark):
