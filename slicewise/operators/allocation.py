@@ -17,6 +17,7 @@ per-(slice, RBG) scores with a model transform instead (see ``models.py``).
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,9 @@ from ..functions.partitioning import spread
 # --- A1: candidates -----------------------------------------------------------------------------
 
 def candidate_list(total: int = P.TOTAL_RBGS) -> list[tuple[int, int, int]]:
-    """All ``(a, b, T-a-b)`` with every part >= 1, ordered by a then b."""
-    return [(a, b, total - a - b) for a in range(1, total - 1) for b in range(1, total - a)
-            if total - a - b >= 1]
+    """All splits of ``total`` into three parts of at least 1, ordered by the first, then the
+    second part: every pair of cut points between the groups."""
+    return [(x, y - x, total - y) for x, y in combinations(range(1, total), 2)]
 
 
 def candidates(spark: SparkSession, total: int = P.TOTAL_RBGS) -> DataFrame:

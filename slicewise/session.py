@@ -110,6 +110,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = sc.getCheckpointDir()
         if d:
             return d
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share; "
+                               f"on {sc.master} a folder of this machine would lose rows")
         d = tempfile.mkdtemp(prefix="slicewise-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
