@@ -7,11 +7,15 @@ Aggregates are rounded to 6 decimals because summation order differs between eng
 
 from __future__ import annotations
 
-from slicewise import params as P
+# fixed values, written out here so that a wrong constant of the library shows: resource-block
+# groups of slices 0, 1, 2 for tr0, tr1, ...
+SLICE_TABLE = """2 13 2, 4 11 2, 6 9 2, 8 7 2, 10 5 2, 12 3 2, 14 1 2, 2 11 4, 4 9 4, 6 7 4, 8 5 4, 10 3 4,
+12 1 4, 2 9 6, 4 7 6, 6 5 6, 8 3 6, 10 1 6, 2 7 8, 4 5 8, 6 3 8, 8 1 8, 2 5 10, 4 3 10, 6 1 10, 2 3 12,
+4 1 12, 2 1 14"""
 
 
 def _slice_values() -> str:
-    rows = [f"('{cfg}', {i}, {r})" for cfg, rbgs in P.SLICE_CONFIGS.items() for i, r in enumerate(rbgs)]
+    rows = [f"('tr{t}', {i}, {r})" for t, row in enumerate(SLICE_TABLE.split(",")) for i, r in enumerate(row.split())]
     return ", ".join(rows)
 
 
@@ -121,6 +125,7 @@ def oracle_sql() -> dict[str, str]:
     q["stream_request_rate"] = q["log_request_rate"]
     q.update(misc_sql())
     q["ml_verdict"] = _verdict_sql(q.pop("_alloc_base"))
+    q.update(property_sql())
     return q
 
 
@@ -412,8 +417,10 @@ def log_sql() -> dict[str, str]:
       WHERE n.now - epoch_us(ts) < {w + 1} AND epoch_us(ts) <= n.now GROUP BY user_id"""
     q["log_recent"] = """SELECT event_id, user_id AS client, ts, event_type FROM events
       ORDER BY ts DESC, event_id DESC LIMIT 50"""
-    cls = P.STRIP_CHARS_CLASS
-    danger = " OR ".join(f"contains(lower(text), '{p}')" for p in P.DANGEROUS_PATTERNS)
+    cls = (r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+           r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+    danger = " OR ".join(f"contains(lower(text), '{p}')" for p in (
+        "<script", "javascript:", "data:", "vbscript:", "onload=", "onerror="))
     q["screen_text"] = f"""WITH s AS (
         SELECT 'pages' AS source, page_id AS id, html AS text FROM pages
         UNION ALL SELECT 'documents', doc_id, text FROM documents),
@@ -450,3 +457,48 @@ def misc_sql() -> dict[str, str]:
             parts.append(f"SELECT '{c}' AS \"column\", 'double' AS old_type, 'float' AS new_type")
     q["compact_types"] = f"{BASE} " + " UNION ALL ".join(parts)
     return q
+
+
+def property_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    test = "(SELECT count(*) FROM feat WHERE substr(md5(row_key || '|42'), 1, 4) < '3333')"
+    q["ml_properties"] = f"""{BASE} SELECT name, CAST(n AS BIGINT) AS n, true AS ok FROM (VALUES
+      ('forest in [0, 1]', {test}), ('boosting in [0, 1]', {test}), ('ensemble is the mean', {test}),
+      ('reloaded forest predicts the same', {test}), ('importances sum to 1', 12), ('r2 above 0.9', 2)) v(name, n)"""
+    n = "(SELECT count(*) FROM kpi)"
+    q["alloc_properties"] = f"""{BASE} SELECT name, CAST({n} AS BIGINT) AS n, true AS ok FROM (VALUES
+      ('genetic totals'), ('genetic not above exhaustive'), ('methods compared'), ('model search totals'),
+      ('model search not below current')) v(name)"""
+    q["report_values"] = alloc_sql()["alloc_improvement_summary"]
+    # slice 0 of each training configuration: tr0 to tr27
+    first = [2, 4, 6, 8, 10, 12, 14, 2, 4, 6, 8, 10, 12, 2, 4, 6, 8, 10, 2, 4, 6, 8, 2, 4, 6, 2, 4, 2]
+    values = ", ".join(f"('tr{i}', {r})" for i, r in enumerate(first))
+    q["feat_default_slice"] = f"""WITH {KPI_CTE}, c(training_config, rbgs) AS (VALUES {values})
+      SELECT row_key, 0 AS slice_id, CAST(coalesce(rbgs, 0) AS INTEGER) AS allocated_rbgs
+      FROM kpi LEFT JOIN c USING (training_config)"""
+    q["kpi_tree_scan"] = f"""WITH {KPI_CTE} SELECT row_key, ts_ms, sched_policy, training_config,
+      num_ues, dl_cqi, sum_requested_prbs, sum_granted_prbs FROM kpi"""
+    w = 86400 * 1000000
+    q["security_report"] = f"""SELECT 'failures' AS section, user_id AS client, count(*) AS value FROM events
+        WHERE event_type = 'error' GROUP BY user_id
+      UNION ALL SELECT 'active_requests', user_id, count(*) FROM events, (SELECT max(epoch_us(ts)) AS now FROM events) n
+        WHERE n.now - epoch_us(ts) < {w} AND epoch_us(ts) <= n.now GROUP BY user_id
+      UNION ALL SELECT 'settings', NULL, 2"""
+    q["prep_prepare_data"] = f"""{BASE}, s AS (SELECT *, md5(row_key || '|42') AS h FROM feat
+        WHERE allocation_efficiency IS NOT NULL ORDER BY h, row_key LIMIT 5000),
+      r AS (SELECT slice_id, row_number() OVER (PARTITION BY slice_id ORDER BY h, row_key) AS rn,
+                   count(*) OVER (PARTITION BY slice_id) AS c FROM s)
+      SELECT CAST(slice_id AS FLOAT) AS slice_id, CASE WHEN rn <= floor(0.2e0 * c) THEN 'test' ELSE 'train' END AS split,
+             count(*) AS n FROM r GROUP BY 1, 2"""
+    d = "(CAST('0x' || substr(md5(row_key), 1, 6) AS BIGINT) % 100)"
+    q["faulty_inputs"] = f"""{BASE}, d AS (SELECT feat.*, {d} AS d FROM feat),
+      k AS (SELECT kpi.*, {d} AS d FROM kpi),
+      x AS (SELECT count(*) AS n, count(*) FILTER (d >= 7) AS defined, count(*) FILTER (d = 30) AS twice,
+                   count(*) FILTER (d BETWEEN 20 AND 25) AS inf, count(*) FILTER (d < 7) AS gone,
+                   count(*) FILTER (d < 3) AS wrong,
+                   count(*) FILTER (d < 7 OR d BETWEEN 20 AND 25) AS changed FROM d)
+      SELECT name, CAST(v AS BIGINT) AS n, true AS ok FROM x, LATERAL (VALUES
+        ('with target', defined + twice), ('duplicates', twice), ('infinite qos', inf), ('constant load', 1),
+        ('constant hour', 0), ('left only', changed), ('right only', changed + twice), ('invalid allocations', wrong),
+        ('target defined', (SELECT count(*) FROM k WHERE d >= 7 OR sum_requested_prbs <= 0))) t(name, v)"""
+    return q

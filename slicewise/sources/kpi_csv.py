@@ -9,6 +9,7 @@ glob) per distinct header, and derives the dimensions from each row's file path
 from __future__ import annotations
 
 import logging
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,25 @@ def rename_raw(df: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
                            if isinstance(f.dataType, (DoubleType, FloatType))})
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Where the files of a tree lie: a glob with ``{scheds}`` and ``{configs}``, and for each
+    dimension the pattern of the path that holds it (first group)."""
+
+    glob: str = "{scheds}/{configs}/exp*/bs*/slices_bs*/*_metrics.csv"
+    exp_id: str = r"/exp(\d+)/"
+    bs_id: str = r"/bs(\d+)/slices_bs"
+    imsi: str = r"/([^/]+)_metrics\.csv$"
+    sched_policy: str = r"/(sched[^/]+)/tr[^/]+/exp"
+    training_config: str = r"/sched[^/]+/(tr[^/]+)/exp"
+
+
+# the same files as a partitioned table, as Spark writes it
+PARTITIONED = Layout("sched_policy={scheds}/training_config={configs}/*.csv",
+                     r"/exp_id=(\d+)/", r"/bs_id=(\d+)/", r"/([^/]+)\.csv$", r"/sched_policy=([^/]+)/",
+                     r"/training_config=([^/]+)/")
+
+
 def _typed(name: str):
     c, kind = F.col(f"`{name}`"), RAW_CSV_TYPES.get(name)
     if kind in ("int", "long"):  # whole numbers may be written as 3.0
@@ -52,17 +72,19 @@ def _typed(name: str):
     return c.try_cast(kind) if kind else c
 
 
-def _glob(root: str, scheds, configs) -> str:
-    return f"{root}/{{{','.join(scheds)}}}/{{{','.join(configs)}}}/exp*/bs*/slices_bs*/*_metrics.csv"
+def _glob(root: str, scheds, configs, layout: Layout) -> str:
+    some = lambda names: "{" + ",".join(names) + "}"
+    return f"{root}/" + layout.glob.replace("{scheds}", some(scheds)).replace("{configs}", some(configs))
 
 
-def kpi_headers(spark: SparkSession, base: str, scheds=SCHED_POLICIES, configs=TRAINING_CONFIGS) -> DataFrame:
+def kpi_headers(spark: SparkSession, base: str, scheds=SCHED_POLICIES, configs=TRAINING_CONFIGS,
+                layout: Layout = Layout()) -> DataFrame:
     """``path, header`` of every metric file under ``base/rome_static_medium`` or ``base`` (whichever
     has them); the header is null for a file that cannot be read or has no header line."""
     last = None
     for root in (f"{base}/rome_static_medium", base):
         try:
-            glob = _glob(root, scheds, configs)
+            glob = _glob(root, scheds, configs, layout)
             files = spark.read.format("binaryFile").load(glob).select("path")
             lines = spark.read.option("ignoreCorruptFiles", True).text(glob)
         except AnalysisException as e:  # no files under this root
@@ -76,7 +98,8 @@ def kpi_headers(spark: SparkSession, base: str, scheds=SCHED_POLICIES, configs=T
     raise FileNotFoundError(f"no KPI metric files under {base}") from last
 
 
-def scan_kpi_tree(spark: SparkSession, base: str, scheds=SCHED_POLICIES, configs=TRAINING_CONFIGS) -> DataFrame:
+def scan_kpi_tree(spark: SparkSession, base: str, scheds=SCHED_POLICIES, configs=TRAINING_CONFIGS,
+                  layout: Layout = Layout()) -> DataFrame:
     """All metric files, columns found by header name.
 
     Files of the same header are one scan, and the scans are united by name: columns may come in
@@ -84,7 +107,7 @@ def scan_kpi_tree(spark: SparkSession, base: str, scheds=SCHED_POLICIES, configs
     value that does not parse is null), others stay strings.  Files that cannot be read are
     skipped and their number is logged.
     """
-    heads = kpi_headers(spark, base, scheds, configs).collect()  # one row per file, as a listing has
+    heads = kpi_headers(spark, base, scheds, configs, layout).collect()  # one row per file, as a listing has
     lost = sorted(r["path"] for r in heads if r["header"] is None)
     if lost:
         LOG.warning("%d of %d metric files have no readable header and are left out, e.g. %s",
@@ -108,15 +131,14 @@ def scan_kpi_tree(spark: SparkSession, base: str, scheds=SCHED_POLICIES, configs
         if name not in df.columns and name != "slice_id":
             df = df.withColumn(name, F.lit(None).cast(kind))
     p = F.col("_path")
-    exp = F.regexp_extract(p, r"/exp(\d+)/", 1)
-    bs = F.regexp_extract(p, r"/bs(\d+)/slices_bs", 1)
+    exp, bs = F.regexp_extract(p, layout.exp_id, 1), F.regexp_extract(p, layout.bs_id, 1)
     out = df.select(
         "*",
         F.when(bs == "", 1).otherwise(bs.cast("int")).alias("bs_id"),
         F.when(exp == "", 1).otherwise(exp.cast("int")).alias("exp_id"),
-        F.regexp_extract(p, r"/([^/]+)_metrics\.csv$", 1).alias("imsi"),
-        F.regexp_extract(p, r"/(sched[^/]+)/tr[^/]+/exp", 1).alias("sched_policy"),
-        F.regexp_extract(p, r"/sched[^/]+/(tr[^/]+)/exp", 1).alias("training_config"),
+        F.regexp_extract(p, layout.imsi, 1).alias("imsi"),
+        F.regexp_extract(p, layout.sched_policy, 1).alias("sched_policy"),
+        F.regexp_extract(p, layout.training_config, 1).alias("training_config"),
     ).drop("_path")
     return rename_raw(out)
 
