@@ -2,8 +2,8 @@
 
 ``p(word | previous) = p(class | previous class) * p(word | class)``.  Classes come from exchange
 clustering: in rounds, words move to the class that raises the class-bigram likelihood most, judged
-in tasks against the statistics of the round before; half of the words may move in a round, and
-the best assignment seen is kept.
+in tasks against the statistics of the round before; the words take turns, and a round that does
+not raise the likelihood is taken back.
 
 Counts cover every training token.  The exchange runs over the ``CLUSTER_WORDS`` most frequent
 words; every other word belongs to a class by its ending, which a text shows by itself.  Counts of
@@ -31,6 +31,7 @@ CLUSTER_WORDS = 2048
 HEAD_WORDS = 1 << 17
 CLASSES = 48
 ROUNDS = 8
+SHARES = 3             # one word in so many, other ones each time, may move in a round
 DISCOUNT = 0.5
 PRIOR = 2.0            # weight of a class's own share in a transition
 FLUSH = 200_000        # entries of a task's counter before they are sent on
@@ -171,7 +172,8 @@ def exchange(pairs: DataFrame, n_units: int, movable: int, classes: int, rounds:
     spark = pairs.sparkSession
     fixed = n_units - movable
     k = classes + fixed
-    cls = np.r_[np.arange(movable) % classes, classes + np.arange(fixed)]
+    # a fixed random start: dealing words out in turn can balance so that no single move helps
+    cls = np.r_[np.random.default_rng(0).integers(0, classes, movable), classes + np.arange(fixed)]
     best = None
     seen = []
     for r in range(rounds + 1):
@@ -191,7 +193,10 @@ def exchange(pairs: DataFrame, n_units: int, movable: int, classes: int, rounds:
         like = float(_xlogx(big).sum() - _xlogx(big.sum(1)).sum() - _xlogx(big.sum(0)).sum())
         seen.append(like)
         if best is None or like > best[0]:
-            best = (like, cls.copy(), big)
+            best = (like, cls.copy(), big, profile)
+        else:  # too many moves at once: go on from the best assignment with other words
+            _, cls, big, profile = best
+            cls = cls.copy()
         if r == rounds:
             break
         shared = spark.sparkContext.broadcast((cls, big))
@@ -203,7 +208,7 @@ def exchange(pairs: DataFrame, n_units: int, movable: int, classes: int, rounds:
                 new = [_best_class(u, cls[u], x, big, classes) for u, x in zip(unit, rows)]
                 yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int32()), pa.array(new, pa.int32())], ["unit", "c"])
 
-        turn = profile.where((F.col("unit") < movable) & (F.col("unit") % 2 == r % 2))
+        turn = profile.where((F.col("unit") < movable) & (F.pmod(F.xxhash64("unit", F.lit(r)), F.lit(SHARES)) == 0))
         moved = (turn.groupBy("unit").agg(F.collect_list(F.struct("side", "c", "n")).alias("rows"))
                  .mapInArrow(move, "unit int, c int").collect())
         for row in moved:

@@ -14,7 +14,7 @@ ORACLES = {
         WITH u AS (SELECT page_id, coalesce(url, '') AS url,
                           CASE WHEN contains(coalesce(url, ''), '://')
                                THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-        p AS (SELECT page_id, url, lower(regexp_extract(rest, '^[^/?#]*', 0)) AS host,
+        p AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
         r AS (SELECT *, CASE
             WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/')
