@@ -25,7 +25,8 @@ from slicewise.llm.hashing import U, mix
 from slicewise.llm.windows import SpanHash, anchors, merge_spans, ranges, span_keys
 
 WINDOW = 100            # bytes
-GRAM = 32               # bytes of an anchor
+GRAM = 64               # bytes of an anchor
+SEEN_BITS = 1 << 29     # of the bitmap that leaves out anchors found once (64 MB)
 SHARD_BYTES = 1 << 20   # text of one suffix array, about
 WIDE = 2000             # spans of one anchor hash beyond which its windows are hashed instead
 TILE = 1 << 21          # bytes of a text looked at together
@@ -223,18 +224,46 @@ def _bytes(col: pa.Array) -> list[bytes]:
     return [x or b"" for x in col.cast(pa.binary()).to_pylist()]
 
 
+def _seen_again(base: DataFrame, length: int, gram: int) -> np.ndarray:
+    """Bitmap over anchor hashes (modulo ``SEEN_BITS``): set where at least two anchors fall.
+
+    Its size is fixed.  With more anchors than it can tell apart it only lets through more of
+    those found once, which costs work later and changes no result.
+    """
+    def run(batches):
+        for b in batches:
+            for _, a, _, _ in _anchors_of(_bytes(b.column(0)), length, gram):
+                p, n = np.unique((a.hash % U(SEEN_BITS)).astype(np.int32), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(n, pa.int64())], ["p", "n"])
+
+    twice = (base.select("text").mapInArrow(run, "p int, n long").groupBy("p").agg(F.sum("n").alias("n"))
+             .where("n > 1"))
+    words = (twice.groupBy(F.floor(F.col("p") / 64).cast("int").alias("w"))
+             .agg(F.bit_or(F.expr("shiftleft(cast(1 as bigint), p % 64)")).alias("bits")).toArrow())
+    out = np.zeros(max(1, SEEN_BITS // 64), U)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(U)
+    return out
+
+
 def _spans(base: DataFrame, length: int, gram: int) -> DataFrame:
+    """The anchors that may occur again: text, place of their windows, hash, hash of their span."""
+    shared = base.sparkSession.sparkContext.broadcast(_seen_again(base, length, gram))
+
     def run(batches):
+        seen = shared.value
         for b in batches:
             k, ids = b.column(0), b.column(1)
             for flat, a, text, shift in _anchors_of(_bytes(b.column(2)), length, gram):
+                p = a.hash % U(SEEN_BITS)
+                keep = np.flatnonzero((seen[(p >> U(6)).astype(np.int64)] >> (p & U(63))) & U(1))
+                rows = pa.array(text[keep])
                 yield pa.RecordBatch.from_arrays([
-                    k.take(pa.array(text)), ids.take(pa.array(text)),
-                    pa.array(a.first + shift), pa.array(a.last + shift), pa.array(a.hash.view(np.int64)),
-                    pa.array(span_keys(a, SpanHash(flat, 0), length).view(np.int64))],
-                    ["k", "doc_id", "first", "last", "h", "span"])
+                    k.take(rows), ids.take(rows), pa.array((a.first + shift)[keep]),
+                    pa.array((a.last - a.first)[keep].astype(np.int32)), pa.array(a.hash[keep].view(np.int64)),
+                    pa.array(span_keys(a, SpanHash(flat, 0), length)[keep].view(np.int64))],
+                    ["k", "doc_id", "first", "more", "h", "span"])
 
-    return base.mapInArrow(run, "k long, doc_id long, first long, last long, h long, span long")
+    return base.mapInArrow(run, "k long, doc_id long, first long, more int, h long, span long")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -246,21 +275,24 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         _row_key(F.col("doc_id"), F.col("text")).alias("k"), "doc_id", "text")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = _spans(base, length, gram)
-    again = found.select("h").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    found = saved(found.join(again, "h"), "sfx-spans")
     # order of places: id (null last), then the text's key, then the position
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k", "first")
-    kinds = found.groupBy("h", "span").agg(F.min(place).alias("rep"))
+    kinds = found.groupBy("h", "span").agg(F.min(place).alias("rep"), F.count(F.lit(1)).alias("n"))
     wide = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
-    kinds = saved(kinds.join(wide, "h").select("h", "span", F.col("rep.k").alias("rep_k"),
-                                               F.col("rep.first").alias("rep_first"), "kinds"), "sfx-kinds")
+    kinds = saved(kinds.join(wide, "h").where("n > 1 or kinds > 1").select(
+        "h", "span", F.col("rep.k").alias("rep_k"), F.col("rep.first").alias("rep_first"), "kinds"), "sfx-kinds")
     found = found.join(kinds, ["h", "span"])
     is_rep = (F.col("k") == F.col("rep_k")) & (F.col("first") == F.col("rep_first"))
-    later = found.where(~is_rep).select("k", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    check = (found.where(is_rep & (F.col("kinds") > 1))
-             .groupBy(F.col("k").alias("c_k")).agg(F.collect_set(F.struct("first", "last", "h", "kinds")).alias("c")))
+    found = saved(found.where(~is_rep | (F.col("kinds") > 1)).select(
+        "k", "first", "more", is_rep.alias("is_rep"), F.when(is_rep, F.col("h")).alias("h"),
+        F.when(is_rep, F.col("kinds")).alias("kinds")), "sfx-places")
+    later = found.where("not is_rep").select("k", F.col("first").alias("start"),
+                                             (F.col("first") + F.col("more") + length).alias("end"))
+    check = found.where("is_rep").groupBy(F.col("k").alias("c_k")).agg(
+        F.collect_set(F.struct("first", (F.col("first") + F.col("more")).alias("last"), "h", "kinds")).alias("c"))
+    # every use of the texts reads the same exchange, in one job
     texts = base.repartition(n, "k")
-    hit = (base.dropDuplicates(["k"]).join(check, F.col("k") == F.col("c_k"))
+    hit = (texts.join(check, F.col("k") == F.col("c_k")).dropDuplicates(["k"])
            .select("k", "doc_id", "text", "c.first", "c.last", "c.h", "c.kinds"))
 
     def cut_out(batches):
@@ -285,8 +317,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)],
                                              ["k", "doc_id", "first", "h", "piece", "x", "y"])
 
-    pieces = saved(hit.mapInArrow(cut_out, "k long, doc_id long, first long, h long, piece binary, x long, y long"),
-                   "sfx-pieces")
+    pieces = hit.mapInArrow(cut_out, "k long, doc_id long, first long, h long, piece binary, x long, y long")
     shards = (pieces.where("h is not null").select("h", "k", "doc_id", "first", "piece")
               .repartition(n, "h").sortWithinPartitions("h"))
 
