@@ -1,17 +1,22 @@
 """Language-model scoring with Brown's class-based bigrams.
 
 ``p(word | previous) = p(class | previous class) * p(word | class)``.  Classes come from exchange
-clustering: in rounds, words move to the class that raises the class-bigram likelihood most, judged
-in tasks against the statistics of the round before; the words take turns, and a round that does
-not raise the likelihood is taken back.
-
-Counts cover every training token.  The exchange runs over the ``CLUSTER_WORDS`` most frequent
-words; every other word belongs to a class by its ending, which a text shows by itself.  Counts of
-the ``HEAD_WORDS`` most frequent words are broadcast (a bound set by the parameter); all other
-words of the texts meet the full count table in a join, aggregated per document before it.
-
-Smoothing: class transitions are interpolated with the class's own share; in the ending classes a
-discount from every known word goes to unknown words, which count as one event per class.
+clustering of the whole known vocabulary: words move to the class that raises the class-bigram
+likelihood most, judged in tasks against the statistics of the round before; every word has a turn
+each ``SHARES`` rounds, a round that does not raise the likelihood is taken back, and rounds go on
+until a full cycle moves nothing or gains less than ``TOLERANCE``.  When rounds were taken back in a
+cycle that gains no more, fewer words move at a time before that counts as the end.
+
+The ``CORE_WORDS`` most frequent words are exchanged first, with the others in provisional classes;
+then every other word is put into its best class and all words take turns.  Bigrams lie in a
+distributed table dealt by word; a round broadcasts one byte a word, its class.  Counts of the
+``HEAD_WORDS`` most frequent words are broadcast (a bound set by the parameter); all other words of
+the texts meet the full table of counts and classes in a join, aggregated per document before it.
+With ``cluster_words`` only that many words are clustered, others belong to a class by their ending.
+
+Smoothing: class transitions are interpolated with the class's own share; a discount from every
+known word goes to unknown words, which count as one event per ending class.  Where the known words
+have learned classes, the discounted part of their bigrams is what is known of the unknown ones.
 """
 
 from __future__ import annotations
@@ -24,14 +29,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from slicewise.llm.common import prepare, saved, text_or_empty
+from slicewise.llm.hashing import mix
 
-CLUSTER_WORDS = 2048
+CORE_WORDS = 2048
 HEAD_WORDS = 1 << 17
 CLASSES = 48
-ROUNDS = 8
-SHARES = 3             # one word in so many, other ones each time, may move in a round
+SHARES = 3             # one word in so many may move in a round, each in its turn
+MOST_SHARES = 24       # ... at most, when rounds are taken back
+TOLERANCE = 5e-3       # a cycle of turns that gains less likelihood a bigram (nats) is the last
+PACK = 1_500_000       # bigram entries in a packed row
 DISCOUNT = 0.5
 PRIOR = 2.0            # weight of a class's own share in a transition
 FLUSH = 200_000        # entries of a task's counter before they are sent on
@@ -70,12 +79,13 @@ def tokens(col: pa.Array) -> list[list[bytes]]:
 class Model:
     n: int                    # training tokens
     v: int                    # distinct ones
-    counts: DataFrame         # word, c: the words outside the head
+    counts: DataFrame         # word, c, klass (null: by ending): the words outside the head
     head: dict                # word -> number
     head_count: np.ndarray    # by head number
     head_class: np.ndarray
     log_emit: np.ndarray      # by head number, log10 p(word | class)
     log_trans: np.ndarray     # log10 p(class | previous class)
+    mass: np.ndarray          # what the emissions of the words outside the head are shares of, by class
     ending_n: np.ndarray      # tokens and distinct words of each ending class
     ending_v: np.ndarray
     likelihood: list          # class-bigram log likelihood by round
@@ -105,49 +115,129 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _cut(bins: dict, most: int) -> int:
-    """Smallest frequency bin such that it and the higher ones hold at most ``most`` words."""
-    total, cut = 0, max(bins, default=0) + 1
-    for b in sorted(bins, reverse=True):
-        total += bins[b]
-        if total > most:
-            break
-        cut = b
-    return cut
-
-
-def count_pairs(train: DataFrame, units: dict, n_units: int) -> DataFrame:
-    """``left, right, n`` over neighbouring units: cluster words, endings of other words, the end
-    (also before the first word).  At most ``n_units ** 2`` rows."""
-    spark = train.sparkSession
-    shared = spark.sparkContext.broadcast(units)
-    base = n_units - 1 - ENDINGS
+def most_frequent(words: DataFrame, most: int) -> Column:
+    """Whether a word is among the ``most`` first by (count, key), descending, found by running
+    counts over frequency bins, the counts of the crossing bin, and prefixes of the keys of the
+    crossing count; words with equal count and key are in or out together."""
+    inside, left, at = F.lit(False), most, F.lit(True)
+    for c in (F.col("bin"), F.col("c"), F.shiftright("key", 47), F.col("key")):
+        cut = None
+        per = words.where(at).groupBy(c.alias("x")).count()
+        # the highest values that can matter: no more than fit, and the crossing one
+        for r in per.orderBy(F.desc("x")).limit(left + 1).collect():
+            if r["count"] > left:
+                cut = r["x"]
+                break
+            left -= r["count"]
+        if cut is None:
+            return inside | at
+        inside, at = inside | (at & (c > F.lit(cut))), at & (c == F.lit(cut))
+    return inside
+
+
+def count_pairs(train: DataFrame, units: dict, tail: bool) -> DataFrame:
+    """``l, r, n`` over neighbouring units: the words of ``units``, the end (also before the first
+    word), and other words as :func:`tail_key` (``tail``) or as their ending."""
+    shared = train.sparkSession.sparkContext.broadcast(units)
 
     def run(batches):
         held: list = []
 
         def merged():
             keys = np.concatenate([k for k, _ in held])
-            n = np.concatenate([c for _, c in held])
-            keys, inv = np.unique(keys, return_inverse=True)
-            return keys, np.bincount(inv, weights=n).astype(np.int64)
+            order = np.lexsort((keys[:, 1], keys[:, 0]))
+            keys, n = keys[order], np.concatenate([c for _, c in held])[order]
+            at = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
+            return keys[at], np.add.reduceat(n, at)
 
+        def send(keys, n):
+            return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(n)], ["l", "r", "n"])
+
+        size, last = 0, ENDINGS
         for b in batches:
             flat = [w for t in tokens(b.column(0)) for w in t]
-            u = _unit_numbers(flat, shared.value, base)
-            prev = np.r_[n_units - 1, u[:-1]]
-            held.append(np.unique(prev * n_units + u, return_counts=True))
-            if sum(len(k) for k, _ in held) > 10 * FLUSH:
-                held = [merged()]
-                if len(held[0][0]) > 5 * FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in held[0]], ["p", "n"])
-                    held = []
+            u = _keys(flat, shared.value) if tail else _unit_numbers(flat, shared.value, 0)
+            held.append((np.stack([np.r_[last, u[:-1]], u], 1), np.ones(len(u), np.int64)))
+            size += len(u)
+            if size > 10 * FLUSH:
+                yield send(*merged())
+                held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in merged()], ["p", "n"])
+            yield send(*merged())
+
+    return (train.select("text").mapInArrow(run, "l long, r long, n long").groupBy("l", "r")
+            .agg(F.sum("n").alias("n")))
+
+
+def tail_key(word: Column) -> Column:
+    """A negative number from the word's hash, as :func:`_keys`."""
+    return F.bitwise_not(F.shiftrightunsigned(F.xxhash64(word), 1))
+
+
+def _keys(flat: list[bytes], known: dict) -> np.ndarray:
+    get = known.get
+    u = np.fromiter((get(w, -1) for w in flat), np.int64, count=len(flat))
+    other = np.flatnonzero(u < 0)
+    h = np.fromiter((xxh64_intdigest(flat[i], 42) for i in other.tolist()), np.uint64, count=len(other))
+    u[other] = ~(h >> np.uint64(1)).astype(np.int64)
+    return u
+
+
+def number_tail(tail: DataFrame, first: int) -> tuple[DataFrame, np.ndarray]:
+    """``key, id``: the different keys of ``tail`` numbered from ``first``; and the ending by number."""
+    at = tail.groupBy("key").agg(F.min("ending").alias("ending"))
+    at = saved(at.withColumn("mid", F.monotonically_increasing_id()), "brown-tail")
+    part = F.shiftright("mid", 33)
+    sizes = {r["p"]: r["count"] for r in at.groupBy(part.alias("p")).count().collect()}
+    offset, n = [], 0
+    for i in range(max(sizes, default=0) + 1):
+        offset.append(n)
+        n += sizes.get(i, 0)
+    start = F.element_at(F.array(*[F.lit(x).cast("long") for x in offset]), (part + 1).cast("int"))
+    at = at.withColumn("id", F.lit(first) + start + F.col("mid") - F.shiftleft(part, 33))
+
+    def run(batches):
+        for b in batches:
+            yield _blobs(b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int8))
+
+    ending = np.zeros(n, np.int64)
+    for row in at.select("id", "ending").mapInArrow(run, "ids binary, c binary").collect():
+        ending[np.frombuffer(row["ids"], np.int64) - first] = np.frombuffer(row["c"], np.int8)
+    return at.select("key", "id"), ending
+
+
+def _blobs(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], ["ids", "c"])
+
+
+def pack(pairs: DataFrame, n: int, core: int) -> DataFrame:
+    """The neighbours of every unit, both sides, dealt by the unit (by the neighbour for units
+    under ``core``, which have many) and packed: one row per partition.  ``n`` pairs."""
+    sides = [F.struct(F.col(u).alias("u"), F.lit(i).alias("side"), F.col(o).alias("o"), "n") for i, u, o in ((0, "r", "l"), (1, "l", "r"))]
+    d = pairs.select(F.inline(F.array(*sides)))
+    d = d.repartition(max(1, -(-2 * n // PACK)), F.when(F.col("u") < core, F.col("o")).otherwise(F.col("u")))
+
+    def run(batches):
+        got = [[c.to_numpy() for c in b.columns] for b in batches]
+        if got:
+            u, side, o, n = (np.concatenate(x) for x in zip(*got))
+            ids, at = np.unique(u, return_inverse=True)
+            out = (ids, at.astype(np.uint32), side.astype(np.int8), *(x.astype(np.min_scalar_type(x.max())) for x in (o, n)))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in out], PACKED)
 
-    p = train.select("text").mapInArrow(run, "p long, n long").groupBy("p").agg(F.sum("n").alias("n"))
-    return p.select(F.floor(F.col("p") / n_units).cast("int").alias("left"),
-                    (F.col("p") % n_units).cast("int").alias("right"), "n")
+    return saved(d.mapInArrow(run, ", ".join(f"{x} binary" for x in PACKED)), "brown-packed")
+
+
+PACKED = ["ids", "at", "side", "o", "n"]
+
+
+def _unpacked(batches):
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            size = len(row[2])
+            types = (np.int64, np.uint32, np.int8, *(f"u{len(x) // size}" for x in row[3:]))
+            *out, n = [np.frombuffer(x, t) for x, t in zip(row, types)]
+            yield *out, n.astype(np.int64)
 
 
 def _unit_numbers(flat: list[bytes], known: dict, base: int) -> np.ndarray:
@@ -164,69 +254,213 @@ def _xlogx(x):
     return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
 
 
-def exchange(pairs: DataFrame, n_units: int, movable: int, classes: int, rounds: int):
-    """Exchange clustering of the units ``0..movable-1`` (the rest are classes of their own).
-
-    Returns the class of every unit, the class-bigram counts, and the likelihood by round.
-    """
-    spark = pairs.sparkSession
-    fixed = n_units - movable
-    k = classes + fixed
-    # a fixed random start: dealing words out in turn can balance so that no single move helps
-    cls = np.r_[np.random.default_rng(0).integers(0, classes, movable), classes + np.arange(fixed)]
-    best = None
-    seen = []
-    for r in range(rounds + 1):
-        table = F.broadcast(spark.createDataFrame([(int(u), int(c)) for u, c in enumerate(cls)], "u int, c int"))
-        # counts of every unit with the classes before (side 0) and after it (side 1)
-        after = pairs.join(table, pairs.right == table.u).groupBy("left", "c").agg(F.sum("n").alias("n")).select(
-            F.col("left").alias("unit"), F.lit(1).alias("side"), "c", "n")
-        before = pairs.join(table, pairs.left == table.u).groupBy("right", "c").agg(F.sum("n").alias("n")).select(
-            F.col("right").alias("unit"), F.lit(0).alias("side"), "c", "n")
-        own = (pairs.where("left = right").select(F.col("left").alias("unit"), F.lit(2).alias("side"),
-                                                  F.lit(0).alias("c"), "n"))
-        profile = saved(after.unionByName(before).unionByName(own), "brown-profile")
-        big = np.zeros((k, k))
-        t2 = table.select(F.col("u").alias("unit"), F.col("c").alias("uc"))
-        for row in profile.where("side = 1").join(t2, "unit").groupBy("uc", "c").agg(F.sum("n").alias("n")).collect():
-            big[row["uc"], row["c"]] += row["n"]
-        like = float(_xlogx(big).sum() - _xlogx(big.sum(1)).sum() - _xlogx(big.sum(0)).sum())
-        seen.append(like)
-        if best is None or like > best[0]:
-            best = (like, cls.copy(), big, profile)
-        else:  # too many moves at once: go on from the best assignment with other words
-            _, cls, big, profile = best
-            cls = cls.copy()
-        if r == rounds:
-            break
-        shared = spark.sparkContext.broadcast((cls, big))
-
-        def move(batches, shared=shared, r=r):
+class Exchange:
+    """Exchange clustering over packed bigrams.  Units: ``0..ENDINGS`` are the endings and the end,
+    classes of their own; then words, the first of them (under ``core``) judged on the driver from
+    their summed profiles, all others in tasks."""
+
+    def __init__(self, pairs: DataFrame, saved_pairs: DataFrame, cls: np.ndarray, core: int, classes: int):
+        self.spark = pairs.sparkSession
+        self.core, self.classes, self.k = core, classes, classes + ENDINGS + 1
+        self.own = {r["l"]: r["n"] for r in saved_pairs.where((F.col("l") == F.col("r")) & F.col("l").between(0, core - 1)).collect()}
+        self.packed = pack(pairs, saved_pairs.count(), core)
+        self.likelihood: list = []
+        self.cls = cls
+
+    def take(self, cls: np.ndarray) -> None:
+        """Make ``cls`` the assignment: class bigrams, profiles of the core, likelihood."""
+        self.cls = cls
+        self.big, self.profile = self._statistics(cls)
+        b = self.big
+        self.like = float(_xlogx(b).sum() - _xlogx(b.sum(1)).sum() - _xlogx(b.sum(0)).sum())
+        self.likelihood.append(self.like)
+
+    def _statistics(self, cls):
+        k, core = self.k, self.core
+        shared = self.spark.sparkContext.broadcast(cls)
+
+        def run(batches):
+            cls, got = shared.value, np.zeros((k + 2 * core) * k, np.int64)
+            for ids, at, side, o, n in _unpacked(batches):
+                u, c = ids[at], cls[o].astype(np.int64)
+                m = side == 0
+                got += np.bincount(c[m] * k + cls[u[m]], weights=n[m], minlength=len(got)).astype(np.int64)
+                m = u < core
+                got += np.bincount((k + u[m] * 2 + side[m]) * k + c[m], weights=n[m], minlength=len(got)).astype(np.int64)
+            at = np.flatnonzero(got)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(got[at])], ["key", "n"])
+
+        rows = self.packed.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+        got = np.zeros((k + 2 * core) * k)
+        for r in rows:
+            got[r["key"]] = r["n"]
+        shared.unpersist()
+        return got[:k * k].reshape(k, k), got[k * k:].reshape(core, 2, k)
+
+    def core_pairs(self, ending: np.ndarray) -> DataFrame:
+        """``l, r, n`` of the core alone, the other words as their endings: at most ``core ** 2`` rows."""
+        core = self.core
+        shared = self.spark.sparkContext.broadcast(ending.astype(np.int8))
+
+        def run(batches):
+            for ids, at, side, o, n in _unpacked(batches):
+                m = side == 0
+                u, o = ids[at[m]], o[m].astype(np.int64)
+                u, o = (np.where(x < core, x, shared.value[x]) for x in (u, o))
+                key, n = _summed(o * core + u, n[m])
+                yield pa.RecordBatch.from_arrays([pa.array(key // core), pa.array(key % core), pa.array(n)], ["l", "r", "n"])
+
+        return saved(self.packed.mapInArrow(run, "l long, r long, n long").groupBy("l", "r").agg(F.sum("n").alias("n")),
+                     "brown-core")
+
+    def moves(self, r: int, core: bool = True, tail: bool = True, shares: int = SHARES) -> np.ndarray:
+        """The assignment after the words of the ``core`` or the ``tail`` whose turn is ``r`` have moved."""
+        new = self.cls.copy()
+        if core:
+            ids = np.arange(ENDINGS + 1, self.core)
+            for u in ids[_turn(ids, r, shares)]:
+                new[u] = _best_class(int(self.cls[u]), *self.profile[u], self.own.get(u, 0), self.big, self.classes)
+        if not tail or len(new) == self.core:
+            return new
+        shared = self.spark.sparkContext.broadcast((self.cls, self.big))
+        first, classes, k = self.core, self.classes, self.k
+
+        def run(batches):
             cls, big = shared.value
-            for b in batches:
-                unit, rows = b.column(0).to_pylist(), b.column(1).to_pylist()
-                new = [_best_class(u, cls[u], x, big, classes) for u, x in zip(unit, rows)]
-                yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int32()), pa.array(new, pa.int32())], ["unit", "c"])
-
-        turn = profile.where((F.col("unit") < movable) & (F.pmod(F.xxhash64("unit", F.lit(r)), F.lit(SHARES)) == 0))
-        moved = (turn.groupBy("unit").agg(F.collect_list(F.struct("side", "c", "n")).alias("rows"))
-                 .mapInArrow(move, "unit int, c int").collect())
-        for row in moved:
-            cls[row["unit"]] = row["c"]
-    return best[1], best[2], seen
-
-
-def _best_class(u: int, a: int, rows: list, big: np.ndarray, classes: int) -> int:
-    """The class in which unit ``u`` (now in ``a``) gives the highest likelihood."""
+            for ids, at, side, o, n in _unpacked(batches):
+                mine = (ids >= first) & _turn(ids, r, shares)
+                if not mine.any():
+                    continue
+                m = mine[at]
+                key = ((np.cumsum(mine) - 1)[at[m]] * 2 + side[m]) * k + cls[o[m]]
+                ids = ids[mine]
+                c = _best_classes(cls[ids].astype(np.int64), *_summed(key, n[m]), big, classes)
+                w = c != cls[ids]
+                yield _blobs(ids[w], c[w].astype(cls.dtype))
+
+        for row in self.packed.mapInArrow(run, "ids binary, c binary").collect():
+            new[np.frombuffer(row["ids"], np.int64)] = np.frombuffer(row["c"], new.dtype)
+        shared.unpersist()
+        return new
+
+    def insert(self, cls: np.ndarray) -> None:
+        """From ``cls``, put the words outside the core from their provisional classes into learned ones."""
+        self.take(cls)
+        for r in range(SHARES):
+            self.take(self.moves(r, core=False))
+        self.likelihood = [self.like]
+
+    def cycles(self, rounds: int | None) -> None:
+        """From the classes given, cycles of turns until one moves nothing or gains too little (or ``rounds`` are over)."""
+        if not self.likelihood:
+            self.take(self.cls)
+        done, cycle, shares = 0, 0, SHARES
+        while rounds is None or done < rounds:
+            start, undone, moved = self.like, False, False
+            for turn in range(cycle * shares, (cycle + 1) * shares):
+                before = self.cls, self.big, self.profile, self.like
+                new = self.moves(turn, shares=shares)
+                if (new != self.cls).any():
+                    moved = True
+                    self.take(new)
+                    if self.like <= before[3]:  # too many moves at once
+                        self.cls, self.big, self.profile, self.like = before
+                        undone = True
+                done += 1
+                if done == rounds:
+                    return
+            if not moved:
+                return
+            if self.like - start <= TOLERANCE * self.big.sum():
+                if not undone or shares >= MOST_SHARES:
+                    return
+                shares *= 2
+            cycle += 1
+
+    def unknown(self, ending: np.ndarray) -> np.ndarray:
+        """``big`` where ``DISCOUNT`` of each word's bigrams, in their shares, belong to the unknown
+        words of its ending (``ending`` by unit)."""
+        shared = self.spark.sparkContext.broadcast((self.cls, ending.astype(np.int8)))
+        first, classes, k = self.core, self.classes, self.k
+
+        def parts(side, u, c, x, cls, ending):
+            """Discounted counts: after a class and off the word's class, after a class, before one."""
+            e, m = classes + ending[u].astype(np.int64), side == 0
+            add = lambda key, w: np.bincount(key, weights=w, minlength=k * k)
+            return np.stack([add(c[m] * k + cls[u[m]], x[m]), add(c[m] * k + e[m], x[m]), add(e[~m] * k + c[~m], x[~m])])
+
+        def run(batches):
+            cls, ending = shared.value
+            got = np.zeros((3, k * k))
+            for ids, at, side, o, n in _unpacked(batches):
+                total = np.bincount(at, weights=n * (side == 0), minlength=len(ids))
+                m = ids[at] >= first
+                got += parts(side[m], ids[at[m]], cls[o[m]].astype(np.int64), DISCOUNT * n[m] / total[at[m]], cls, ending)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(got.size)), pa.array(got.ravel())], ["key", "x"])
+
+        got = np.zeros(3 * k * k)
+        for r in self.packed.mapInArrow(run, "key long, x double").groupBy("key").agg(F.sum("x").alias("x")).collect():
+            got[r["key"]] = r["x"]
+        u, side, c = np.nonzero(self.profile[ENDINGS + 1:])
+        u += ENDINGS + 1
+        x = DISCOUNT * self.profile[u, side, c] / np.maximum(self.profile.sum(2)[u, 0], 1)
+        off, to, after = (got.reshape(3, k * k) + parts(side, u, c, x, self.cls, ending)).reshape(3, k, k)
+        return np.maximum(self.big - off + to, 0) + after
+
+
+def _turn(ids: np.ndarray, r: int, shares: int = SHARES) -> np.ndarray:
+    """Whether it is a unit's turn; each has one in every cycle of ``shares`` rounds, in each cycle
+    with other units."""
+    salt = np.uint64(r // shares * 0x9E3779B97F4A7C15 % 2**64)
+    return (mix(ids.astype(np.uint64) ^ salt) % np.uint64(shares)).astype(np.int64) == r % shares
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[at], np.add.reduceat(n, at)
+
+
+def _best_classes(a: np.ndarray, key: np.ndarray, x: np.ndarray, big: np.ndarray, classes: int) -> np.ndarray:
+    """The best class of each of many units (now in ``a``) against ``big``, from their profiles:
+    ``x`` by ``key = (unit * 2 + side) * k + class``, sorted.  A unit is taken out of its class only
+    to judge staying there."""
+    k = len(big)
+    table = np.concatenate([big[:, :classes], big[:classes].T])  # by side and class of the neighbour
+    flat, margin = _xlogx(table), (big.sum(0)[:classes], big.sum(1)[:classes])
+    unit, cell, side = key // (2 * k), key % (2 * k), key // k % 2
+    out = a.copy()
+    first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+    z = 0
+    while z < len(first):
+        to = max(z + 1, int(np.searchsorted(first, first[z] + 50_000)))
+        i, j = first[z], first[to] if to < len(first) else len(unit)
+        us, cs, xs, ss = unit[i:j] - unit[i], cell[i:j], x[i:j], side[i:j]
+        own = a[unit[first[z:to]]]
+        stay = np.where(own < classes, own, 0)
+        most = int(xs.max()) + 1
+        kinds, inv = np.unique(cs * most + xs, return_inverse=True)
+        kc, kx = np.divmod(kinds, most)
+        rows = _xlogx(table[kc] + kx[:, None]) - flat[kc]
+        gain = np.add.reduceat(rows[inv], first[z:to] - i)
+        now = table[cs, stay[us]]
+        back = np.bincount(us, weights=_xlogx(now) - _xlogx(np.maximum(now - xs, 0)), minlength=to - z)
+        for s in (0, 1):
+            t = np.bincount(us[ss == s], weights=xs[ss == s], minlength=to - z)
+            gain -= _xlogx(margin[s] + t[:, None]) - _xlogx(margin[s])
+            back -= _xlogx(margin[s][stay]) - _xlogx(np.maximum(margin[s][stay] - t, 0))
+        at = np.flatnonzero(own < classes)
+        gain[at, own[at]] = back[at] + 1e-9
+        out[unit[first[z:to]]] = np.argmax(gain, 1)
+        z = to
+    return out
+
+
+def _best_class(a: int, before: np.ndarray, after: np.ndarray, own: float, big: np.ndarray, classes: int) -> int:
+    """The class in which a unit (now in ``a``) gives the highest likelihood: its counts with the
+    classes before and after it and, among them, with itself."""
     k = len(big)
-    prof = np.zeros((2, k))
-    own = 0.0
-    for r in rows:
-        if r["side"] == 2:
-            own += r["n"]
-        else:
-            prof[r["side"], r["c"]] += r["n"]
-    before, after = prof
     # take the unit out of its class
     m = big.copy()
     m[a, :] -= after
@@ -249,45 +483,85 @@ def _best_class(u: int, a: int, rows: list, big: np.ndarray, classes: int) -> in
     return top if gain[top] > gain[a] + 1e-9 else int(a)
 
 
-def fit(docs: DataFrame, text_col: str = "text", cluster_words: int = CLUSTER_WORDS,
-        head_words: int = HEAD_WORDS, classes: int = CLASSES, rounds: int = ROUNDS) -> Model:
-    """Learn the model from every text of ``docs``.  Without rows all words are unknown."""
-    prepare(docs.sparkSession)
+def fit(docs: DataFrame, text_col: str = "text", cluster_words: int | None = None,
+        head_words: int = HEAD_WORDS, classes: int = CLASSES, rounds: int | None = None,
+        core_words: int = CORE_WORDS) -> Model:
+    """Learn the model from every text of ``docs``.  Without rows all words are unknown.
+
+    ``cluster_words`` clusters only so many (at most ``head_words``) most frequent words instead of
+    all, ``rounds`` ends either exchange early.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
     train = docs.select(text_or_empty(docs[text_col]).alias("text"))
     counts = count_words(train).withColumn("bin", F.floor(F.log2("c") * 8).cast("int"))
-    counts = saved(counts.withColumn("ending", ending_column(F.col("word"))), "brown-counts")
+    counts = saved(counts.withColumn("ending", ending_column(F.col("word"))).withColumn(
+        "key", tail_key(F.col("word"))), "brown-counts")
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     words = counts.where(F.col("word") != F.lit(END))
-    bins = {r["bin"]: r["count"] for r in words.groupBy("bin").count().collect()}
-    head_cut = _cut(bins, head_words)
-    cluster_cut = max(head_cut, _cut(bins, cluster_words))
-    head_rows = sorted(((r["c"], bytes(r["word"]), r["ending"]) for r in words.where(F.col("bin") >= head_cut)
-                        .select("word", "c", "ending").collect()), key=lambda x: (-x[0], x[1]))
-    movable = sum(n for b, n in bins.items() if b >= cluster_cut)
-    n_units = movable + ENDINGS + 1
-    head = {w: i for i, (_, w, _) in enumerate(head_rows)}
-    units = {w: i for w, i in head.items() if i < movable} | {END: n_units - 1}
-    pairs = saved(count_pairs(train, units, n_units), "brown-pairs")
-    cls, big, seen = exchange(pairs, n_units, movable, classes, rounds)
-    k = len(big)
+    in_head = most_frequent(words, head_words)
+    head_rows = sorted(((r["c"], bytes(r["word"]), r["ending"], r["key"]) for r in words.where(in_head)
+                        .select("word", "c", "ending", "key").collect()), key=lambda x: (-x[0], -x[3], x[1]))
+    tail = words.where(~in_head)
+    whole = cluster_words is None
+    movable = len(head_rows) if whole else min(cluster_words, len(head_rows))
+    fixed = ENDINGS + 1
+    units = {w: i + fixed for i, (_, w, _, _) in enumerate(head_rows[:movable])} | {END: ENDINGS}
+    ending = np.array([*range(ENDINGS), 0, *(e for _, _, e, _ in head_rows[:movable])], np.int64)
+    pairs = by_key = saved(count_pairs(train, units, whole), "brown-pairs")
+    if whole:
+        numbers, more = number_tail(tail, len(ending))
+        ending = np.r_[ending, more]
+        for side in ("l", "r"):
+            known = pairs.where(F.col(side) >= 0)
+            met = pairs.where(F.col(side) < 0).join(numbers, F.col(side) == F.col("key"))
+            pairs = known.unionByName(met.withColumn(side, F.col("id")).drop("key", "id"))
+    k, core = classes + fixed, fixed + min(core_words, movable)
+    # a fixed random start: dealing words out in turn can balance so that no single move helps
+    cls = np.r_[classes + np.arange(fixed), np.random.default_rng(0).integers(0, classes, core - fixed),
+                classes + ending[core:]].astype(np.min_scalar_type(k))
+    ex = Exchange(pairs, by_key, cls, core, classes)
+    if len(cls) > core:
+        near = ex.core_pairs(ending)
+        small = Exchange(near, near, cls[:core], core, classes)
+        small.cycles(rounds)
+        ex.insert(np.r_[small.cls, cls[core:]])
+    ex.cycles(rounds)
+    cls, big = ex.cls.astype(np.int64), ex.unknown(ending) if whole else ex.big
     # transitions: a class's own share fills in
     share = (big.sum(0) + 0.5) / (big.sum() + 0.5 * k)
     trans = (big + PRIOR * share) / (big.sum(1, keepdims=True) + PRIOR)
-    tail_stat = {r["ending"]: (r["n"], r["v"]) for r in words.where(F.col("bin") < cluster_cut).groupBy("ending")
-                 .agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    ending_n = np.array([tail_stat.get(e, (0, 0))[0] for e in range(ENDINGS)], float)
-    ending_v = np.array([tail_stat.get(e, (0, 0))[1] for e in range(ENDINGS)], float)
-    head[END] = len(head_rows)
+    head = {w: i for i, (_, w, _, _) in enumerate(head_rows)} | {END: len(head_rows)}
     ends = counts.where(F.col("word") == F.lit(END)).select("c").first()
-    count = np.array([c for c, _, _ in head_rows] + [ends["c"] if ends else 0], float)
-    klass = np.array([cls[i] if i < movable else classes + e for i, (_, _, e) in enumerate(head_rows)] + [k - 1])
-    class_n = np.bincount(klass[:movable], weights=count[:movable], minlength=k)
+    count = np.array([c for c, _, _, _ in head_rows] + [ends["c"] if ends else 0], float)
+    klass = np.r_[cls[fixed:fixed + movable], [classes + e for _, _, e, _ in head_rows[movable:]], k - 1].astype(np.int64)
+    # the words outside the head by class (learned, or by ending)
+    tail = (tail.join(class_table(numbers, ex.cls), "key") if whole
+            else tail.withColumn("klass", F.lit(classes) + F.col("ending"))).select("word", "c", "klass")
+    tail = saved(tail, "brown-classes")
+    n, v = (np.bincount(klass[:-1], weights=w, minlength=k) for w in (count[:-1], np.ones(len(count) - 1)))
+    for r in tail.groupBy("klass").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        n[r["klass"]] += r["n"]
+        v[r["klass"]] += r["v"]
+    # the unknown word is an event of the ending's class; of a learned one, its discount is outside
+    mass = n - DISCOUNT * v if whole else n
+    discounted = np.full(len(count), whole) | (klass >= classes)
     emit = np.zeros(len(count))
-    emit[:movable] = np.log10(count[:movable] / class_n[klass[:movable]])
-    rest = np.arange(movable, len(head_rows))
-    emit[rest] = np.log10((count[rest] - DISCOUNT) / ending_n[klass[rest] - classes])
-    return Model(int(total["n"] or 0), int(total["v"] or 0), words.where(F.col("bin") < head_cut).select("word", "c"),
-                 head, count, klass, emit, np.log10(trans), ending_n, ending_v, seen)
+    emit[:-1] = np.log10((count - DISCOUNT * discounted)[:-1] / mass[klass[:-1]])
+    return Model(int(total["n"] or 0), int(total["v"] or 0), tail, head, count, klass, emit, np.log10(trans), mass,
+                 n[classes:k - 1], v[classes:k - 1], ex.likelihood)
+
+
+def class_table(numbers: DataFrame, cls: np.ndarray) -> DataFrame:
+    """``key, klass`` of the numbered words."""
+    shared = numbers.sparkSession.sparkContext.broadcast(cls)
+
+    def run(batches):
+        for b in batches:
+            c = shared.value[b.column(1).to_numpy()].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c)], ["key", "klass"])
+
+    return numbers.select("key", "id").mapInArrow(run, "key long, klass int")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,43 +591,71 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             u = _unit_numbers(flat, head, m)
             c = klass[u]
             prev = np.r_[end_class, c[:-1]]  # the end before each text is a text's start, too
-            local = trans[prev, c] + emit[u]
+            out = u >= m
+            near = out | np.r_[False, out[:-1]]  # transitions that need the class of a word outside the head
+            local = np.where(near, 0.0, trans[prev, c]) + emit[u]
             add = lambda x: np.add.reduceat(x, off[:-1])
-            tails = [[] for _ in texts]
-            out = np.flatnonzero(u >= m)
-            own = np.searchsorted(off, out, "right") - 1
-            for i, o in zip(out.tolist(), own.tolist()):
-                tails[o].append(flat[i])
-            tails = [list(Counter(t).items()) for t in tails]
+            # codes of those transitions: a class, or -1 - the number of the text's word outside the head
+            code = c.copy()
+            own = np.repeat(np.arange(len(texts)), np.diff(off))
+            tails = [{} for _ in texts]
+            for i in np.flatnonzero(out).tolist():
+                t = tails[own[i]]
+                e = t.setdefault(flat[i], [len(t), 0])
+                e[1] += 1
+                code[i] = -1 - e[0]
+            steps = np.stack([np.r_[end_class, code[:-1]], code], 1)[near].ravel().astype(np.int32)
+            ends = np.r_[0, 2 * np.cumsum(add(near.astype(np.int64)))]
             lens = np.cumsum([0] + [len(t) for t in tails])
-            pairs = pa.StructArray.from_arrays([pa.array([w for t in tails for w, _ in t], pa.binary()),
-                                                pa.array([n for t in tails for _, n in t], pa.int64())], ["word", "tf"])
+            pairs = pa.StructArray.from_arrays([pa.array([w for t in tails for w in t], pa.binary()),
+                                                pa.array([e[1] for t in tails for e in t.values()], pa.int64())], ["word", "tf"])
             yield pa.RecordBatch.from_arrays([
                 pa.array(part + row + np.arange(len(texts))), b.column(0), pa.array(np.diff(off)),
                 pa.array(add(known[u].astype(np.int64))), pa.array(add(base[u])), pa.array(add(local)),
-                pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pairs)],
-                ["row", "doc_id", "n_tokens", "known", "base", "local", "tail"])
+                pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pairs),
+                pa.array([steps[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])], pa.binary())],
+                ["row", "doc_id", "n_tokens", "known", "base", "local", "tail", "steps"])
             row += len(texts)
 
     d = docs.select(docs[id_col].alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
     d = saved(d.mapInArrow(run, f"row long, doc_id {id_type}, n_tokens long, known long, base double, local double, "
-                                "tail array<struct<word: binary, tf: long>>"), "brown-scores")
-    tail = d.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.tf")
+                                "tail array<struct<word: binary, tf: long>>, steps binary"), "brown-scores")
+    tail = d.select("row", F.posexplode("tail").alias("j", "t")).select("row", "j", "t.word", "t.tf")
     tail = tail.join(model.counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     ending = ending_column(F.col("word"))
-    n_of = F.element_at(F.array(*[F.lit(float(x)) for x in model.ending_n]), ending + 1)
-    v_of = F.element_at(F.array(*[F.lit(float(x)) for x in model.ending_v]), ending + 1)
+    tail = tail.withColumn("klass", F.coalesce("klass", F.lit(first_ending) + ending))
+    of = lambda a, at: F.element_at(F.array(*[F.lit(float(x)) for x in a]), at + 1)
+    v_of, n_of = of(model.ending_v, ending), of(model.ending_n, ending)
     # an unknown word takes what the discount left over (everything in a class without words)
-    emit = F.when(F.col("c") > 0, F.log10((F.col("c") - DISCOUNT) / n_of)).when(
+    emit = F.when(F.col("c") > 0, F.log10((F.col("c") - DISCOUNT) / of(model.mass, F.col("klass")))).when(
         v_of > 0, F.log10(DISCOUNT * v_of / n_of)).otherwise(0.0)
     sums = tail.groupBy("row").agg(
         F.sum(F.col("tf") * (F.log10(F.col("c") + 0.1) - F.lit(float(floor)))).alias("t_base"),
         F.sum(F.col("tf") * emit).alias("t_emit"),
-        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("t_known"))
+        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("t_known"),
+        F.collect_list(F.struct("j", "klass")).alias("classes"))
+
+    def follow(batches):
+        trans = shared.value[4]
+        for b in batches:
+            steps, got, out = b.column(0).to_pylist(), b.column(1), []
+            j, c = (got.flatten().field(x).to_numpy() for x in (0, 1))
+            lens = np.r_[0, np.cumsum(got.value_lengths().fill_null(0).to_numpy())]
+            for x, lo, hi in zip(steps, lens[:-1], lens[1:]):
+                x = np.frombuffer(x, np.int32).astype(np.int64)
+                of = np.zeros(hi - lo + 1, np.int64)
+                of[-1 - j[lo:hi]] = c[lo:hi]  # indexed by the negative code
+                at = np.where(x < 0, of[np.minimum(x, -1)], x).reshape(-1, 2)
+                out.append(float(trans[at[:, 0], at[:, 1]].sum()))
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(out, pa.float64())], [*b.schema.names[2:], "t_trans"])
+
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return d.drop("tail").join(sums, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("t_known", F.lit(0))).alias("n_known"),
-        (F.col("base") + zero("t_base")).alias("base_score"), (F.col("local") + zero("t_emit")).alias("score"))
+    scored = d.drop("tail").join(sums, "row", "left").select(
+        "steps", "classes", "doc_id", "n_tokens", (F.col("known") + F.coalesce("t_known", F.lit(0))).alias("n_known"),
+        (F.col("base") + zero("t_base")).alias("base_score"), (F.col("local") + zero("t_emit")).alias("part"))
+    scored = scored.mapInArrow(follow, f"doc_id {id_type}, n_tokens long, n_known long, base_score double, part double, "
+                                       "t_trans double")
+    return scored.select("doc_id", "n_tokens", "n_known", "base_score", (F.col("part") + F.col("t_trans")).alias("score"))
 
 
 def score_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from slicewise.llm import bpe, brown, exact_dedup, jaccard, mixing, quality_rules, rlz, suffix
 from slicewise.llm.common import prepare
 from slicewise.llm.queries import vocabulary_path
-from tests.llm.helpers import CLASH, documents, empty, hard_texts, rows_of
+from tests.llm.helpers import CLASH, DOC_SCHEMA, documents, empty, hard_texts, rows_of
 
 WS = str.maketrans("", "", " \t\n\x0b\f\r")
 
@@ -350,6 +350,47 @@ def test_brown_finds_classes(spark):
     assert held and all(r["score"] > r["base_score"] for r in held)
 
 
+def class_texts(spark):
+    import random
+    rnd = random.Random(4)
+    animals, verbs = ["animal%d" % i for i in range(30)], ["verb%d" % i for i in range(30)]
+    rows = [(i, " ".join("%s %s" % (rnd.choice(animals), rnd.choice(verbs)) for _ in range(60)), None, "s", 0)
+            for i in range(60)]
+    return spark.createDataFrame(rows, DOC_SCHEMA), animals, verbs
+
+
+def found_classes(m, words_):
+    of = {bytes(r["word"]): r["klass"] for r in m.counts.collect()} | {w: m.head_class[i] for w, i in m.head.items()}
+    return {of[w.encode()] for w in words_}
+
+
+def test_brown_clusters_every_known_word(spark):
+    # only 8 words in the core, 20 in the head: the others must get learned classes, too
+    d, animals, verbs = class_texts(spark)
+    m = brown.fit(d, classes=2, core_words=8, head_words=20)
+    assert m.counts.count() == 40
+    a, v = found_classes(m, animals), found_classes(m, verbs)
+    assert len(a) == len(v) == 1 and a != v and a | v == {0, 1}
+    # emissions of a class and its unknown event, and transitions, sum to 1
+    mass = np.zeros(len(m.log_trans))
+    np.add.at(mass, m.head_class, 10 ** m.log_emit)
+    for r in m.counts.collect():
+        mass[r["klass"]] += (r["c"] - brown.DISCOUNT) / m.mass[r["klass"]]
+    assert np.allclose(mass[[0, 1, m.end_class]], 1) and np.allclose((10 ** m.log_trans).sum(1), 1)
+    # by hand: every score from the model's own tables
+    c = {bytes(r["word"]): (r["klass"], math.log10((r["c"] - brown.DISCOUNT) / m.mass[r["klass"]])) for r in m.counts.collect()}
+    c |= {w: (m.head_class[i], m.log_emit[i]) for w, i in m.head.items()}
+    texts = [(i, t) for i, t in enumerate(["animal1 verb2 animal3 unknown animal29 verb29", "", "animal5 animal5 new new,"])]
+    e = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in brown.score(e, m).collect()}
+    for i, t in texts:
+        prev, want = m.end_class, 0.0
+        for w in [*t.encode().split(), b"\n"]:
+            k, emit = c.get(w, (m.end_class - brown.ENDINGS + int(brown._ENDING[w[-1]]), 0.0))
+            want, prev = want + m.log_trans[prev, k] + emit, k
+        assert abs(got[i] - want) < 1e-6
+
+
 # ---- empty tables ---------------------------------------------------------------------------
 
 
