@@ -490,6 +490,22 @@ def property_sql() -> dict[str, str]:
                    count(*) OVER (PARTITION BY slice_id) AS c FROM s)
       SELECT CAST(slice_id AS FLOAT) AS slice_id, CASE WHEN rn <= floor(0.2e0 * c) THEN 'test' ELSE 'train' END AS split,
              count(*) AS n FROM r GROUP BY 1, 2"""
+    cols = FEATURES_12.split(", ")
+    med = ", ".join(f"coalesce(CAST({c} AS FLOAT)::DOUBLE, (SELECT quantile_cont(CAST({c} AS FLOAT)::DOUBLE, 0.5) FROM s)) AS {c}"
+                    for c in cols)
+    whole = f"""{BASE}, s AS (SELECT * FROM feat WHERE allocation_efficiency IS NOT NULL
+        ORDER BY md5(row_key || '|42'), row_key LIMIT 5000000),
+      i AS (SELECT row_key, {med}, CAST(allocation_efficiency AS FLOAT)::DOUBLE AS allocation_efficiency FROM s),
+      r AS (SELECT *, row_number() OVER (PARTITION BY slice_id ORDER BY md5(row_key || '|42'), row_key)
+                        <= floor(0.2e0 * count(*) OVER (PARTITION BY slice_id)) AS test FROM i)"""
+    scaled = lambda c: (f"(avg({c}) FILTER (test) - avg({c}) FILTER (NOT test)) / "
+                        f"coalesce(nullif(stddev_pop({c}) FILTER (NOT test), 0e0), 1e0)")
+    q["prep_prepare_data_whole"] = whole + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", round(avg({c}) FILTER (NOT test), 6) AS mean,
+          round(stddev_samp({c}) FILTER (NOT test), 6) AS std, min({c}) FILTER (NOT test) AS min,
+          max({c}) FILTER (NOT test) AS max, count(*) FILTER (NOT test) AS train_size, count(*) FILTER (test) AS test_size,
+          round({scaled(c) if c in cols else f'avg({c}) FILTER (test)'}, 6) AS test_scaled_mean FROM r"""
+        for c in [*cols, "allocation_efficiency"])
     d = "(CAST('0x' || substr(md5(row_key), 1, 6) AS BIGINT) % 100)"
     q["faulty_inputs"] = f"""{BASE}, d AS (SELECT feat.*, {d} AS d FROM feat),
       k AS (SELECT kpi.*, {d} AS d FROM kpi),

@@ -75,3 +75,11 @@ def test_bucketed_windows_equal_brute_force(spark, events, window, limit, bucket
             if want[i]:
                 q.append(t)
     assert rl == want
+
+
+def test_preparation_takes_every_row(spark, sf):
+    import __spark_entry__ as E
+    from slicewise.plans import registry as R
+    n = R.features(spark, sf).where("allocation_efficiency is not null").count()
+    got = E.queries()["prep_prepare_data_whole"](spark, sf).collect()
+    assert n > 5000 and len(got) == 13 and all(r["train_size"] + r["test_size"] == n for r in got)
