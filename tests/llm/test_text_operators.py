@@ -391,6 +391,13 @@ def test_brown_clusters_every_known_word(spark):
         assert abs(got[i] - want) < 1e-6
 
 
+def test_brown_every_word_has_its_turn():
+    ids = np.arange(2048)
+    for cycle in range(3):
+        turns = sum(brown._turn(ids, cycle * brown.SHARES + i).astype(int) for i in range(brown.SHARES))
+        assert (turns == 1).all()
+
+
 # ---- empty tables ---------------------------------------------------------------------------
 
 
