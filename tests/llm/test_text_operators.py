@@ -398,6 +398,13 @@ def test_brown_every_word_has_its_turn():
         assert (turns == 1).all()
 
 
+def test_brown_head_is_full_for_like_counts(spark):
+    w = spark.range(500).select(F.col("id").cast("string").cast("binary").alias("word"), F.lit(1000).alias("c"))
+    w = w.withColumn("bin", F.floor(F.log2("c") * 8).cast("int")).withColumn("key", brown.tail_key(F.col("word")))
+    for most in (0, 1, 120, 499, 500, 600):
+        assert w.where(brown.most_frequent(w, most)).count() == min(most, 500)
+
+
 # ---- empty tables ---------------------------------------------------------------------------
 
 
