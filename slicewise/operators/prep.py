@@ -90,8 +90,8 @@ def sample_n(df: DataFrame, n: int, key: str = "row_key", seed: int = P.RANDOM_S
 
 def split_label(key: str = "row_key", seed: int = P.RANDOM_SEED, test_fraction: float = 0.2) -> Column:
     """``'test'`` for a seeded-hash share of ``test_fraction`` (16-bit resolution), else train."""
-    cut = format(int(round(test_fraction * 65536)), "04x")
-    return F.when(F.substring(seeded_hash_hex(F.col(key), seed), 1, 4) < F.lit(cut), "test").otherwise("train")
+    place = F.conv(F.substring(seeded_hash_hex(F.col(key), seed), 1, 4), 16, 10).cast("int")
+    return F.when(place < int(round(test_fraction * 65536)), "test").otherwise("train")
 
 
 def random_split(df: DataFrame, key: str = "row_key", seed: int = P.RANDOM_SEED,

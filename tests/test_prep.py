@@ -101,3 +101,10 @@ def test_stratified_split_many_strata(spark, sf):
     for s_, g in out.groupby("stratum", dropna=False):
         k = int(0.2 * len(g))
         assert sorted(g[g.split == "test"].row_key) == sorted(sorted(g.row_key, key=lambda x: (_h(x), x))[:k])
+
+
+def test_split_of_nothing_and_of_all(spark):
+    """Shares of 0 and 1, and one that rounds to 1 in 16 bits, put every row on one side."""
+    df = spark.range(3000).selectExpr("cast(id as string) row_key")
+    for share, tests in ((0.0, 0), (1.0, 3000), (0.999999, 3000)):
+        assert PR.random_split(df, test_fraction=share).where("split = 'test'").count() == tests

@@ -18,7 +18,7 @@ def test_rate_limit_stream_equals_batch(spark, sf):
 
 def test_request_rate_stream_update_mode(spark, sf):
     log = R.access_log(spark, sf).select("event_id", "client", "ts")
-    src = R._stage_parquet(log.orderBy("ts"), "rate-src", parts=1)
+    src = R._stage_parquet(log.orderBy("ts"), "rate-src")
     stream = SS.request_rate_stream(spark.readStream.schema(log.schema).parquet(src), watermark="1 hour")
     q = (stream.writeStream.format("memory").queryName("rate_stream_test").outputMode("complete")
                .trigger(availableNow=True).start())
