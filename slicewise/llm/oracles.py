@@ -64,4 +64,44 @@ ORACLES = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(n)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
+    # every vector against every other: the filters must not miss a link of the test tables
+    "op12_cap_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+        s AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v
+              WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+                AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b
+              ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+              WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+        r AS (SELECT vec_id AS node, vec_id AS hit FROM embeddings
+              UNION SELECT r.node, l.b FROM r JOIN l ON r.hit = l.a),
+        c AS (SELECT node, min(hit) AS component_id FROM r GROUP BY node),
+        k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(k.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN c ON c.node = vec_id LEFT JOIN k ON k.a = vec_id""",
+    # the formula as it stands: every kept term for every group and pair
+    "op13_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                       'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+        t AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+        k AS (SELECT lang, term, count(*) AS lc FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+        n AS (SELECT lang, source, term, count(*) AS c FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        gn AS (SELECT lang, source, sum(c) AS n FROM n GROUP BY lang, source),
+        lv AS (SELECT lang, count(*) AS v, sum(lc) AS ln FROM k GROUP BY lang),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(n.c, 0) AS c,
+                     1 + (1000000000::HUGEINT * (coalesce(n.c, 0) + 2)) // (coalesce(gn.n, 0) + 2 * lv.v) AS p,
+                     1 + (1000000000::HUGEINT * (k.lc + 2)) // (lv.ln + 2 * lv.v) AS q
+              FROM g JOIN k USING (lang) JOIN lv USING (lang) LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source
+              LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+        pv AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+               FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pv.value, 0) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE c > 0 AND p > q),
+        w AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM w WHERE part = 'pair' OR rank <= 10""",
 }

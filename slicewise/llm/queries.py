@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicewise.llm import bpe, brown, chat, exact_dedup, jaccard, mixing, quality_rules, rlz, suffix, url_filter
+from slicewise.llm import (align, bpe, brown, caps, chat, divergence, exact_dedup, jaccard, mixing, quality_rules, rlz,
+                           suffix, url_filter)
 from slicewise.llm.common import prepare, table
 from slicewise.llm.oracles import ORACLES as LLM_ORACLES
 
@@ -86,6 +87,23 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    prepare(spark)
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                       public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_cap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return caps.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {
     "op1_brown_lm": op1_brown_lm,
     "op2_rlz_dedup": op2_rlz_dedup,
@@ -97,5 +115,8 @@ LLM_QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
     "op10_chat": op10_chat,
+    "op11_align": op11_align,
+    "op12_cap_dedup": op12_cap_dedup,
+    "op13_divergence": op13_divergence,
 }
 LLM_ORACLES = {k: v for k, v in LLM_ORACLES.items() if k in LLM_QUERIES}
