@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def dlit(x: float) -> Column:
@@ -38,3 +39,8 @@ def seeded_hash_hex(key: Column, seed: int) -> Column:
 def round6(c: Column) -> Column:
     """Round aggregates to 6 decimals: summation order differs between engines."""
     return F.round(c, 6)
+
+
+def schema_with(schema: StructType, **more: str) -> StructType:
+    """A copy of ``schema`` with more fields, types as DDL."""
+    return StructType([*schema.fields, *(StructField(n, StructType.fromDDL(f"c {t}")[0].dataType) for n, t in more.items())])

@@ -19,11 +19,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..functions.columns import clip, dlit
+from ..functions.columns import clip, dlit, schema_with
 from ..functions.partitioning import spread
 
 
@@ -175,11 +178,12 @@ def best_from_scores(df: DataFrame, total: int = P.TOTAL_RBGS, scores: str = "sc
 
 def exhaustive_search(states: DataFrame, scorer: SliceScorer | None = None,
                       total: int = P.TOTAL_RBGS, current: list[int] | None = None,
-                      keep_scores: bool = False) -> DataFrame:
-    """A5 end to end: per state the best allocation, its score and the current one's."""
+                      keep_scores: bool = False, spread_rows: bool = True) -> DataFrame:
+    """A5 end to end: per state the best allocation, its score and the current one's.
+    ``spread_rows``: deal a table of few partitions out to all cores first."""
     scorer = scorer or heuristic_slice_scorer()
     current = current or P.CURRENT_ALLOCATION
-    df = add_candidate_scores(spread(states), scorer, total)
+    df = add_candidate_scores(spread(states) if spread_rows else states, scorer, total)
     df = best_from_scores(df, total, current=current)
     cur = ((_slice_item(0, current[0]) + _slice_item(1, current[1]))
            + _slice_item(2, current[2])) / dlit(3.0) if all(
@@ -196,6 +200,70 @@ def _current_score(scorer: SliceScorer, current: list[int]) -> Column:
     return ((scorer(0, current[0]) + scorer(1, current[1])) + scorer(2, current[2])) / dlit(3.0)
 
 
+SCORE_STEPS = 10**12  # slice scores are compared in these steps, so that their sums are exact
+
+
+def best_splits(scores: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Groups ``[state, slice]`` and sum of the best split of ``total`` groups, from whole-number
+    scores ``[state, slice, groups - 1]``.
+
+    From the last slice to the first, the best sum of it and the later ones at every number of
+    groups left: ``slices * total^2`` steps for all splits.  Then the groups are read off from the
+    first slice on, each time the fewest that reach the best, so of equal splits the first wins.
+    """
+    n, slices, most = scores.shape
+    impossible = -2**62
+    best = np.full((slices + 1, n, total + 1), impossible)
+    best[slices, :, 0] = 0
+    for s in range(slices - 1, -1, -1):
+        for r in range(1, most + 1):
+            later = best[s + 1, :, :total + 1 - r]
+            np.maximum(best[s, :, r:], np.where(later > impossible, later + scores[:, s, r - 1, None], impossible), out=best[s, :, r:])
+    rest, rows = np.full(n, total), np.arange(n)
+    groups = np.zeros((n, slices), np.int32)
+    for s in range(slices):
+        want = best[s, rows, rest]
+        for r in range(most, 0, -1):  # the fewest groups are written last
+            left = np.maximum(rest - r, 0)
+            later = best[s + 1, rows, left]
+            hit = (rest >= r) & (later > impossible) & (later + scores[:, s, r - 1] == want)
+            groups[hit, s] = r
+        rest = rest - groups[:, s]
+    return groups, best[0, :, total]
+
+
+def k_slice_search(states: DataFrame, scorer: SliceScorer | None = None, total: int = P.TOTAL_RBGS,
+                   slices: int = P.NUM_SLICES) -> DataFrame:
+    """A5 for any number of slices: ``states`` with ``best_rbgs`` (groups of each slice) and
+    ``best_score``, the mean slice score.
+
+    A max-plus program (:func:`best_splits`) over the slice scores of a state, which are columns as
+    for three slices; row-local, no join and no shuffle.  Of equal splits the first in the order of
+    :func:`candidate_list` wins.  Fewer groups than slices, or a score that is null, give nulls.
+    """
+    scorer = scorer or heuristic_slice_scorer()
+    most = total - slices + 1
+    names = states.columns
+    schema = schema_with(states.schema, best_rbgs="array<int>", best_score="double")
+    if most < 1:
+        return states.withColumns({"best_rbgs": F.lit(None).cast("array<int>"), "best_score": F.lit(None).cast("double")})
+    wide = spread(states).withColumns({f"_s{s}": F.array(*[F.floor(scorer(s, r) * dlit(float(SCORE_STEPS)) + dlit(0.5)).cast("long")
+                                                           for r in range(1, most + 1)]) for s in range(slices)})
+    wide = wide.withColumn("_ok", ~F.exists(F.flatten(F.array(*[f"_s{s}" for s in range(slices)])), lambda x: x.isNull()))
+
+    def search(batches):
+        for b in batches:
+            scores = np.stack([b.column(f"_s{s}").flatten().fill_null(0).to_numpy().reshape(-1, most) for s in range(slices)], 1)
+            groups, best = best_splits(scores, total)
+            bad = ~np.asarray(b.column("_ok").to_numpy(zero_copy_only=False), bool)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(groups.ravel()), slices).cast(pa.list_(pa.int32()))
+            lists = pc.if_else(pa.array(bad), pa.nulls(len(bad), lists.type), lists)
+            mean = pa.array(best / float(SCORE_STEPS) / slices, mask=bad)
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(names))] + [lists, mean], [*names, "best_rbgs", "best_score"])
+
+    return wide.mapInArrow(search, schema)
+
+
 def linear_scorer(w0: Column | float, w1: Column | float, w2: Column | float
                   ) -> Callable[[int, int, int], Column]:
     """A6 example evaluator: ``a*w0 + b*w1 + c*w2`` (weights may be state columns)."""
