@@ -7,6 +7,8 @@ Aggregates are rounded to 6 decimals because summation order differs between eng
 
 from __future__ import annotations
 
+import math
+
 # fixed values, written out here so that a wrong constant of the library shows: resource-block
 # groups of slices 0, 1, 2 for tr0, tr1, ...
 SLICE_TABLE = """2 13 2, 4 11 2, 6 9 2, 8 7 2, 10 5 2, 12 3 2, 14 1 2, 2 11 4, 4 9 4, 6 7 4, 8 5 4, 10 3 4,
@@ -293,6 +295,17 @@ def alloc_sql(total: int = 17) -> dict[str, str]:
       SELECT a AS rbg_0, b AS rbg_1, c AS rbg_2, count(*) AS n_states, round(avg(score), 6) AS avg_score,
              round(max(score), 6) AS max_score FROM scored GROUP BY a, b, c"""
     q["alloc_exhaustive"] = f"{st} SELECT state_id, best_rbg_0, best_rbg_1, best_rbg_2, best_score FROM res"
+    own = lambda r: f"CAST(floor({_h_sql(r)} * 1e12 + 0.5e0) AS BIGINT)"
+    q["alloc_k_slices"] = f"""{st},
+      k3 AS (SELECT s.sid, s.state_id, c.a, c.b, c.c, {own('c.a')} + {own('c.b')} + {own('c.c')} AS v FROM stx s, cands c),
+      c4 AS (SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(c AS INTEGER) AS c, CAST({total} - a - b - c AS INTEGER) AS d
+             FROM range(1, {total}) ra(a), range(1, {total}) rb(b), range(1, {total}) rc(c) WHERE a + b + c < {total}),
+      h AS (SELECT s.sid, s.state_id, list_transform(range(1, {total}), lambda r: CAST(floor({_h_sql('r')} * 1e12 + 0.5e0) AS BIGINT)) AS hs FROM stx s),
+      k4 AS (SELECT sid, state_id, a, b, c4.c, d, hs[a] + hs[b] + hs[c4.c] + hs[d] AS v FROM h, c4)
+      SELECT 3 AS slices, state_id, a || ',' || b || ',' || c AS best_rbgs, round(CAST(v AS DOUBLE) / 1e12 / 3e0, 9) AS best_score FROM
+        (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY v DESC, a, b) AS rn FROM k3) WHERE rn = 1
+      UNION ALL SELECT 4, state_id, a || ',' || b || ',' || c || ',' || d, round(CAST(v AS DOUBLE) / 1e12 / 4e0, 9) FROM
+        (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY v DESC, a, b, c) AS rn FROM k4) WHERE rn = 1"""
     lin = "(CAST(c.a AS DOUBLE) * qos_score + CAST(c.b AS DOUBLE) * network_load) + CAST(c.c AS DOUBLE) * throughput_efficiency"
     q["alloc_linear"] = f"""{st},
       ls AS (SELECT s.sid, s.state_id, c.a, c.b, c.c, {lin} AS score FROM stx s, cands c)
@@ -459,16 +472,53 @@ def misc_sql() -> dict[str, str]:
     return q
 
 
+def forest_roots_sql(trees: int = 50, bins: int = 64, rows: int = 100_000, steps: int = 2**20) -> str:
+    """The best first split of every tree: cuts, bins, weights and gains by their definitions."""
+    prime = 2**31 - 1
+    poisson = [int(prime * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(9)]
+    weight = " + ".join(f"(u >= {p})::BIGINT" for p in poisson)
+    from slicewise.params import FEATURE_COLUMNS as columns
+    values = ", ".join(f"({i}, coalesce(CAST({c} AS DOUBLE), 0e0))" for i, c in enumerate(columns))
+    hexed = lambda x: f"('0x' || substr(md5({x}), 1, 8))::BIGINT"
+    return f"""{BASE},
+      r AS (SELECT row_key, {hexed("row_key || '|42'")} % {prime} AS h, CAST(allocation_efficiency AS DOUBLE) AS y, f.*
+            FROM feat, LATERAL (SELECT * FROM (VALUES {values}) v(feature, x)) f WHERE allocation_efficiency IS NOT NULL),
+      k AS (SELECT count(*) / {len(columns)} AS n, min(y) AS low, (max(y) - min(y)) / {steps} AS step FROM r),
+      s AS (SELECT feature, x, row_number() OVER (PARTITION BY feature ORDER BY x) - 1 AS i,
+                   count(*) OVER (PARTITION BY feature) AS c, max(x) OVER (PARTITION BY feature) AS top
+            FROM r, k WHERE h < floor(least(1e0, {rows}e0 / n) * {prime})),
+      cut AS (SELECT DISTINCT feature, x AS cut FROM s, range(1, {bins}) g(j) WHERE i = (j * c) // {bins} AND x < top),
+      cl AS (SELECT feature, list_sort(list(cut)) AS cuts FROM cut GROUP BY feature),
+      b AS (SELECT r.feature, h, CAST(round_even((y - low) / step, 0) AS BIGINT) AS y,
+                   len(list_filter(coalesce(cuts, []), lambda c: c < x)) AS bin FROM k, r LEFT JOIN cl ON cl.feature = r.feature),
+      g AS (SELECT feature, h, bin, sum(y) AS y, count(*) AS c FROM b GROUP BY feature, h, bin),
+      t AS (SELECT t AS tree, {hexed("'42|a|' || t")} % {prime - 1} + 1 AS a, {hexed("'42|b|' || t")} % {prime} AS z FROM range(0, {trees}) r(t)),
+      w AS (SELECT tree, feature, bin, y, c, (h * a + z) % {prime} AS u FROM g, t),
+      m AS (SELECT tree, feature, bin, sum(({weight}) * c)::DOUBLE AS n, sum(({weight}) * y)::DOUBLE AS s FROM w GROUP BY ALL),
+      l AS (SELECT *, sum(n) OVER v AS nl, sum(s) OVER v AS sl, sum(n) OVER o AS na, sum(s) OVER o AS sa FROM m
+            WINDOW v AS (PARTITION BY tree, feature ORDER BY bin), o AS (PARTITION BY tree, feature)),
+      q AS (SELECT *, nl * (na - nl) / na * ((sl / nl - (sa - sl) / (na - nl)) * (sl / nl - (sa - sl) / (na - nl))) AS gain
+            FROM l WHERE nl >= 1 AND na - nl >= 1),
+      e AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY gain DESC, feature, bin) AS rn FROM q)
+      SELECT CAST(tree AS INTEGER) AS tree, CAST(e.feature AS INTEGER) AS feature, CAST(bin AS INTEGER) AS bin,
+             round(cuts[bin + 1], 9) AS cut, CAST(na AS BIGINT) AS weight
+      FROM e JOIN cl ON cl.feature = e.feature WHERE rn = 1 AND gain > 0"""
+
+
 def property_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     test = "(SELECT count(*) FROM feat WHERE substr(md5(row_key || '|42'), 1, 4) < '3333')"
     q["ml_properties"] = f"""{BASE} SELECT name, CAST(n AS BIGINT) AS n, true AS ok FROM (VALUES
-      ('forest in [0, 1]', {test}), ('boosting in [0, 1]', {test}), ('ensemble is the mean', {test}),
-      ('reloaded forest predicts the same', {test}), ('importances sum to 1', 12), ('r2 above 0.9', 2)) v(name, n)"""
+      ('forest in [0, 1]', {test}), ('boosting in [0, 1]', {test}), ('network in [0, 1]', {test}), ('ensemble is the mean', {test}),
+      ('reloaded forest predicts the same', {test}), ('importances sum to 1', 12), ('r2 above 0.9', 3)) v(name, n)"""
     n = "(SELECT count(*) FROM kpi)"
     q["alloc_properties"] = f"""{BASE} SELECT name, CAST({n} AS BIGINT) AS n, true AS ok FROM (VALUES
       ('genetic totals'), ('genetic not above exhaustive'), ('methods compared'), ('model search totals'),
-      ('model search not below current')) v(name)"""
+      ('model search not below current'), ('model scores as row by row, no exchange')) v(name)"""
+    q["ml_cv_properties"] = f"""{BASE}, c AS (SELECT count(*) AS n FROM feat WHERE allocation_efficiency IS NOT NULL)
+      SELECT name, CAST(n AS BIGINT) AS n, true AS ok FROM (VALUES ('folds', 5), ('rows held out', (SELECT n FROM c)),
+      ('r2 above 0.9', 5), ('mean and deviation', 2)) v(name, n)"""
+    q["ml_forest_roots"] = forest_roots_sql()
     q["report_values"] = alloc_sql()["alloc_improvement_summary"]
     # slice 0 of each training configuration: tr0 to tr27
     first = [2, 4, 6, 8, 10, 12, 14, 2, 4, 6, 8, 10, 12, 2, 4, 6, 8, 10, 2, 4, 6, 8, 2, 4, 6, 2, 4, 2]
@@ -485,7 +535,7 @@ def property_sql() -> dict[str, str]:
         WHERE n.now - epoch_us(ts) < {w} AND epoch_us(ts) <= n.now GROUP BY user_id
       UNION ALL SELECT 'settings', NULL, 2"""
     q["prep_prepare_data"] = f"""{BASE}, s AS (SELECT *, md5(row_key || '|42') AS h FROM feat
-        WHERE allocation_efficiency IS NOT NULL ORDER BY h, row_key LIMIT 5000),
+        WHERE allocation_efficiency IS NOT NULL),
       r AS (SELECT slice_id, row_number() OVER (PARTITION BY slice_id ORDER BY h, row_key) AS rn,
                    count(*) OVER (PARTITION BY slice_id) AS c FROM s)
       SELECT CAST(slice_id AS FLOAT) AS slice_id, CASE WHEN rn <= floor(0.2e0 * c) THEN 'test' ELSE 'train' END AS split,

@@ -483,6 +483,14 @@ def q_ml_cv(spark, sf_dir):
     return FO.cross_validate_forest(folds)
 
 
+@register("ml_forest_roots")
+def q_ml_forest_roots(spark, sf_dir):
+    """M1: the first split of every tree of the forest over all rows, which SQL derives anew."""
+    f = features(spark, sf_dir).select("row_key", P.TARGET_COLUMN, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in P.FEATURE_COLUMNS])
+    nodes = FO.fit_forest(f, trees=RUN_TREES, depth=1).nodes
+    return nodes.where("node = 1").select("tree", "feature", "bin", F.round("cut", 9).alias("cut"), F.col("weight").cast("long").alias("weight"))
+
+
 @register("ml_importance")
 def q_ml_importance(spark, sf_dir):
     m, _ = rf_model(spark, sf_dir)
