@@ -99,11 +99,48 @@ def document_vectors(docs: DataFrame, min_df: int = MIN_DF) -> tuple[DataFrame,
     return vectors, words
 
 
+HELD_ENTRIES = 4_000_000  # entries of vectors that a task adds up at a time
+
+
+def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the vectors ``lang, source, indices, values`` that a task meets, per group and entry."""
+    number: dict = {}
+    keys, values, held = [], [], 0
+
+    def added() -> tuple[np.ndarray, np.ndarray]:
+        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        return key, np.bincount(inverse, np.concatenate(values), len(key))
+
+    def rows(key: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+        group = pa.array(key >> 32)
+        lang, source = (pa.array([k[i] for k in number], pa.string()).take(group) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([lang, source, pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(value.astype(np.int64))],
+                                          ["lang", "source", "idx", "c"])
+
+    for b in batches:
+        group = np.array([number.setdefault(k, len(number)) for k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], np.int64)
+        index, value = b.column(2), b.column(3)
+        off = np.asarray(index.offsets).astype(np.int64)
+        v_off = np.asarray(value.offsets)
+        keys.append(np.repeat(group << 32, np.diff(off)) | np.asarray(index.values)[off[0]:off[-1]])
+        values.append(np.asarray(value.values)[v_off[0]:v_off[-1]])
+        held += len(keys[-1])
+        if held > HELD_ENTRIES:
+            key, value = added()
+            if len(key) > HELD_ENTRIES // 2:
+                yield rows(key, value)
+                keys, values, held, number = [], [], 0, {}
+            else:
+                keys, values, held = [key], [value], len(key)
+    if keys:
+        yield rows(*added())
+
+
 def group_counts(vectors: DataFrame, words: DataFrame) -> DataFrame:
     """Sum of the vectors per language and source, entry by entry: ``lang, source, term, c``."""
-    entry = F.explode(F.arrays_zip("vec.indices", "vec.values")).alias("e")
-    sums = (vectors.select("lang", "source", entry)
-            .groupBy("lang", "source", F.col("e.indices").alias("idx")).agg(F.sum("e.values").cast("long").alias("c")))
+    sums = (vectors.select("lang", "source", "vec.indices", "vec.values")
+            .mapInArrow(partial_sums, "lang string, source string, idx int, c long")
+            .groupBy("lang", "source", "idx").agg(F.sum("c").alias("c")))
     return sums.join(words, ["lang", "idx"]).where("term <> ''").select("lang", "source", "term", "c")
 
 
