@@ -274,7 +274,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs[text_col]).alias("text")).select(
         _row_key(F.col("doc_id"), F.col("text")).alias("k"), "doc_id", "text")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = _spans(base, length, gram)
+    found = saved(_spans(base, length, gram), "sfx-anchors")
     # order of places: id (null last), then the text's key, then the position
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k", "first")
     kinds = found.groupBy("h", "span").agg(F.min(place).alias("rep"), F.count(F.lit(1)).alias("n"))

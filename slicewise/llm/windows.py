@@ -55,15 +55,14 @@ def anchors(flat: np.ndarray, off: np.ndarray, length: int, k: int) -> Anchors:
     if n < length:
         return Anchors(none, none, none.astype(U), none, none)
     h = mix(rolling(flat, k, _BASE[0]))
-    idx_type = np.int32 if n < 2**31 else np.int64
-    idx, span = np.arange(len(h), dtype=idx_type), 1
-    while span * 2 <= w:  # leftmost smallest of 2, 4, 8, ... neighbours
-        a, b = idx[:len(idx) - span], idx[span:]
-        idx = np.where(h[b] < h[a], b, a)
+    # upper half of the hash, then the place: the smallest is the leftmost of equals
+    low, span = (h & U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=U), 1
+    while span * 2 <= w:  # smallest of 2, 4, 8, ... neighbours
+        low = np.minimum(low[:len(low) - span], low[span:])
         span *= 2
     if span < w:
-        a, b = idx[:n - length + 1], idx[w - span:w - span + n - length + 1]
-        idx = np.where(h[b] < h[a], b, a)
+        low = np.minimum(low[:n - length + 1], low[w - span:w - span + n - length + 1])
+    idx = (low & U(0xFFFFFFFF)).astype(np.int64)
     size = np.diff(off)
     owner = np.repeat(np.arange(len(size)), size)
     valid = owner[:len(idx)] == owner[length - 1:length - 1 + len(idx)]
