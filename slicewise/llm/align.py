@@ -32,8 +32,9 @@ from slicewise.llm.common import prepare, saved, text_or_empty
 
 LANE = 512                # tokens of both kinds in a lane, about
 BLOCK_CHARS = 24_000_000  # characters of the texts of a block, about
-KEPT_SEGMENTS = 400_000   # encoded segments that a worker holds; beyond it starts anew
-KEPT_TOKENS = 8_000_000   # and their tokens
+KEPT_SEGMENTS = 250_000   # encoded segments that a worker holds; beyond it starts anew
+KEPT_TOKENS = 4_000_000   # and their tokens
+AT_ONCE = 4096            # segments given to a tokenizer in one call
 SHIFT = 32                # bits of the second id in a pair
 
 # a space between two characters that are no white space (Python's class holds all of Unicode's)
@@ -105,14 +106,14 @@ class Segments:
             self.clear()
         new = [s for s in dict.fromkeys(segments) if s not in self.known]
         if new:
-            both = [c.encode(new) for c in self.coders]
+            both = [[x for a in range(0, len(new), AT_ONCE) for x in c.encode(new[a:a + AT_ONCE])] for c in self.coders]
             sound = np.array([b"".join(map(self.coders[0].bytes.__getitem__, x)) == (raw := (" " + s).encode())
                               and b"".join(map(self.coders[1].bytes.__getitem__, y)) == raw
                               for s, x, y in zip(new, *both)])
             for k, lists in enumerate(both):
                 end = np.cumsum([len(x) for x in lists])
                 self.start[k] = np.concatenate([self.start[k], self.start[k][-1] + end])
-                self.ids[k] = np.concatenate([self.ids[k], np.array([i for x in lists for i in x], np.int64)])
+                self.ids[k] = np.concatenate([self.ids[k], np.fromiter((i for x in lists for i in x), np.int64, int(end[-1]))])
             self.sound = np.concatenate([self.sound, sound])
             first = len(self.known)
             self.known.update((s, first + i) for i, s in enumerate(new))
@@ -147,7 +148,12 @@ def lockstep(a_end: np.ndarray, a_lane: np.ndarray, b_end: np.ndarray, b_lane: n
     return tuple(np.concatenate(x or none) for x in (link_a, link_b, cut_a, cut_b))
 
 
-_TENS = 10 ** np.arange(9, -1, -1, dtype=np.int64)
+
+def _decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Decimal digits of the numbers below ``n``, a row each, and which of them are written."""
+    tens = 10 ** np.arange(len(str(n - 1)) - 1, -1, -1, dtype=np.int64)
+    ids = np.arange(n)[:, None]
+    return (ids // tens % 10 + ord("0")).astype(np.uint8), (ids >= tens) | (tens == 1)
 
 
 def group_texts(a: np.ndarray, a_group: np.ndarray, b: np.ndarray, b_group: np.ndarray, owner: np.ndarray,
@@ -164,13 +170,12 @@ def group_texts(a: np.ndarray, a_group: np.ndarray, b: np.ndarray, b_group: np.n
     ids[place_a], ids[place_b] = a, b
     mark[place_a[np.cumsum(a_size) - 1]] = ord("|")
     mark[place_b[np.cumsum(b_size) - 1]] = ord(";")
-    digits = max(1, len(str(int(ids.max())))) if total else 1
-    tens = _TENS[-digits:]
-    table = np.empty((total, digits + 1), np.uint8)
-    table[:, :digits] = ids[:, None] // tens % 10 + ord("0")
-    table[:, digits] = mark
+    digits, shown_digits = _decimals(int(ids.max()) + 1 if total else 1)
+    table = np.empty((total, digits.shape[1] + 1), np.uint8)
+    table[:, :-1] = digits[ids]
+    table[:, -1] = mark
     shown = np.ones(table.shape, bool)
-    shown[:, :digits - 1] = ids[:, None] >= tens[:-1]
+    shown[:, :-1] = shown_digits[ids]
     flat = table[shown].tobytes()
     size = np.zeros(n, np.int64)
     group_chars = np.zeros(groups + 1, np.int64)
