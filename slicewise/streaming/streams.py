@@ -5,8 +5,8 @@
 * ``request_rate_stream``: tumbling or sliding windows with a watermark (late rows beyond the
   watermark are dropped), append mode.
 * ``rate_limit_stream``: the recursive rate limiter as per-client state
-  (``applyInPandasWithState``): the state is the accepted timestamps still inside the window,
-  at most ``limit`` per client, and an event-time timeout drops idle clients.
+  (``transformWithStateInPandas``): rows wait until the watermark passes them and are decided in
+  time order; event-time timers wake a client and drop it when idle.
 
 Checkpoints of every query go under the shared checkpoint folder of the session.
 """
@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import params as P
 from ..operators import access_log as LG
@@ -49,69 +49,132 @@ def request_rate_stream(log: DataFrame, minutes: int = 5, slide_minutes: int | N
     return LG.request_rate(log.withWatermark("ts", watermark), minutes, slide_minutes)
 
 
-RATE_STATE_SCHEMA = "accepted array<long>"
-
-
-def _rate_limit_fn(limit: int, window_us: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        acc = deque(state.get[0] if state.exists else [])
-        # times and ids only are kept together for sorting; the rows go out batch by batch
-        parts = [p for p in pdfs if len(p)]
-        if not parts:
-            return
-        us = np.concatenate([p["_us"].to_numpy() for p in parts])
-        ids = np.concatenate([p["event_id"].to_numpy() for p in parts])
-        order = np.lexsort((ids, us))
-        ok = np.empty(len(us), bool)
-        ok[order] = LG.admit(us[order], acc, limit, window_us)
-        state.update((list(acc),))
-        # drop the client's state once the watermark passes the end of its window
-        last = acc[-1] + window_us if acc else int(us.max())
-        state.setTimeoutTimestamp(max(int(last // 1000), state.getCurrentWatermarkMs() + 1))
-        at = 0
-        for p in parts:
-            yield pd.DataFrame({"event_id": p["event_id"].to_numpy(), "client": p["client"].to_numpy(),
-                                "ts": p["ts"].to_numpy(), "accepted": ok[at:at + len(p)]})
-            at += len(p)
-    return fn
+# Rows wait here until the watermark has passed them; accepted times as in the batch form.
+WAITING_SCHEMA = "us long, event_id long"
+ACCEPTED_SCHEMA = "accepted array<long>"
+TIMER_SCHEMA = "next_ms long"
+
+
+class RateLimiter(StatefulProcessor):
+    """Keyed state of the rate limiter: rows that wait, accepted times (at most ``limit``), and
+    the time of the next event-time timer.
+
+    A row is decided only when the watermark has reached it, for then no earlier row of its client
+    can arrive; all rows that are due are decided together in time order (ties by event id).  A
+    timer stands at the first waiting row; when none waits it stands where the last accepted
+    request leaves the window, and the client's state is dropped there.
+    """
+
+    def __init__(self, limit: int, window_us: int):
+        self.limit, self.window_us = limit, window_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", WAITING_SCHEMA)
+        self.accepted = handle.getValueState("accepted", ACCEPTED_SCHEMA)
+        self.timer = handle.getValueState("timer", TIMER_SCHEMA)
+
+    def _wake_at(self, ms: int) -> None:
+        """One timer at a time, at ``ms`` or at the earlier one that stands."""
+        if self.timer.exists():
+            old = int(self.timer.get()[0])
+            if old <= ms:
+                return
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(ms)
+        self.timer.update((ms,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for p in rows:
+            p = p[~p["heartbeat"].astype(bool)]
+            if not len(p):
+                continue
+            us = p["us"].to_numpy().astype(np.int64)
+            self.waiting.appendList(list(zip(us.tolist(), p["id"].astype("int64").tolist())))
+            first = int(us.min()) if first is None else min(first, int(us.min()))
+        if first is not None:
+            self._wake_at(-(-first // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.timer.clear()
+        seen_us = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = (np.array(list(self.waiting.get()), np.int64).reshape(-1, 2) if self.waiting.exists()
+                else np.zeros((0, 2), np.int64))
+        due = rows[:, 0] <= seen_us
+        now, later = rows[due], rows[~due]
+        now = now[np.lexsort((now[:, 1], now[:, 0]))]
+        accepted = deque(self.accepted.get()[0] if self.accepted.exists() else [])
+        ok = LG.admit(now[:, 0], accepted, self.limit, self.window_us)
+        while accepted and accepted[0] + self.window_us <= seen_us:
+            accepted.popleft()
+        if len(now):
+            if len(later):
+                self.waiting.put([tuple(r) for r in later.tolist()])
+            else:
+                self.waiting.clear()
+        if accepted:
+            self.accepted.update((list(accepted),))
+        else:
+            self.accepted.clear()
+        if len(later):
+            self._wake_at(-(-int(later[:, 0].min()) // 1000))
+        elif accepted:
+            self._wake_at(-(-(accepted[-1] + self.window_us) // 1000))
+        if len(now):
+            client = pd.array([None if key[1] else int(key[0])] * len(now), dtype="Int64")
+            yield pd.DataFrame({"event_id": now[:, 1], "client": client, "ts": now[:, 0].astype("datetime64[us]"), "accepted": ok})
+
+    def close(self) -> None:
+        pass
 
 
 def rate_limit_stream(log: DataFrame, limit: int = P.RATE_LIMIT,
                       window_seconds: int = P.RATE_WINDOW_SECONDS, watermark: str = "1 hour") -> DataFrame:
-    """L2 on a stream: per-client state of accepted timestamps (bounded by ``limit``).
+    """L2 on a stream: equals the batch operator for rows that arrive in any order inside the
+    watermark; rows behind the watermark are dropped.
 
-    Within one micro-batch events are applied in time order; across batches in arrival order,
-    so out-of-order events inside the watermark are decided on arrival (the batch operator is
-    the reference for ordered input).  Sorting a client's micro-batch rows needs them together,
-    so bound the micro-batch with the source's ``maxFilesPerTrigger`` / ``maxBytesPerTrigger``;
-    the state carried between batches is at most ``limit`` timestamps per client.
+    Rows come out when the watermark passes them.  A row without ``event_id`` (a heartbeat of the
+    source) is not decided and only moves the watermark on.  The state of a client is its rows of
+    the last ``watermark`` and at most ``limit`` accepted times; start the query inside
+    :func:`state_partitions`, which chooses the state store that such state needs.
     """
-    x = (log.withColumn("_ets", F.col("ts").cast("timestamp"))
-            .withWatermark("_ets", watermark)
-            .select("event_id", "client", "ts", "_ets", F.unix_micros(F.col("_ets")).alias("_us")))
-    return x.groupBy("client").applyInPandasWithState(
-        _rate_limit_fn(int(limit), int(window_seconds) * 1_000_000),
-        outputStructType=LG.RATE_SCHEMA, stateStructType=RATE_STATE_SCHEMA,
-        outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
+    x = (log.withColumn("event_time", F.col("ts").cast("timestamp"))
+            .withWatermark("event_time", watermark)
+            # no nulls go to Python: there they would turn whole columns into floats
+            .select(F.coalesce("client", F.lit(0)).alias("client"), F.col("client").isNull().alias("no_client"),
+                    F.coalesce("event_id", F.lit(0)).alias("id"), F.col("event_id").isNull().alias("heartbeat"),
+                    "event_time", F.unix_micros(F.col("event_time")).alias("us")))
+    return x.groupBy("client", "no_client").transformWithStateInPandas(
+        statefulProcessor=RateLimiter(int(limit), int(window_seconds) * 1_000_000),
+        outputStructType=LG.RATE_SCHEMA, outputMode="Append", timeMode="EventTime")
+
+
+# Timers and list state need the store that keeps state on disk and writes changes only.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @contextmanager
 def state_partitions(spark: SparkSession, n: int | None = None):
-    """Shuffle partitions for a stream's state store while it is started and run.
+    """Shuffle partitions and kind of a stream's state store while it is started and run.
 
     A stateful query fixes its number of state partitions at its first batch (then it is kept
     in the checkpoint); default to the cluster's cores instead of the batch setting.
     """
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(n or spark.sparkContext.defaultParallelism))
+    wanted = {"spark.sql.shuffle.partitions": str(n or spark.sparkContext.defaultParallelism),
+              "spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    old = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def run_available_now(stream: DataFrame, name: str, fmt: str = "parquet",
