@@ -1,23 +1,24 @@
 """KPI CSV sources.
 
 S1 reads the per-UE metric files of a directory tree
-``{base}/{sched}/{tr}/exp*/bs*/slices_bs*/*_metrics.csv`` in one distributed CSV scan (Hadoop
-glob) per distinct header, and derives the dimensions from each row's file path
-(``_metadata.file_path``).
+``{base}/{sched}/{tr}/exp*/bs*/slices_bs*/*_metrics.csv`` through the data source of
+``kpi_source``, which derives the dimensions from each file's path.
 """
 
 from __future__ import annotations
 
+import json
 import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
-from pyspark.sql.utils import AnalysisException
 
 from .. import params as P
 from ..functions.columns import nan_to_null
+from ..session import apply_required_conf
+from .kpi_source import DIMENSIONS, KpiTree
 
 # Types of the metric files' columns by header name; any other column stays a string.
 RAW_CSV_TYPES = {
@@ -25,8 +26,6 @@ RAW_CSV_TYPES = {
     "sum_granted_prbs": "int", "tx_errors downlink (%)": "double", "rx_errors uplink (%)": "double",
     "dl_cqi": "int", "num_ues": "int", "slice_id": "int",
 }
-REQUIRED_COLUMNS = ["Timestamp"]
-
 LOG = logging.getLogger(__name__)
 
 SCHED_POLICIES = ["sched0", "sched1", "sched2"]
@@ -72,75 +71,61 @@ def _typed(name: str):
     return c.try_cast(kind) if kind else c
 
 
-def _glob(root: str, scheds, configs, layout: Layout) -> str:
-    some = lambda names: "{" + ",".join(names) + "}"
-    return f"{root}/" + layout.glob.replace("{scheds}", some(scheds)).replace("{configs}", some(configs))
+def _tree(spark: SparkSession, root: str, scheds, configs, layout: Layout, slots: int, only: dict | None):
+    """A reader of the tree under ``root``."""
+    spark.dataSource.register(KpiTree)
+    first, second, rest = layout.glob.split("/", 2)
+    return spark.read.format("kpi_tree").options(
+        path=root, scheds=json.dumps(list(scheds)), configs=json.dumps(list(configs)), levels=f"{first}/{second}",
+        files=rest, slots=str(slots), only=json.dumps(only or {}), **{d: getattr(layout, d) for d in DIMENSIONS})
 
 
 def kpi_headers(spark: SparkSession, base: str, scheds=SCHED_POLICIES, configs=TRAINING_CONFIGS,
-                layout: Layout = Layout()) -> DataFrame:
-    """``path, header`` of every metric file under ``base/rome_static_medium`` or ``base`` (whichever
-    has them); the header is null for a file that cannot be read or has no header line."""
-    last = None
-    for root in (f"{base}/rome_static_medium", base):
-        try:
-            glob = _glob(root, scheds, configs, layout)
-            files = spark.read.format("binaryFile").load(glob).select("path")
-            lines = spark.read.option("ignoreCorruptFiles", True).text(glob)
-        except AnalysisException as e:  # no files under this root
-            last = e
-            continue
-        # the header is the line that names the required columns
-        named = lines.where(F.regexp_replace("value", "^\ufeff", "").contains(REQUIRED_COLUMNS[0]))
-        heads = named.groupBy(F.col("_metadata.file_path").alias("h_path")).agg(F.min("value").alias("header"))
-        return files.join(heads, F.regexp_replace("path", "^[a-z]+:/*", "/") ==
-                          F.regexp_replace("h_path", "^[a-z]+:/*", "/"), "left").select("path", "header")
-    raise FileNotFoundError(f"no KPI metric files under {base}") from last
+                layout: Layout = Layout(), slots: int = 4, only: dict[str, list] | None = None) -> DataFrame:
+    """``path, names`` of every metric file under ``base`` (or those that ``only`` asks for): its columns, null for a file that cannot
+    be read or has no header line.  Only headers are read."""
+    return _tree(spark, base, scheds, configs, layout, slots, only).load()
 
 
 def scan_kpi_tree(spark: SparkSession, base: str, scheds=SCHED_POLICIES, configs=TRAINING_CONFIGS,
-                  layout: Layout = Layout()) -> DataFrame:
-    """All metric files, columns found by header name.
-
-    Files of the same header are one scan, and the scans are united by name: columns may come in
-    any order, and a column that a file lacks is null there.  Known columns get their types (a
-    value that does not parse is null), others stay strings.  Files that cannot be read are
-    skipped and their number is logged.
+                  layout: Layout = Layout(), columns: list[str] | None = None, slots: int = 4,
+                  only: dict[str, list] | None = None) -> DataFrame:
+    """All metric files under ``base/rome_static_medium`` or ``base`` (whichever has them),
+    columns found by header name.
+
+    Each read task takes a share of a (policy, configuration) directory, ``slots`` shares each, and
+    every file's columns may come in any order; a column that a file lacks is null there.  Known
+    columns get their types (a value that does not parse is null), others stay strings.  Without
+    ``columns`` one job over the first lines finds the names; the driver gets the different names and
+    two counts.  Files that cannot be read are skipped and their number is logged.  ``only`` gives the
+    wanted values of dimensions (``{"bs_id": [8]}``); files with others are not opened.
     """
-    heads = kpi_headers(spark, base, scheds, configs, layout).collect()  # one row per file, as a listing has
-    lost = sorted(r["path"] for r in heads if r["header"] is None)
-    if lost:
-        LOG.warning("%d of %d metric files have no readable header and are left out, e.g. %s",
-                    len(lost), len(heads), lost[0])
-    by_header: dict[str, list] = {}
-    for r in heads:
-        if r["header"] is not None:
-            by_header.setdefault(r["header"], []).append(r["path"])
-    if not by_header:
-        raise FileNotFoundError(f"no readable KPI metric file under {base}")
-    df = None
-    for header, paths in sorted(by_header.items()):
-        names = [n.strip().strip('"') for n in header.lstrip("\ufeff").split(",")]
-        names = [n or f"_c{i}" for i, n in enumerate(names)]
-        schema = ", ".join(f"`{n}` string" for n in names)
-        part = (spark.read.schema(schema).option("header", True).option("ignoreCorruptFiles", True)
-                .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(paths))
-        part = part.select(*[_typed(n).alias(n) for n in names], F.col("_metadata.file_path").alias("_path"))
-        df = part if df is None else df.unionByName(part, allowMissingColumns=True)
-    for name, kind in RAW_CSV_TYPES.items():  # the slice is optional: F3 fills it
-        if name not in df.columns and name != "slice_id":
-            df = df.withColumn(name, F.lit(None).cast(kind))
-    p = F.col("_path")
-    exp, bs = F.regexp_extract(p, layout.exp_id, 1), F.regexp_extract(p, layout.bs_id, 1)
-    out = df.select(
-        "*",
-        F.when(bs == "", 1).otherwise(bs.cast("int")).alias("bs_id"),
-        F.when(exp == "", 1).otherwise(exp.cast("int")).alias("exp_id"),
-        F.regexp_extract(p, layout.imsi, 1).alias("imsi"),
-        F.regexp_extract(p, layout.sched_policy, 1).alias("sched_policy"),
-        F.regexp_extract(p, layout.training_config, 1).alias("training_config"),
-    ).drop("_path")
-    return rename_raw(out)
+    apply_required_conf(spark)
+    for root in (f"{base}/rome_static_medium", base):
+        heads = kpi_headers(spark, root, scheds, configs, layout, slots, only)
+        if columns is None:
+            found = heads.agg(F.count(F.lit(1)).alias("files"), F.count("names").alias("good"),
+                              F.min(F.when(F.col("names").isNull(), F.col("path"))).alias("lost"),
+                              F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))).alias("names")).first()
+            if found["files"] == 0:
+                continue
+            if found["lost"]:
+                LOG.warning("%d of %d metric files have no readable header and are left out, e.g. %s",
+                            found["files"] - found["good"], found["files"], found["lost"])
+            if not found["good"]:
+                raise FileNotFoundError(f"no readable KPI metric file under {base}")
+            names = found["names"]
+        else:
+            if heads.isEmpty():
+                continue
+            names = list(columns)
+        break
+    else:
+        raise FileNotFoundError(f"no KPI metric files under {base}")
+    # the slice is optional: F3 fills it
+    names += [n for n in RAW_CSV_TYPES if n not in names and n != "slice_id"]
+    rows = _tree(spark, root, scheds, configs, layout, slots, only).option("columns", json.dumps(names)).load()
+    return rename_raw(rows.select(*[_typed(n).alias(n) for n in names], *DIMENSIONS))
 
 
 def read_custom_csv(spark: SparkSession, path: str, renames: dict[str, str] | None = None,

@@ -69,6 +69,40 @@ def test_kpi_tree_columns_by_name(spark, caplog):
     assert got == [(1000, 7, 2, 9, 3, 1.5, "hello", None), (2000, 8, 1, 4, None, None, None, None)]
 
 
+def test_kpi_tree_opens_only_the_files_asked_for(spark):
+    """Files of other dimensions are not opened: their bytes no longer matter."""
+    root = tempfile.mkdtemp(prefix="kpi-tree-pruned-")
+    _write_tree(root, rows_per_file=4)
+    df = KC.scan_kpi_tree(spark, root, only={"sched_policy": ["sched1"], "bs_id": [8], "training_config": ["tr0", "tr2"]})
+    whole = KC.scan_kpi_tree(spark, root)
+    assert df.count() == 2 * 3 * 4
+    same = whole.where("sched_policy = 'sched1' and bs_id = 8 and training_config in ('tr0', 'tr2')")
+    assert df.exceptAll(same).isEmpty() and same.exceptAll(df).isEmpty()
+    for d, _, names in os.walk(root):
+        if "sched1" not in d or "bs8" not in d or "tr1" in d:
+            for n in names:
+                with open(os.path.join(d, n), "wb") as f:
+                    f.write(b"Timestamp,num_ues\n" + b"5,6\n" * 3)
+    assert df.count() == 2 * 3 * 4
+
+
+def test_kpi_tree_ragged_rows_and_quotes(spark):
+    root = tempfile.mkdtemp(prefix="kpi-tree-ragged-")
+    d = os.path.join(root, "sched0", "tr0", "exp3", "bs2", "slices_bs2")
+    os.makedirs(d)
+    with open(os.path.join(d, "1_metrics.csv"), "wb") as f:
+        f.write(b'\xef\xbb\xbfTimestamp, num_ues ,"note",num_ues\r\n1,2,"a, b",9\r\n2\r\n3,4,c,9,9,9\r\n\r\n4, 5 ,,9\r\n')
+    with open(os.path.join(d, "2_metrics.csv"), "wb") as f:
+        f.write(b"")
+    with open(os.path.join(d, "3_metrics.csv"), "wb") as f:
+        f.write(b"num_ues,Timestamp\n")
+    df = KC.scan_kpi_tree(spark, root)
+    got = sorted((r.ts_ms, r.num_ues, r.note, r.exp_id, r.bs_id, r.imsi) for r in df.collect())
+    assert got == [(1, 2, "a, b", 3, 2, "1"), (2, None, None, 3, 2, "1"), (3, 4, "c", 3, 2, "1"), (4, 5, None, 3, 2, "1")]
+    few = KC.scan_kpi_tree(spark, root, columns=["Timestamp"])
+    assert "note" not in few.columns and few.count() == 4
+
+
 def test_missing_tree_is_an_error(spark):
     import pytest
     with pytest.raises(FileNotFoundError):
