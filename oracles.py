@@ -413,16 +413,25 @@ def log_sql() -> dict[str, str]:
       SELECT event_id, client, ts, accepted FROM r"""
     q["log_rate_limit_bucketed"] = q["log_rate_limit"]
     q["stream_rate_limit"] = q["log_rate_limit"]
-    # Laplace noise from 52 bits of a seeded md5 of the group key (epsilon 1, seed 42)
+    # Three rows of a client in each of three groups, epsilon 4 over three statistics, delta 1e-6
     def lap(salt: str, b: str) -> str:
-        u = (f"((CAST(('0x' || substr(md5(event_type || '|42|{salt}'), 1, 13)) AS BIGINT) + 0.5e0)"
+        u = (f"((CAST(('0x' || substr(sha256('8:test key|{salt}|' || g), 1, 13)) AS BIGINT) + 0.5e0)"
              f" / 4503599627370496e0 - 0.5e0)")
-        return f"((-{b}) * sign({u}) * ln(1e0 - 2e0 * abs({u})))"
-    q["dp_aggregate"] = f"""SELECT event_type,
-        round(CAST(n AS DOUBLE) + {lap('count', '1e0')}, 6) AS noisy_count,
-        round(round(s, 6) + {lap('sum', '100e0')}, 6) AS noisy_sum
-      FROM (SELECT event_type, count(*) AS n, sum(least(greatest(value, 0e0), 100e0)) AS s
-            FROM events GROUP BY event_type)"""
+        return f"((-({b})) * sign({u}) * ln(1e0 - 2e0 * abs({u})))"
+    q["dp_aggregate"] = f"""WITH r AS (
+        SELECT *, coalesce(length(event_type) || ':' || event_type, '-') AS g,
+               coalesce(length(CAST(user_id AS VARCHAR)) || ':' || user_id, '-') AS c FROM events),
+      some_rows AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c, g ORDER BY
+            sha256('8:test key|row|' || length(CAST(event_id AS VARCHAR)) || ':' || event_id), event_id) AS n FROM r) WHERE n <= 3),
+      some_groups AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY c ORDER BY
+            sha256('8:test key|group|' || c || g), g) AS k FROM some_rows) WHERE k <= 3),
+      t AS (SELECT event_type, g, count(*) AS n, count(DISTINCT c) AS clients,
+                   sum(least(greatest(coalesce(value, 0e0), 0e0), 100e0)) AS s
+            FROM some_groups GROUP BY event_type, g)
+      SELECT event_type,
+        round(CAST(n AS DOUBLE) + {lap('count', '9e0 / (4e0 / 3e0)')}, 6) AS noisy_count,
+        round(round(s, 6) + {lap('sum', '900e0 / (4e0 / 3e0)')}, 6) AS noisy_sum
+      FROM t WHERE clients + {lap('clients', '3e0 / (4e0 / 3e0)')} >= 1e0 + 3e0 / (4e0 / 3e0) * ln(3e0 / 2e-6)"""
     q["log_failures_by_client"] = """SELECT user_id AS client, count(*) AS failures FROM events
       WHERE event_type = 'error' GROUP BY user_id"""
     q["log_active_requests"] = f"""SELECT user_id AS client, count(*) AS active_requests FROM events,

@@ -594,7 +594,12 @@ def q_stream_rate_limit(spark, sf_dir):
 
 @register("dp_aggregate")
 def q_dp_aggregate(spark, sf_dir):
-    return DP.noisy_aggregate(access_log(spark, sf_dir), ["event_type"], "value", clamp=(0.0, 100.0))
+    """D1 with a test key: up to 3 rows of a client in each of 3 event types, booked in a ledger.
+    Epsilon 4, as the smaller test tables have too few clients for groups to be shown at 1."""
+    ledger = DP.Ledger(spark, scratch_path(spark, "privacy-ledger"), epsilon=4.0, delta=1e-6)
+    return DP.noisy_aggregate(access_log(spark, sf_dir), ["event_type"], "value", secret="test key", client_col="client",
+                              id_cols=["event_id"], epsilon=4.0, delta=1e-6, clamp=(0.0, 100.0), max_rows=3, max_groups=3,
+                              ledger=ledger)
 
 
 def _kpi_as_raw_csv_columns(raw: DataFrame) -> DataFrame:

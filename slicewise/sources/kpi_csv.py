@@ -71,30 +71,31 @@ def _typed(name: str):
     return c.try_cast(kind) if kind else c
 
 
-def _tree(spark: SparkSession, root: str, scheds, configs, layout: Layout, slots: int, only: dict | None):
+def _tree(spark: SparkSession, root: str, scheds, configs, layout: Layout, tasks: int | None, only: dict | None):
     """A reader of the tree under ``root``."""
     spark.dataSource.register(KpiTree)
+    tasks = tasks or 3 * spark.sparkContext.defaultParallelism
     first, second, rest = layout.glob.split("/", 2)
     return spark.read.format("kpi_tree").options(
         path=root, scheds=json.dumps(list(scheds)), configs=json.dumps(list(configs)), levels=f"{first}/{second}",
-        files=rest, slots=str(slots), only=json.dumps(only or {}), **{d: getattr(layout, d) for d in DIMENSIONS})
+        files=rest, tasks=str(tasks), only=json.dumps(only or {}), **{d: getattr(layout, d) for d in DIMENSIONS})
 
 
 def kpi_headers(spark: SparkSession, base: str, scheds=SCHED_POLICIES, configs=TRAINING_CONFIGS,
-                layout: Layout = Layout(), slots: int = 4, only: dict[str, list] | None = None) -> DataFrame:
+                layout: Layout = Layout(), tasks: int | None = None, only: dict[str, list] | None = None) -> DataFrame:
     """``path, names`` of every metric file under ``base`` (or those that ``only`` asks for): its columns, null for a file that cannot
     be read or has no header line.  Only headers are read."""
-    return _tree(spark, base, scheds, configs, layout, slots, only).load()
+    return _tree(spark, base, scheds, configs, layout, tasks, only).load()
 
 
 def scan_kpi_tree(spark: SparkSession, base: str, scheds=SCHED_POLICIES, configs=TRAINING_CONFIGS,
-                  layout: Layout = Layout(), columns: list[str] | None = None, slots: int = 4,
+                  layout: Layout = Layout(), columns: list[str] | None = None, tasks: int | None = None,
                   only: dict[str, list] | None = None) -> DataFrame:
     """All metric files under ``base/rome_static_medium`` or ``base`` (whichever has them),
     columns found by header name.
 
-    Each read task takes a share of a (policy, configuration) directory, ``slots`` shares each, and
-    every file's columns may come in any order; a column that a file lacks is null there.  Known
+    Each read task takes a share of a (policy, configuration) directory, ``tasks`` in all (three a core
+    where not given, one a directory at least), and every file's columns may come in any order; a column that a file lacks is null there.  Known
     columns get their types (a value that does not parse is null), others stay strings.  Without
     ``columns`` one job over the first lines finds the names; the driver gets the different names and
     two counts.  Files that cannot be read are skipped and their number is logged.  ``only`` gives the
@@ -102,7 +103,7 @@ def scan_kpi_tree(spark: SparkSession, base: str, scheds=SCHED_POLICIES, configs
     """
     apply_required_conf(spark)
     for root in (f"{base}/rome_static_medium", base):
-        heads = kpi_headers(spark, root, scheds, configs, layout, slots, only)
+        heads = kpi_headers(spark, root, scheds, configs, layout, tasks, only)
         if columns is None:
             found = heads.agg(F.count(F.lit(1)).alias("files"), F.count("names").alias("good"),
                               F.min(F.when(F.col("names").isNull(), F.col("path"))).alias("lost"),
@@ -124,7 +125,7 @@ def scan_kpi_tree(spark: SparkSession, base: str, scheds=SCHED_POLICIES, configs
         raise FileNotFoundError(f"no KPI metric files under {base}")
     # the slice is optional: F3 fills it
     names += [n for n in RAW_CSV_TYPES if n not in names and n != "slice_id"]
-    rows = _tree(spark, root, scheds, configs, layout, slots, only).option("columns", json.dumps(names)).load()
+    rows = _tree(spark, root, scheds, configs, layout, tasks, only).option("columns", json.dumps(names)).load()
     return rename_raw(rows.select(*[_typed(n).alias(n) for n in names], *DIMENSIONS))
 
 

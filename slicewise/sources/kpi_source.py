@@ -1,7 +1,7 @@
 """The KPI metric tree as a Spark data source.
 
 ``spark.read.format("kpi_tree")`` over a tree of metric files: the driver lists directories of the
-first two levels only (policies and configurations) and deals each into ``slots`` read tasks.  A
+first two levels only (policies and configurations) and deals them into about ``tasks`` read tasks.  A
 task lists its directory, takes its share of the files, reads each file's own header and then its
 rows, so rows are read once and no work or memory of the driver grows with the files.  The
 dimensions come from the paths, and the values asked for are tested before a file is opened.
@@ -66,12 +66,13 @@ class Share(InputPartition):
     """One task's share of the files below a directory."""
 
     directory: str
-    slot: int
+    slot: int = 0
+    slots: int = 1
 
 
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict, names: list[str], headers: bool):
-        self.base, self.slots = options["path"], int(options.get("slots", 4))
+        self.base, self.tasks = options["path"], int(options["tasks"])
         self.scheds, self.configs = json.loads(options["scheds"]), json.loads(options["configs"])
         self.rest = options["files"].split("/")          # patterns below the second level
         self.levels = options["levels"].split("/")       # of the first two, with {scheds}, {configs}
@@ -86,7 +87,9 @@ class TreeReader(DataSourceReader):
             for top in children(fs, base, self.levels[0].replace("{scheds}", sched)):
                 for config in self.configs:
                     found += children(fs, top, self.levels[1].replace("{configs}", config))
-        return [Share(d, i) for d in sorted(set(found)) for i in range(self.slots)] or [Share("", 0)]
+        found = sorted(set(found))
+        slots = -(-self.tasks // max(1, len(found)))
+        return [Share(d, i, slots) for d in found for i in range(slots)] or [Share("")]
 
     def dimensions(self, path: str) -> dict:
         out = {}
@@ -106,7 +109,7 @@ class TreeReader(DataSourceReader):
             below = i.path[len(share.directory):].strip("/").split("/")
             if (i.type != pa_fs.FileType.File or len(below) != len(self.rest)
                     or not all(map(fnmatchcase, below, self.rest))
-                    or zlib.crc32("/".join(below).encode()) % self.slots != share.slot):
+                    or zlib.crc32("/".join(below).encode()) % share.slots != share.slot):
                 continue
             dims = self.dimensions(i.path)
             if all(str(dims[name]) in values for name, values in self.wanted.items()):

@@ -142,15 +142,120 @@ def test_model_registry_roundtrip(spark, sf):
     assert len(top) == 3 and top[0].importance >= top[-1].importance
 
 
+def test_registry_of_several_writers(spark):
+    """Writers at the same time: every version once, every model whole, a taken version refused."""
+    import threading
+
+    import pytest
+
+    from slicewise.functions import commits
+    base = tempfile.mkdtemp(prefix="commits-")
+    log = os.path.join(base, "log")
+
+    def writer(name):
+        for i in range(20):
+            commits.append(spark, log, lambda past: {"who": name, "i": i, "after": len(past)})
+    threads = [threading.Thread(target=writer, args=(n,)) for n in "abcd"]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    got = commits.entries(spark, log)
+    assert [e["after"] for e in got] == list(range(80))
+    assert sorted((e["who"], e["i"]) for e in got) == sorted((n, i) for n in "abcd" for i in range(20))
+
+    t = spark.range(40).selectExpr("id", "cast(id AS double) AS x", "cast(id % 3 AS double) AS y")
+    m = MD.fit_random_forest(t, features=["x"], label="y", trees=2, depth=2)
+    models = os.path.join(base, "models")
+    MD.save_model(m, models, {"n": 1}, version="v1")
+    with pytest.raises(FileExistsError):
+        MD.save_model(m, models, {"n": 2}, version="v1")
+    assert [r.version for r in MD.registry(models).collect()] == ["v1"]
+    # a model whose writer died before the commit is not there
+    m.write().save(os.path.join(models, "model-half"))
+    assert MD.load_model(models)[1:] == ({"n": 1}, "v1")
+
+
+def test_commits_through_the_hadoop_file_system(spark, monkeypatch):
+    from slicewise.functions import commits
+    monkeypatch.setattr(commits, "_local", lambda base: None)
+    log = os.path.join(tempfile.mkdtemp(prefix="commits-h-"), "log")
+    assert commits.entries(spark, log) == []
+    for i in range(3):
+        commits.append(spark, log, lambda past: {"i": len(past)})
+    assert [e["i"] for e in commits.entries(spark, log)] == [0, 1, 2]
+    assert not commits._claim(spark, log, 1, "{}\n")
+    assert [e["i"] for e in commits.entries(spark, log)] == [0, 1, 2]
+
+
+PRIVATE = {"client_col": "c", "id_cols": ["id"]}
+
+
 def test_laplace_noise_statistics(spark):
-    df = spark.range(20000).select((F.col("id") % 5000).alias("g"), F.lit(1.0).alias("v"))
-    out = DP.noisy_aggregate(df, ["g"], "v", epsilon=0.5, clamp=(0.0, 1.0)).toPandas()
+    df = spark.range(20000).selectExpr("id", "id AS c", "id % 5000 AS g", "1.0 AS v")
+    out = DP.noisy_aggregate(df, ["g"], secret="s", epsilon=0.5, **PRIVATE).toPandas()
     noise = out.noisy_count - 4.0
     assert abs(noise.mean()) < 0.15
     assert abs(noise.var() - 2 * (1 / 0.5) ** 2) < 1.0
-    again = DP.noisy_aggregate(df.repartition(3), ["g"], "v", epsilon=0.5, clamp=(0.0, 1.0)).toPandas()
+    again = DP.noisy_aggregate(df.repartition(3), ["g"], secret="s", epsilon=0.5, **PRIVATE).toPandas()
     pd.testing.assert_frame_equal(out.sort_values("g").reset_index(drop=True),
                                   again.sort_values("g").reset_index(drop=True))
+    other = DP.noisy_aggregate(df, ["g"], secret="t", epsilon=0.5, **PRIVATE).toPandas()
+    assert (other.sort_values("g").noisy_count.values != out.sort_values("g").noisy_count.values).mean() > 0.99
+
+
+def test_private_groups_with_nulls_have_their_own_noise(spark):
+    rows = [(1, 1, None, "a"), (2, 2, "a", None), (3, 3, "1:a", ""), (4, 4, "", "1:a"), (5, 5, None, None)]
+    df = spark.createDataFrame(rows, "id long, c long, g string, h string")
+    out = DP.noisy_aggregate(df, ["g", "h"], secret="s", **PRIVATE).collect()
+    assert len(out) == 5 and len({r.noisy_count for r in out}) == 5
+
+
+def test_private_neighbours_differ_by_the_sensitivity_at_most(spark):
+    """Without any one client, the bounded counts and sums change by at most the stated sensitivity,
+    all groups together; repeated rows, a client in every group, rows without a client."""
+    rows = [(i, i % 7 if i % 5 else 0, "g%d" % (i * i % 11), float(i % 4)) for i in range(400)]
+    rows += [(i, None, "g1", 3.0) for i in range(400, 420)] + [(7, 0, "g3", 1.0)] * 3
+    df = spark.createDataFrame(rows, "id long, c long, g string, v double")
+    for max_rows, max_groups in ((1, 1), (2, 3), (1000, 1000)):
+        def sums(x):
+            x = DP.bounded(x, ["g"], "c", ["id"], "s", max_rows, max_groups)
+            return {r.g: (r.n, r.s) for r in x.groupBy("g").agg(F.count("*").alias("n"), F.sum("v").alias("s")).collect()}
+        whole = sums(df)
+        if max_rows == 1000:
+            assert sum(n for n, _ in whole.values()) == len(rows)
+        for client in (0, 3, None):
+            less = sums(df.where(~F.col("c").eqNullSafe(F.lit(client))))
+            d = [(n - less.get(g, (0, 0))[0], s - less.get(g, (0, 0))[1]) for g, (n, s) in whole.items()]
+            assert 0 < sum(abs(n) for n, _ in d) <= max_rows * max_groups
+            assert sum(abs(s) for _, s in d) <= max_rows * max_groups * 3.0
+
+
+def test_a_hot_client_is_bounded_before_the_shuffle(spark):
+    df = spark.range(1000).selectExpr("id", "1 AS c", "id % 3 AS g")
+    plan = DP.bounded(df, ["g"], "c", ["id"], "s", 2, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 4 and "Partial" in plan
+
+
+def test_private_groups_of_few_clients_stay_hidden(spark):
+    df = spark.range(3000).selectExpr("id", "id AS c", "CASE WHEN id < 2000 THEN 'many' ELSE concat('own', id) END AS g")
+    out = DP.noisy_aggregate(df, ["g"], secret="s", delta=1e-9, **PRIVATE).collect()
+    assert [r.g for r in out] == ["many"]
+
+
+def test_privacy_budget(spark):
+    import pytest
+    df = spark.range(10).selectExpr("id", "id AS c", "id % 2 AS g")
+    ledger = DP.Ledger(spark, os.path.join(tempfile.mkdtemp(prefix="ledger-"), "t"), epsilon=1.0)
+    DP.noisy_aggregate(df, ["g"], secret="one", epsilon=0.6, ledger=ledger, **PRIVATE)
+    with pytest.raises(ValueError, match="budget"):
+        DP.noisy_aggregate(df, ["g"], secret="two", epsilon=0.6, ledger=ledger, **PRIVATE)
+    with pytest.raises(ValueError, match="secret"):
+        DP.noisy_aggregate(df, ["g"], secret="one", epsilon=0.1, ledger=ledger, **PRIVATE)
+    with pytest.raises(ValueError, match="budget"):
+        DP.noisy_aggregate(df, ["g"], secret="two", epsilon=0.1, delta=1e-6, ledger=ledger, **PRIVATE)
+    DP.noisy_aggregate(df, ["g"], secret="two", epsilon=0.4, ledger=ledger, **PRIVATE)
+    assert ledger.spent() == (1.0, 0.0)
+    with pytest.raises(ValueError, match="secret"):
+        DP.noisy_aggregate(df, ["g"], secret="", **PRIVATE)
 
 
 def test_compact_types_frame(spark, sf):
