@@ -5,9 +5,10 @@ expected copies are summed up in a fixed order, one random offset per source is
 document is emitted once for each integer that its step of the running sum crosses.  The order
 goes by size band first, so the words taken stay close to the target.
 
-The running sum is a rank times a constant, and the rank is found in two levels: counts per
-(source, band, hash bucket) give the bucket's start, a row number inside the bucket the rest.  So
-no task sees a whole source, however large.
+The running sum is a rank times a constant, and the rank is found in three levels: counts per
+(source, band, hash bucket) give the bucket's start, counts per cell (size and further hash digits)
+the cell's start in its bucket, and a row number inside the cell the rest.  A source of one size alone
+has 65,536 cells, so no task sees more than a small share of a source, however large.
 """
 
 from __future__ import annotations
@@ -57,13 +58,24 @@ def size_band(size: Column) -> Column:
     return F.concat(F.lpad(F.length(b).cast("string"), 2, "0"), F.substring(b, 1, 4))
 
 
+CELL = ["source_key", "band", "bucket", "size", "fine"]
+
+
+def with_cell(d: DataFrame) -> DataFrame:
+    """``source, size, key`` and others, plus the columns of the row's cell; rows sorted by cell, key,
+    id and text are in the order of the running sum."""
+    return d.withColumns({"source_key": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")),
+                          "band": size_band(F.col("size")), "bucket": F.substring("key", 1, 1),
+                          "fine": F.substring("key", 2, 3)})
+
+
 def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 source_col: str = "source", weights=WEIGHTS, cap: int = MAX_COPIES,
                 seed: int = SEED, payload: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, size, source_size, target, copies`` (and ``row``, the
     whole input row, when ``payload``).
 
-    A null text has size 0; null is a source of its own; a source without words has target 0 and
+    Texts of any length are only counted and hashed, in the JVM.  A null text has size 0; null is a source of its own; a source without words has target 0 and
     gives no copies.  The order inside a source hangs on size, id and text alone, so reruns agree;
     repeated rows are told apart by their rank only.
     """
@@ -73,24 +85,23 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.md5(text_or_empty(text_col)).alias("tie")]
     if payload:
         cols.append(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    d = (docs.select(*cols).withColumn("band", size_band(F.col("size")))
-         .withColumn("bucket", F.substring("key", 1, 1)))
-    part = ["source", "band", "bucket"]
-    counts = d.groupBy(*part).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
-    sizes = counts.groupBy("source").agg(F.sum("words").alias("source_size"))
-    run = (Window.partitionBy("source").orderBy("band", "bucket")
-           .rowsBetween(Window.unboundedPreceding, -1))
-    offset = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")),
-                                               F.lit(f"|{seed}"))), 1, 12), 16, 10).cast("double")
-    starts = (counts.withColumn("start", F.coalesce(F.sum("n").over(run), F.lit(0)))
+    d = with_cell(docs.select(*cols))
+    part = CELL[:3]
+    counts = d.groupBy("source", *CELL).agg(F.count(F.lit(1)).alias("n"))
+    buckets = counts.groupBy("source", *part).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("words"))
+    sizes = buckets.groupBy("source").agg(F.sum("words").alias("source_size"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offset = F.conv(F.substring(F.md5(F.concat("source_key", F.lit(f"|{seed}"))), 1, 12), 16, 10).cast("double")
+    starts = (buckets.withColumn("start", before(Window.partitionBy("source_key").orderBy("band", "bucket")))
               .join(source_targets(sizes, weights, cap).withColumnRenamed("source", "t_source"),
                     F.col("source").eqNullSafe(F.col("t_source")))
-              .select(*[F.col(c).alias(f"b_{c}") for c in part], "start", "source_size", "target",
-                      (offset / F.lit(float(1 << 48))).alias("offset")))
-    rank = Window.partitionBy(*part).orderBy("size", "key", F.col("doc_id"), "tie")
-    d = d.withColumn("rank", F.row_number().over(rank))
-    d = d.join(starts, F.col("source").eqNullSafe(F.col("b_source"))
-               & (F.col("band") == F.col("b_band")) & (F.col("bucket") == F.col("b_bucket")))
+              .select(*part, "start", "source_size", "target", (offset / F.lit(float(1 << 48))).alias("offset")))
+    starts = (counts.withColumn("inside", before(Window.partitionBy(*part).orderBy("size", "fine")))
+              .select(*CELL, "inside").join(starts, part)
+              .select(*CELL, (F.col("start") + F.col("inside")).alias("start"), "source_size", "target", "offset"))
+    # ranks and starts meet on the same columns: one exchange of the rows serves both
+    rank = Window.partitionBy(*CELL).orderBy("key", F.col("doc_id"), "tie")
+    d = d.withColumn("rank", F.row_number().over(rank)).join(starts, CELL)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     upto = lambda k: F.floor(F.col("rate") * k + F.col("offset"))
     d = (d.withColumn("rate", rate).withColumn("pos", F.col("start") + F.col("rank"))

@@ -405,6 +405,12 @@ def test_brown_head_is_full_for_like_counts(spark):
         assert w.where(brown.most_frequent(w, most)).count() == min(most, 500)
 
 
+def test_mixing_spreads_one_source_of_one_size(spark):
+    d = spark.range(200_000).select(F.lit("web").alias("source"), F.lit(300).alias("size"),
+                                    F.md5(F.col("id").cast("string")).alias("key"))
+    assert mixing.with_cell(d).groupBy(mixing.CELL).count().agg(F.max("count")).first()[0] <= 200_000 // 8_000
+
+
 # ---- empty tables ---------------------------------------------------------------------------
 
 
