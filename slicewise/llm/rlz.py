@@ -1,15 +1,14 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by phrases of the corpus that a document repeats.
 
-The reference is the corpus itself, indexed by anchors (see ``windows``): each shuffle partition
-of the index holds a block of it, and a document is parsed against every block its anchors meet.
-Going through a document, a phrase starts at an anchor that the index knows and extends over the
-anchor's span as long as the span equals one of the reference; phrases that touch make a factor.
-Every window inside such a factor is a duplicate.  At a factor's ends, where the anchor is known
-but its span is not, the windows are checked one by one by a 128-bit hash against the windows of
-the other ends and of one reference span of each kind.
+This is not a greedy relative Lempel-Ziv parse: no longest match is searched and no factors with
+places in reference blocks come out.  The corpus is indexed by anchors (see ``windows``).  A phrase
+starts at an anchor that the index knows and covers the anchor's span when the span's hash equals one
+of another place; phrases that touch make a factor, and every window inside a factor is a duplicate.
+At a factor's ends, where the anchor is known but its span is not, the windows are checked one by one
+by a 128-bit hash against the windows of the other ends and of one reference span of each kind.
 
 Equal windows have equal anchors, and an anchor's occurrences are either covered by an equal span
-or checked at the ends, so the parse finds every repeated window and nothing else.
+or checked at the ends, so this finds every repeated window and nothing else.
 """
 
 from __future__ import annotations
