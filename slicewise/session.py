@@ -70,7 +70,7 @@ def ship_package(spark: SparkSession) -> None:
     """Add this package to the executors' Python path (``addPyFile`` of a zip), once per
     SparkContext.
 
-    Operators that run Python in tasks (``mapInPandas``, ``applyInPandasWithState``) pickle
+    Operators that run Python in tasks (``mapInPandas``, ``transformWithStateInPandas``) pickle
     functions by reference to their module; workers must be able to import ``slicewise``
     whatever the driver's working directory or the cluster's nodes.  The zip is built in the
     checkpoint folder when that is a local path, else on the driver, and Spark distributes it.
