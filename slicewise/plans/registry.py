@@ -21,6 +21,7 @@ from ..operators import models as MD
 from ..operators import network as NW
 from ..operators import prep as PR
 from ..operators import privacy as DP
+from ..operators import profile as PF
 from ..operators import quality as QA
 from ..session import scratch_path
 from ..sources import kpi_csv as KC
@@ -180,6 +181,32 @@ def q_dq_train_checks(spark, sf_dir):
     return QA.training_checks(feature_table(spark, sf_dir))
 
 
+@register("dq_profile_incremental")
+def q_dq_profile_incremental(spark, sf_dir):
+    """Q1, Q3 from sketches per period of 28 days (a day of the test table has few rows), the last period added to a
+    stored profile, and whether the quartiles' ranks in the table itself are within the stated error."""
+    f = FE.kpi_features(kpi(spark, sf_dir), keep=["ts_ms"])
+    path, day = scratch_path(spark, "profile"), F.floor(F.col("ts_ms") / (28 * 86_400_000))
+    last = f.agg(F.max(day).alias("d")).first()["d"]
+    if last is None:  # an empty table has no days
+        return spark.createDataFrame([], "column string, rows long, missing_pct double, min double, max double, "
+                                         "mean double, std double, quartiles_within boolean")
+    PF.add_days(f.where(day < last), path, day, cols=FEATURE_TABLE_COLS)
+    PF.add_days(f, path, day, only=[last], cols=FEATURE_TABLE_COLS)
+    report = PF.profile_report(PF.read_profile(spark, path))
+    quartiles = {r["column"]: (r["q1"], r["q3"]) for r in report.select("column", "q1", "q3").collect()}
+
+    def within(c, i, p):
+        v, n = F.lit(quartiles[c][i]), F.count(c)
+        low, high = F.count(F.when(F.col(c) < v, 1)), F.count(F.when(F.col(c) <= v, 1))
+        return (low <= n * (p + PF.RANK_ERROR)) & (high >= n * (p - PF.RANK_ERROR))
+    exact = f.agg(*[(within(c, 0, 0.25) & within(c, 1, 0.75)).alias(c) for c in FEATURE_TABLE_COLS])
+    exact = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("quartiles_within"))
+                                            for c in FEATURE_TABLE_COLS])))
+    return report.join(exact, "column").select("column", "rows", "missing_pct", "min", "max", "mean", "std",
+                                               "quartiles_within")
+
+
 @register("dq_diff_runs")
 def q_dq_diff_runs(spark, sf_dir):
     return QA.diff_runs(features(spark, sf_dir), features(spark, sf_dir))
