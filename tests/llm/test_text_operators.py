@@ -210,6 +210,40 @@ def test_rlz_removes_exactly_the_repeated_windows(docs, local, window, gram):
     assert rows_of(got, ["doc_id", "n_words", "n_removed", "kept_sha256"]) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("visit_words,block_bytes", [(rlz.VISIT_WORDS, rlz.BLOCK_BYTES), (50, 300)])
+def test_rlz_factors_are_longest_at_their_place(spark, monkeypatch, visit_words, block_bytes):
+    """Also with many small blocks that go to several tasks each."""
+    monkeypatch.setattr(rlz, "VISIT_WORDS", visit_words)
+    monkeypatch.setattr(rlz, "BLOCK_BYTES", block_bytes)
+    rng = np.random.default_rng(5)
+    passages = [rng.integers(0, 50, 90).tolist() for _ in range(4)]
+    texts = []
+    for i in range(40):
+        p = passages[i % 4][rng.integers(0, 20):rng.integers(60, 91)]
+        texts.append((i, " ".join(map(str, rng.integers(100 * i + 100, 100 * i + 200, 15).tolist() + p
+                                      + rng.integers(100 * i + 100, 100 * i + 200, 15).tolist()))))
+    texts += [(40, None), (41, ""), (42, "7 " * 80), (43, texts[0][1])]
+    by_id = {i: (t or "").split() for i, t in texts}
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    got = rlz.factor_table(table).collect()
+    covered = {i: set() for i in by_id}
+    for f in got:
+        w, r, s, e, j = by_id[f.doc_id], by_id[f.ref_id], f.start, f.start + f.length, f.ref_start
+        assert w[s:e] == r[j:j + f.length] and f.length >= rlz.WINDOW and (f.doc_id, s) != (f.ref_id, j)
+        assert s == 0 or j == 0 or w[s - 1] != r[j - 1]
+        assert e == len(w) or j + f.length == len(r) or w[e] != r[j + f.length]
+        covered[f.doc_id].update(range(s, e))
+    assert len({f.block for f in got}) > (1 if block_bytes == 300 else 0)
+    assert covered[0] == set(range(len(by_id[0]))) and covered[42] == set(range(80))
+    assert all(f.doc_id not in (40, 41) for f in got)
+    # factors cover repeated words only; the other repeated windows come from the factors' boundaries
+    c = Counter(tuple(w[i:i + 35]) for w in by_id.values() for i in range(len(w) - 34))
+    again = {i: {j for s in range(len(w) - 34) if c[tuple(w[s:s + 35])] > 1 for j in range(s, s + 35)} for i, w in by_id.items()}
+    assert all(covered[i] <= again[i] for i in by_id)
+    whole = {r.doc_id: {j for s, e in zip(r.starts or [], r.ends or []) for j in range(s, e)} for r in rlz.parse(table).collect()}
+    assert whole == again
+
+
 def later_bytes(local, length):
     order = sorted(local, key=lambda r: (r[0] is None, r[0] or 0))
     seen, out = set(), []
