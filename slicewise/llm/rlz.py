@@ -12,8 +12,8 @@ are checked one by one by a 128-bit hash against the windows of the other bounda
 phrase of each kind.  Equal windows have equal anchors, and an anchor's occurrences either lie in a
 factor or are checked at a boundary, so this finds every repeated window and nothing else.
 
-A block that many documents visit is sent to several tasks, one for each ``VISIT_WORDS`` words of visitors;
-so what is shuffled grows with the visiting words and no task holds more than a block and a batch of visitors.
+A block that many documents visit is sent to several tasks, one for each ``VISIT_BYTES`` of visitors;
+so what is shuffled grows with the visiting text and no task holds more than a block and a batch of visitors.
 """
 
 from __future__ import annotations
@@ -26,14 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slicewise.llm.common import prepare, saved, text_or_empty
-from slicewise.llm.hashing import U, hash_words, split_words
+from slicewise.llm.hashing import hash_words, split_words
 from slicewise.llm.windows import SpanHash, anchors, merge_spans, ranges, span_keys
 
 WINDOW = 35   # words
 GRAM = 10     # words of an anchor
 COVERED, CHECK = 1, 2
 BLOCK_BYTES = 4 << 20   # text of a reference block (a longer text is a block of its own size)
-VISIT_WORDS = 4 << 20   # words of visitors for which a block is sent once more
+VISIT_BYTES = 32 << 20  # text of visitors for which a block is sent once more
 FACTOR = "k long, start long, end long, block long, ref long, ref_start long"
 
 
@@ -81,7 +81,8 @@ def _visits(hit: DataFrame, window: int, gram: int, blocks: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            flat, off = hash_words(split_words(b.column(1)))
+            texts = split_words(b.column(1))
+            flat, off = hash_words(texts)
             a = anchors(flat, off, window, gram)
             at = a.at - off[a.owner]
             bounds = np.searchsorted(a.owner, np.arange(len(off)))
@@ -106,8 +107,9 @@ def _visits(hit: DataFrame, window: int, gram: int, blocks: int) -> DataFrame:
                 new[1:] = (part[1:] != part[:-1]) | (first[1:] > last[:-1])
                 cut = np.append(np.flatnonzero(new), len(part))
                 for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                    x, y = max(off[i], first[s] - around), min(off[i + 1], last[e - 1] + around)
-                    rows.append((key[i], x - off[i], part[s], flat[x:y].tobytes(), mine[s:e] - (x - off[i]), r[s:e], r_at[s:e]))
+                    x = max(0, first[s] - off[i] - around)
+                    rows.append((key[i], x, part[s], b" ".join(texts[i][x:last[e - 1] - off[i] + around]),
+                                 mine[s:e] - x, r[s:e], r_at[s:e]))
             t = np.concatenate(checks) if checks else np.zeros(0, np.int64)
             w, which = ranges(a.first[t], a.last[t])
             own = a.owner[t][which]
@@ -160,20 +162,13 @@ def _factors(visits: DataFrame, texts: DataFrame, window: int, blocks: int) -> D
     """``FACTOR`` of all visits: each block's texts meet its visitors in tasks."""
     spark = visits.sparkSession
     visits = visits.where("block is not null")
-    # copies of a block: one per VISIT_WORDS of its visitors
-    copies = visits.groupBy(F.col("block").alias("c_block")).agg(
-        F.ceil(F.sum(F.octet_length("words")) / (8 * VISIT_WORDS)).cast("int").alias("copies"))
+    # copies of a block: one per VISIT_BYTES of its visitors; as a table its size is known before it is joined
+    copies = saved(visits.groupBy(F.col("block").alias("c_block")).agg(
+        F.ceil(F.sum(F.octet_length("words")) / VISIT_BYTES).cast("int").alias("copies")), "rlz-blocks")
     wanted = visits.select(F.explode("ref").alias("w_ref")).distinct()
-    refs = texts.join(wanted, F.col("k") == F.col("w_ref"), "left_semi").select("k", "text")
-
-    def hashed(batches):
-        for b in batches:
-            flat, off = hash_words(split_words(b.column(1)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([flat[s:e].tobytes() for s, e in zip(off[:-1], off[1:])], pa.binary())], ["k", "words"])
-
+    refs = texts.join(wanted, F.col("k") == F.col("w_ref"), "left_semi").select(
+        "k", F.col("text").cast("binary").alias("words"), F.pmod("k", F.lit(blocks)).alias("block"))
     none = F.lit(None).cast("array<long>")
-    refs = refs.mapInArrow(hashed, "k long, words binary").withColumn("block", F.pmod("k", F.lit(blocks)))
     refs = refs.join(copies, F.col("block") == F.col("c_block")).select(
         "block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("visitor"), "k",
         F.lit(0).cast("long").alias("start"), "words", none.alias("at"), none.alias("ref"), none.alias("ref_at"))
@@ -187,11 +182,12 @@ def _factors(visits: DataFrame, texts: DataFrame, window: int, blocks: int) -> D
         now, block = None, {}
         for b in batches:
             part, copy, visitor, k, start = (b.column(c).to_numpy() for c in range(5))
+            flat, off = hash_words(split_words(b.column(5)))
             out = []
             for i in range(b.num_rows):
                 if (part[i], copy[i]) != now:
                     now, block = (part[i], copy[i]), {}
-                words = np.frombuffer(b.column(5)[i].as_buffer(), U)
+                words = flat[off[i]:off[i + 1]]
                 if not visitor[i]:
                     block[int(k[i])] = words.copy()
                     continue

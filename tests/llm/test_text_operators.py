@@ -210,10 +210,10 @@ def test_rlz_removes_exactly_the_repeated_windows(docs, local, window, gram):
     assert rows_of(got, ["doc_id", "n_words", "n_removed", "kept_sha256"]) == sorted(want, key=key)
 
 
-@pytest.mark.parametrize("visit_words,block_bytes", [(rlz.VISIT_WORDS, rlz.BLOCK_BYTES), (50, 300)])
-def test_rlz_factors_are_longest_at_their_place(spark, monkeypatch, visit_words, block_bytes):
+@pytest.mark.parametrize("visit_bytes,block_bytes", [(rlz.VISIT_BYTES, rlz.BLOCK_BYTES), (400, 300)])
+def test_rlz_factors_are_longest_at_their_place(spark, monkeypatch, visit_bytes, block_bytes):
     """Also with many small blocks that go to several tasks each."""
-    monkeypatch.setattr(rlz, "VISIT_WORDS", visit_words)
+    monkeypatch.setattr(rlz, "VISIT_BYTES", visit_bytes)
     monkeypatch.setattr(rlz, "BLOCK_BYTES", block_bytes)
     rng = np.random.default_rng(5)
     passages = [rng.integers(0, 50, 90).tolist() for _ in range(4)]
