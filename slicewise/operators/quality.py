@@ -257,14 +257,13 @@ def _fingerprints(both: DataFrame, cols: list[str]) -> DataFrame:
 def _unequal(f: DataFrame, *keys: str) -> DataFrame:
     """The buckets whose left and right rows have other counts or other sums of fingerprints.
 
-    Sums are kept of 32-bit halves, so they cannot overflow below 2^31 rows of a bucket and task order is
+    Sums are kept of 16-bit parts, so they cannot overflow below 2^47 rows of a bucket and task order is
     of no matter.
     """
-    half = [F.shiftrightunsigned(h, 32) if up else F.col(h).bitwiseAND(F.lit(0xFFFFFFFF))
-            for h in ("_f0", "_f1") for up in (True, False)]
-    aggs = [F.sum("_side").alias("_n"), *[F.sum(F.col("_side") * h).alias(f"_s{i}") for i, h in enumerate(half)]]
+    parts = [F.shiftrightunsigned(h, by).bitwiseAND(F.lit(0xFFFF)) for h in ("_f0", "_f1") for by in (0, 16, 32, 48)]
+    aggs = [F.sum("_side").alias("_n"), *[F.sum(F.col("_side") * x).alias(f"_s{i}") for i, x in enumerate(parts)]]
     same = F.col("_n") == 0
-    for i in range(len(half)):
+    for i in range(len(parts)):
         same = same & (F.col(f"_s{i}") == 0)
     return f.groupBy(*keys).agg(*aggs).where(~same).select(*keys)
 
