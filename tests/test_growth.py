@@ -74,3 +74,13 @@ def test_f21_odd_values_are_ranked(spark):
     have = np.sort(np.array(x[1:]))  # NaN last
     assert got[0] == -np.inf and np.isnan(got[3])
     assert np.allclose(got[1:3], np.quantile(have[:-1], [0.5 * 104 / 103, 0.9 * 104 / 103]), atol=1e-9)
+
+
+def test_f19_a_stratum_is_joined_in_parts(spark):
+    f = spark.range(4000).select(F.col("id").cast("string").alias("row_key"),
+                                 F.when(F.col("id") % 5 > 0, F.col("id") % 2).alias("s"))
+    d = PR.stratified_split(f, "s")
+    joins = [line for line in _plan(d).splitlines() if "Join LeftOuter" in line]
+    assert any("_pp" in line for line in joins)
+    got = {r["s"]: (r["n"], r["t"]) for r in d.groupBy("s").agg(F.count("*").alias("n"), F.count(F.when(F.col("split") == "test", 1)).alias("t")).collect()}
+    assert got == {0: (1600, 320), 1: (1600, 320), None: (800, 160)}
