@@ -84,3 +84,10 @@ def test_f19_a_stratum_is_joined_in_parts(spark):
     assert any("_pp" in line for line in joins)
     got = {r["s"]: (r["n"], r["t"]) for r in d.groupBy("s").agg(F.count("*").alias("n"), F.count(F.when(F.col("split") == "test", 1)).alias("t")).collect()}
     assert got == {0: (1600, 320), 1: (1600, 320), None: (800, 160)}
+
+
+def test_f23_prepared_rows_are_written_once(spark):
+    f = spark.range(600).select(F.col("id").cast("string").alias("row_key"), (F.col("id") % 3).alias("s"),
+                                F.rand(1).alias("x"), F.rand(2).alias("y"))
+    d, _ = PR.prepare_data(f, ["x"], "y", stratum="s")
+    assert "Join" not in _plan(d) and d.count() == 600
