@@ -91,3 +91,8 @@ def test_f23_prepared_rows_are_written_once(spark):
                                 F.rand(1).alias("x"), F.rand(2).alias("y"))
     d, _ = PR.prepare_data(f, ["x"], "y", stratum="s")
     assert "Join" not in _plan(d) and d.count() == 600
+
+
+def test_f17_fits_read_written_rows(spark, sf):
+    t = R.training_frame(spark, sf)
+    assert all("training-rows" in p for p in t.inputFiles())
