@@ -30,6 +30,8 @@ SEEN_BITS = 1 << 29     # of the bitmap that leaves out anchors found once (64 M
 SHARD_BYTES = 1 << 20   # text of one suffix array, about
 WIDE = 2000             # spans of one anchor hash beyond which its windows are hashed instead
 TILE = 1 << 21          # bytes of a text looked at together
+HELD = 500_000          # anchors that a task compares with each other
+CHUNK = 50_000          # sorted anchors looked at together
 _BYTES = mix(np.arange(256, dtype=U) + U(0x51ED27))
 
 
@@ -224,6 +226,43 @@ def _bytes(col: pa.Array) -> list[bytes]:
     return [x or b"" for x in col.cast(pa.binary()).to_pylist()]
 
 
+def _marks(p: np.ndarray) -> pa.RecordBatch:
+    """Places ``p`` in the bitmap, at most two of each, by blocks of 2^16: block, low 16 bits."""
+    p = np.sort(p)
+    p = p[np.append([True] * min(2, len(p)), p[2:] != p[:-2])]
+    block = p >> 16
+    start = np.flatnonzero(np.append(len(p) > 0, block[1:] != block[:-1]))
+    low = (p & 0xFFFF).astype(np.uint16)
+    blobs = pa.Array.from_buffers(pa.binary(), len(start), [
+        None, pa.py_buffer((np.append(start, len(p)) * 2).astype(np.int32).tobytes()), pa.py_buffer(low.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(block[start].astype(np.int32)), blobs], ["block", "low"])
+
+
+def _twice(batches):
+    """Words of the bitmap, ``w, bits``, from :func:`_marks` sorted by block."""
+    def words(p: np.ndarray) -> pa.RecordBatch:
+        p, n = np.unique(p, return_counts=True)
+        p = p[n > 1]
+        start = np.flatnonzero(np.append(len(p) > 0, (p[1:] >> 6) != (p[:-1] >> 6)))
+        bits = np.left_shift(U(1), (p & 63).astype(U))
+        bits = np.bitwise_or.reduceat(bits, start) if len(start) else bits
+        return pa.RecordBatch.from_arrays([pa.array((p[start] >> 6).astype(np.int32)), pa.array(bits.view(np.int64))], ["w", "bits"])
+
+    held = np.zeros(0, np.int64)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        block = b.column(0).to_numpy().astype(np.int64)
+        blobs = b.column(1).to_pylist()
+        size = np.array([len(x) // 2 for x in blobs])
+        p = np.append(held, (np.repeat(block, size) << 16) | np.frombuffer(b"".join(blobs), np.uint16))
+        whole = (p >> 16) != block[-1]
+        yield words(p[whole])
+        held = np.sort(p[~whole])  # of the block that may go on, two of each place
+        held = held[np.append([True] * min(2, len(held)), held[2:] != held[:-2])]
+    yield words(held)
+
+
 def _seen_again(base: DataFrame, length: int, gram: int) -> np.ndarray:
     """Bitmap over anchor hashes (modulo ``SEEN_BITS``): set where at least two anchors fall.
 
@@ -231,41 +270,152 @@ def _seen_again(base: DataFrame, length: int, gram: int) -> np.ndarray:
     those found once, which costs work later and changes no result.
     """
     def run(batches):
+        now, held = [], 0
         for b in batches:
             for _, a, _, _ in _anchors_of(_bytes(b.column(0)), length, gram):
-                p, n = np.unique((a.hash % U(SEEN_BITS)).astype(np.int32), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(n, pa.int64())], ["p", "n"])
-
-    twice = (base.select("text").mapInArrow(run, "p int, n long").groupBy("p").agg(F.sum("n").alias("n"))
-             .where("n > 1"))
-    words = (twice.groupBy(F.floor(F.col("p") / 64).cast("int").alias("w"))
-             .agg(F.bit_or(F.expr("shiftleft(cast(1 as bigint), p % 64)")).alias("bits")).toArrow())
+                now.append((a.hash % U(SEEN_BITS)).astype(np.int64))
+                held += len(now[-1])
+                if held >= HELD:
+                    yield _marks(np.concatenate(now))
+                    now, held = [], 0
+        if held:
+            yield _marks(np.concatenate(now))
+
+    n = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = (base.select("text").mapInArrow(run, "block int, low binary").repartition(n, "block")
+             .sortWithinPartitions("block").mapInArrow(_twice, "w int, bits long")).toArrow()
     out = np.zeros(max(1, SEEN_BITS // 64), U)
     out[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(U)
     return out
 
 
+def _runs(k: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of windows in texts with those joined that follow each other."""
+    order = np.lexsort((first, k))
+    k, first, last = k[order], first[order], last[order]
+    begin = np.flatnonzero(np.append(len(k) > 0, (k[1:] != k[:-1]) | (first[1:] > last[:-1] + 1)))
+    return k[begin], first[begin], last[np.append(begin[1:], len(k)) - 1] if len(begin) else last
+
+
+def _first_places(k, ids, no_id, first, last, h, span) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the anchors that are the first ones of their span here, and of those that come later."""
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    several = order[np.append(same, False) | np.append(False, same)] if len(order) else order
+    alone = np.ones(len(h), bool)
+    alone[several] = False
+    at = several[np.lexsort((first[several], k[several], ids[several], no_id[several], span[several], h[several]))]
+    new = np.append(len(at) > 0, (h[at][1:] != h[at][:-1]) | (span[at][1:] != span[at][:-1]))[:len(at)]
+    rep = at[new][np.cumsum(new) - 1]
+    # a row with the id and text of another one has its places, too
+    later = (k[at] != k[rep]) | (first[at] != first[rep])
+    return np.append(np.flatnonzero(alone), at[new]), at[later]
+
+
 def _spans(base: DataFrame, length: int, gram: int) -> DataFrame:
-    """The anchors that may occur again: text, place of their windows, hash, hash of their span."""
+    """The anchors that may occur again: text, place of their windows, hash, hash of their span.
+
+    A task compares ``HELD`` of them at a time: those whose span is also at an earlier place there
+    come, joined to long ranges, without hashes and id; no other task can make them the first."""
     shared = base.sparkSession.sparkContext.broadcast(_seen_again(base, length, gram))
 
+    def compared(held: list) -> pa.RecordBatch:
+        k, ids, no_id, first, last, h, span = (np.concatenate(c) for c in zip(*held))
+        rep, later = _first_places(k, ids, no_id, first, last, h, span)
+        lk, lf, ll = _runs(k[later], first[later], last[later])
+        none = np.ones(len(lk), bool)
+
+        def both(value: np.ndarray, missing: np.ndarray) -> pa.Array:
+            return pa.array(np.append(value, np.zeros(len(lk), np.int64)), mask=np.append(missing, none))
+        some = np.zeros(len(rep), bool)
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.append(k[rep], lk)), both(ids[rep], no_id[rep]), pa.array(np.append(first[rep], lf)),
+            pa.array(np.append((last - first)[rep], ll - lf).astype(np.int32)), both(h[rep], some), both(span[rep], some)],
+            ["k", "doc_id", "first", "more", "h", "span"])
+
     def run(batches):
-        seen = shared.value
+        seen, held, size = shared.value, [], 0
         for b in batches:
-            k, ids = b.column(0), b.column(1)
+            k, no_id = b.column(0).to_numpy(), np.asarray(b.column(1).is_null())
+            ids = b.column(1).fill_null(0).to_numpy()
             for flat, a, text, shift in _anchors_of(_bytes(b.column(2)), length, gram):
                 p = a.hash % U(SEEN_BITS)
                 keep = np.flatnonzero((seen[(p >> U(6)).astype(np.int64)] >> (p & U(63))) & U(1))
-                rows = pa.array(text[keep])
-                yield pa.RecordBatch.from_arrays([
-                    k.take(rows), ids.take(rows), pa.array((a.first + shift)[keep]),
-                    pa.array((a.last - a.first)[keep].astype(np.int32)), pa.array(a.hash[keep].view(np.int64)),
-                    pa.array(span_keys(a, SpanHash(flat, 0), length)[keep].view(np.int64))],
-                    ["k", "doc_id", "first", "more", "h", "span"])
+                row = text[keep]
+                held.append((k[row], ids[row], no_id[row], (a.first + shift)[keep], (a.last + shift)[keep], a.hash[keep].view(np.int64),
+                             span_keys(a, SpanHash(flat, 0), length)[keep].view(np.int64)))
+                size += len(keep)
+                if size >= HELD:
+                    yield compared(held)
+                    held, size = [], 0
+        if size:
+            yield compared(held)
 
     return base.mapInArrow(run, "k long, doc_id long, first long, more int, h long, span long")
 
 
+def _places(wide: int):
+    """From the anchors sorted by hash, span and place: the ranges of windows that come later, and the
+    first place of each kind of span where a hash has several, with their number (``wide`` + 1 may
+    stand for more).  At most ``wide`` first places are held."""
+    def out(k, first, more, h=None, kinds=None) -> pa.RecordBatch:
+        n, rep = len(k), h is not None
+        none = pa.nulls(n, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(first), pa.array(more), pa.array(np.full(n, rep)), pa.array(h) if rep else none,
+                                           pa.array(kinds) if rep else none], ["k", "first", "more", "is_rep", "h", "kinds"])
+
+    def chunks(batches):
+        now, size = [], 0
+        for b in batches:
+            now, size = [*now, b], size + b.num_rows
+            if size >= CHUNK:
+                yield pa.Table.from_batches(now)
+                now, size = [], 0
+        if size:
+            yield pa.Table.from_batches(now)
+
+    def run(batches):
+        prev = None     # hash, span and the first place of the last row's kind
+        held = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int32)]  # first places of the last hash: h, k, first, more
+        open_wide = None
+        for t in chunks(batches):
+            sure = np.asarray(t.column("h").is_null().combine_chunks())
+            k, first, more = (t.column(c).to_numpy() for c in ("k", "first", "more"))
+            if sure.any():
+                yield out(k[sure], first[sure], more[sure])
+                k, first, more = k[~sure], first[~sure], more[~sure]
+            if not len(k):
+                continue
+            h, span = (t.column(c).fill_null(0).to_numpy()[~sure] for c in ("h", "span"))
+            p = prev or (None, None, 0, 0)
+            new = np.append((h[0], span[0]) != p[:2], (h[1:] != h[:-1]) | (span[1:] != span[:-1]))
+            at = np.cumsum(new)
+            rep_k, rep_first = np.append(p[2], k[new])[at], np.append(p[3], first[new])[at]
+            later = ~new & ((k != rep_k) | (first != rep_first))
+            if later.any():
+                yield out(k[later], first[later], more[later])
+            prev = (h[-1], span[-1], rep_k[-1], rep_first[-1])
+            held = [np.append(a, b[new]) for a, b in zip(held, (h, k, first, more))]
+            if not len(held[0]):
+                continue
+            start = np.flatnonzero(np.append(True, held[0][1:] != held[0][:-1]))
+            kinds = np.diff(np.append(start, len(held[0])))
+            kinds[held[0][start] == open_wide] = wide + 1
+            if held[0][-1] == h[-1] and kinds[-1] > wide:
+                open_wide, upto = h[-1], len(held[0])
+            else:  # the last hash may go on
+                upto = start[-1] if held[0][-1] == h[-1] else len(held[0])
+            kinds = np.repeat(kinds, np.diff(np.append(start, len(held[0]))))
+            give = np.flatnonzero(kinds[:upto] > 1)
+            if len(give):
+                yield out(held[1][give], held[2][give], held[3][give], held[0][give], kinds[give])
+            held = [a[upto:] for a in held]
+        if len(held[0]) > 1:
+            yield out(held[1], held[2], held[3], held[0], np.full(len(held[0]), len(held[0])))
+
+    return run
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    length: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """The texts ``k, doc_id, text`` and the byte spans ``s_k, spans`` to remove from them."""
@@ -274,18 +424,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs[text_col]).alias("text")).select(
         _row_key(F.col("doc_id"), F.col("text")).alias("k"), "doc_id", "text")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = saved(_spans(base, length, gram), "sfx-anchors")
     # order of places: id (null last), then the text's key, then the position
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k", "first")
-    kinds = found.groupBy("h", "span").agg(F.min(place).alias("rep"), F.count(F.lit(1)).alias("n"))
-    wide = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
-    kinds = saved(kinds.join(wide, "h").where("n > 1 or kinds > 1").select(
-        "h", "span", F.col("rep.k").alias("rep_k"), F.col("rep.first").alias("rep_first"), "kinds"), "sfx-kinds")
-    found = found.join(kinds, ["h", "span"])
-    is_rep = (F.col("k") == F.col("rep_k")) & (F.col("first") == F.col("rep_first"))
-    found = saved(found.where(~is_rep | (F.col("kinds") > 1)).select(
-        "k", "first", "more", is_rep.alias("is_rep"), F.when(is_rep, F.col("h")).alias("h"),
-        F.when(is_rep, F.col("kinds")).alias("kinds")), "sfx-places")
+    # one exchange of the anchors; ranges without a hash only pass through
+    found = (_spans(base, length, gram).repartition(n, F.coalesce("h", "k"))
+             .sortWithinPartitions("h", "span", F.col("doc_id").isNull(), "doc_id", "k", "first")
+             .mapInArrow(_places(WIDE), "k long, first long, more int, is_rep boolean, h long, kinds long"))
+    found = saved(found, "sfx-places")
     later = found.where("not is_rep").select("k", F.col("first").alias("start"),
                                              (F.col("first") + F.col("more") + length).alias("end"))
     check = found.where("is_rep").groupBy(F.col("k").alias("c_k")).agg(

@@ -463,3 +463,23 @@ def test_empty_tables(spark):
 
 def test_clash_list_is_not_empty():
     assert len(CLASH) > 10
+
+
+@pytest.mark.parametrize("wide", [2, 2000])
+def test_anchors_sorted_in_small_chunks(spark, monkeypatch, wide):
+    for name, value in (("WIDE", wide), ("HELD", 40), ("CHUNK", 7), ("SEEN_BITS", 1 << 17)):
+        monkeypatch.setattr(suffix, name, value)
+    texts = hard_texts()
+    d = documents(spark, texts)
+    local = [(r["doc_id"], r["text"]) for r in d.collect()]
+    key = lambda t: tuple((x is not None, str(x)) for x in t)
+    assert rows_of(suffix.remove_repeats(d, digest=True), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) \
+        == sorted(later_bytes(local, 100), key=key)
+
+
+def test_copies_in_a_task_are_not_sent_anchor_by_anchor(spark):
+    text = " ".join(str(i * i) for i in range(400))
+    base = spark.range(50).coalesce(1).select(F.col("id").alias("k"), F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    rows = suffix._spans(base, 100, 64)
+    first = rows.where("k = 0").count()
+    assert first > 10 and rows.count() == first + 49
