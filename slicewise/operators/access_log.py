@@ -170,23 +170,29 @@ def _bucket_pass(limit: int, window_us: int, bucket_us: int):
         for pdf in batches:
             if not len(pdf):
                 continue
-            c, b, kind, us = (pdf[x].to_numpy() for x in ("client", "_b", "_kind", "_us"))
+            c, b, kind = (pdf[x].to_numpy() for x in ("client", "_b", "_kind"))
+            us = pdf["_us"].to_numpy()
+            if us.dtype.kind == "f" and np.isnan(us[kind == 1]).any():
+                raise ValueError("a request has no time")
+            us = np.where(kind == 1, us, 0).astype(np.int64)
+            carry = pdf["carry"].to_numpy()
             first = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (b[1:] != b[:-1])])
-            carries, parts = [], []
-            for lo, hi in zip(first, np.r_[first[1:], len(pdf)]):
+            accepted, carries = np.ones(len(pdf), bool), []
+            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(pdf)]):
                 if (c[lo], b[lo]) != key:
                     if key is not None:
                         carries.append(closed())
                     key, q = (c[lo], b[lo]), deque()
                 if kind[lo] == 0:
-                    q.extend(int(t) for t in pdf["carry"].iloc[lo])
+                    q.extend(int(t) for t in carry[lo])
                     lo += 1
-                if lo < hi:
-                    parts.append(pd.DataFrame({
-                        "event_id": pdf["event_id"].iloc[lo:hi], "client": c[lo:hi], "ts": pdf["ts"].iloc[lo:hi],
-                        "accepted": admit(us[lo:hi], q, limit, window_us), "_b": b[lo:hi]}))
-            if parts:
-                yield pd.concat(parts).assign(carry=None)
+                if len(q) + hi - lo <= limit:  # never as many as would reject one
+                    q.extend(us[lo:hi].tolist())
+                elif lo < hi:
+                    accepted[lo:hi] = admit(us[lo:hi], q, limit, window_us)
+            events = pdf.loc[kind == 1, ["event_id", "client", "ts", "_b"]]
+            if len(events):
+                yield events.assign(accepted=accepted[kind == 1], carry=None)[["event_id", "client", "ts", "accepted", "_b", "carry"]]
             if carries:
                 yield _carry_frame(carries)
         if key is not None:
