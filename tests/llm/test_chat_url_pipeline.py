@@ -93,7 +93,7 @@ def test_url_filter_against_sql(spark, pages, limit, monkeypatch):
 @pytest.mark.parametrize("name", sorted(LLM_ORACLES))
 def test_queries_match_their_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     df = LLM_QUERIES[name](spark, sf)
     cur = con.execute(LLM_ORACLES[name])
