@@ -28,9 +28,6 @@ TOP_TERMS = 10
 LARGEST_VOCABULARY = 2**31 - 1
 SCALE = 1_000_000_000
 
-# Vectors as Spark stores them in Parquet; read back so that their entries are plain arrays.
-VECTOR = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
-
 # Byte by byte: A-Z to lower case, other ASCII that is no letter to a space, UTF-8 above unchanged.
 _BYTES = np.array([b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
                    for b in range(256)], np.uint8)
@@ -72,38 +69,35 @@ def with_terms(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "source", "text").mapInArrow(split, "lang string, source string, terms array<string>")
 
 
-def document_vectors(docs: DataFrame, min_df: int = MIN_DF) -> tuple[DataFrame, DataFrame]:
-    """Sparse vectors ``lang, source, vec`` of the documents of every language with at least
-    ``min_df`` of them, and the vocabularies ``lang, idx, term`` (the empty term included).
+def term_counts(docs: DataFrame, min_df: int = MIN_DF) -> DataFrame:
+    """``lang, source, term, c``: the documents' sparse vectors summed up entry by entry, for every
+    language with at least ``min_df`` of them.
 
-    One CountVectorizer per language, one after the other; the vectors and models are written to
-    the shared folder.  A fitted model holds its language's vocabulary, as Spark's model does.
+    One CountVectorizer per language, one after the other; models and sums are written to the shared
+    folder, the vectors go from the model to the sums within a task.  A fitted model holds its
+    language's vocabulary, as Spark's model does.
     """
     spark = docs.sparkSession
     sizes = docs.groupBy("lang").count().where(F.col("count") >= min_df).collect()
-    root = scratch_path(spark, "div-vectors")
+    root = scratch_path(spark, "div-counts")
     langs = sorted(r["lang"] for r in sizes)
     for i, lang in enumerate(langs):
         terms = with_terms(docs.where(F.col("lang") == lang))
         counter = CountVectorizer(inputCol="terms", outputCol="vec", minDF=float(min_df), vocabSize=LARGEST_VOCABULARY)
         model = counter.fit(terms)
         model.write().overwrite().save(f"{root}/model{i}")
-        model.transform(terms).select("lang", "source", "vec").write.parquet(f"{root}/vectors{i}")
-    vectors = spark.createDataFrame([], f"lang string, source string, vec {VECTOR}")
-    words = spark.createDataFrame([], "lang string, idx int, term string")
-    if langs:
-        vectors = spark.read.schema(vectors.schema).parquet(*[f"{root}/vectors{i}" for i in range(len(langs))])
-        for i, lang in enumerate(langs):
-            model = spark.read.parquet(f"{root}/model{i}/data")
-            words = words.unionByName(model.select(F.lit(lang).alias("lang"), F.posexplode("vocabulary").alias("idx", "term")))
-    return vectors, words
+        words = spark.read.parquet(f"{root}/model{i}/data").select(F.posexplode("vocabulary").alias("idx", "term"))
+        sums = group_sums(model.transform(terms)).join(words, "idx").where("term <> ''")
+        sums.select(F.lit(lang).alias("lang"), "source", "term", "c").write.parquet(f"{root}/sums{i}")
+    counts = spark.createDataFrame([], "lang string, source string, term string, c long")
+    return spark.read.schema(counts.schema).parquet(*[f"{root}/sums{i}" for i in range(len(langs))]) if langs else counts
 
 
 HELD_ENTRIES = 4_000_000  # entries of vectors that a task adds up at a time
 
 
 def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the vectors ``lang, source, indices, values`` that a task meets, per group and entry."""
+    """Sums of the vectors ``source, vec`` that a task meets, per source and entry."""
     number: dict = {}
     keys, values, held = [], [], 0
 
@@ -112,14 +106,13 @@ def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return key, np.bincount(inverse, np.concatenate(values), len(key))
 
     def rows(key: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-        group = pa.array(key >> 32)
-        lang, source = (pa.array([k[i] for k in number], pa.string()).take(group) for i in (0, 1))
-        return pa.RecordBatch.from_arrays([lang, source, pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(value.astype(np.int64))],
-                                          ["lang", "source", "idx", "c"])
+        source = pa.array(list(number), pa.string()).take(pa.array(key >> 32))
+        return pa.RecordBatch.from_arrays([source, pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(value.astype(np.int64))],
+                                          ["source", "idx", "c"])
 
     for b in batches:
-        group = np.array([number.setdefault(k, len(number)) for k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], np.int64)
-        index, value = b.column(2), b.column(3)
+        group = np.array([number.setdefault(k, len(number)) for k in b.column(0).to_pylist()], np.int64)
+        _, _, index, value = b.column(1).flatten()  # a sparse vector: kind, size, indices, values
         off = np.asarray(index.offsets).astype(np.int64)
         v_off = np.asarray(value.offsets)
         keys.append(np.repeat(group << 32, np.diff(off)) | np.asarray(index.values)[off[0]:off[-1]])
@@ -136,12 +129,10 @@ def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(*added())
 
 
-def group_counts(vectors: DataFrame, words: DataFrame) -> DataFrame:
-    """Sum of the vectors per language and source, entry by entry: ``lang, source, term, c``."""
-    sums = (vectors.select("lang", "source", "vec.indices", "vec.values")
-            .mapInArrow(partial_sums, "lang string, source string, idx int, c long")
-            .groupBy("lang", "source", "idx").agg(F.sum("c").alias("c")))
-    return sums.join(words, ["lang", "idx"]).where("term <> ''").select("lang", "source", "term", "c")
+def group_sums(vectors: DataFrame) -> DataFrame:
+    """Sum of the vectors (``source, vec``) per source, entry by entry: ``source, idx, c``."""
+    return (vectors.select("source", "vec").mapInArrow(partial_sums, "source string, idx int, c long")
+            .groupBy("source", "idx").agg(F.sum("c").alias("c")))
 
 
 def _p(count: str, n: str, v: str) -> Column:
@@ -169,7 +160,7 @@ def divergence(docs: DataFrame, min_df: int = MIN_DF, top: int = TOP_TERMS, text
     prepare(docs.sparkSession)
     base = docs.select(text_or_empty(docs[lang_col]).alias("lang"), text_or_empty(docs[source_col]).alias("source"),
                        text_or_empty(docs[text_col]).alias("text"))
-    counts = saved(group_counts(*document_vectors(base, min_df)), "div-counts")
+    counts = term_counts(base, min_df)
     whole = saved(counts.groupBy("lang", "term").agg(F.sum("c").alias("lc")), "div-lang")
     of_lang = whole.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lc").alias("ln"))
     of_group = counts.groupBy("lang", "source").agg(F.sum("c").alias("n"))

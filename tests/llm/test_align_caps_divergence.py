@@ -286,3 +286,18 @@ def test_divergence_of_other_sizes(spark):
     for min_df, top in ((1, 3), (5, 100), (1000, 10)):
         got = sorted(tuple(r[c] for c in DCOLS) for r in divergence.divergence(df, min_df, top).collect())
         assert got == brute_divergence(rows, min_df, top)
+
+
+def test_vectors_are_summed_without_being_written(spark, monkeypatch):
+    """op13: a language's vectors go from its model to the sums within a task; only models and sums are written."""
+    import os
+
+    rows = [("en", s, f"alpha {s} beta alpha") for s in ("web", "books") for _ in range(6)] + [("de", "web", "eins"), ("", "web", "x")]
+    docs = spark.createDataFrame(rows, "lang string, source string, text string")
+    folders = []
+    monkeypatch.setattr(divergence, "scratch_path", lambda spark, name, old=divergence.scratch_path: folders.append(old(spark, name)) or folders[-1])
+    got = {(r["lang"], r["source"], r["term"]): r["c"] for r in divergence.term_counts(docs, 10).collect()}
+    assert got == {("en", s, t): c for s in ("web", "books") for t, c in (("alpha", 12), ("beta", 6))}
+    assert sorted(os.listdir(folders[0].replace("file:", "", 1))) == ["model0", "sums0"]
+    sums = spark.read.parquet(f"{folders[0]}/sums0")
+    assert sums.columns == ["lang", "source", "term", "c"] and sums.count() == 4
