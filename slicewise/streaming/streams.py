@@ -4,9 +4,9 @@
   map-only; the slice table joins as a stream-static broadcast join).
 * ``request_rate_stream``: tumbling or sliding windows with a watermark (late rows beyond the
   watermark are dropped), append mode.
-* ``rate_limit_stream``: the recursive rate limiter as per-client state
-  (``transformWithStateInPandas``): rows wait until the watermark passes them and are decided in
-  time order; event-time timers wake a client and drop it when idle.
+* ``rate_limit_stream``: the recursive rate limiter as state of buckets of clients
+  (``transformWithStateInPandas``): rows wait until the watermark passes them and are decided per
+  client in time order; event-time timers wake a bucket and drop idle clients.
 
 Checkpoints of every query go under the shared checkpoint folder of the session.
 """
@@ -49,20 +49,40 @@ def request_rate_stream(log: DataFrame, minutes: int = 5, slide_minutes: int | N
     return LG.request_rate(log.withWatermark("ts", watermark), minutes, slide_minutes)
 
 
-# Rows wait here until the watermark has passed them; accepted times as in the batch form.
-WAITING_SCHEMA = "us long, event_id long"
-ACCEPTED_SCHEMA = "accepted array<long>"
+# Rows wait here until the watermark has passed them, and each client's accepted times as in the
+# batch form: one entry per micro-batch with the columns as bytes, no entry per row.
+WAITING_SCHEMA = "us binary, event_id binary, client binary, no_client binary"
+ACCEPTED_SCHEMA = "us binary, client binary, no_client binary"
 TIMER_SCHEMA = "next_ms long"
+_WAITING_TYPES = (np.int64, np.int64, np.int64, np.bool_)
+_ACCEPTED_TYPES = (np.int64, np.int64, np.bool_)
+
+LIMITER_BUCKETS = 64  # groups of clients that share a state entry, at least; fixed for a checkpoint
+BUCKET_ROWS = 100_000  # rows of a log that a bucket should have, about
+
+
+def limiter_buckets(rows: int) -> int:
+    """Buckets for a log of about ``rows`` rows, so that a bucket does not grow with the log."""
+    return max(LIMITER_BUCKETS, -(-rows // BUCKET_ROWS))
+
+
+def _packed(columns) -> tuple:
+    return tuple(c.tobytes() for c in columns)
+
+
+def _unpacked(entries, types) -> list[np.ndarray]:
+    entries = list(entries)
+    return [np.frombuffer(b"".join(e[i] for e in entries), t) for i, t in enumerate(types)]
 
 
 class RateLimiter(StatefulProcessor):
-    """Keyed state of the rate limiter: rows that wait, accepted times (at most ``limit``), and
-    the time of the next event-time timer.
+    """State of the rate limiter for a bucket of clients: rows that wait, each client's accepted
+    times (at most ``limit``), and the time of the next event-time timer.
 
     A row is decided only when the watermark has reached it, for then no earlier row of its client
     can arrive; all rows that are due are decided together in time order (ties by event id).  A
     timer stands at the first waiting row; when none waits it stands where the last accepted
-    request leaves the window, and the client's state is dropped there.
+    request leaves the window.  Whenever it fires, clients whose requests have left it are dropped.
     """
 
     def __init__(self, limit: int, window_us: int):
@@ -85,68 +105,89 @@ class RateLimiter(StatefulProcessor):
         self.timer.update((ms,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, entries = None, []
         for p in rows:
             p = p[~p["heartbeat"].astype(bool)]
             if not len(p):
                 continue
-            us = p["us"].to_numpy().astype(np.int64)
-            self.waiting.appendList(list(zip(us.tolist(), p["id"].astype("int64").tolist())))
-            first = int(us.min()) if first is None else min(first, int(us.min()))
-        if first is not None:
+            cols = [p[c].to_numpy().astype(t) for c, t in zip(("us", "id", "client", "no_client"), _WAITING_TYPES)]
+            entries.append(_packed(cols))
+            us = int(cols[0].min())
+            first = us if first is None else min(first, us)
+        if entries:
+            self.waiting.appendList(entries)
             self._wake_at(-(-first // 1000))
         return iter(())
 
+    def _decide(self, us: np.ndarray, client: np.ndarray, none: np.ndarray, times: dict) -> np.ndarray:
+        """Decisions for rows sorted by client and time; ``times`` has the accepted times by client."""
+        ok = np.ones(len(us), bool)
+        new = np.flatnonzero(np.append(True, (client[1:] != client[:-1]) | (none[1:] != none[:-1]))[:len(us)])
+        for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(us)]):
+            q = times.setdefault((bool(none[lo]), int(client[lo])), deque())
+            if len(q) + hi - lo <= self.limit:  # never as many as would reject one
+                q.extend(us[lo:hi].tolist())
+            else:
+                ok[lo:hi] = LG.admit(us[lo:hi], q, self.limit, self.window_us)
+        return ok
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.timer.clear()
         seen_us = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = (np.array(list(self.waiting.get()), np.int64).reshape(-1, 2) if self.waiting.exists()
-                else np.zeros((0, 2), np.int64))
-        due = rows[:, 0] <= seen_us
-        now, later = rows[due], rows[~due]
-        now = now[np.lexsort((now[:, 1], now[:, 0]))]
-        accepted = deque(self.accepted.get()[0] if self.accepted.exists() else [])
-        ok = LG.admit(now[:, 0], accepted, self.limit, self.window_us)
-        while accepted and accepted[0] + self.window_us <= seen_us:
-            accepted.popleft()
-        if len(now):
-            if len(later):
-                self.waiting.put([tuple(r) for r in later.tolist()])
+        rows = _unpacked(self.waiting.get() if self.waiting.exists() else [], _WAITING_TYPES)
+        due = rows[0] <= seen_us
+        later = [c[~due] for c in rows]
+        us, ids, client, none = (c[due] for c in rows)
+        order = np.lexsort((ids, us, client, none))
+        us, ids, client, none = us[order], ids[order], client[order], none[order]
+        times: dict = {}
+        if self.accepted.exists():
+            for t, c, n in zip(*(c.tolist() for c in _unpacked([self.accepted.get()], _ACCEPTED_TYPES))):
+                times.setdefault((n, c), deque()).append(t)
+        ok = self._decide(us, client, none, times)
+        left = [(t, c, n) for (n, c), q in times.items() for t in q if t + self.window_us > seen_us]
+        if len(us):
+            if len(later[0]):
+                self.waiting.put([_packed(later)])
             else:
                 self.waiting.clear()
-        if accepted:
-            self.accepted.update((list(accepted),))
+        if left:
+            self.accepted.update(_packed(np.array(c, t) for c, t in zip(zip(*left), _ACCEPTED_TYPES)))
         else:
             self.accepted.clear()
-        if len(later):
-            self._wake_at(-(-int(later[:, 0].min()) // 1000))
-        elif accepted:
-            self._wake_at(-(-(accepted[-1] + self.window_us) // 1000))
-        if len(now):
-            client = pd.array([None if key[1] else int(key[0])] * len(now), dtype="Int64")
-            yield pd.DataFrame({"event_id": now[:, 1], "client": client, "ts": now[:, 0].astype("datetime64[us]"), "accepted": ok})
+        if len(later[0]):
+            self._wake_at(-(-int(later[0].min()) // 1000))
+        elif left:
+            self._wake_at(-(-(max(t for t, _, _ in left) + self.window_us) // 1000))
+        if len(us):
+            yield pd.DataFrame({"event_id": ids, "client": pd.arrays.IntegerArray(client, none), "ts": us.astype("datetime64[us]"),
+                                "accepted": ok})
 
     def close(self) -> None:
         pass
 
 
 def rate_limit_stream(log: DataFrame, limit: int = P.RATE_LIMIT,
-                      window_seconds: int = P.RATE_WINDOW_SECONDS, watermark: str = "1 hour") -> DataFrame:
+                      window_seconds: int = P.RATE_WINDOW_SECONDS, watermark: str = "1 hour",
+                      buckets: int = LIMITER_BUCKETS) -> DataFrame:
     """L2 on a stream: equals the batch operator for rows that arrive in any order inside the
     watermark; rows behind the watermark are dropped.
 
     Rows come out when the watermark passes them.  A row without ``event_id`` (a heartbeat of the
-    source) is not decided and only moves the watermark on.  The state of a client is its rows of
-    the last ``watermark`` and at most ``limit`` accepted times; start the query inside
-    :func:`state_partitions`, which chooses the state store that such state needs.
+    source) is not decided and only moves the watermark on.  The state is every client's rows of
+    the last ``watermark`` and at most ``limit`` accepted times; it is kept, read and written in
+    ``buckets`` groups of clients by hash, so that the cost of a call of the state store is not paid
+    for every client.  Start the query inside :func:`state_partitions`, which chooses the state
+    store that such state needs.
     """
     x = (log.withColumn("event_time", F.col("ts").cast("timestamp"))
             .withWatermark("event_time", watermark)
             # no nulls go to Python: there they would turn whole columns into floats
-            .select(F.coalesce("client", F.lit(0)).alias("client"), F.col("client").isNull().alias("no_client"),
+            .select(F.pmod(F.xxhash64("client"), F.lit(int(buckets))).alias("bucket"),
+                    F.coalesce("client", F.lit(0)).alias("client"), F.col("client").isNull().alias("no_client"),
                     F.coalesce("event_id", F.lit(0)).alias("id"), F.col("event_id").isNull().alias("heartbeat"),
                     "event_time", F.unix_micros(F.col("event_time")).alias("us")))
-    return x.groupBy("client", "no_client").transformWithStateInPandas(
+    return x.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=RateLimiter(int(limit), int(window_seconds) * 1_000_000),
         outputStructType=LG.RATE_SCHEMA, outputMode="Append", timeMode="EventTime")
 
