@@ -135,8 +135,12 @@ def group_sums(vectors: DataFrame) -> DataFrame:
             .groupBy("source", "idx").agg(F.sum("c").alias("c")))
 
 
+LONG_COUNT = 2**63 // SCALE - 3  # counts up to here stay below 2^63 when scaled
+
+
 def _p(count: str, n: str, v: str) -> Column:
-    return F.expr(f"1 + (cast({SCALE} as decimal(38,0)) * ({count} + 2)) div cast({n} + 2 * {v} as decimal(38,0))")
+    return F.expr(f"1 + if({count} <= {LONG_COUNT}, (bigint({SCALE}) * ({count} + 2)) div ({n} + 2 * {v}), "
+                  f"(cast({SCALE} as decimal(38,0)) * ({count} + 2)) div cast({n} + 2 * {v} as decimal(38,0)))")
 
 
 def _f(p: str, q: str) -> str:
@@ -168,9 +172,9 @@ def divergence(docs: DataFrame, min_df: int = MIN_DF, top: int = TOP_TERMS, text
               .join(of_lang, "lang", "left").fillna(0, ["n", "v", "ln"])
               # without a kept term nothing is summed and p0 is not used
               .withColumn("p0", F.when(F.col("v") > 0, _p("0", "n", "v")).otherwise(F.lit(1))))
-    groups = saved(groups, "div-groups")
+    groups = saved(groups.withColumn("g", F.monotonically_increasing_id()), "div-groups")
 
-    scored = (counts.join(whole, ["lang", "term"]).join(groups, ["lang", "source"])
+    scored = (counts.join(whole, ["term", "lang"]).join(groups, ["lang", "source"])
               .withColumns({"p": _p("c", "n", "v"), "q": _p("lc", "ln", "v")})
               .where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"),
                                      F.expr(_f("p", "q")).alias("value")))
@@ -188,14 +192,17 @@ def divergence(docs: DataFrame, min_df: int = MIN_DF, top: int = TOP_TERMS, text
     alone = (by_count.join(other, "lang").where("x <> y")
              .select("lang", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
                      F.expr(f"k * ({_f('p', 'y0')} - {_f('x0', 'y0')})").alias("d")))
-    # what that leaves out for terms of both sides
-    entry = counts.join(groups, ["lang", "source"]).select("lang", "term", "source", "p0", _p("c", "n", "v").alias("p"))
-    left = entry.select("lang", "term", F.col("source").alias("a"), F.col("p0").alias("a0"), F.col("p").alias("ap"))
-    right = entry.select("lang", "term", F.col("source").alias("b"), F.col("p0").alias("b0"), F.col("p").alias("bp"))
-    both = (left.join(right, ["lang", "term"]).where("a < b")
-            .select("lang", "a", "b", F.expr(f"{_f('ap', 'bp')} - {_f('ap', 'b0')} - {_f('a0', 'bp')} + {_f('a0', 'b0')}").alias("d")))
-    change = (alone.groupBy("lang", "a", "b").agg(F.sum("d").alias("d"))
-              .unionByName(both.groupBy("lang", "a", "b").agg(F.sum("d").alias("d")))
+    # what that leaves out for terms of both sides, groups by number
+    entry = counts.join(groups, ["lang", "source"]).select("term", "lang", "g", "p0", _p("c", "n", "v").alias("p"))
+    left = entry.select("term", "lang", F.col("g").alias("ga"), F.col("p0").alias("a0"), F.col("p").alias("ap"))
+    right = entry.select("term", "lang", F.col("g").alias("gb"), F.col("p0").alias("b0"), F.col("p").alias("bp"))
+    both = (left.join(right, ["term", "lang"]).where("ga < gb")
+            .select("ga", "gb", F.expr(f"{_f('ap', 'bp')} - {_f('ap', 'b0')} - {_f('a0', 'bp')} + {_f('a0', 'b0')}").alias("d"))
+            .groupBy("ga", "gb").agg(F.sum("d").alias("d")))
+    x = groups.select("lang", F.col("g").alias("ga"), F.col("source").alias("x"))
+    y = groups.select(F.col("g").alias("gb"), F.col("source").alias("y"))
+    both = both.join(x, "ga").join(y, "gb").select("lang", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "d")
+    change = (alone.groupBy("lang", "a", "b").agg(F.sum("d").alias("d")).unionByName(both)
               .groupBy("lang", "a", "b").agg(F.sum("d").alias("d")))
     pairs = (a.join(b, "lang").where("a < b").join(change, ["lang", "a", "b"], "left")
              .select("lang", "a", "b", F.expr(f"v * ({_f('a0', 'b0')}) + coalesce(d, 0)").alias("value")))
